@@ -36,3 +36,63 @@ def _fx(spark, sf) -> Fixtures:
 @query("monthly_product_sales")
 def q_monthly_product_sales(spark, sf):
     return monthly_product_sales(prepare_sales(_fx(spark, sf).sales()))
+
+
+# --- allocation ------------------------------------------------------------
+from retailcast.operators.allocate import allocate_traffic, apportion_counts, month_share  # noqa: E402
+from retailcast.operators.rollup import TrafficSpec, monthly_traffic, traffic_ratios_global  # noqa: E402
+
+_SPEC = TrafficSpec()
+COUNTS = list(_SPEC.counts)
+MONEY = list(_SPEC.money)
+RATES = list(_SPEC.rate_text)
+
+
+def _monthly(spark, sf):
+    return monthly_product_sales(prepare_sales(_fx(spark, sf).sales()))
+
+
+def _traffic_m(spark, sf):
+    return monthly_traffic(_fx(spark, sf).traffic())
+
+
+@query("monthly_traffic")
+def q_monthly_traffic(spark, sf):
+    t = _traffic_m(spark, sf)
+    return t.select("month", r6("total_sales").alias("total_sales"), *COUNTS,
+                    *[r6(c).alias(c) for c in MONEY + ["sales_per_order"] + RATES])
+
+
+@query("traffic_ratios_global")
+def q_traffic_ratios_global(spark, sf):
+    g = traffic_ratios_global(_traffic_m(spark, sf))
+    return g.select(*[F.round(c, 9).alias(c) for c in g.columns])
+
+
+@query("month_share")
+def q_month_share(spark, sf):
+    m = month_share(_monthly(spark, sf))
+    return m.select("month", "product_key", "net_amount", r6("weight").alias("weight"))
+
+
+def _alloc_plain(spark, sf):
+    # No estimate months: every month before the first traffic month keeps 0.
+    return allocate_traffic(_monthly(spark, sf), _traffic_m(spark, sf), cutoff="1900-01-01")
+
+
+@query("apportion_counts")
+def q_apportion_counts(spark, sf):
+    return _alloc_plain(spark, sf).select("month", "product_key", "net_amount", *COUNTS)
+
+
+@query("allocate_currency")
+def q_allocate_currency(spark, sf):
+    a = _alloc_plain(spark, sf)
+    return a.select("month", "product_key", *[r6(c).alias(c) for c in MONEY + RATES + ["sales_per_order"]])
+
+
+@query("estimate_missing_traffic")
+def q_estimate_missing_traffic(spark, sf):
+    a = allocate_traffic(_monthly(spark, sf), _traffic_m(spark, sf))
+    return a.select("month", "product_key", "qty", "net_amount", "sales_amount", *COUNTS,
+                    *[r6(c).alias(c) for c in MONEY + ["sales_per_order"] + RATES])

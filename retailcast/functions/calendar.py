@@ -23,7 +23,7 @@ def month_text(x) -> Column:
 
 def month_from_text(x) -> Column:
     """'yyyy-MM' -> DATE; bad text -> NULL."""
-    return F.try_to_date(F.concat(_c(x), F.lit("-01")), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.concat(_c(x), F.lit("-01")), "yyyy-MM-dd")
 
 
 def days_in_month(x) -> Column:

@@ -14,7 +14,7 @@ from retailcast.functions.calendar import month_text
 def parse_holiday_dates(holidays: DataFrame, date_col: str = "date_text",
                         formats=("M/d/yyyy", "yyyy-MM-dd", "d/M/yyyy")) -> DataFrame:
     """Holiday text dates -> DATE column ``holiday_date`` (bad -> NULL)."""
-    d = F.coalesce(*[F.try_to_date(F.col(date_col).cast("string"), F.lit(f)) for f in formats])
+    d = F.coalesce(*[F.try_to_date(F.col(date_col).cast("string"), f) for f in formats])
     return holidays.withColumn("holiday_date", d)
 
 

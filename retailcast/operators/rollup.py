@@ -108,7 +108,7 @@ class TrafficSpec:
 
 def parse_day_first(text: Column, formats) -> Column:
     """Day-first date text -> DATE; the first format that parses wins."""
-    return F.coalesce(*[F.try_to_date(text.cast("string"), F.lit(f)) for f in formats])
+    return F.coalesce(*[F.try_to_date(text.cast("string"), f) for f in formats])
 
 
 def monthly_traffic(traffic: DataFrame, spec: TrafficSpec | None = None) -> DataFrame:

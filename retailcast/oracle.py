@@ -12,3 +12,142 @@ ORACLE: dict[str, str] = {}
 ORACLE["monthly_product_sales"] = with_views(
     "SELECT month, product_key, qty, net_amount, net_amount AS sales_amount FROM sales_monthly_base",
     "sales_monthly_base")
+
+# --------------------------------------------------------------------------
+# Derived views shared by several oracle queries (registered next to the
+# fixture views so ``with_views`` resolves their dependencies).
+from retailcast.sources import fixture_sql as _fs  # noqa: E402
+
+COUNTS = ["orders", "views", "visitors", "cancelled_orders", "returned_orders", "buyers"]
+MONEY = ["cancelled_sales", "returned_sales"]
+RATES = ["conversion_rate", "repeat_rate"]
+
+
+def nan_null(x: str) -> str:
+    return f"(CASE WHEN isnan({x}) THEN NULL ELSE {x} END)"
+
+
+def loc_num(x: str) -> str:
+    return nan_null(f"TRY_CAST(replace(replace(CAST({x} AS VARCHAR), '.', ''), ',', '.') AS DOUBLE)")
+
+
+def pct_num(x: str) -> str:
+    return nan_null(f"TRY_CAST(replace(replace(CAST({x} AS VARCHAR), '%', ''), ',', '.') AS DOUBLE)")
+
+
+def ieee(a: str, b: str) -> str:
+    return (f"(CASE WHEN ({a}) IS NULL OR ({b}) IS NULL THEN NULL "
+            f"WHEN ({b}) = 0 THEN (CASE WHEN ({a}) = 0 THEN NULL WHEN ({a}) > 0 "
+            f"THEN CAST('inf' AS DOUBLE) ELSE CAST('-inf' AS DOUBLE) END) "
+            f"ELSE CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) END)")
+
+
+def msum(x: str) -> str:
+    return f"coalesce(sum(CAST({x} AS DECIMAL(38,6))), 0)"
+
+
+def view(name: str, sql: str, *deps: str) -> None:
+    _fs.VIEWS[name] = sql
+    _fs.DEPS[name] = tuple(deps)
+
+
+view("sales_monthly", "SELECT month, product_key, qty, net_amount, net_amount AS sales_amount FROM sales_monthly_base",
+     "sales_monthly_base")
+
+view("traffic_monthly", f"""
+SELECT CAST(date_trunc('month', d) AS DATE) AS month,
+       CAST({msum(loc_num('sales_text'))} AS DOUBLE) AS total_sales,
+       {", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in COUNTS)},
+       {", ".join(f"CAST({msum(c)} AS DOUBLE) AS {c}" for c in MONEY)},
+       avg({loc_num('sales_per_order_text')}) AS sales_per_order,
+       avg({pct_num('conversion_rate_text')}) AS conversion_rate,
+       avg({pct_num('repeat_rate_text')}) AS repeat_rate
+FROM (SELECT *, coalesce(try_strptime(date_text, '%d/%m/%Y'), try_strptime(date_text, '%d-%m-%Y'),
+                         try_strptime(date_text, '%Y-%m-%d'), try_strptime(date_text, '%d.%m.%Y')) AS d
+      FROM traffic) t
+WHERE d IS NOT NULL
+GROUP BY 1""", "traffic")
+
+_TOT = f"CAST(sum(CAST(total_sales AS DECIMAL(38,6))) AS DOUBLE)"
+view("traffic_global", "SELECT " + ", ".join(
+    [f"avg({r}) AS avg_{r}" for r in RATES]
+    + [f"CASE WHEN coalesce({_TOT}, 0) = 0 THEN 0.0 ELSE CAST(sum(CAST({c} AS DECIMAL(38,6))) AS DOUBLE) / {_TOT} END AS {c}_per_sale"
+       for c in COUNTS + MONEY]) + " FROM traffic_monthly", "traffic_monthly")
+
+
+def allocated_sql(cutoff: str | None) -> str:
+    cut = "(SELECT min(month) FROM traffic_monthly)" if cutoff is None else f"DATE '{cutoff}'"
+    tcols = ", ".join(f"tm.{c}" for c in COUNTS + MONEY + ["sales_per_order"] + RATES)
+    return f"""
+SELECT * FROM (
+  SELECT j2.*,
+    {", ".join(f"CASE WHEN t_{c} IS NULL OR t_{c} = 0 OR msales = 0 OR msales IS NULL THEN CAST(0 AS BIGINT) "
+               f"ELSE CAST(greatest(b_{c} + sign(t_{c} - sb_{c}) * (floor(abs(t_{c} - sb_{c}) / n) "
+               f"+ CASE WHEN rk < abs(t_{c} - sb_{c}) % n THEN 1 ELSE 0 END), 1) AS BIGINT) END AS a_{c}"
+               for c in COUNTS)}
+  FROM (
+    SELECT j1.*, {", ".join(f"sum(b_{c}) OVER (PARTITION BY month) AS sb_{c}" for c in COUNTS)}
+    FROM (
+      SELECT j0.*, {", ".join(f"CASE WHEN msales <> 0 THEN CAST(round_even(CAST(t_{c} AS DOUBLE) * share, 0) AS BIGINT) END AS b_{c}" for c in COUNTS)}
+      FROM (
+        SELECT j.*, {ieee('j.net_amount', 'j.msales')} AS share, (j.month < {cut}) AS early,
+          {", ".join(f"CASE WHEN j.month < {cut} THEN greatest(1, CAST(round_even(CAST(j.msales AS DOUBLE) * g.{c}_per_sale, 0) AS BIGINT)) ELSE j.{c} END AS t_{c}" for c in COUNTS)}
+        FROM (
+          SELECT ms.*, {tcols},
+                 sum(ms.net_amount) OVER (PARTITION BY ms.month) AS msales,
+                 count(*) OVER (PARTITION BY ms.month) AS n,
+                 row_number() OVER (PARTITION BY ms.month ORDER BY ms.net_amount DESC, ms.product_key ASC) - 1 AS rk
+          FROM sales_monthly ms LEFT JOIN traffic_monthly tm ON ms.month = tm.month
+        ) j, traffic_global g
+      ) j0
+    ) j1
+  ) j2
+) x"""
+
+
+def allocated_select(src: str = "allocated") -> str:
+    money = ", ".join(
+        f"CASE WHEN early THEN share * ((CAST(msales AS DOUBLE) * g.{c}_per_sale) * 0.8) ELSE share * {c} END AS {c}"
+        for c in MONEY)
+    rates = ", ".join(f"CASE WHEN early THEN g.avg_{c} ELSE {c} END AS {c}" for c in RATES)
+    counts = ", ".join(f"a_{c} AS {c}" for c in COUNTS)
+    return (f"SELECT month, product_key, qty, net_amount, sales_amount, {counts}, {money}, sales_per_order, {rates} "
+            f"FROM {src}, traffic_global g")
+
+
+view("allocated", allocated_sql(None), "sales_monthly", "traffic_monthly", "traffic_global")
+view("allocated_plain", allocated_sql("1900-01-01"), "sales_monthly", "traffic_monthly", "traffic_global")
+view("traffic_allocated", allocated_select("allocated"), "allocated", "traffic_global")
+
+
+def r6(x: str) -> str:
+    return f"round({x}, 6)"
+
+
+ORACLE["monthly_traffic"] = with_views(
+    "SELECT month, " + ", ".join(
+        [r6("total_sales") + " AS total_sales"] + COUNTS + [r6(c) + f" AS {c}" for c in MONEY + ["sales_per_order"] + RATES])
+    + " FROM traffic_monthly", "traffic_monthly")
+
+ORACLE["traffic_ratios_global"] = with_views(
+    "SELECT " + ", ".join(f"round({c}, 9) AS {c}" for c in
+                          [f"avg_{r}" for r in RATES] + [f"{c}_per_sale" for c in COUNTS + MONEY])
+    + " FROM traffic_global", "traffic_global")
+
+ORACLE["month_share"] = with_views(
+    f"SELECT month, product_key, net_amount, {r6(ieee('net_amount', 'sum(net_amount) OVER (PARTITION BY month)'))} AS weight "
+    "FROM sales_monthly", "sales_monthly")
+
+ORACLE["apportion_counts"] = with_views(
+    "SELECT month, product_key, net_amount, " + ", ".join(f"a_{c} AS {c}" for c in COUNTS) + " FROM allocated_plain",
+    "allocated_plain")
+
+ORACLE["allocate_currency"] = with_views(
+    "SELECT month, product_key, " + ", ".join(
+        [f"{r6(f'share * {c}')} AS {c}" for c in MONEY] + [r6(c) + f" AS {c}" for c in RATES + ["sales_per_order"]])
+    + " FROM allocated_plain", "allocated_plain")
+
+ORACLE["estimate_missing_traffic"] = with_views(
+    "SELECT month, product_key, qty, net_amount, sales_amount, " + ", ".join(
+        COUNTS + [r6(c) + f" AS {c}" for c in MONEY + ["sales_per_order"] + RATES])
+    + " FROM traffic_allocated", "traffic_allocated")
