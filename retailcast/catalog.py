@@ -96,3 +96,23 @@ def q_estimate_missing_traffic(spark, sf):
     a = allocate_traffic(_monthly(spark, sf), _traffic_m(spark, sf))
     return a.select("month", "product_key", "qty", "net_amount", "sales_amount", *COUNTS,
                     *[r6(c).alias(c) for c in MONEY + ["sales_per_order"] + RATES])
+
+
+# --- feature table ---------------------------------------------------------
+from retailcast.plans.feature_table import feature_table, features_unfilled, joined_monthly  # noqa: E402
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Round every double column (summation order differs between engines)."""
+    return df.select(*[F.round(F.col(c), places).alias(c) if t in ("double", "float") else F.col(c)
+                       for c, t in df.dtypes])
+
+
+def _feature_inputs(spark, sf):
+    fx = _fx(spark, sf)
+    return fx.sales(), fx.traffic(), fx.stock_status(), fx.holidays()
+
+
+@query("feature_table")
+def q_feature_table(spark, sf):
+    return rounded(feature_table(*_feature_inputs(spark, sf)))

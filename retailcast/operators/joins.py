@@ -57,10 +57,10 @@ def sales_product_info_join(monthly: DataFrame, info: DataFrame, key: str = "pro
 def sales_stock_join(monthly: DataFrame, stock: DataFrame, cols: list[str],
                      key: str = "product_key", month_key: str = "month_text") -> DataFrame:
     """LEFT JOIN stock status on (product, month text), pruned to ``cols``."""
-    right = stock.select(F.col(key), F.col(month_key).alias("__stock_month"), *cols)
+    right = stock.select(F.col(key).alias("__stock_key"), F.col(month_key).alias("__stock_month"), *cols)
     left = monthly.withColumn("__sales_month", month_text(F.col("month")))
-    j = left.join(right, [key, F.col("__sales_month") == F.col("__stock_month")], "left")
-    return j.drop("__sales_month", "__stock_month")
+    cond = (F.col(key) == F.col("__stock_key")) & (F.col("__sales_month") == F.col("__stock_month"))
+    return left.join(right, cond, "left").drop("__sales_month", "__stock_month", "__stock_key")
 
 
 def safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",

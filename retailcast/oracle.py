@@ -151,3 +151,112 @@ ORACLE["estimate_missing_traffic"] = with_views(
     "SELECT month, product_key, qty, net_amount, sales_amount, " + ", ".join(
         COUNTS + [r6(c) + f" AS {c}" for c in MONEY + ["sales_per_order"] + RATES])
     + " FROM traffic_allocated", "traffic_allocated")
+
+
+# --------------------------------------------------------------------------
+# Feature table (notebook path)
+INFO = ["seller_voucher", "shipping_fee", "total_payment", "status", "list_price", "weight_text",
+        "total_weight_text"]
+ORDER = "src_orderkey, src_linenumber, src_partkey, src_suppkey, list_price"
+
+view("sales_prep", f"SELECT *, {KEY_N} AS product_key FROM sales WHERE status IS DISTINCT FROM 'Batal'", "sales")
+view("product_info", f"""
+SELECT product_key, {", ".join(INFO)} FROM (
+  SELECT *, row_number() OVER (PARTITION BY product_key ORDER BY {ORDER}) AS rn
+  FROM sales_prep WHERE product_key IS NOT NULL) WHERE rn = 1""", "sales_prep")
+
+STOCK_NUM = ["product_id", "opening_stock", "closing_stock", "pending"]
+view("fe_joined", f"""
+SELECT a.*, {", ".join(f"i.{c}" for c in INFO if not c.endswith("_text"))},
+       {", ".join(f"CAST(st.{c} AS DOUBLE) AS {c}" for c in STOCK_NUM)},
+       coalesce(st.stock_status, 'Unknown') AS stock_status,
+       (hm.month_text IS NOT NULL) AS is_holiday_month,
+       {loc_num("replace(i.weight_text, ' gr', '')")} AS weight,
+       {loc_num("replace(i.total_weight_text, ' gr', '')")} AS total_weight
+FROM traffic_allocated a
+LEFT JOIN product_info i ON a.product_key = i.product_key
+LEFT JOIN stock_status st ON a.product_key = st.product_key AND strftime(a.month, '%Y-%m') = st.month_text
+LEFT JOIN holiday_months hm ON strftime(a.month, '%Y-%m') = hm.month_text""",
+     "traffic_allocated", "product_info", "stock_status", "holiday_months")
+
+view("fe_coded", """
+SELECT j.*, c.stock_status_code FROM fe_joined j JOIN (
+  SELECT stock_status, CAST(dense_rank() OVER (ORDER BY stock_status) - 1 AS BIGINT) AS stock_status_code
+  FROM (SELECT DISTINCT stock_status FROM fe_joined)) c ON j.stock_status = c.stock_status""", "fe_joined")
+
+_WP = "(PARTITION BY product_key ORDER BY month)"
+_R3 = "(PARTITION BY product_key ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
+
+
+def _rz(x: str) -> str:
+    return f"(CASE WHEN {x} = 0 THEN 1 ELSE {x} END)"
+
+
+view("fe_f1", f"""
+SELECT *,
+  CAST(year(month) AS BIGINT) AS year, CAST(month(month) AS BIGINT) AS month_of_year,
+  CAST(quarter(month) AS BIGINT) AS quarter, CAST(day(last_day(month)) AS BIGINT) AS days_in_month,
+  CAST(round_even(avg(qty) OVER (PARTITION BY product_key), 0) AS BIGINT) AS mean_qty_per_product,
+  {ieee('qty', f'lag(qty) OVER {_WP}')} - 1.0 AS mom_growth_qty,
+  {ieee('sales_amount', f'lag(sales_amount) OVER {_WP}')} - 1.0 AS mom_growth_sales,
+  CASE WHEN avg(qty) OVER (PARTITION BY product_key) > 0
+       THEN avg(qty) OVER (PARTITION BY product_key, month(month)) / avg(qty) OVER (PARTITION BY product_key)
+       ELSE 0.0 END AS seasonal_index,
+  {ieee('list_price', 'avg(list_price) OVER (PARTITION BY product_key)')} AS price_level,
+  {ieee('qty', '(opening_stock + closing_stock) / 2.0')} AS stock_turnover,
+  {ieee('closing_stock', f'avg(qty) OVER {_R3}')} AS stock_coverage,
+  views / {_rz('qty')} AS view_to_sales_ratio,
+  visitors / {_rz('qty')} AS visitor_to_sales_ratio,
+  visitors / {_rz('views')} AS visitor_to_view_ratio,
+  avg(qty) OVER {_R3} AS rolling_3m_qty,
+  avg(sales_amount) OVER {_R3} AS rolling_3m_sales,
+  avg(views) OVER {_R3} AS rolling_3m_views
+FROM fe_coded""", "fe_coded")
+
+_LAGS = []
+for _k in (1, 2, 3):
+    _LAGS += [f"coalesce(lag(qty, {_k}) OVER {_WP}, 0) AS lag_{_k}_qty",
+              f"coalesce(lag(sales_amount, {_k}) OVER {_WP}, 0) AS lag_{_k}_sales",
+              f"coalesce(lag(views, {_k}) OVER {_WP}, 0) AS lag_{_k}_views",
+              f"CAST(coalesce(lag(stock_turnover, {_k}) OVER {_WP}, 0) AS DOUBLE) AS lag_{_k}_stock_turnover"]
+view("fe_f2", f"""
+SELECT *,
+  {ieee('qty', f'lag(rolling_3m_qty) OVER {_WP}')} AS trend_qty,
+  quarter = 1 AS quarter_1, quarter = 2 AS quarter_2, quarter = 3 AS quarter_3, quarter = 4 AS quarter_4,
+  {", ".join(_LAGS)},
+  sin(6.283185307179586 * month_of_year / 12.0) AS month_sin,
+  cos(6.283185307179586 * month_of_year / 12.0) AS month_cos,
+  {nan_null('price_level * views')} AS price_view_interaction,
+  {nan_null('stock_coverage * visitors')} AS stock_demand_interaction
+FROM fe_f1""", "fe_f1")
+
+TREND = ["mom_growth_qty", "mom_growth_sales", "trend_qty"]
+RATIO = ["price_level", "view_to_sales_ratio", "visitor_to_sales_ratio", "visitor_to_view_ratio",
+         "stock_turnover", "stock_coverage"]
+FE_LONG = (["qty", "net_amount", "sales_amount"] + COUNTS
+           + ["stock_status_code", "year", "month_of_year", "quarter", "days_in_month", "mean_qty_per_product"]
+           + [f"lag_{k}_{m}" for k in (1, 2, 3) for m in ("qty", "sales", "views")])
+FE_DOUBLE = (MONEY + ["sales_per_order"] + RATES + ["seller_voucher", "shipping_fee", "total_payment", "list_price"]
+             + STOCK_NUM + ["weight", "total_weight"] + TREND[:2] + ["seasonal_index"] + RATIO
+             + ["rolling_3m_qty", "rolling_3m_sales", "rolling_3m_views", "trend_qty"]
+             + [f"lag_{k}_stock_turnover" for k in (1, 2, 3)]
+             + ["month_sin", "month_cos", "price_view_interaction", "stock_demand_interaction"])
+FE_OTHER = ["product_key", "stock_status", "is_holiday_month", "quarter_1", "quarter_2", "quarter_3", "quarter_4"]
+
+
+def _fin(x: str) -> str:
+    return f"(CASE WHEN isinf({x}) THEN NULL ELSE {x} END)"
+
+
+view("fe_a", "SELECT * REPLACE (" + ", ".join(f"coalesce({c}, 0.0) AS {c}" for c in TREND) + ") FROM fe_f2", "fe_f2")
+view("fe_bc", "SELECT * REPLACE (" + ", ".join(
+    [_fin(f"coalesce({c}, (SELECT median({c}) FROM fe_a WHERE NOT isnan({c})))") + f" AS {c}" for c in RATIO]
+    + [_fin(c) + f" AS {c}" for c in FE_DOUBLE if c not in RATIO]) + ") FROM fe_a", "fe_a")
+view("feature_table_sql", "SELECT " + ", ".join(
+    ["strftime(month, '%Y-%m') AS month", "strftime(month, '%Y-%m') AS date_index"] + FE_OTHER + FE_LONG
+    + [f"coalesce(coalesce({c}, (SELECT median({c}) FROM fe_bc)), 0.0) AS {c}" for c in FE_DOUBLE])
+    + " FROM fe_bc", "fe_bc")
+
+ORACLE["feature_table"] = with_views(
+    "SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in FE_DOUBLE) + ") FROM feature_table_sql",
+    "feature_table_sql")

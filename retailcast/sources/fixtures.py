@@ -105,12 +105,10 @@ class Fixtures:
 
     # --- stock status: one row per (product, month), July removed --------
     def stock_status(self) -> DataFrame:
-        from retailcast.operators.clean import drop_cancelled
+        from retailcast.operators.clean import prepare_sales
         from retailcast.operators.rollup import monthly_product_sales
 
-        sales = self.sales()
-        monthly = monthly_product_sales(
-            drop_cancelled(sales.withColumn("product_key", product_key("product", "variant"))))
+        monthly = monthly_product_sales(prepare_sales(self.sales()))
         ids = (self.table("part")
                .select(product_key(F.col("p_brand"),
                                    F.when(F.col("p_size") % 10 == 0, F.lit(None).cast("string"))
