@@ -6,14 +6,15 @@ W4 rate copy, W5 estimates for months without traffic.
 Everything runs on the aggregated (month, product) rows. The month window
 holds one row per product sold in that month (the catalog, not the order
 volume); one window spec carries every metric, so it costs one shuffle and
-one sort. Global ratios are scalar subqueries: computed once, no cross join.
+one sort. Shop-wide ratios are a single aggregate row, inlined as literals.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from retailcast.functions import sqltext as X
 from retailcast.functions.numeric import ieee_div
 from retailcast.operators.rollup import TrafficSpec, traffic_ratios_global
 
@@ -28,43 +29,38 @@ def month_share(df: DataFrame, amount: str = "net_amount", month: str = "month",
     return df.withColumn(out, ieee_div(F.col(amount), F.sum(F.col(amount)).over(Window.partitionBy(month))))
 
 
-def apportion_counts(df: DataFrame, totals: dict[str, Column | str], *, weight: str = "net_amount",
+def apportion_counts(df: DataFrame, totals: dict[str, str], *, weight: str = "net_amount",
                      group: str = "month", key: str = "product_key", min_val: int = MIN_COUNT) -> DataFrame:
     """Split each whole-number total over the group's rows by weight.
 
+    ``totals`` maps output column -> SQL expression of the group total.
     base = half-even round(total * w / sum w); the remainder (total - sum of
     bases) is handed out one unit at a time in descending weight (ties by key),
     cycling; then every part is floored at ``min_val``. A NULL or 0 total, or
     zero weights, gives 0 everywhere (no floor). Closed form of the stepwise
     loop: part += sign(d) * (|d| div n + [rank < |d| mod n]).
     """
-    w = Window.partitionBy(group)
-    wr = w.orderBy(F.col(weight).desc(), F.col(key).asc())
-    tot_w = F.sum(F.col(weight)).over(w)
-    n = F.count(F.lit(1)).over(w)
-    rank = F.row_number().over(wr) - 1
-    share = ieee_div(F.col(weight), tot_w)
-    tmp = df
-    names = []
-    for out, total in totals.items():
-        t = F.col(total) if isinstance(total, str) else total
-        tmp = tmp.withColumn(f"__t_{out}", t.cast("long"))
-        names.append(out)
-    tmp = tmp.withColumn("__tw", tot_w).withColumn("__n", n).withColumn("__rank", rank)
-    for out in names:
-        base = F.bround(F.col(f"__t_{out}").cast("double") * share, 0)
-        tmp = tmp.withColumn(f"__b_{out}", F.when(F.col("__tw") != 0, base.cast("long")))
-    for out in names:
-        t = F.col(f"__t_{out}")
-        d = t - F.sum(F.col(f"__b_{out}")).over(w)
-        extra = (F.signum(d).cast("long")
-                 * (F.floor(F.abs(d) / F.col("__n")).cast("long")
-                    + F.when(F.col("__rank") < F.abs(d) % F.col("__n"), 1).otherwise(0)))
-        part = F.greatest(F.col(f"__b_{out}") + extra, F.lit(min_val).cast("long"))
-        zero = t.isNull() | (t == 0) | (F.col("__tw") == 0) | F.col("__tw").isNull()
-        tmp = tmp.withColumn(out, F.when(zero, F.lit(0).cast("long")).otherwise(part))
-    drop = ["__tw", "__n", "__rank"] + [f"__t_{o}" for o in names] + [f"__b_{o}" for o in names]
-    return tmp.drop(*drop)
+    w = X.window([group])
+    wr = X.window([group], [f"{X.q(weight)} DESC", f"{X.q(key)} ASC"])
+    names = list(totals)
+    step1 = [f"CAST({t} AS BIGINT) AS `__t_{o}`" for o, t in totals.items()]
+    step1 += [f"sum({X.q(weight)}) OVER {w} AS `__tw`", f"count(1) OVER {w} AS `__n`",
+              f"row_number() OVER {wr} - 1 AS `__rank`"]
+    tmp = df.selectExpr("*", *step1)
+    share = X.ieee(X.q(weight), "`__tw`")
+    tmp = tmp.selectExpr("*", *[
+        f"CASE WHEN `__tw` <> 0 THEN CAST(bround(CAST(`__t_{o}` AS DOUBLE) * {share}, 0) AS BIGINT) END AS `__b_{o}`"
+        for o in names])
+    parts = []
+    for o in names:
+        d = f"(`__t_{o}` - sum(`__b_{o}`) OVER {w})"
+        parts.append(
+            f"CASE WHEN `__t_{o}` IS NULL OR `__t_{o}` = 0 OR `__tw` IS NULL OR `__tw` = 0 THEN CAST(0 AS BIGINT) "
+            f"ELSE greatest(`__b_{o}` + CAST(signum({d}) AS BIGINT) * (CAST(floor(abs({d}) / `__n`) AS BIGINT) "
+            f"+ CASE WHEN `__rank` < abs({d}) % `__n` THEN 1 ELSE 0 END), CAST({min_val} AS BIGINT)) END AS {X.q(o)}")
+    own = {"__tw", "__n", "__rank"} | {f"__t_{o}" for o in names} | {f"__b_{o}" for o in names}
+    keep = [X.q(c) for c in tmp.columns if c not in own and c not in names]
+    return tmp.selectExpr(*keep, *parts)
 
 
 def allocate_traffic(monthly: DataFrame, traffic_monthly: DataFrame, spec: TrafficSpec | None = None,
@@ -76,36 +72,34 @@ def allocate_traffic(monthly: DataFrame, traffic_monthly: DataFrame, spec: Traff
     and rates as the shop-wide mean."""
     s = spec or TrafficSpec()
     counts, money, rates = list(s.counts), list(s.money), list(s.rate_text)
-    g = traffic_ratios_global(traffic_monthly, s)
-    scal = {c: g.select(c).scalar() for c in g.columns}
-    if cutoff is None:
-        cut = traffic_monthly.select(F.min("month")).scalar()
-    else:
-        cut = F.lit(cutoff).cast("date")
-
-    right = traffic_monthly.drop("total_sales").withColumn("__has_traffic", F.lit(True))
+    # The shop-wide ratios are one aggregate row (a fixed set of scalars):
+    # computed once and inlined as literals, so every row reads them without
+    # a join and the traffic aggregate is not re-planned per reference.
+    g = traffic_ratios_global(traffic_monthly, s, with_first_month=True).first().asDict()
+    lit = {c: ("CAST(NULL AS DOUBLE)" if v is None else f"CAST({float(v)!r} AS DOUBLE)")
+           for c, v in g.items() if c != "first_month"}
+    cut_v = cutoff if cutoff is not None else g["first_month"]
+    cut = f"DATE '{cut_v}'" if cut_v is not None else "CAST(NULL AS DATE)"
+
+    right = traffic_monthly.drop("total_sales")
     j = monthly.join(F.broadcast(right), "month", "left")
-
-    w = Window.partitionBy("month")
-    j = j.withColumn("__msales", F.sum(F.col(amount)).over(w))
-    j = j.withColumn("__share", ieee_div(F.col(amount), F.col("__msales")))
-    early = F.col("month") < cut
-
-    totals = {}
-    for c in counts:
-        est = F.greatest(F.lit(1).cast("long"),
-                         F.bround(F.col("__msales").cast("double") * scal[f"{c}_per_sale"], 0).cast("long"))
-        totals[c] = F.when(early, est).otherwise(F.col(c))
-    j = j.select(*[F.col(c) for c in j.columns if c not in counts],
-                 *[totals[c].alias(f"__total_{c}") for c in counts])
-    j = apportion_counts(j, {c: f"__total_{c}" for c in counts}, weight=amount)
-    out = j
+    a = X.q(amount)
+    j = j.selectExpr("*", f"sum({a}) OVER {X.window(['month'])} AS `__msales`")
+    early = f"(`month` < {cut})"
+    share = X.ieee(a, "`__msales`")
+    est = {c: f"greatest(CAST(1 AS BIGINT), CAST(bround(CAST(`__msales` AS DOUBLE) * {lit[c + '_per_sale']}, 0) AS BIGINT))"
+           for c in counts}
+    j = j.selectExpr(*[X.q(c) for c in j.columns if c not in counts],
+                     *[f"CASE WHEN {early} THEN {est[c]} ELSE {X.q(c)} END AS `__total_{c}`" for c in counts])
+    j = apportion_counts(j, {c: f"`__total_{c}`" for c in counts}, weight=amount)
+    fills = {}
     for c in money:
-        est = F.col("__share") * ((F.col("__msales").cast("double") * scal[f"{c}_per_sale"])
-                                  * F.lit(ESTIMATE_MONEY_FACTOR))
-        out = out.withColumn(c, F.when(early, est).otherwise(F.col("__share") * F.col(c)))
+        fills[c] = (f"CASE WHEN {early} THEN {share} * ((CAST(`__msales` AS DOUBLE) * {lit[c + '_per_sale']}) "
+                    f"* {ESTIMATE_MONEY_FACTOR!r}) ELSE {share} * {X.q(c)} END")
     for c in rates:
-        out = out.withColumn(c, F.when(early, scal[f"avg_{c}"]).otherwise(F.col(c)))
+        fills[c] = f"CASE WHEN {early} THEN {lit['avg_' + c]} ELSE {X.q(c)} END"
     for c in counts:
-        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0)).cast("long"))
-    return out.drop("__msales", "__share", "__has_traffic", *[f"__total_{c}" for c in counts])
+        fills[c] = f"CAST(coalesce({X.q(c)}, 0) AS BIGINT)"
+    cols = [f"{fills[c]} AS {X.q(c)}" if c in fills else X.q(c)
+            for c in j.columns if not c.startswith("__")]
+    return j.selectExpr(*cols)

@@ -31,7 +31,7 @@ def drop_cancelled(df: DataFrame, status: str = "status", value: str = CANCELLED
 
 def with_order_month(df: DataFrame, ts: str = "paid_at") -> DataFrame:
     """Payment date and month start (both DATE; bad input is already NULL)."""
-    return df.withColumn("pay_date", F.to_date(F.col(ts))).withColumn("month", month_start(F.col(ts)))
+    return df.withColumns({"pay_date": F.to_date(F.col(ts)), "month": month_start(F.col(ts))})
 
 
 def unit_price(net: str = "net_price", qty: str = "qty") -> Column:
@@ -60,5 +60,4 @@ def prepare_sales(sales: DataFrame, holidays: DataFrame | None = None, *,
     if holidays is not None:
         from retailcast.operators.joins import holiday_day_flag
         df = holiday_day_flag(df, holidays, date_col="pay_date")
-    return (df.withColumn("unit_price", unit_price())
-              .withColumn("discount_pct", discount_pct()))
+    return df.withColumns({"unit_price": unit_price(), "discount_pct": discount_pct()})

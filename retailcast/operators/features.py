@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+import math
+
+from retailcast.functions import sqltext as X
 from retailcast.functions.calendar import days_in_month, month_cos, month_sin
 from retailcast.functions.numeric import ieee_div, nan_to_null, replace_zero
 
@@ -67,20 +70,19 @@ def seasonal_profile(monthly: DataFrame, col: str = "qty", key: str = KEY, month
 
 
 def calendar_features(df: DataFrame, month: str = MONTH) -> DataFrame:
-    return (df.withColumn("year", F.year(month).cast("long"))
-              .withColumn("month_of_year", F.month(month).cast("long"))
-              .withColumn("quarter", F.quarter(month).cast("long"))
-              .withColumn("days_in_month", days_in_month(F.col(month)).cast("long")))
+    return df.withColumns({
+        "year": F.year(month).cast("long"),
+        "month_of_year": F.month(month).cast("long"),
+        "quarter": F.quarter(month).cast("long"),
+        "days_in_month": days_in_month(F.col(month)).cast("long")})
 
 
 def quarter_flags(df: DataFrame, quarter: str = "quarter") -> DataFrame:
-    for q in (1, 2, 3, 4):
-        df = df.withColumn(f"quarter_{q}", F.col(quarter) == q)
-    return df
+    return df.withColumns({f"quarter_{q}": F.col(quarter) == q for q in (1, 2, 3, 4)})
 
 
 def cyclic_month(df: DataFrame, moy: str = "month_of_year") -> DataFrame:
-    return df.withColumn("month_sin", month_sin(F.col(moy))).withColumn("month_cos", month_cos(F.col(moy)))
+    return df.withColumns({"month_sin": month_sin(F.col(moy)), "month_cos": month_cos(F.col(moy))})
 
 
 def encode_labels(df: DataFrame, col: str, out: str, missing: str = "Unknown") -> DataFrame:
@@ -95,46 +97,61 @@ def encode_labels(df: DataFrame, col: str, out: str, missing: str = "Unknown") -
     return filled.join(codes, col, "left")
 
 
+_WP = X.window([KEY], [X.q(MONTH)])
+_R3 = X.window([KEY], [X.q(MONTH)], "ROWS BETWEEN 2 PRECEDING AND CURRENT ROW")
+_WK = X.window([KEY])
+
+
+def _lag(c: str, k: int = 1) -> str:
+    return f"lag({X.q(c)}, {k}) OVER {_WP}"
+
+
 def basic_features(df: DataFrame) -> DataFrame:
     """Calendar parts and the rounded per-product mean quantity."""
-    df = calendar_features(df)
-    mean = F.avg(F.col("qty")).over(Window.partitionBy(KEY))
-    return df.withColumn("mean_qty_per_product", F.bround(mean, 0).cast("long"))
+    return df.selectExpr(
+        "*",
+        "CAST(year(`month`) AS BIGINT) AS year",
+        "CAST(month(`month`) AS BIGINT) AS month_of_year",
+        "CAST(quarter(`month`) AS BIGINT) AS quarter",
+        "CAST(dayofmonth(last_day(`month`)) AS BIGINT) AS days_in_month",
+        f"CAST(bround(avg(qty) OVER {_WK}, 0) AS BIGINT) AS mean_qty_per_product")
 
 
 def advanced_features(df: DataFrame) -> DataFrame:
     """Growth, seasonality, price level, stock ratios, traffic ratios."""
-    stock_mid = (F.col("opening_stock") + F.col("closing_stock")) / F.lit(2.0)
-    return df.select(
+    overall = f"avg(qty) OVER {_WK}"
+    by_moy = f"avg(qty) OVER {X.window([KEY, 'month_of_year'])}"
+    return df.selectExpr(
         "*",
-        mom_growth("qty").alias("mom_growth_qty"),
-        mom_growth("sales_amount").alias("mom_growth_sales"),
-        seasonal_index("qty").alias("seasonal_index"),
-        ieee_div(F.col("list_price"), F.avg("list_price").over(Window.partitionBy(KEY))).alias("price_level"),
-        ieee_div(F.col("qty"), stock_mid).alias("stock_turnover"),
-        ieee_div(F.col("closing_stock"), rolling3("qty")).alias("stock_coverage"),
-        (F.col("views") / replace_zero(F.col("qty"))).alias("view_to_sales_ratio"),
-        (F.col("visitors") / replace_zero(F.col("qty"))).alias("visitor_to_sales_ratio"),
-        (F.col("visitors") / replace_zero(F.col("views"))).alias("visitor_to_view_ratio"),
-    )
+        f"{X.ieee('qty', _lag('qty'))} - 1.0 AS mom_growth_qty",
+        f"{X.ieee('sales_amount', _lag('sales_amount'))} - 1.0 AS mom_growth_sales",
+        f"CASE WHEN {overall} > 0 THEN {by_moy} / {overall} ELSE 0.0 END AS seasonal_index",
+        f"{X.ieee('list_price', f'avg(list_price) OVER {_WK}')} AS price_level",
+        f"{X.ieee('qty', '(opening_stock + closing_stock) / 2.0')} AS stock_turnover",
+        f"{X.ieee('closing_stock', f'avg(qty) OVER {_R3}')} AS stock_coverage",
+        f"views / {X.zero_to_one('qty')} AS view_to_sales_ratio",
+        f"visitors / {X.zero_to_one('qty')} AS visitor_to_sales_ratio",
+        f"visitors / {X.zero_to_one('views')} AS visitor_to_view_ratio")
 
 
 def time_series_features(df: DataFrame) -> DataFrame:
     """Rolling means, trend, quarter flags, lags 1-3, cyclic month, interactions."""
-    df = df.select("*", rolling3("qty").alias("rolling_3m_qty"), rolling3("sales_amount").alias("rolling_3m_sales"),
-                   rolling3("views").alias("rolling_3m_views"))
-    df = df.withColumn("trend_qty", trend_ratio("qty", "rolling_3m_qty"))
-    df = quarter_flags(df)
-    lags = []
+    df = df.selectExpr("*", f"avg(qty) OVER {_R3} AS rolling_3m_qty",
+                       f"avg(sales_amount) OVER {_R3} AS rolling_3m_sales",
+                       f"avg(views) OVER {_R3} AS rolling_3m_views")
+    exprs = [f"{X.ieee('qty', _lag('rolling_3m_qty'))} AS trend_qty"]
+    exprs += [f"quarter = {q} AS quarter_{q}" for q in (1, 2, 3, 4)]
     for k in (1, 2, 3):
-        lags += [lag_filled("qty", k).alias(f"lag_{k}_qty"),
-                 lag_filled("sales_amount", k).alias(f"lag_{k}_sales"),
-                 lag_filled("views", k).alias(f"lag_{k}_views"),
-                 lag_filled("stock_turnover", k).cast("double").alias(f"lag_{k}_stock_turnover")]
-    df = df.select("*", *lags)
-    df = cyclic_month(df)
-    return (df.withColumn("price_view_interaction", nan_to_null(F.col("price_level") * F.col("views")))
-              .withColumn("stock_demand_interaction", nan_to_null(F.col("stock_coverage") * F.col("visitors"))))
+        exprs += [f"coalesce({_lag('qty', k)}, 0) AS lag_{k}_qty",
+                  f"coalesce({_lag('sales_amount', k)}, 0) AS lag_{k}_sales",
+                  f"coalesce({_lag('views', k)}, 0) AS lag_{k}_views",
+                  f"CAST(coalesce({_lag('stock_turnover', k)}, 0) AS DOUBLE) AS lag_{k}_stock_turnover"]
+    two_pi = repr(2 * math.pi)
+    exprs += [f"sin({two_pi} * month_of_year / 12.0) AS month_sin",
+              f"cos({two_pi} * month_of_year / 12.0) AS month_cos",
+              f"{X.nan_null('price_level * views')} AS price_view_interaction",
+              f"{X.nan_null('stock_coverage * visitors')} AS stock_demand_interaction"]
+    return df.selectExpr("*", *exprs)
 
 
 def linear_trend_last3(hist: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from retailcast.functions.numeric import inf_to_null
+from retailcast.functions import sqltext as X
 from retailcast.operators.medians import column_medians
 from retailcast.session import cut_lineage
 
@@ -37,34 +37,36 @@ def finalize_features(df: DataFrame, trend_cols=TREND_COLUMNS, ratio_cols=RATIO_
     column that can hold a fractional median must already be double."""
     trend_cols = [c for c in trend_cols if c in df.columns]
     ratio_cols = [c for c in ratio_cols if c in df.columns]
-    df = df.select(*[F.coalesce(F.col(c), F.lit(0.0)).alias(c) if c in trend_cols else F.col(c)
-                     for c in df.columns])
+    df = df.selectExpr(*[f"coalesce({X.q(c)}, 0.0) AS {X.q(c)}" if c in trend_cols else X.q(c)
+                         for c in df.columns])
     if checkpoint:
         df = cut_lineage(df)  # scanned once per median pass below
     med_b = column_medians(df, ratio_cols, count_infinite=True)
     num = numeric_columns(df) if median_cols is None else [c for c in median_cols if c in df.columns]
-    dbl = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
+    types = dict(df.dtypes)
+    dbl = {c for c, t in types.items() if t in ("double", "float")}
+
+    def lit(v, t):
+        return f"CAST({float(v)!r} AS {t.upper()})"
 
     def after_b(c):
-        x = F.col(c)
+        x = X.q(c)
         if c in ratio_cols and med_b.get(c) is not None:
-            x = F.coalesce(x, F.lit(med_b[c]))
+            x = f"coalesce({x}, {lit(med_b[c], 'double')})"
         if c in dbl:
-            x = inf_to_null(x)
+            x = X.inf_null(x)
         return x
 
-    stage = df.select(*[after_b(c).alias(c) for c in df.columns])
-    # Step (d) medians are taken over the (b)+(c) values; only columns that
-    # still hold NULLs need one.
+    stage = df.selectExpr(*[f"{after_b(c)} AS {X.q(c)}" for c in df.columns])
+    # Step (d) medians are taken over the (b)+(c) values.
     med_d = column_medians(stage, num, count_infinite=False)
-    types = dict(df.dtypes)
     out = []
     for c in df.columns:
         x = after_b(c)
         if c in num:
             m = med_d.get(c)
             if m is not None:
-                x = F.coalesce(x, F.lit(m).cast(types[c]))
-            x = F.coalesce(x, F.lit(0).cast(types[c]))
-        out.append(x.alias(c))
-    return df.select(*out)
+                x = f"coalesce({x}, {lit(m, types[c])})"
+            x = f"coalesce({x}, CAST(0 AS {types[c].upper()}))"
+        out.append(f"{x} AS {X.q(c)}")
+    return df.selectExpr(*out)

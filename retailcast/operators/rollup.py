@@ -126,9 +126,11 @@ def monthly_traffic(traffic: DataFrame, spec: TrafficSpec | None = None) -> Data
 
 
 # --- A5 ---------------------------------------------------------------------
-def traffic_ratios_global(traffic_monthly: DataFrame, spec: TrafficSpec | None = None) -> DataFrame:
+def traffic_ratios_global(traffic_monthly: DataFrame, spec: TrafficSpec | None = None,
+                          with_first_month: bool = False) -> DataFrame:
     """One row: mean of each rate over months, and for each count / money
-    metric its total per unit of total traffic sales (0 if that total is 0)."""
+    metric its total per unit of total traffic sales (0 if that total is 0);
+    optionally the first traffic month too."""
     s = spec or TrafficSpec()
     tot = F.sum(F.col("total_sales").cast(MONEY)).cast("double")
     exprs = [F.avg(F.col(o)).alias(f"avg_{o}") for o in s.rate_text]
@@ -136,6 +138,8 @@ def traffic_ratios_global(traffic_monthly: DataFrame, spec: TrafficSpec | None =
         exprs.append(F.when(F.coalesce(tot, F.lit(0.0)) == 0, F.lit(0.0))
                      .otherwise(F.sum(F.col(o).cast(MONEY)).cast("double") / tot)
                      .alias(f"{o}_per_sale"))
+    if with_first_month:
+        exprs.append(F.min("month").alias("first_month"))
     return traffic_monthly.agg(*exprs)
 
 

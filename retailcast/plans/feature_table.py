@@ -42,11 +42,11 @@ def joined_monthly(sales: DataFrame, traffic: DataFrame, stock_status: DataFrame
     info = product_info_first(s, list(info_cols), list(order_cols))
     j = sales_product_info_join(alloc, info)
     j = sales_stock_join(j, stock_status, STOCK_NUMBERS + ["stock_status"])
-    for c in STOCK_NUMBERS:  # NULL for products without stock rows: a float column
-        j = j.withColumn(c, F.col(c).cast("double"))
+    # NULL for products without stock rows: float columns, as after the source's join
+    j = j.withColumns({c: F.col(c).cast("double") for c in STOCK_NUMBERS})
     j = holiday_month_flag(j, holidays)
-    j = (j.withColumn("weight", parse_weight(F.col("weight_text")))
-          .withColumn("total_weight", parse_weight(F.col("total_weight_text")))
+    j = (j.withColumns({"weight": parse_weight(F.col("weight_text")),
+                        "total_weight": parse_weight(F.col("total_weight_text"))})
           .drop("weight_text", "total_weight_text"))
     return encode_labels(j, "stock_status", "stock_status_code")
 
@@ -65,5 +65,5 @@ def feature_table(sales: DataFrame, traffic: DataFrame, stock_status: DataFrame,
     f = features_unfilled(joined_monthly(sales, traffic, stock_status, holidays, spec=spec, cutoff=cutoff))
     if finalize:
         f = finalize_features(f)
-    f = f.withColumn("date_index", month_text(F.col("month"))).withColumn("month", month_text(F.col("month")))
+    f = f.withColumns({"date_index": month_text(F.col("month")), "month": month_text(F.col("month"))})
     return f.drop("status")
