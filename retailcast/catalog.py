@@ -116,3 +116,73 @@ def _feature_inputs(spark, sf):
 @query("feature_table")
 def q_feature_table(spark, sf):
     return rounded(feature_table(*_feature_inputs(spark, sf)))
+
+
+# --- lenient (core) path and forecasts --------------------------------------
+from retailcast.plans.core_table import MODEL_FEATURES, core_assembly, core_features, training_rows  # noqa: E402
+from retailcast.plans.forecast import (DEFAULT_LINEAR, forecast_growth, forecast_recursive,  # noqa: E402
+                                       future_months, history_and_forecast)
+from retailcast.functions.calendar import month_from_text  # noqa: E402
+
+FORECAST_HORIZON = 6
+
+
+def _core_assembly(spark, sf):
+    fx = _fx(spark, sf)
+    return core_assembly(fx.sales(), fx.traffic(), fx.stock_status(), fx.holidays())
+
+
+def _core_features(spark, sf):
+    return core_features(_core_assembly(spark, sf))
+
+
+def _history(spark, sf):
+    f = _core_features(spark, sf)
+    return f.select("product_key", month_from_text(F.col("month")).alias("month"), "total_qty",
+                    "mom_growth_qty", "total_orders")
+
+
+@query("core_assembly")
+def q_core_assembly(spark, sf):
+    return rounded(_core_assembly(spark, sf))
+
+
+@query("core_features")
+def q_core_features(spark, sf):
+    return rounded(_core_features(spark, sf))
+
+
+@query("training_rows")
+def q_training_rows(spark, sf):
+    t = training_rows(_core_features(spark, sf))
+    return rounded(t.select("month", "product_key", "total_qty", *MODEL_FEATURES))
+
+
+@query("future_months")
+def q_future_months(spark, sf):
+    return future_months(_history(spark, sf), FORECAST_HORIZON)
+
+
+def _forecast(spark, sf, mode):
+    return forecast_recursive(_history(spark, sf), FORECAST_HORIZON, scorer=DEFAULT_LINEAR, mode=mode)
+
+
+@query("forecast_recursive")
+def q_forecast_recursive(spark, sf):
+    return rounded(_forecast(spark, sf, "core"))
+
+
+@query("forecast_recursive_plain")
+def q_forecast_recursive_plain(spark, sf):
+    return rounded(_forecast(spark, sf, "plain"))
+
+
+@query("forecast_growth")
+def q_forecast_growth(spark, sf):
+    g = forecast_growth(_forecast(spark, sf, "core"), _history(spark, sf))
+    return rounded(g.select("product_key", "month", "step", "forecast", "last_actual", "growth_pct"))
+
+
+@query("history_and_forecast")
+def q_history_and_forecast(spark, sf):
+    return history_and_forecast(_history(spark, sf), _forecast(spark, sf, "core"))

@@ -58,13 +58,14 @@ def seasonal_profile(monthly: DataFrame, col: str = "qty", key: str = KEY, month
     month mean / overall mean; a month without data, or overall mean <= 0,
     gives 1.0. A grouped aggregate, no cross join of products x months."""
     by_moy = (monthly.groupBy(key, F.month(month).alias("moy"))
-              .agg(F.sum(col).alias("s"), F.count(F.lit(1)).alias("c")))
+              .agg(F.sum(col).alias("s"), F.count(col).alias("c")))
     per = (by_moy.groupBy(key)
            .agg(F.map_from_entries(F.collect_list(F.struct("moy", (F.col("s") / F.col("c")).alias("m"))))
                 .alias("mm"),
                 (F.sum("s") / F.sum("c")).alias("overall")))
     months = F.sequence(F.lit(1), F.lit(12))
-    prof = F.transform(months, lambda m: F.when((F.col("overall") > 0) & F.element_at("mm", m).isNotNull(),
+    prof = F.transform(months, lambda m: F.when((F.col("overall") > 0) & F.element_at("mm", m).isNotNull()
+                                                 & ~F.isnan(F.element_at("mm", m)),
                                                  F.element_at("mm", m) / F.col("overall")).otherwise(F.lit(1.0)))
     return per.select(key, prof.alias("seasonal"))
 

@@ -260,3 +260,148 @@ view("feature_table_sql", "SELECT " + ", ".join(
 ORACLE["feature_table"] = with_views(
     "SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in FE_DOUBLE) + ") FROM feature_table_sql",
     "feature_table_sql")
+
+
+# --------------------------------------------------------------------------
+# Lenient (core) path
+view("core_sales_m", f"""
+SELECT strftime(paid_at, '%Y-%m') AS month, {KEY_C} AS product_key,
+       CAST(coalesce(sum(qty), 0) AS BIGINT) AS qty, coalesce(sum(net_price), 0) AS net_price
+FROM sales WHERE paid_at IS NOT NULL GROUP BY 1, 2""", "sales")
+view("core_traffic_m", """
+SELECT strftime(strptime(date_text, '%d/%m/%Y'), '%Y-%m') AS month, CAST(coalesce(sum(orders), 0) AS BIGINT) AS orders
+FROM traffic GROUP BY 1""", "traffic")
+view("core_main", """
+SELECT s.month, s.product_key, s.qty, s.net_price, t.orders, st.product_id, st.opening_stock, st.sold_qty,
+       st.closing_stock, st.pending, st.stock_status, (hm.month_text IS NOT NULL) AS is_holiday_month
+FROM core_sales_m s LEFT JOIN core_traffic_m t ON s.month = t.month
+LEFT JOIN stock_status st ON s.month = st.month_text AND s.product_key = st.product_key
+LEFT JOIN holiday_months hm ON s.month = hm.month_text""", "core_sales_m", "core_traffic_m", "stock_status",
+     "holiday_months")
+_CW = "(PARTITION BY product_key ORDER BY month)"
+view("core_f0", f"""
+SELECT *, sold_qty AS total_qty, CAST(month(strptime(month, '%Y-%m')) AS BIGINT) AS month_of_year,
+  {", ".join(f"CAST(coalesce(lag(sold_qty, {k}) OVER {_CW}, 0) AS DOUBLE) AS lag_{k}_qty" for k in (1, 2, 3))},
+  avg(sold_qty) OVER (PARTITION BY product_key ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rolling_3m_qty,
+  avg(sold_qty) OVER (PARTITION BY product_key) AS mean_qty_per_product,
+  last_value(sold_qty IGNORE NULLS) OVER (PARTITION BY product_key ORDER BY month
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ffill,
+  1.0 AS seasonal_index, 1.0 AS total_orders
+FROM core_main""", "core_main")
+view("core_feat", f"""
+SELECT * EXCLUDE (ffill, tr), CASE WHEN tr IS NULL OR isinf(tr) THEN 0.0 ELSE tr END AS trend_qty FROM (
+  SELECT *, coalesce({ieee('ffill', f'lag(ffill) OVER {_CW}')} - 1.0, 0.0) AS mom_growth_qty,
+         {ieee('total_qty', f'lag(rolling_3m_qty) OVER {_CW}')} AS tr
+  FROM core_f0)""", "core_f0")
+
+MODEL_FEATURES = ["rolling_3m_qty", "mean_qty_per_product", "lag_1_qty", "seasonal_index", "trend_qty",
+                  "lag_2_qty", "mom_growth_qty", "lag_3_qty", "total_orders"]
+CORE_DOUBLE = ["net_price", "rolling_3m_qty", "mean_qty_per_product", "mom_growth_qty", "trend_qty",
+               "seasonal_index", "total_orders", "lag_1_qty", "lag_2_qty", "lag_3_qty"]
+
+ORACLE["core_assembly"] = with_views("SELECT * REPLACE (round(net_price, 6) AS net_price) FROM core_main",
+                                     "core_main")
+ORACLE["core_features"] = with_views(
+    "SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in CORE_DOUBLE) + ") FROM core_feat", "core_feat")
+ORACLE["training_rows"] = with_views(
+    "SELECT month, product_key, total_qty, " + ", ".join(
+        f"round({c}, 6) AS {c}" if c in CORE_DOUBLE else c for c in MODEL_FEATURES)
+    + " FROM core_feat WHERE total_qty IS NOT NULL AND " + " AND ".join(f"{c} IS NOT NULL" for c in MODEL_FEATURES),
+    "core_feat")
+
+# Forecast history and recursive forecast
+view("fc_hist", """
+SELECT product_key, CAST(strptime(month, '%Y-%m') AS DATE) AS month, total_qty, mom_growth_qty, total_orders
+FROM core_feat""", "core_feat")
+view("fc_state", """
+WITH st AS (
+  SELECT product_key, avg(total_qty) AS mean_value, avg(mom_growth_qty) AS mean_growth,
+         avg(total_orders) AS mean_orders, max(month) AS last_month, count(total_qty) AS cnt
+  FROM fc_hist GROUP BY 1),
+l3 AS (
+  SELECT product_key,
+         max(CASE WHEN rn = 1 THEN CAST(total_qty AS DOUBLE) END) AS h1,
+         max(CASE WHEN rn = 2 THEN CAST(total_qty AS DOUBLE) END) AS h2,
+         max(CASE WHEN rn = 3 THEN CAST(total_qty AS DOUBLE) END) AS h3
+  FROM (SELECT *, row_number() OVER (PARTITION BY product_key ORDER BY month DESC) AS rn
+        FROM fc_hist WHERE total_qty IS NOT NULL) WHERE rn <= 3 GROUP BY 1),
+sm AS (
+  SELECT product_key, month(month) AS moy, sum(total_qty) AS s, count(total_qty) AS c
+  FROM fc_hist WHERE total_qty IS NOT NULL GROUP BY 1, 2),
+ov AS (SELECT product_key, sum(s) / sum(c) AS overall FROM sm GROUP BY 1),
+prof AS (
+  SELECT ov.product_key, list(CASE WHEN ov.overall > 0 AND sm.c > 0 THEN (sm.s / sm.c) / ov.overall ELSE 1.0 END
+                              ORDER BY g.m) AS seasonal
+  FROM ov CROSS JOIN range(1, 13) g(m)
+  LEFT JOIN sm ON sm.product_key = ov.product_key AND sm.moy = g.m
+  GROUP BY 1)
+SELECT st.*, l3.h1, l3.h2, l3.h3, prof.seasonal
+FROM st LEFT JOIN l3 USING (product_key) LEFT JOIN prof USING (product_key) WHERE st.cnt > 0""", "fc_hist")
+
+_W = {"rolling_3m_qty": 0.5, "mean_qty_per_product": 0.2, "lag_1_qty": 0.2, "seasonal_index": 1.0,
+      "trend_qty": 0.1, "lag_2_qty": 0.05, "mom_growth_qty": 0.5, "lag_3_qty": 0.05, "total_orders": 0.0}
+
+
+def _fc_features(mode: str) -> str:
+    seasonal = "coalesce(list_extract(seasonal, month(m)), 1.0)"
+    if mode == "core":
+        rolling = "CASE WHEN cnt >= 3 THEN ((h3 + h2) + h1) / 3.0 WHEN cnt = 2 THEN (h2 + h1) / 2.0 ELSE h1 END"
+        growth, orders = "mean_growth * 0.8", f"mean_orders * {seasonal}"
+    else:
+        rolling = "CASE WHEN cnt >= 3 THEN ((h3 + h2) + h1) / 3.0 ELSE mean_value END"
+        growth, orders = "mean_growth", "mean_orders"
+    trend = "greatest(0.0, CASE WHEN cnt >= 3 THEN (h1 - h3) / 2.0 WHEN cnt = 2 THEN h1 - h2 ELSE 0.0 END)"
+    f = {"rolling_3m_qty": rolling, "mean_qty_per_product": "mean_value", "lag_1_qty": "h1",
+         "seasonal_index": seasonal, "trend_qty": trend, "lag_2_qty": "CASE WHEN cnt >= 2 THEN h2 ELSE 0.0 END",
+         "mom_growth_qty": growth, "lag_3_qty": "CASE WHEN cnt >= 3 THEN h3 ELSE 0.0 END", "total_orders": orders}
+    return ", ".join(f"CAST({v} AS DOUBLE) AS feature_{k}" for k, v in f.items())
+
+
+def forecast_sql(mode: str, n: int = 6) -> str:
+    score = "(0.0 + " + " + ".join(f"{w!r} * coalesce(feature_{c}, 0.0)" for c, w in _W.items()) + ")"
+    fallback = "CAST(round_even(mean_value, 0) AS BIGINT)" if mode == "plain" else "CAST(0 AS BIGINT)"
+    feats = ", ".join(f"feature_{c}" for c in _W)
+    return f"""
+fc_rec(product_key, step, last_month, mean_value, mean_growth, mean_orders, cnt, h1, h2, h3, seasonal,
+       month, forecast, {feats}) AS (
+  SELECT product_key, 0, last_month, mean_value, mean_growth, mean_orders, cnt, h1, h2, h3, seasonal,
+         CAST(NULL AS DATE), CAST(NULL AS BIGINT), {", ".join("CAST(NULL AS DOUBLE)" for _ in _W)}
+  FROM fc_state
+  UNION ALL
+  SELECT product_key, step, last_month, mean_value, mean_growth, mean_orders, cnt + 1,
+         CAST(pred AS DOUBLE), h1, h2, seasonal, m, pred, {feats}
+  FROM (
+    SELECT *, CASE WHEN raw IS NULL OR isnan(raw) THEN {fallback}
+                   ELSE CAST(greatest(0.0, round_even(raw, 0)) AS BIGINT) END AS pred
+    FROM (SELECT *, {score} AS raw FROM (
+      SELECT product_key, step + 1 AS step, last_month, mean_value, mean_growth, mean_orders, cnt, h1, h2, h3,
+             seasonal, CAST(last_month + to_months(CAST(step + 1 AS INTEGER)) AS DATE) AS m,
+             {_fc_features(mode).replace('month(m)', 'month(CAST(last_month + to_months(CAST(step + 1 AS INTEGER)) AS DATE))')}
+      FROM fc_rec WHERE step < {n})))
+)"""
+
+
+def forecast_query(mode: str, select: str) -> str:
+    body = with_views("SELECT 1", "fc_state")
+    ctes = body[len("WITH "):body.rindex("SELECT 1")].rstrip().rstrip(",")
+    return f"WITH RECURSIVE {ctes},\n{forecast_sql(mode)}\n{select}"
+
+
+_FC_SEL = ("SELECT product_key, month, CAST(step AS INTEGER) AS step, forecast, "
+           + ", ".join(f"round(feature_{c}, 6) AS feature_{c}" for c in _W) + " FROM fc_rec WHERE step >= 1")
+ORACLE["forecast_recursive"] = forecast_query("core", _FC_SEL)
+ORACLE["forecast_recursive_plain"] = forecast_query("plain", _FC_SEL)
+ORACLE["future_months"] = with_views(
+    "SELECT product_key, CAST(last + to_months(CAST(g.i AS INTEGER)) AS DATE) AS month "
+    "FROM (SELECT product_key, max(month) AS last FROM fc_hist GROUP BY 1) CROSS JOIN range(1, 7) g(i)", "fc_hist")
+ORACLE["forecast_growth"] = forecast_query("core", """
+SELECT f.product_key, f.month, CAST(f.step AS INTEGER) AS step, f.forecast, l.last_actual,
+       round(""" + ieee("f.forecast - l.last_actual", "l.last_actual") + """ * 100.0, 6) AS growth_pct
+FROM fc_rec f LEFT JOIN (SELECT product_key, total_qty AS last_actual FROM (
+    SELECT *, row_number() OVER (PARTITION BY product_key ORDER BY month DESC) AS rn
+    FROM fc_hist WHERE total_qty IS NOT NULL) WHERE rn = 1) l ON f.product_key = l.product_key
+WHERE f.step >= 1""")
+ORACLE["history_and_forecast"] = forecast_query("core", """
+SELECT product_key, month, CAST(total_qty AS DOUBLE) AS value, 'actual' AS kind FROM fc_hist WHERE total_qty IS NOT NULL
+UNION ALL
+SELECT product_key, month, CAST(forecast AS DOUBLE) AS value, 'forecast' AS kind FROM fc_rec WHERE step >= 1""")
