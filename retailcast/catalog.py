@@ -25,8 +25,14 @@ def query(name: str):
     return deco
 
 
+def sx(df: DataFrame, *exprs: str) -> DataFrame:
+    """selectExpr with two-argument round() made engine-independent."""
+    from retailcast.functions.sqltext import fix_round
+    return df.selectExpr(*[fix_round(e) for e in exprs])
+
+
 def r6(c):
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    return F.round((F.col(c) if isinstance(c, str) else c).cast("double") * 1e6) / 1e6
 
 
 def _fx(spark, sf) -> Fixtures:
@@ -66,7 +72,7 @@ def q_monthly_traffic(spark, sf):
 @query("traffic_ratios_global")
 def q_traffic_ratios_global(spark, sf):
     g = traffic_ratios_global(_traffic_m(spark, sf))
-    return g.select(*[F.round(c, 9).alias(c) for c in g.columns])
+    return g.select(*[(F.round(F.col(c) * 1e9) / 1e9).alias(c) for c in g.columns])
 
 
 @query("month_share")
@@ -104,7 +110,8 @@ from retailcast.plans.feature_table import feature_table, features_unfilled, joi
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Round every double column (summation order differs between engines)."""
-    return df.select(*[F.round(F.col(c), places).alias(c) if t in ("double", "float") else F.col(c)
+    return df.select(*[(F.round(F.col(c) * 10.0 ** places) / 10.0 ** places).alias(c)
+                       if t in ("double", "float") else F.col(c)
                        for c, t in df.dtypes])
 
 
@@ -186,3 +193,382 @@ def q_forecast_growth(spark, sf):
 @query("history_and_forecast")
 def q_history_and_forecast(spark, sf):
     return history_and_forecast(_history(spark, sf), _forecast(spark, sf, "core"))
+
+
+# --- row-level cleaning (order lines) ----------------------------------------
+from pyspark.sql import Window  # noqa: E402
+
+from retailcast.functions import sqltext as X  # noqa: E402
+from retailcast.functions.calendar import month_text  # noqa: E402
+from retailcast.functions.text import parse_localized_number, parse_percent, parse_weight  # noqa: E402
+from retailcast.operators.clean import (discount_pct, drop_cancelled, scaled_amount, unit_price,  # noqa: E402
+                                        with_order_month, with_product_key)
+from retailcast.operators.compare import compare_nulls, compare_shape, compare_values  # noqa: E402
+from retailcast.operators.evaluate import feature_correlation, regression_metrics  # noqa: E402
+from retailcast.operators.features import (advanced_features, basic_features, encode_labels,  # noqa: E402
+                                           linear_trend_last3, seasonal_profile, time_series_features)
+from retailcast.operators.joins import (holiday_month_flag, safe_join, sales_product_info_join,  # noqa: E402
+                                        sales_stock_join, sales_traffic_join)
+from retailcast.operators.medians import column_medians_frame  # noqa: E402
+from retailcast.operators.rollup import (dataset_summary, forecast_totals, monthly_rollup,  # noqa: E402
+                                         monthly_row_counts, product_info_first, product_list, top_products)
+from retailcast.plans.feature_table import INFO_COLUMNS, SOURCE_ORDER  # noqa: E402
+from retailcast.plans.train import gbt_metrics, score, train_gbt, train_test_split  # noqa: E402
+
+ROW_ID = ["src_orderkey", "src_linenumber", "src_partkey", "src_suppkey"]
+
+
+def _sales(spark, sf):
+    return _fx(spark, sf).sales()
+
+
+def _prep(spark, sf):
+    return prepare_sales(_sales(spark, sf))
+
+
+@query("product_key")
+def q_product_key(spark, sf):
+    return with_product_key(_sales(spark, sf)).select(*ROW_ID, "product_key")
+
+
+@query("product_key_lenient")
+def q_product_key_lenient(spark, sf):
+    return with_product_key(_sales(spark, sf), lenient=True).select(*ROW_ID, "product_key")
+
+
+@query("drop_cancelled")
+def q_drop_cancelled(spark, sf):
+    return drop_cancelled(_sales(spark, sf)).select(*ROW_ID, "status")
+
+
+@query("order_month")
+def q_order_month(spark, sf):
+    return with_order_month(_sales(spark, sf)).select(*ROW_ID, "pay_date", "month")
+
+
+@query("unit_price")
+def q_unit_price(spark, sf):
+    return _sales(spark, sf).select(*ROW_ID, r6(unit_price()).alias("unit_price"))
+
+
+@query("discount_pct")
+def q_discount_pct(spark, sf):
+    return _sales(spark, sf).select(*ROW_ID, r6(discount_pct()).alias("discount_pct"))
+
+
+@query("scaled_amount")
+def q_scaled_amount(spark, sf):
+    return _sales(spark, sf).select(*ROW_ID, scaled_amount("net_price").alias("scaled_amount"))
+
+
+@query("parse_weight")
+def q_parse_weight(spark, sf):
+    return _sales(spark, sf).select(*ROW_ID, "weight_text", parse_weight(F.col("weight_text")).alias("weight"))
+
+
+@query("parse_localized_number")
+def q_parse_localized_number(spark, sf):
+    t = _fx(spark, sf).traffic()
+    return t.select("date_text", "sales_text", parse_localized_number(F.col("sales_text")).alias("sales"))
+
+
+@query("parse_percent")
+def q_parse_percent(spark, sf):
+    t = _fx(spark, sf).traffic()
+    return t.select("date_text", "conversion_rate_text",
+                    parse_percent(F.col("conversion_rate_text")).alias("conversion_rate"))
+
+
+@query("holiday_day_flag")
+def q_holiday_day_flag(spark, sf):
+    fx = _fx(spark, sf)
+    return prepare_sales(fx.sales(), fx.holidays()).select(*ROW_ID, "pay_date", "is_holiday")
+
+
+# --- monthly-grain operators -------------------------------------------------
+_MK = ["month", "product_key"]
+
+
+@query("calendar_features")
+def q_calendar_features(spark, sf):
+    return basic_features(_monthly(spark, sf)).select(*_MK, "year", "month_of_year", "quarter", "days_in_month")
+
+
+@query("product_mean")
+def q_product_mean(spark, sf):
+    return basic_features(_monthly(spark, sf)).select(*_MK, "qty", "mean_qty_per_product")
+
+
+def _monthly_ts(spark, sf):
+    # monthly sales with the allocated traffic: the inputs of the window features
+    a = allocate_traffic(_monthly(spark, sf), _traffic_m(spark, sf))
+    return basic_features(a)
+
+
+@query("cyclic_month")
+def q_cyclic_month(spark, sf):
+    m = basic_features(_monthly(spark, sf))
+    return sx(m, *_MK, f"round(sin({2 * 3.141592653589793!r} * month_of_year / 12.0), 6) AS month_sin",
+                        f"round(cos({2 * 3.141592653589793!r} * month_of_year / 12.0), 6) AS month_cos")
+
+
+@query("quarter_flags")
+def q_quarter_flags(spark, sf):
+    m = basic_features(_monthly(spark, sf))
+    return sx(m, *_MK, *[f"quarter = {q} AS quarter_{q}" for q in (1, 2, 3, 4)])
+
+
+_WPS = X.window(["product_key"], ["`month`"])
+_R3S = X.window(["product_key"], ["`month`"], "ROWS BETWEEN 2 PRECEDING AND CURRENT ROW")
+
+
+@query("mom_growth")
+def q_mom_growth(spark, sf):
+    m = _monthly(spark, sf)
+    return sx(m, *_MK, f"round({X.ieee('qty', f'lag(qty) OVER {_WPS}')} - 1.0, 6) AS mom_growth_qty",
+                        f"round({X.ieee('sales_amount', f'lag(sales_amount) OVER {_WPS}')} - 1.0, 6) "
+                        "AS mom_growth_sales")
+
+
+@query("seasonal_index")
+def q_seasonal_index(spark, sf):
+    m = basic_features(_monthly(spark, sf))
+    overall = f"avg(qty) OVER {X.window(['product_key'])}"
+    by_moy = f"avg(qty) OVER {X.window(['product_key', 'month_of_year'])}"
+    return sx(m, *_MK, f"round(CASE WHEN {overall} > 0 THEN {by_moy} / {overall} ELSE 0.0 END, 6) "
+                              "AS seasonal_index")
+
+
+@query("seasonal_profile")
+def q_seasonal_profile(spark, sf):
+    p = seasonal_profile(_monthly(spark, sf))
+    return sx(p, "product_key", "posexplode(seasonal) AS (pos, v)").selectExpr(
+        "product_key", "CAST(pos + 1 AS BIGINT) AS month_of_year", "round(v, 6) AS seasonal_index")
+
+
+@query("rolling_3m")
+def q_rolling_3m(spark, sf):
+    a = _monthly_ts(spark, sf)
+    return sx(a, *_MK, *[f"round(avg({c}) OVER {_R3S}, 6) AS rolling_3m_{o}"
+                                for c, o in (("qty", "qty"), ("sales_amount", "sales"), ("views", "views"))])
+
+
+@query("trend_ratio")
+def q_trend_ratio(spark, sf):
+    m = _monthly(spark, sf).selectExpr("*", f"avg(qty) OVER {_R3S} AS rolling_3m_qty")
+    return sx(m, *_MK, f"round({X.ieee('qty', f'lag(rolling_3m_qty) OVER {_WPS}')}, 6) AS trend_qty")
+
+
+@query("lag_features")
+def q_lag_features(spark, sf):
+    a = _monthly_ts(spark, sf)
+    return sx(a, *_MK, *[f"coalesce(lag({c}, {k}) OVER {_WPS}, 0) AS lag_{k}_{o}"
+                                for k in (1, 2, 3) for c, o in (("qty", "qty"), ("sales_amount", "sales"),
+                                                                 ("views", "views"))])
+
+
+@query("linear_trend")
+def q_linear_trend(spark, sf):
+    m = _monthly(spark, sf)
+    w = Window.partitionBy("product_key").orderBy(F.col("month").desc())
+    last3 = (m.withColumn("rn", F.row_number().over(w)).where("rn <= 3")
+              .groupBy("product_key").agg(F.sort_array(F.collect_list(F.struct("month", "qty"))).alias("h")))
+    return last3.select("product_key", r6(linear_trend_last3(F.col("h.qty").cast("array<double>"))).alias("trend"))
+
+
+@query("holiday_month_flag")
+def q_holiday_month_flag(spark, sf):
+    return holiday_month_flag(_monthly(spark, sf), _fx(spark, sf).holidays()).select(*_MK, "is_holiday_month")
+
+
+@query("monthly_rollup")
+def q_monthly_rollup(spark, sf):
+    # 'mean' runs on a whole-number column: a mean of doubles differs in its
+    # last bits between engines (summation order), which the check cannot hide.
+    r = monthly_rollup(_prep(spark, sf), "paid_at", ["product_key"],
+                       {"qty": "sum", "net_price": "sum", "list_price": "max", "src_linenumber": "mean",
+                        "src_orderkey": "nunique"})
+    return r.select("month", "product_key", "qty", r6("net_price").alias("net_price"), "list_price",
+                    r6("src_linenumber").alias("src_linenumber"), "src_orderkey")
+
+
+@query("monthly_row_counts")
+def q_monthly_row_counts(spark, sf):
+    return monthly_row_counts(_sales(spark, sf), "paid_at")
+
+
+@query("dataset_summary")
+def q_dataset_summary(spark, sf):
+    return dataset_summary(_monthly(spark, sf))
+
+
+@query("product_info_first")
+def q_product_info_first(spark, sf):
+    return rounded(product_info_first(_prep(spark, sf), INFO_COLUMNS, SOURCE_ORDER))
+
+
+@query("product_list")
+def q_product_list(spark, sf):
+    return product_list(_monthly(spark, sf))
+
+
+@query("top_products")
+def q_top_products(spark, sf):
+    return top_products(_monthly(spark, sf), 10)
+
+
+@query("encode_status")
+def q_encode_status(spark, sf):
+    st = _fx(spark, sf).stock_status()
+    return encode_labels(st, "stock_status", "stock_status_code").select(
+        "product_key", "month_text", "stock_status", "stock_status_code")
+
+
+@query("column_medians")
+def q_column_medians(spark, sf):
+    a = allocate_traffic(_monthly(spark, sf), _traffic_m(spark, sf))
+    return rounded(column_medians_frame(a, ["qty", "net_amount", "orders", "cancelled_sales",
+                                            "sales_per_order", "conversion_rate"]))
+
+
+# --- joins ---------------------------------------------------------------------
+@query("sales_traffic_join")
+def q_sales_traffic_join(spark, sf):
+    return rounded(sales_traffic_join(_monthly(spark, sf), _traffic_m(spark, sf)))
+
+
+@query("sales_product_info_join")
+def q_sales_product_info_join(spark, sf):
+    info = product_info_first(_prep(spark, sf), INFO_COLUMNS, SOURCE_ORDER)
+    return rounded(sales_product_info_join(_monthly(spark, sf), info))
+
+
+@query("sales_stock_join")
+def q_sales_stock_join(spark, sf):
+    return sales_stock_join(_monthly(spark, sf), _fx(spark, sf).stock_status(),
+                            ["product_id", "opening_stock", "closing_stock", "pending", "stock_status"])
+
+
+def _join_sides(spark, sf):
+    left = _monthly(spark, sf).select(month_text(F.col("month")).alias("month_text"), "product_key", "qty",
+                                      "net_amount")
+    right = _fx(spark, sf).stock_status().select("product_key", "month_text", F.col("sold_qty").alias("qty"),
+                                                 "opening_stock", "stock_status")
+    return left, right
+
+
+def _safe(how):
+    def q(spark, sf):
+        left, right = _join_sides(spark, sf)
+        return safe_join(left, right, ["product_key", "month_text", "not_a_column"], how)
+    return q
+
+
+for _how in ("left", "right", "outer", "inner"):
+    QUERIES[f"safe_join_{_how}"] = _safe(_how)
+
+
+@query("stock_turnover")
+def q_stock_turnover(spark, sf):
+    j = sales_stock_join(_monthly(spark, sf), _fx(spark, sf).stock_status(), ["opening_stock", "closing_stock"])
+    return sx(j, *_MK, f"round({X.ieee('qty', '(opening_stock + closing_stock) / 2.0')}, 6) AS stock_turnover")
+
+
+@query("stock_coverage")
+def q_stock_coverage(spark, sf):
+    j = sales_stock_join(_monthly(spark, sf), _fx(spark, sf).stock_status(), ["closing_stock"])
+    return sx(j, *_MK, f"round({X.ieee('closing_stock', f'avg(qty) OVER {_R3S}')}, 6) AS stock_coverage")
+
+
+@query("price_level")
+def q_price_level(spark, sf):
+    info = product_info_first(_prep(spark, sf), ["list_price"], SOURCE_ORDER)
+    j = sales_product_info_join(_monthly(spark, sf), info)
+    return sx(j, *_MK, f"round({X.ieee('list_price', 'avg(list_price) OVER ' + X.window(['product_key']))}, 6)"
+                              " AS price_level")
+
+
+@query("traffic_ratios")
+def q_traffic_ratios(spark, sf):
+    a = allocate_traffic(_monthly(spark, sf), _traffic_m(spark, sf))
+    return sx(a, *_MK, f"round(views / {X.zero_to_one('qty')}, 6) AS view_to_sales_ratio",
+                        f"round(visitors / {X.zero_to_one('qty')}, 6) AS visitor_to_sales_ratio",
+                        f"round(visitors / {X.zero_to_one('views')}, 6) AS visitor_to_view_ratio")
+
+
+@query("interaction_features")
+def q_interaction_features(spark, sf):
+    f = features_unfilled(joined_monthly(*_feature_inputs(spark, sf)))
+    return f.select(*_MK, r6("price_view_interaction").alias("price_view_interaction"),
+                    r6("stock_demand_interaction").alias("stock_demand_interaction"))
+
+
+# --- evaluation, training, comparison ---------------------------------------------
+def _training(spark, sf):
+    return training_rows(_core_features(spark, sf))
+
+
+@query("regression_metrics")
+def q_regression_metrics(spark, sf):
+    # naive last-value forecast of each training row, scored against the truth
+    return rounded(regression_metrics(_training(spark, sf), "total_qty", "lag_1_qty"))
+
+
+@query("feature_correlation")
+def q_feature_correlation(spark, sf):
+    return rounded(feature_correlation(_training(spark, sf), MODEL_FEATURES, "total_qty"))
+
+
+@query("train_test_split")
+def q_train_test_split(spark, sf):
+    t = train_test_split(_training(spark, sf), ["product_key", "month"])
+    return t.select("product_key", "month", "total_qty", "is_train")
+
+
+GBT_TREES = 20  # per query; GBT_PARAMS keeps the source's 300 for real runs
+
+
+def _gbt(spark, sf):
+    t = train_test_split(_training(spark, sf), ["product_key", "month"])
+    model = train_gbt(t.where("is_train"), maxIter=GBT_TREES)
+    return model, t.where("NOT is_train")
+
+
+@query("train_gbt")
+def q_train_gbt(spark, sf):
+    model, test = _gbt(spark, sf)
+    return score(model, test).select("product_key", "month", "total_qty", "prediction")
+
+
+@query("gbt_metrics")
+def q_gbt_metrics(spark, sf):
+    model, test = _gbt(spark, sf)
+    return gbt_metrics(model, test)
+
+
+@query("forecast_totals")
+def q_forecast_totals(spark, sf):
+    return rounded(forecast_totals(_forecast(spark, sf, "core")))
+
+
+def _compare_sides(spark, sf):
+    strict = _monthly(spark, sf).select(month_text(F.col("month")).alias("month_text"), "product_key", "qty",
+                                        "net_amount", "sales_amount")
+    lenient = _core_assembly(spark, sf).select(F.col("month").alias("month_text"), "product_key", "qty",
+                                               F.col("net_price").alias("net_amount"), "orders")
+    return strict, lenient
+
+
+@query("compare_shape")
+def q_compare_shape(spark, sf):
+    return compare_shape(*_compare_sides(spark, sf))
+
+
+@query("compare_values")
+def q_compare_values(spark, sf):
+    return rounded(compare_values(*_compare_sides(spark, sf), ["month_text", "product_key"]))
+
+
+@query("compare_nulls")
+def q_compare_nulls(spark, sf):
+    return compare_nulls(*_compare_sides(spark, sf))

@@ -44,3 +44,43 @@ def window(partition: list[str], order: list[str] | None = None, frame: str | No
     if frame:
         s += " " + frame
     return f"({s})"
+
+
+def round_places(x: str, places: int) -> str:
+    """Round on the binary value: round(x * 10^p) / 10^p. Spark's two-argument
+    round works on the decimal text of a double and can differ at ties."""
+    return f"(round(CAST(({x}) AS DOUBLE) * 1e{places}) / 1e{places})"
+
+
+def fix_round(sql: str) -> str:
+    """Rewrite every two-argument ``round(a, p)`` in ``sql`` to ``round_places``."""
+    out, i, n = [], 0, len(sql)
+    while i < n:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            break
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, last_comma = 0, j + 6, None
+        while k < n:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                if depth == 0:
+                    break
+                depth -= 1
+            elif ch == "," and depth == 0:
+                last_comma = k
+            k += 1
+        inner = sql[j + 6:k]
+        if last_comma is not None and sql[last_comma + 1:k].strip().isdigit():
+            arg = fix_round(sql[j + 6:last_comma])
+            out.append(sql[i:j] + round_places(arg, int(sql[last_comma + 1:k].strip())))
+        else:
+            out.append(sql[i:j] + "round(" + fix_round(inner) + ")")
+        i = k + 1
+    return "".join(out)

@@ -405,3 +405,232 @@ ORACLE["history_and_forecast"] = forecast_query("core", """
 SELECT product_key, month, CAST(total_qty AS DOUBLE) AS value, 'actual' AS kind FROM fc_hist WHERE total_qty IS NOT NULL
 UNION ALL
 SELECT product_key, month, CAST(forecast AS DOUBLE) AS value, 'forecast' AS kind FROM fc_rec WHERE step >= 1""")
+
+
+# --------------------------------------------------------------------------
+# Row-level operators
+ROW_ID = "src_orderkey, src_linenumber, src_partkey, src_suppkey"
+ORACLE["product_key"] = with_views(f"SELECT {ROW_ID}, {KEY_N} AS product_key FROM sales", "sales")
+ORACLE["product_key_lenient"] = with_views(f"SELECT {ROW_ID}, {KEY_C} AS product_key FROM sales", "sales")
+ORACLE["drop_cancelled"] = with_views(
+    f"SELECT {ROW_ID}, status FROM sales WHERE status IS DISTINCT FROM 'Batal'", "sales")
+ORACLE["order_month"] = with_views(
+    f"SELECT {ROW_ID}, CAST(paid_at AS DATE) AS pay_date, CAST(date_trunc('month', paid_at) AS DATE) AS month "
+    "FROM sales", "sales")
+ORACLE["unit_price"] = with_views(f"SELECT {ROW_ID}, round({ieee('net_price', 'qty')}, 6) AS unit_price FROM sales",
+                                  "sales")
+ORACLE["discount_pct"] = with_views(
+    f"SELECT {ROW_ID}, round(coalesce({ieee('list_price - net_price', 'list_price')} * 100.0, 0.0), 6) AS discount_pct "
+    "FROM sales", "sales")
+ORACLE["scaled_amount"] = with_views(
+    f"SELECT {ROW_ID}, CAST(trunc(CAST(net_price AS DECIMAL(38,6)) * 1000) AS BIGINT) AS scaled_amount FROM sales",
+    "sales")
+ORACLE["parse_weight"] = with_views(
+    f"SELECT {ROW_ID}, weight_text, {loc_num("replace(weight_text, ' gr', '')")} AS weight FROM sales",
+    "sales")
+ORACLE["parse_localized_number"] = with_views(
+    f"SELECT date_text, sales_text, {loc_num('sales_text')} AS sales FROM traffic", "traffic")
+ORACLE["parse_percent"] = with_views(
+    f"SELECT date_text, conversion_rate_text, {pct_num('conversion_rate_text')} AS conversion_rate FROM traffic",
+    "traffic")
+ORACLE["holiday_day_flag"] = with_views(
+    f"SELECT {ROW_ID}, CAST(paid_at AS DATE) AS pay_date, (h.holiday_date IS NOT NULL) AS is_holiday "
+    "FROM sales_prep s LEFT JOIN holiday_dates h ON CAST(s.paid_at AS DATE) = h.holiday_date",
+    "sales_prep", "holiday_dates")
+
+# Monthly-grain operators
+_SW = "(PARTITION BY product_key ORDER BY month)"
+_S3 = "(PARTITION BY product_key ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
+ORACLE["calendar_features"] = with_views(
+    "SELECT month, product_key, CAST(year(month) AS BIGINT) AS year, CAST(month(month) AS BIGINT) AS month_of_year, "
+    "CAST(quarter(month) AS BIGINT) AS quarter, CAST(day(last_day(month)) AS BIGINT) AS days_in_month "
+    "FROM sales_monthly", "sales_monthly")
+ORACLE["product_mean"] = with_views(
+    "SELECT month, product_key, qty, CAST(round_even(avg(qty) OVER (PARTITION BY product_key), 0) AS BIGINT) "
+    "AS mean_qty_per_product FROM sales_monthly", "sales_monthly")
+ORACLE["cyclic_month"] = with_views(
+    "SELECT month, product_key, round(sin(6.283185307179586 * month(month) / 12.0), 6) AS month_sin, "
+    "round(cos(6.283185307179586 * month(month) / 12.0), 6) AS month_cos FROM sales_monthly", "sales_monthly")
+ORACLE["quarter_flags"] = with_views(
+    "SELECT month, product_key, " + ", ".join(f"quarter(month) = {q} AS quarter_{q}" for q in (1, 2, 3, 4))
+    + " FROM sales_monthly", "sales_monthly")
+ORACLE["mom_growth"] = with_views(
+    f"SELECT month, product_key, round({ieee('qty', f'lag(qty) OVER {_SW}')} - 1.0, 6) AS mom_growth_qty, "
+    f"round({ieee('sales_amount', f'lag(sales_amount) OVER {_SW}')} - 1.0, 6) AS mom_growth_sales FROM sales_monthly",
+    "sales_monthly")
+ORACLE["seasonal_index"] = with_views(
+    "SELECT month, product_key, round(CASE WHEN avg(qty) OVER (PARTITION BY product_key) > 0 THEN "
+    "avg(qty) OVER (PARTITION BY product_key, month(month)) / avg(qty) OVER (PARTITION BY product_key) "
+    "ELSE 0.0 END, 6) AS seasonal_index FROM sales_monthly", "sales_monthly")
+ORACLE["seasonal_profile"] = with_views("""
+SELECT ov.product_key, CAST(g.m AS BIGINT) AS month_of_year,
+       round(CASE WHEN ov.overall > 0 AND sm.c > 0 THEN (sm.s / sm.c) / ov.overall ELSE 1.0 END, 6) AS seasonal_index
+FROM (SELECT product_key, sum(qty) / count(qty) AS overall FROM sales_monthly GROUP BY 1) ov
+CROSS JOIN range(1, 13) g(m)
+LEFT JOIN (SELECT product_key, month(month) AS moy, sum(qty) AS s, count(qty) AS c FROM sales_monthly GROUP BY 1, 2) sm
+  ON sm.product_key = ov.product_key AND sm.moy = g.m""", "sales_monthly")
+ORACLE["rolling_3m"] = with_views(
+    "SELECT month, product_key, " + ", ".join(f"round(avg({c}) OVER {_S3}, 6) AS rolling_3m_{o}" for c, o in
+                                              (("qty", "qty"), ("sales_amount", "sales"), ("views", "views")))
+    + " FROM traffic_allocated", "traffic_allocated")
+ORACLE["trend_ratio"] = with_views(
+    f"SELECT month, product_key, round({ieee('qty', f'lag(r3) OVER {_SW}')}, 6) AS trend_qty "
+    f"FROM (SELECT *, avg(qty) OVER {_S3} AS r3 FROM sales_monthly)", "sales_monthly")
+ORACLE["lag_features"] = with_views(
+    "SELECT month, product_key, " + ", ".join(
+        f"coalesce(lag({c}, {k}) OVER {_SW}, 0) AS lag_{k}_{o}" for k in (1, 2, 3)
+        for c, o in (("qty", "qty"), ("sales_amount", "sales"), ("views", "views")))
+    + " FROM traffic_allocated", "traffic_allocated")
+ORACLE["linear_trend"] = with_views("""
+SELECT product_key, round(greatest(0.0, CASE WHEN n >= 3 THEN (h1 - h3) / 2.0 WHEN n = 2 THEN CAST(h1 - h2 AS DOUBLE)
+                                       ELSE 0.0 END), 6) AS trend
+FROM (SELECT product_key, count(*) AS n, max(CASE WHEN rn = 1 THEN qty END) AS h1,
+             max(CASE WHEN rn = 2 THEN qty END) AS h2, max(CASE WHEN rn = 3 THEN qty END) AS h3
+      FROM (SELECT *, row_number() OVER (PARTITION BY product_key ORDER BY month DESC) AS rn FROM sales_monthly)
+      WHERE rn <= 3 GROUP BY 1)""", "sales_monthly")
+ORACLE["holiday_month_flag"] = with_views(
+    "SELECT s.month, s.product_key, (h.month_text IS NOT NULL) AS is_holiday_month FROM sales_monthly s "
+    "LEFT JOIN holiday_months h ON strftime(s.month, '%Y-%m') = h.month_text", "sales_monthly", "holiday_months")
+ORACLE["monthly_rollup"] = with_views(
+    "SELECT strftime(paid_at, '%Y-%m') AS month, product_key, CAST(coalesce(sum(qty), 0) AS BIGINT) AS qty, "
+    "round(coalesce(sum(net_price), 0), 6) AS net_price, max(list_price) AS list_price, "
+    "round(avg(src_linenumber), 6) AS src_linenumber, count(DISTINCT src_orderkey) AS src_orderkey FROM sales_prep "
+    "WHERE paid_at IS NOT NULL AND product_key IS NOT NULL GROUP BY 1, 2", "sales_prep")
+ORACLE["monthly_row_counts"] = with_views(
+    "SELECT strftime(paid_at, '%Y-%m') AS month, count(*) AS row_count FROM sales WHERE paid_at IS NOT NULL GROUP BY 1",
+    "sales")
+ORACLE["dataset_summary"] = with_views(
+    "SELECT count(*) AS n_rows, count(DISTINCT product_key) AS n_products, min(month) AS first_month, "
+    "max(month) AS last_month, CAST(floor(datediff('day', min(month), max(month)) / 30) AS BIGINT) AS month_span, "
+    "CAST(coalesce(sum(qty), 0) AS BIGINT) AS total_qty FROM sales_monthly", "sales_monthly")
+ORACLE["product_info_first"] = with_views(
+    "SELECT product_key, round(seller_voucher, 6) AS seller_voucher, round(shipping_fee, 6) AS shipping_fee, "
+    "round(total_payment, 6) AS total_payment, status, round(list_price, 6) AS list_price, weight_text, "
+    "total_weight_text FROM product_info", "product_info")
+ORACLE["product_list"] = with_views("SELECT DISTINCT product_key FROM sales_monthly", "sales_monthly")
+ORACLE["top_products"] = with_views(
+    "SELECT product_key, CAST(sum(qty) AS BIGINT) AS total_qty FROM sales_monthly GROUP BY 1 "
+    "ORDER BY total_qty DESC, product_key ASC LIMIT 10", "sales_monthly")
+ORACLE["encode_status"] = with_views(
+    "SELECT s.product_key, s.month_text, s.stock_status, c.code AS stock_status_code FROM stock_status s JOIN "
+    "(SELECT stock_status, CAST(dense_rank() OVER (ORDER BY stock_status) - 1 AS BIGINT) AS code "
+    " FROM (SELECT DISTINCT stock_status FROM stock_status)) c ON s.stock_status = c.stock_status", "stock_status")
+ORACLE["column_medians"] = with_views(
+    "SELECT " + ", ".join(f"round(CAST(median({c}) AS DOUBLE), 6) AS {c}" for c in
+                          ["qty", "net_amount", "orders", "cancelled_sales", "sales_per_order", "conversion_rate"])
+    + " FROM traffic_allocated", "traffic_allocated")
+
+# Joins
+_TM_COLS = COUNTS + MONEY + ["sales_per_order"] + RATES
+ORACLE["sales_traffic_join"] = with_views(
+    "SELECT s.month, s.product_key, s.qty, s.net_amount, s.sales_amount, " + ", ".join(
+        f"t.{c}" if c in COUNTS else f"round(t.{c}, 6) AS {c}" for c in _TM_COLS)
+    + " FROM sales_monthly s LEFT JOIN traffic_monthly t ON s.month = t.month", "sales_monthly", "traffic_monthly")
+ORACLE["sales_product_info_join"] = with_views(
+    "SELECT s.*, round(i.seller_voucher, 6) AS seller_voucher, round(i.shipping_fee, 6) AS shipping_fee, "
+    "round(i.total_payment, 6) AS total_payment, i.status, round(i.list_price, 6) AS list_price, i.weight_text, "
+    "i.total_weight_text FROM sales_monthly s LEFT JOIN product_info i ON s.product_key = i.product_key",
+    "sales_monthly", "product_info")
+ORACLE["sales_stock_join"] = with_views(
+    "SELECT s.*, st.product_id, st.opening_stock, st.closing_stock, st.pending, st.stock_status "
+    "FROM sales_monthly s LEFT JOIN stock_status st ON s.product_key = st.product_key "
+    "AND strftime(s.month, '%Y-%m') = st.month_text", "sales_monthly", "stock_status")
+view("join_l", "SELECT strftime(month, '%Y-%m') AS month_text, product_key, qty, net_amount FROM sales_monthly",
+     "sales_monthly")
+view("join_r", "SELECT product_key, month_text, sold_qty AS qty, opening_stock, stock_status FROM stock_status",
+     "stock_status")
+_ON = ("l.product_key IS NOT DISTINCT FROM r.product_key AND l.month_text IS NOT DISTINCT FROM r.month_text")
+_REST = "l.qty AS qty_x, l.net_amount, r.qty AS qty_y, r.opening_stock, r.stock_status"
+ORACLE["safe_join_left"] = with_views(
+    f"SELECT l.product_key, l.month_text, {_REST} FROM join_l l LEFT JOIN join_r r ON {_ON}", "join_l", "join_r")
+ORACLE["safe_join_right"] = with_views(
+    f"SELECT r.product_key, r.month_text, {_REST} FROM join_l l RIGHT JOIN join_r r ON {_ON}", "join_l", "join_r")
+ORACLE["safe_join_outer"] = with_views(
+    f"SELECT coalesce(l.product_key, r.product_key) AS product_key, coalesce(l.month_text, r.month_text) AS month_text, "
+    f"{_REST} FROM join_l l FULL OUTER JOIN join_r r ON {_ON}", "join_l", "join_r")
+ORACLE["safe_join_inner"] = with_views(
+    f"SELECT l.product_key, l.month_text, {_REST} FROM join_l l JOIN join_r r ON {_ON}", "join_l", "join_r")
+_SJ = ("FROM sales_monthly s LEFT JOIN stock_status st ON s.product_key = st.product_key "
+       "AND strftime(s.month, '%Y-%m') = st.month_text")
+ORACLE["stock_turnover"] = with_views(
+    f"SELECT s.month, s.product_key, round({ieee('s.qty', '(st.opening_stock + st.closing_stock) / 2.0')}, 6) "
+    f"AS stock_turnover {_SJ}", "sales_monthly", "stock_status")
+ORACLE["stock_coverage"] = with_views(
+    f"SELECT s.month, s.product_key, round({ieee('st.closing_stock', 'avg(s.qty) OVER (PARTITION BY s.product_key ORDER BY s.month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')}, 6) "
+    f"AS stock_coverage {_SJ}", "sales_monthly", "stock_status")
+ORACLE["price_level"] = with_views(
+    f"SELECT s.month, s.product_key, round({ieee('i.list_price', 'avg(i.list_price) OVER (PARTITION BY s.product_key)')}, 6) "
+    "AS price_level FROM sales_monthly s LEFT JOIN product_info i ON s.product_key = i.product_key",
+    "sales_monthly", "product_info")
+ORACLE["traffic_ratios"] = with_views(
+    "SELECT month, product_key, round(views / (CASE WHEN qty = 0 THEN 1 ELSE qty END), 6) AS view_to_sales_ratio, "
+    "round(visitors / (CASE WHEN qty = 0 THEN 1 ELSE qty END), 6) AS visitor_to_sales_ratio, "
+    "round(visitors / (CASE WHEN views = 0 THEN 1 ELSE views END), 6) AS visitor_to_view_ratio "
+    "FROM traffic_allocated", "traffic_allocated")
+ORACLE["interaction_features"] = with_views(
+    "SELECT month, product_key, round(price_view_interaction, 6) AS price_view_interaction, "
+    "round(stock_demand_interaction, 6) AS stock_demand_interaction FROM fe_f2", "fe_f2")
+
+# Evaluation and comparison
+view("core_train", "SELECT * FROM core_feat WHERE total_qty IS NOT NULL AND " + " AND ".join(
+    f"{c} IS NOT NULL" for c in MODEL_FEATURES), "core_feat")
+ORACLE["regression_metrics"] = with_views("""
+SELECT valid_samples, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(mape, 6) AS mape,
+       round(CASE WHEN sst = 0 THEN (CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END) ELSE 1.0 - sse / sst END, 6) AS r2
+FROM (SELECT count(*) AS valid_samples, avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse,
+             coalesce(avg(CASE WHEN y <> 0 THEN abs((y - p) / y) END) * 100.0, 0.0) AS mape,
+             sum((y - p) * (y - p)) AS sse, var_pop(y) * count(*) AS sst
+      FROM (SELECT CAST(total_qty AS DOUBLE) AS y, CAST(lag_1_qty AS DOUBLE) AS p FROM core_train))
+WHERE valid_samples > 0""", "core_train")
+ORACLE["feature_correlation"] = with_views(
+    "SELECT feature, round(correlation, 6) AS correlation, CAST(row_number() OVER (ORDER BY correlation DESC NULLS LAST, "
+    "feature_order) AS INTEGER) AS rank FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {i} AS feature_order, CASE WHEN stddev_pop({c}) * stddev_pop(total_qty) = 0 "
+        f"THEN NULL ELSE covar_pop({c}, total_qty) / (stddev_pop({c}) * stddev_pop(total_qty)) END AS correlation "
+        f"FROM core_train" for i, c in enumerate(MODEL_FEATURES)) + ")", "core_train")
+ORACLE["train_test_split"] = with_views(
+    "SELECT product_key, month, total_qty, "
+    "(('0x' || substr(md5(product_key || '|' || month), 1, 8))::BIGINT % 100) < 80 AS is_train FROM core_train",
+    "core_train")
+ORACLE["forecast_totals"] = forecast_query("core", """
+SELECT product_key, CAST(sum(forecast) AS BIGINT) AS total_forecast, round(avg(forecast), 6) AS mean_forecast,
+       count(*) AS horizon FROM fc_rec WHERE step >= 1 GROUP BY 1""")
+view("cmp_a", "SELECT strftime(month, '%Y-%m') AS month_text, product_key, qty, net_amount, sales_amount "
+              "FROM sales_monthly", "sales_monthly")
+view("cmp_b", "SELECT month AS month_text, product_key, qty, net_price AS net_amount, orders FROM core_main",
+     "core_main")
+ORACLE["compare_shape"] = with_views(
+    "SELECT (SELECT count(*) FROM cmp_a) AS rows_processed, (SELECT count(*) FROM cmp_b) AS rows_reference, "
+    "CAST(5 AS BIGINT) AS cols_processed, CAST(5 AS BIGINT) AS cols_reference, 'orders' AS missing_columns, "
+    "'sales_amount' AS extra_columns, false AS shape_match", "cmp_a", "cmp_b")
+ORACLE["compare_values"] = with_views("""
+SELECT 'qty' AS "column", true AS type_match, 'bigint' AS processed_type, 'bigint' AS reference_type,
+       CAST(sum(CASE WHEN a.qty IS NULL AND b.qty IS NULL THEN 0 WHEN a.qty IS NULL OR b.qty IS NULL THEN 1
+                     WHEN abs(CAST(a.qty AS DOUBLE) - b.qty) <= 1e-10 + 1e-10 * abs(CAST(b.qty AS DOUBLE)) THEN 0
+                     ELSE 1 END) AS BIGINT) AS different_rows,
+       round(max(abs(CAST(a.qty AS DOUBLE) - b.qty)), 6) AS max_difference,
+       round(avg(abs(CAST(a.qty AS DOUBLE) - b.qty)), 6) AS mean_difference,
+       sum(CASE WHEN a.qty IS NULL AND b.qty IS NULL THEN 0 WHEN a.qty IS NULL OR b.qty IS NULL THEN 1
+                WHEN abs(CAST(a.qty AS DOUBLE) - b.qty) <= 1e-10 + 1e-10 * abs(CAST(b.qty AS DOUBLE)) THEN 0
+                ELSE 1 END) = 0 AS values_match
+FROM cmp_a a FULL OUTER JOIN cmp_b b ON a.month_text = b.month_text AND a.product_key = b.product_key
+UNION ALL
+SELECT 'net_amount', false, 'bigint', 'double', NULL, NULL, NULL, false""", "cmp_a", "cmp_b")
+ORACLE["compare_nulls"] = with_views("""
+SELECT a."column", a.null_count_processed, b.null_count_reference FROM
+ (SELECT 'month_text' AS "column", count(*) FILTER (WHERE month_text IS NULL) AS null_count_processed FROM cmp_a
+  UNION ALL SELECT 'product_key', count(*) FILTER (WHERE product_key IS NULL) FROM cmp_a
+  UNION ALL SELECT 'qty', count(*) FILTER (WHERE qty IS NULL) FROM cmp_a
+  UNION ALL SELECT 'net_amount', count(*) FILTER (WHERE net_amount IS NULL) FROM cmp_a) a
+JOIN
+ (SELECT 'month_text' AS "column", count(*) FILTER (WHERE month_text IS NULL) AS null_count_reference FROM cmp_b
+  UNION ALL SELECT 'product_key', count(*) FILTER (WHERE product_key IS NULL) FROM cmp_b
+  UNION ALL SELECT 'qty', count(*) FILTER (WHERE qty IS NULL) FROM cmp_b
+  UNION ALL SELECT 'net_amount', count(*) FILTER (WHERE net_amount IS NULL OR isnan(net_amount)) FROM cmp_b) b
+ON a."column" = b."column\"""", "cmp_a", "cmp_b")
+
+
+# Engine-independent rounding for every query (see sqltext.round_places).
+from retailcast.functions.sqltext import fix_round as _fix_round  # noqa: E402
+
+ORACLE = {k: _fix_round(v) for k, v in ORACLE.items()}
