@@ -5,8 +5,8 @@ predicted), the history length, the product's stable statistics and its
 12-month seasonal profile. Each step is a projection over all products (no
 shuffle): features -> score -> clamp -> shift the three values. The emitted
 steps ride along in the state as an array of structs (at most ``n`` entries)
-and are exploded at the end; lineage is cut with a reliable checkpoint every
-few steps.
+and are exploded at the end; lineage is cut with a reliable checkpoint after
+every step.
 
 Two modes, as in the source:
 * ``core``: rolling mean of the last min(3, n) values, growth = mean growth
@@ -33,7 +33,11 @@ from retailcast.session import cut_lineage
 
 # Growth damping of the core mode.
 GROWTH_DAMPING = 0.8
-CHECKPOINT_EVERY = 4
+# Each step's prediction feeds several features of the next; left in one
+# plan, Catalyst would inline it into every use and the expression would grow
+# exponentially with the horizon. The state (one row per product) is
+# checkpointed after every step instead.
+CHECKPOINT_EVERY = 1
 
 
 @dataclass
@@ -144,7 +148,7 @@ def forecast_recursive(history: DataFrame, n: int = 6, *, scorer=DEFAULT_LINEAR,
         shifted = {"h3": "h2", "h2": "h1", "h1": "CAST(`__pred` AS DOUBLE)", "cnt": "cnt + 1",
                    "__out": f"concat(`__out`, array({entry}))"}
         st = st.selectExpr(*[f"{shifted[c]} AS {X.q(c)}" if c in shifted else X.q(c) for c in base_cols])
-        if checkpoint_every and i % checkpoint_every == 0 and i < n:
+        if checkpoint_every and i % checkpoint_every == 0:
             st = cut_lineage(st)
     out = st.select(key, F.explode("__out").alias("o"))
     return out.select(key, F.col("o.month").alias("month"), F.col("o.step").alias("step"),
