@@ -36,13 +36,38 @@ def monthly_product_sales(df: DataFrame, *, key: str = "product_key", month: str
     ``net_amount`` is sum(amount) * scale truncated to a whole number and
     ``sales_amount`` is the same value under the traffic-facing name.
     """
-    g = (df.where(F.col(key).isNotNull() & F.col(month).isNotNull())
-           .groupBy(F.col(month).alias("month"), F.col(key).alias("product_key"))
-           .agg(count_sum(qty).alias("qty"),
-                (money_sum(amount) * F.lit(scale)).cast("long").alias("net_amount")))
+    g = monthly_sales_with_first(df, key=key, month=month, qty=qty, amount=amount, scale=scale)
+    return g.where(F.col("month").isNotNull()).drop("first_row")
+
+
+def monthly_sales_with_first(df: DataFrame, *, key: str = "product_key", month: str = "month",
+                             qty: str = "qty", amount: str = "net_price", scale: int = 1000,
+                             first_cols: list[str] | None = None,
+                             order_cols: list[str] | None = None) -> DataFrame:
+    """The (month, product) aggregate, optionally carrying each group's first
+    row in source order (``first_row`` struct). Rows with a NULL month are
+    kept here, as their own group, so the first row of a product is exact;
+    ``monthly_product_sales`` drops them. ``product_info_from_monthly`` then
+    needs no second pass over the order lines: the minimum over an order key
+    of per-group minimums is the overall minimum."""
+    aggs = [count_sum(qty).alias("qty"), (money_sum(amount) * F.lit(scale)).cast("long").alias("net_amount")]
+    if first_cols:
+        order = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_cols or [])])
+        aggs.append(F.min_by(F.struct(order.alias("order"), F.struct(*[F.col(c) for c in first_cols]).alias("row")),
+                             order).alias("first_row"))
+    else:
+        aggs.append(F.lit(None).alias("first_row"))
+    g = (df.where(F.col(key).isNotNull())
+           .groupBy(F.col(month).alias("month"), F.col(key).alias("product_key")).agg(*aggs))
     return g.withColumn("sales_amount", F.col("net_amount"))
 
 
+def product_info_from_monthly(agg: DataFrame, cols: list[str], key: str = "product_key") -> DataFrame:
+    """A10 from the carried ``first_row`` structs: one row per product."""
+    first = F.min_by(F.col("first_row.row"), F.col("first_row.order")).alias("first")
+    return agg.groupBy(key).agg(first).select(key, *[F.col(f"first.{c}").alias(c) for c in cols])
+
+
 # --- A2 / A4 ----------------------------------------------------------------
 _AGG_FUNCS = {
     "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)),

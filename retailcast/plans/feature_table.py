@@ -21,8 +21,8 @@ from retailcast.operators.features import (advanced_features, basic_features, en
                                            time_series_features)
 from retailcast.operators.finalize import finalize_features
 from retailcast.operators.joins import holiday_month_flag, sales_product_info_join, sales_stock_join
-from retailcast.operators.rollup import (TrafficSpec, monthly_product_sales, monthly_traffic,
-                                         product_info_first)
+from retailcast.operators.rollup import (TrafficSpec, monthly_sales_with_first, monthly_traffic,
+                                         product_info_from_monthly)
 
 INFO_COLUMNS = ["seller_voucher", "shipping_fee", "total_payment", "status", "list_price",
                 "weight_text", "total_weight_text"]
@@ -37,9 +37,12 @@ def joined_monthly(sales: DataFrame, traffic: DataFrame, stock_status: DataFrame
     """Steps 2-9: clean, roll up, allocate traffic, join product info, stock
     status and holiday months, parse weights, encode the stock status."""
     s = prepare_sales(sales, holidays)
-    monthly = monthly_product_sales(s)
+    # One aggregate over the order lines feeds both the monthly rows and the
+    # per-product first row (no second pass over the lines).
+    agg = monthly_sales_with_first(s, first_cols=list(info_cols), order_cols=list(order_cols))
+    monthly = agg.where(F.col("month").isNotNull()).drop("first_row")
     alloc = allocate_traffic(monthly, monthly_traffic(traffic, spec), spec, cutoff)
-    info = product_info_first(s, list(info_cols), list(order_cols))
+    info = product_info_from_monthly(agg, list(info_cols))
     j = sales_product_info_join(alloc, info)
     j = sales_stock_join(j, stock_status, STOCK_NUMBERS + ["stock_status"])
     # NULL for products without stock rows: float columns, as after the source's join
