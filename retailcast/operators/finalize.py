@@ -58,8 +58,15 @@ def finalize_features(df: DataFrame, trend_cols=TREND_COLUMNS, ratio_cols=RATIO_
         return x
 
     stage = df.selectExpr(*[f"{after_b(c)} AS {X.q(c)}" for c in df.columns])
-    # Step (d) medians are taken over the (b)+(c) values.
-    med_d = column_medians(stage, num, count_infinite=False)
+    # Step (d) medians are taken over the (b)+(c) values, and only for the
+    # columns that still hold a NULL: one counting pass keeps the unpivoted
+    # input of every refinement pass narrow.
+    if num:
+        holes = stage.selectExpr(*[f"count_if({X.q(c)} IS NULL) AS `n{i}`" for i, c in enumerate(num)]).first()
+        need = [c for i, c in enumerate(num) if holes[f"n{i}"] > 0]
+    else:
+        need = []
+    med_d = column_medians(stage, need, count_infinite=False)
     out = []
     for c in df.columns:
         x = after_b(c)
