@@ -572,3 +572,15 @@ def q_compare_values(spark, sf):
 @query("compare_nulls")
 def q_compare_nulls(spark, sf):
     return compare_nulls(*_compare_sides(spark, sf))
+
+
+# --- header handling -------------------------------------------------------------
+from retailcast.sources.schema import date_parse_rates  # noqa: E402
+
+
+@query("date_parse_rates")
+def q_date_parse_rates(spark, sf):
+    fx = _fx(spark, sf)
+    h = date_parse_rates(fx.holidays(), "date_text").withColumn("source", F.lit("holidays"))
+    t = date_parse_rates(fx.traffic(), "date_text").withColumn("source", F.lit("traffic"))
+    return h.unionByName(t).select("source", "strategy", "strategy_order", r6("parsed_share").alias("parsed_share"))

@@ -634,3 +634,52 @@ ON a."column" = b."column\"""", "cmp_a", "cmp_b")
 from retailcast.functions.sqltext import fix_round as _fix_round  # noqa: E402
 
 ORACLE = {k: _fix_round(v) for k, v in ORACLE.items()}
+
+
+# --------------------------------------------------------------------------
+# H2: date strategies; Spark patterns become strptime formats plus a shape
+# regex (Spark's two-letter fields need two digits, strptime's do not).
+from retailcast.sources.schema import DATE_STRATEGIES  # noqa: E402
+
+_TOKENS = [("yyyy", "%Y", r"\d{4}"), ("dd", "%d", r"\d{2}"), ("MM", "%m", r"\d{2}"), ("HH", "%H", r"\d{2}"),
+           ("mm", "%M", r"\d{2}"), ("ss", "%S", r"\d{2}"), ("d", "%d", r"\d{1,2}"), ("M", "%m", r"\d{1,2}"),
+           ("H", "%H", r"\d{1,2}")]
+
+
+def _pattern(p: str) -> tuple[str, str]:
+    fmt, rx, i = "", "", 0
+    while i < len(p):
+        if p[i] == "'":
+            j = p.index("'", i + 1)
+            fmt += p[i + 1:j]
+            rx += p[i + 1:j]
+            i = j + 1
+            continue
+        for tok, f, r in _TOKENS:
+            if p.startswith(tok, i):
+                fmt, rx, i = fmt + f, rx + r, i + len(tok)
+                break
+        else:
+            fmt += p[i]
+            rx += "\\" + p[i] if p[i] in "./-" else p[i]
+            i += 1
+    return fmt, rx
+
+
+def _strategy_ok(col: str, formats: list[str]) -> str:
+    parts = []
+    for p in formats:
+        fmt, rx = _pattern(p)
+        parts.append(f"(regexp_full_match({col}, '{rx}') AND try_strptime({col}, '{fmt}') IS NOT NULL)")
+    return "(" + " OR ".join(parts) + ")"
+
+
+def _rates(src: str, view_name: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{src}' AS source, '{name}' AS strategy, {i} AS strategy_order, "
+        f"round(avg(CASE WHEN {_strategy_ok('date_text', fm)} THEN 1.0 ELSE 0.0 END), 6) AS parsed_share "
+        f"FROM {view_name}" for i, (name, fm) in enumerate(DATE_STRATEGIES))
+
+
+ORACLE["date_parse_rates"] = _fix_round(with_views(
+    _rates("holidays", "holidays") + " UNION ALL " + _rates("traffic", "traffic"), "holidays", "traffic"))
