@@ -14,6 +14,31 @@ from pyspark.sql import functions as F
 from retailcast.operators.clean import prepare_sales
 from retailcast.operators.rollup import monthly_product_sales
 from retailcast.sources.fixtures import Fixtures
+from retailcast.operators.allocate import allocate_traffic, apportion_counts, month_share
+from retailcast.operators.rollup import TrafficSpec, monthly_traffic, traffic_ratios_global
+from retailcast.plans.feature_table import feature_table, features_unfilled, joined_monthly
+from retailcast.plans.core_table import MODEL_FEATURES, core_assembly, core_features, training_rows
+from retailcast.plans.forecast import (DEFAULT_LINEAR, forecast_growth, forecast_recursive,
+                                       future_months, history_and_forecast)
+from retailcast.functions.calendar import month_from_text
+from pyspark.sql import Window
+from retailcast.functions import sqltext as X
+from retailcast.functions.calendar import month_text
+from retailcast.functions.text import parse_localized_number, parse_percent, parse_weight
+from retailcast.operators.clean import (discount_pct, drop_cancelled, scaled_amount, unit_price,
+                                        with_order_month, with_product_key)
+from retailcast.operators.compare import compare_nulls, compare_shape, compare_values
+from retailcast.operators.evaluate import feature_correlation, regression_metrics
+from retailcast.operators.features import (advanced_features, basic_features, encode_labels,
+                                           linear_trend_last3, seasonal_profile, time_series_features)
+from retailcast.operators.joins import (holiday_month_flag, safe_join, sales_product_info_join,
+                                        sales_stock_join, sales_traffic_join)
+from retailcast.operators.medians import column_medians_frame
+from retailcast.operators.rollup import (dataset_summary, forecast_totals, monthly_rollup,
+                                         monthly_row_counts, product_info_first, product_list, top_products)
+from retailcast.plans.feature_table import INFO_COLUMNS, SOURCE_ORDER
+from retailcast.plans.train import gbt_metrics, score, train_gbt, train_test_split
+from retailcast.sources.schema import date_parse_rates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -45,8 +70,6 @@ def q_monthly_product_sales(spark, sf):
 
 
 # --- allocation ------------------------------------------------------------
-from retailcast.operators.allocate import allocate_traffic, apportion_counts, month_share  # noqa: E402
-from retailcast.operators.rollup import TrafficSpec, monthly_traffic, traffic_ratios_global  # noqa: E402
 
 _SPEC = TrafficSpec()
 COUNTS = list(_SPEC.counts)
@@ -105,7 +128,6 @@ def q_estimate_missing_traffic(spark, sf):
 
 
 # --- feature table ---------------------------------------------------------
-from retailcast.plans.feature_table import feature_table, features_unfilled, joined_monthly  # noqa: E402
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -126,10 +148,6 @@ def q_feature_table(spark, sf):
 
 
 # --- lenient (core) path and forecasts --------------------------------------
-from retailcast.plans.core_table import MODEL_FEATURES, core_assembly, core_features, training_rows  # noqa: E402
-from retailcast.plans.forecast import (DEFAULT_LINEAR, forecast_growth, forecast_recursive,  # noqa: E402
-                                       future_months, history_and_forecast)
-from retailcast.functions.calendar import month_from_text  # noqa: E402
 
 FORECAST_HORIZON = 6
 
@@ -196,24 +214,7 @@ def q_history_and_forecast(spark, sf):
 
 
 # --- row-level cleaning (order lines) ----------------------------------------
-from pyspark.sql import Window  # noqa: E402
 
-from retailcast.functions import sqltext as X  # noqa: E402
-from retailcast.functions.calendar import month_text  # noqa: E402
-from retailcast.functions.text import parse_localized_number, parse_percent, parse_weight  # noqa: E402
-from retailcast.operators.clean import (discount_pct, drop_cancelled, scaled_amount, unit_price,  # noqa: E402
-                                        with_order_month, with_product_key)
-from retailcast.operators.compare import compare_nulls, compare_shape, compare_values  # noqa: E402
-from retailcast.operators.evaluate import feature_correlation, regression_metrics  # noqa: E402
-from retailcast.operators.features import (advanced_features, basic_features, encode_labels,  # noqa: E402
-                                           linear_trend_last3, seasonal_profile, time_series_features)
-from retailcast.operators.joins import (holiday_month_flag, safe_join, sales_product_info_join,  # noqa: E402
-                                        sales_stock_join, sales_traffic_join)
-from retailcast.operators.medians import column_medians_frame  # noqa: E402
-from retailcast.operators.rollup import (dataset_summary, forecast_totals, monthly_rollup,  # noqa: E402
-                                         monthly_row_counts, product_info_first, product_list, top_products)
-from retailcast.plans.feature_table import INFO_COLUMNS, SOURCE_ORDER  # noqa: E402
-from retailcast.plans.train import gbt_metrics, score, train_gbt, train_test_split  # noqa: E402
 
 ROW_ID = ["src_orderkey", "src_linenumber", "src_partkey", "src_suppkey"]
 
@@ -575,7 +576,6 @@ def q_compare_nulls(spark, sf):
 
 
 # --- header handling -------------------------------------------------------------
-from retailcast.sources.schema import date_parse_rates  # noqa: E402
 
 
 @query("date_parse_rates")

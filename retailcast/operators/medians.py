@@ -18,7 +18,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+# The per-pass aggregate holds at most min(BUCKETS, distinct values) rows
+# per (column, target); a wide grid usually resolves the rank in one pass.
+BUCKETS = 65536
 MAX_PASSES = 64
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from retailcast.operators.evaluate import regression_metrics
 from retailcast.plans.core_table import MODEL_FEATURES
+from retailcast.session import cut_lineage
 
 # The tuned settings of the source's booster that MLlib's
 # GBTRegressor can express (300 trees, depth 3, rate 0.2, all rows/columns).
@@ -43,7 +44,10 @@ def gbt_pipeline(features=MODEL_FEATURES, target: str = "total_qty", **params) -
 
 def train_gbt(train: DataFrame, features=MODEL_FEATURES, target: str = "total_qty", **params) -> PipelineModel:
     """M2: boosted trees over the feature vector (MLlib has no L1/L2 terms)."""
-    t = train.withColumn(target, F.col(target).cast("double"))
+    # MLlib reads its input several times (split finding, binned tree input);
+    # a checkpoint of just the needed columns keeps the feature plan from
+    # being recomputed for each pass.
+    t = cut_lineage(train.select(*features, F.col(target).cast("double").alias(target)))
     return gbt_pipeline(features, target, **params).fit(t)
 
 
