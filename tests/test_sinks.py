@@ -29,3 +29,12 @@ def test_model_and_export(spark, tmp_path):
     assert x == y
     path = export_forecasts(df.limit(3), str(tmp_path), now=dt.datetime(2025, 1, 2, 3, 4, 5))
     assert path.endswith("forecast_20250102_030405") and os.path.isdir(path)
+
+
+def test_grid_search(spark):
+    from retailcast.plans.train import grid_search
+    rows = [(float(i % 7), float(i % 4), float(i % 7) * 3 + (i % 4)) for i in range(80)]
+    df = spark.createDataFrame(rows, "a double, b double, total_qty double")
+    cv = grid_search(df, {"maxDepth": [1, 2], "maxIter": [2]}, features=["a", "b"], folds=2)
+    assert len(cv.avgMetrics) == 2
+    assert min(cv.avgMetrics) == cv.avgMetrics[1]  # the deeper trees fit this better
