@@ -286,7 +286,7 @@ SELECT *, sold_qty AS total_qty, CAST(month(strptime(month, '%Y-%m')) AS BIGINT)
   avg(sold_qty) OVER (PARTITION BY product_key) AS mean_qty_per_product,
   last_value(sold_qty IGNORE NULLS) OVER (PARTITION BY product_key ORDER BY month
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ffill,
-  1.0 AS seasonal_index, 1.0 AS total_orders
+  CAST(1.0 AS DOUBLE) AS seasonal_index, CAST(1.0 AS DOUBLE) AS total_orders
 FROM core_main""", "core_main")
 view("core_feat", f"""
 SELECT * EXCLUDE (ffill, tr), CASE WHEN tr IS NULL OR isinf(tr) THEN 0.0 ELSE tr END AS trend_qty FROM (

@@ -89,8 +89,8 @@ def core_features(df: DataFrame, key: str = "product_key", month: str = "month")
         f"avg(total_qty) OVER {r3} AS rolling_3m_qty",
         f"avg(total_qty) OVER {X.window([key])} AS mean_qty_per_product",
         f"last(total_qty, true) OVER {ff} AS `__ffill`",
-        "1.0 AS seasonal_index",
-        "1.0 AS total_orders")
+        "CAST(1.0 AS DOUBLE) AS seasonal_index",
+        "CAST(1.0 AS DOUBLE) AS total_orders")
     df = df.selectExpr(
         "*",
         f"coalesce({X.ieee('`__ffill`', f'lag(`__ffill`) OVER {wp}')} - 1.0, 0.0) AS mom_growth_qty",
