@@ -2,7 +2,8 @@
 within a tolerance, per-column NULL counts.
 
 Rows are aligned by key columns through a full outer join (repeated keys
-are numbered in key order, so the n-th copy meets the n-th copy); every
+are numbered, salted so a hot key is split, and the n-th copy meets the
+n-th copy); every
 per-column statistic is one conditional aggregate in a single pass, then
 unpivoted with ``stack``. Nothing is collected but schema names.
 """
@@ -36,15 +37,38 @@ def compare_shape(a: DataFrame, b: DataFrame) -> DataFrame:
         ((F.col("rows_processed") == F.col("rows_reference")) & F.lit(same_cols)).alias("shape_match"))
 
 
+# Salt buckets for numbering repeated keys: a key repeated across a third of
+# the rows is numbered in SALTS separate groups, never in one task.
+SALTS = 64
+
+
+def _numbered(df: DataFrame, keys: list[str], prefix: str, rn: str) -> DataFrame:
+    """Number the copies of each key 1..n without one window per key: rows
+    are numbered inside (key, salt) groups, and each group's offset comes from
+    a window over at most SALTS count rows per key."""
+    others = [c for c in df.columns if c not in keys]
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SALTS))
+    d = df.withColumn("__salt", salt)
+    local = d.withColumn("__lrn", F.row_number().over(
+        Window.partitionBy(*keys, "__salt").orderBy(*[F.col(c).asc_nulls_first() for c in others])))
+    counts = d.groupBy(*keys, "__salt").agg(F.count(F.lit(1)).alias("__cnt"))
+    before = Window.partitionBy(*keys).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(before), F.lit(0))).drop("__cnt")
+    cond = F.col("__salt") == F.col("__salt_o")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__ko_{k}"))
+    off = offsets.select(*[F.col(k).alias(f"__ko_{k}") for k in keys], F.col("__salt").alias("__salt_o"), "__off")
+    j = local.join(off, cond, "left")
+    return j.select(*[F.col(k).alias(f"{prefix}k_{k}") for k in keys], (F.col("__off") + F.col("__lrn")).alias(rn),
+                    *[F.col(c).alias(f"{prefix}{c}") for c in others])
+
+
 def _aligned(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*keys)
-    la = a.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.row_number().over(w).alias("__rn"),
-                  *[F.col(c).alias(f"__a_{c}") for c in a.columns if c not in keys])
-    lb = b.select(*[F.col(k).alias(f"__j_{k}") for k in keys], F.row_number().over(w).alias("__rnb"),
-                  *[F.col(c).alias(f"__b_{c}") for c in b.columns if c not in keys])
+    la = _numbered(a, keys, "__a_", "__rn")
+    lb = _numbered(b, keys, "__b_", "__rnb")
     cond = F.col("__rn") == F.col("__rnb")
     for k in keys:
-        cond = cond & F.col(f"__k_{k}").eqNullSafe(F.col(f"__j_{k}"))
+        cond = cond & F.col(f"__a_k_{k}").eqNullSafe(F.col(f"__b_k_{k}"))
     return la.join(lb, cond, "full_outer")
 
 

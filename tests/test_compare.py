@@ -16,3 +16,11 @@ def test_compare_planted(spark):
     assert shape.rows_processed == 3 and shape.extra_columns == "t" and shape.shape_match is False
     nulls = {r["column"]: (r.null_count_processed, r.null_count_reference) for r in compare_nulls(a, b).collect()}
     assert nulls["v"] == (0, 1) and nulls["s"] == (1, 1)
+
+
+def test_compare_repeated_keys(spark):
+    a = spark.createDataFrame([(1, float(i)) for i in range(500)] + [(2, 1.0)], "k long, v double")
+    b = spark.createDataFrame([(1, float(i)) for i in range(500)] + [(2, 1.5)], "k long, v double")
+    vals = {r["column"]: r for r in compare_values(a, b, ["k"]).collect()}
+    # the 500 copies of key 1 pair up value for value; only key 2 differs
+    assert vals["v"].different_rows == 1 and vals["v"].max_difference == 0.5
