@@ -3,10 +3,11 @@
 W1 share of month, W2 whole-number apportioning, W3 exact money split,
 W4 rate copy, W5 estimates for months without traffic.
 
-Everything runs on the aggregated (month, product) rows. The month window
-holds one row per product sold in that month (the catalog, not the order
-volume); one window spec carries every metric, so it costs one shuffle and
-one sort. Shop-wide ratios are a single aggregate row, inlined as literals.
+Everything runs on the aggregated (month, product) rows. Month totals are
+partial aggregates broadcast back (one row per calendar month); the
+apportioning rank is computed without sorting any month in one task
+(``rank_in_group``). Shop-wide ratios are a single aggregate row, inlined as
+literals.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from retailcast.functions import sqltext as X
 from retailcast.functions.numeric import ieee_div
 from retailcast.operators.rollup import TrafficSpec, traffic_ratios_global
+from retailcast.session import cut_lineage
 
 # Estimated money for months without traffic is damped to 80 %.
 ESTIMATE_MONEY_FACTOR = 0.8
@@ -25,8 +27,33 @@ MIN_COUNT = 1
 
 def month_share(df: DataFrame, amount: str = "net_amount", month: str = "month",
                 out: str = "weight") -> DataFrame:
-    """Amount / month total (x/0 -> inf, 0/0 -> NULL)."""
-    return df.withColumn(out, ieee_div(F.col(amount), F.sum(F.col(amount)).over(Window.partitionBy(month))))
+    """Amount / month total (x/0 -> inf, 0/0 -> NULL). The month totals
+    are a partial aggregate (one row per month) broadcast back to the rows."""
+    tot = df.groupBy(month).agg(F.sum(F.col(amount)).alias("__mt"))
+    j = df.join(F.broadcast(tot), month, "left")
+    return j.withColumn(out, ieee_div(F.col(amount), F.col("__mt"))).drop("__mt")
+
+
+def rank_in_group(df: DataFrame, group: str, order: list, out: str = "__rank") -> DataFrame:
+    """0-based position of each row inside its group under ``order``, without
+    sorting a whole group in one task.
+
+    Rows are range-partitioned by (group, order): a large group spans many
+    partitions. The partition ids are frozen by a reliable checkpoint (range
+    bounds come from sampling, so a recomputation could move them); rows are
+    numbered inside (partition, group), and each (partition, group) gets the
+    count of its group's rows in earlier partitions from a table of at most
+    partitions x groups rows."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ranged = cut_lineage(df.repartitionByRange(parts, F.col(group), *order)
+                           .withColumn("__pid", F.spark_partition_id()))
+    local = ranged.withColumn("__lrn", F.row_number().over(Window.partitionBy("__pid", group).orderBy(*order)))
+    counts = ranged.groupBy("__pid", group).agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.partitionBy(group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__off", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
+    j = local.join(F.broadcast(offsets), ["__pid", group], "left")
+    return j.withColumn(out, F.col("__off") + F.col("__lrn") - 1).drop("__pid", "__lrn", "__off")
 
 
 def apportion_counts(df: DataFrame, totals: dict[str, str], *, weight: str = "net_amount",
@@ -39,26 +66,31 @@ def apportion_counts(df: DataFrame, totals: dict[str, str], *, weight: str = "ne
     cycling; then every part is floored at ``min_val``. A NULL or 0 total, or
     zero weights, gives 0 everywhere (no floor). Closed form of the stepwise
     loop: part += sign(d) * (|d| div n + [rank < |d| mod n]).
+
+    Groups are calendar months here: the per-group tables (one row per
+    group) are broadcast; the rank comes from ``rank_in_group``, so no group
+    is ever sorted in a single task.
     """
-    w = X.window([group])
-    wr = X.window([group], [f"{X.q(weight)} DESC", f"{X.q(key)} ASC"])
     names = list(totals)
-    step1 = [f"CAST({t} AS BIGINT) AS `__t_{o}`" for o, t in totals.items()]
-    step1 += [f"sum({X.q(weight)}) OVER {w} AS `__tw`", f"count(1) OVER {w} AS `__n`",
-              f"row_number() OVER {wr} - 1 AS `__rank`"]
-    tmp = df.selectExpr("*", *step1)
+    tmp = df.selectExpr("*", *[f"CAST({t} AS BIGINT) AS `__t_{o}`" for o, t in totals.items()])
+    g1 = tmp.groupBy(group).agg(F.sum(F.col(weight)).alias("__tw"), F.count(F.lit(1)).alias("__n"))
+    tmp = tmp.join(F.broadcast(g1), group, "left")
     share = X.ieee(X.q(weight), "`__tw`")
     tmp = tmp.selectExpr("*", *[
         f"CASE WHEN `__tw` <> 0 THEN CAST(bround(CAST(`__t_{o}` AS DOUBLE) * {share}, 0) AS BIGINT) END AS `__b_{o}`"
         for o in names])
+    g2 = tmp.groupBy(group).agg(*[F.sum(f"__b_{o}").alias(f"__sb_{o}") for o in names])
+    tmp = rank_in_group(tmp.join(F.broadcast(g2), group, "left"), group,
+                        [F.col(weight).desc(), F.col(key).asc()])
     parts = []
     for o in names:
-        d = f"(`__t_{o}` - sum(`__b_{o}`) OVER {w})"
+        d = f"(`__t_{o}` - `__sb_{o}`)"
         parts.append(
             f"CASE WHEN `__t_{o}` IS NULL OR `__t_{o}` = 0 OR `__tw` IS NULL OR `__tw` = 0 THEN CAST(0 AS BIGINT) "
             f"ELSE greatest(`__b_{o}` + CAST(signum({d}) AS BIGINT) * (CAST(floor(abs({d}) / `__n`) AS BIGINT) "
             f"+ CASE WHEN `__rank` < abs({d}) % `__n` THEN 1 ELSE 0 END), CAST({min_val} AS BIGINT)) END AS {X.q(o)}")
-    own = {"__tw", "__n", "__rank"} | {f"__t_{o}" for o in names} | {f"__b_{o}" for o in names}
+    own = ({"__tw", "__n", "__rank"} | {f"__t_{o}" for o in names} | {f"__b_{o}" for o in names}
+           | {f"__sb_{o}" for o in names})
     keep = [X.q(c) for c in tmp.columns if c not in own and c not in names]
     return tmp.selectExpr(*keep, *parts)
 
@@ -84,7 +116,8 @@ def allocate_traffic(monthly: DataFrame, traffic_monthly: DataFrame, spec: Traff
     right = traffic_monthly.drop("total_sales")
     j = monthly.join(F.broadcast(right), "month", "left")
     a = X.q(amount)
-    j = j.selectExpr("*", f"sum({a}) OVER {X.window(['month'])} AS `__msales`")
+    msales = monthly.groupBy("month").agg(F.sum(F.col(amount)).alias("__msales"))
+    j = j.join(F.broadcast(msales), "month", "left")
     early = f"(`month` < {cut})"
     share = X.ieee(a, "`__msales`")
     est = {c: f"greatest(CAST(1 AS BIGINT), CAST(bround(CAST(`__msales` AS DOUBLE) * {lit[c + '_per_sale']}, 0) AS BIGINT))"

@@ -46,3 +46,17 @@ def test_apportion_edges(spark):
     assert parts == [1, 1, 1]  # total < rows: the floor lifts the zero part, sum exceeds the total
     df = spark.createDataFrame([(1, "a", 3, 9), (1, "b", 3, 9), (1, "c", 3, 9)], "month int, product_key string, w long, total long")
     assert sorted(r["part"] for r in apportion_counts(df, {"part": "total"}, weight="w").collect()) == [3, 3, 3]
+
+
+def test_rank_in_hot_group(spark):
+    from pyspark.sql import functions as F
+
+    from retailcast.operators.allocate import rank_in_group
+    rnd = random.Random(11)
+    rows = [(1, f"k{i:05d}", rnd.randint(0, 50)) for i in range(3000)] + [(2, f"k{i:05d}", i) for i in range(10)]
+    df = spark.createDataFrame(rows, "month int, product_key string, w long")
+    got = {(r.month, r.product_key): r.__rank for r in
+           rank_in_group(df, "month", [F.col("w").desc(), F.col("product_key").asc()]).collect()}
+    for m in (1, 2):
+        ordered = sorted((r for r in rows if r[0] == m), key=lambda r: (-r[2], r[1]))
+        assert [got[(m, r[1])] for r in ordered] == list(range(len(ordered)))
