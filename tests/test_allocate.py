@@ -55,7 +55,7 @@ def test_rank_in_hot_group(spark):
     rnd = random.Random(11)
     rows = [(1, f"k{i:05d}", rnd.randint(0, 50)) for i in range(3000)] + [(2, f"k{i:05d}", i) for i in range(10)]
     df = spark.createDataFrame(rows, "month int, product_key string, w long")
-    got = {(r.month, r.product_key): r.__rank for r in
+    got = {(r["month"], r["product_key"]): r["__rank"] for r in
            rank_in_group(df, "month", [F.col("w").desc(), F.col("product_key").asc()]).collect()}
     for m in (1, 2):
         ordered = sorted((r for r in rows if r[0] == m), key=lambda r: (-r[2], r[1]))
