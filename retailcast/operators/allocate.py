@@ -44,9 +44,10 @@ def rank_in_group(df: DataFrame, group: str, order: list, out: str = "__rank") -
     numbered inside (partition, group), and each (partition, group) gets the
     count of its group's rows in earlier partitions from a table of at most
     partitions x groups rows."""
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    ranged = cut_lineage(df.repartitionByRange(parts, F.col(group), *order)
+    # No explicit partition count: the shuffle-partition setting applies and
+    # AQE may merge neighbouring ranges, which keeps every partition a
+    # contiguous stretch of the order.
+    ranged = cut_lineage(df.repartitionByRange(F.col(group), *order)
                            .withColumn("__pid", F.spark_partition_id()))
     local = ranged.withColumn("__lrn", F.row_number().over(Window.partitionBy("__pid", group).orderBy(*order)))
     counts = ranged.groupBy("__pid", group).agg(F.count(F.lit(1)).alias("__c"))
