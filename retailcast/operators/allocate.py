@@ -105,6 +105,9 @@ def allocate_traffic(monthly: DataFrame, traffic_monthly: DataFrame, spec: Traff
     and rates as the shop-wide mean."""
     s = spec or TrafficSpec()
     counts, money, rates = list(s.counts), list(s.money), list(s.rate_text)
+    # Month-grain traffic (one row per calendar month) feeds the shop-wide
+    # ratios and the join: materialise it once instead of aggregating twice.
+    traffic_monthly = cut_lineage(traffic_monthly)
     # The shop-wide ratios are one aggregate row (a fixed set of scalars):
     # computed once and inlined as literals, so every row reads them without
     # a join and the traffic aggregate is not re-planned per reference.

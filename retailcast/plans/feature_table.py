@@ -21,6 +21,7 @@ from retailcast.operators.features import (advanced_features, basic_features, en
                                            time_series_features)
 from retailcast.operators.finalize import finalize_features
 from retailcast.operators.joins import holiday_month_flag, sales_product_info_join, sales_stock_join
+from retailcast.session import cut_lineage
 from retailcast.operators.rollup import (TrafficSpec, monthly_sales_with_first, monthly_traffic,
                                          product_info_from_monthly)
 
@@ -38,8 +39,9 @@ def joined_monthly(sales: DataFrame, traffic: DataFrame, stock_status: DataFrame
     status and holiday months, parse weights, encode the stock status."""
     s = prepare_sales(sales, holidays)
     # One aggregate over the order lines feeds both the monthly rows and the
-    # per-product first row (no second pass over the lines).
-    agg = monthly_sales_with_first(s, first_cols=list(info_cols), order_cols=list(order_cols))
+    # per-product first row. It is materialised once (reliable checkpoint):
+    # later steps run as several jobs, and none of them may rescan the lines.
+    agg = cut_lineage(monthly_sales_with_first(s, first_cols=list(info_cols), order_cols=list(order_cols)))
     monthly = agg.where(F.col("month").isNotNull()).drop("first_row")
     alloc = allocate_traffic(monthly, monthly_traffic(traffic, spec), spec, cutoff)
     info = product_info_from_monthly(agg, list(info_cols))
