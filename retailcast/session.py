@@ -44,17 +44,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     fresh scratch folder created and registered.
     """
     sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():  # already registered (by the cluster or an earlier call)
+        return current.get()
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
         try:
             conf_dir = spark.conf.get("spark.checkpoint.dir", None)
         except Exception:  # noqa: BLE001 - key unknown to the SQL conf
             conf_dir = None
-    if not conf_dir:
-        # Unset: only in tests / local runs. Reuse one folder per context.
-        conf_dir = sc._jsc.sc().getCheckpointDir()
-        conf_dir = conf_dir.get() if conf_dir.isDefined() else None
-    if not conf_dir:
+    if not conf_dir:  # unset: only in tests / local runs
         conf_dir = tempfile.mkdtemp(prefix="retailcast-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir
