@@ -25,7 +25,7 @@ def test_apportioned_counts(spark):
                 assert r.got == 0
                 continue
             assert r.lo >= 1
-            assert r.total <= r.got <= r.total + r.n   # the floor adds at most one unit per row
+            assert r.total <= r.got <= r.total + 2 * r.n   # a pre-floor part is >= -1: the floor adds <= 2 a row
             if r.lo > 1:                                # no part at the floor: nothing was lifted
                 assert r.got == r.total, (c, r)
 
