@@ -330,10 +330,10 @@ sm AS (
   FROM fc_hist WHERE total_qty IS NOT NULL GROUP BY 1, 2),
 ov AS (SELECT product_key, sum(s) / sum(c) AS overall FROM sm GROUP BY 1),
 prof AS (
-  SELECT ov.product_key, list(CASE WHEN ov.overall > 0 AND sm.c > 0 THEN (sm.s / sm.c) / ov.overall ELSE 1.0 END
-                              ORDER BY g.m) AS seasonal
-  FROM ov CROSS JOIN range(1, 13) g(m)
-  LEFT JOIN sm ON sm.product_key = ov.product_key AND sm.moy = g.m
+  SELECT g.product_key, list(CASE WHEN g.overall > 0 AND sm.c > 0 THEN (sm.s / sm.c) / g.overall ELSE 1.0 END
+                             ORDER BY g.m) AS seasonal
+  FROM (SELECT product_key, overall, unnest(generate_series(1, 12)) AS m FROM ov) g
+  LEFT JOIN sm ON sm.product_key = g.product_key AND sm.moy = g.m
   GROUP BY 1)
 SELECT st.*, l3.h1, l3.h2, l3.h3, prof.seasonal
 FROM st LEFT JOIN l3 USING (product_key) LEFT JOIN prof USING (product_key) WHERE st.cnt > 0""", "fc_hist")
@@ -392,8 +392,9 @@ _FC_SEL = ("SELECT product_key, month, CAST(step AS INTEGER) AS step, forecast,
 ORACLE["forecast_recursive"] = forecast_query("core", _FC_SEL)
 ORACLE["forecast_recursive_plain"] = forecast_query("plain", _FC_SEL)
 ORACLE["future_months"] = with_views(
-    "SELECT product_key, CAST(last + to_months(CAST(g.i AS INTEGER)) AS DATE) AS month "
-    "FROM (SELECT product_key, max(month) AS last FROM fc_hist GROUP BY 1) CROSS JOIN range(1, 7) g(i)", "fc_hist")
+    "SELECT product_key, CAST(last + to_months(CAST(i AS INTEGER)) AS DATE) AS month FROM ("
+    "SELECT product_key, last, unnest(generate_series(1, 6)) AS i "
+    "FROM (SELECT product_key, max(month) AS last FROM fc_hist GROUP BY 1))", "fc_hist")
 ORACLE["forecast_growth"] = forecast_query("core", """
 SELECT f.product_key, f.month, CAST(f.step AS INTEGER) AS step, f.forecast, l.last_actual,
        round(""" + ieee("f.forecast - l.last_actual", "l.last_actual") + """ * 100.0, 6) AS growth_pct
@@ -463,12 +464,12 @@ ORACLE["seasonal_index"] = with_views(
     "avg(qty) OVER (PARTITION BY product_key, month(month)) / avg(qty) OVER (PARTITION BY product_key) "
     "ELSE 0.0 END, 6) AS seasonal_index FROM sales_monthly", "sales_monthly")
 ORACLE["seasonal_profile"] = with_views("""
-SELECT ov.product_key, CAST(g.m AS BIGINT) AS month_of_year,
-       round(CASE WHEN ov.overall > 0 AND sm.c > 0 THEN (sm.s / sm.c) / ov.overall ELSE 1.0 END, 6) AS seasonal_index
-FROM (SELECT product_key, sum(qty) / count(qty) AS overall FROM sales_monthly GROUP BY 1) ov
-CROSS JOIN range(1, 13) g(m)
+SELECT g.product_key, CAST(g.m AS BIGINT) AS month_of_year,
+       round(CASE WHEN g.overall > 0 AND sm.c > 0 THEN (sm.s / sm.c) / g.overall ELSE 1.0 END, 6) AS seasonal_index
+FROM (SELECT product_key, overall, unnest(generate_series(1, 12)) AS m
+      FROM (SELECT product_key, sum(qty) / count(qty) AS overall FROM sales_monthly GROUP BY 1)) g
 LEFT JOIN (SELECT product_key, month(month) AS moy, sum(qty) AS s, count(qty) AS c FROM sales_monthly GROUP BY 1, 2) sm
-  ON sm.product_key = ov.product_key AND sm.moy = g.m""", "sales_monthly")
+  ON sm.product_key = g.product_key AND sm.moy = g.m""", "sales_monthly")
 ORACLE["rolling_3m"] = with_views(
     "SELECT month, product_key, " + ", ".join(f"round(avg({c}) OVER {_S3}, 6) AS rolling_3m_{o}" for c, o in
                                               (("qty", "qty"), ("sales_amount", "sales"), ("views", "views")))

@@ -118,11 +118,13 @@ FROM part p"""
 DEPS["shop_stock"] = ()
 
 VIEWS["holidays"] = """
-SELECT CAST(h.mo AS VARCHAR) || '/' || CAST(h.d AS VARCHAR) || '/' || CAST(y.y AS VARCHAR) AS date_text,
-       h.name AS holiday_name, CAST(y.y AS INTEGER) AS year
-FROM range(1995, 2002) y(y)
-CROSS JOIN (VALUES (1, 1, 'Tahun Baru'), (5, 1, 'Hari Buruh'), (6, 1, 'Hari Lahir Pancasila'),
-                   (8, 17, 'Hari Kemerdekaan'), (12, 25, 'Hari Natal')) h(mo, d, name)"""
+SELECT CAST(h.mo AS VARCHAR) || '/' || CAST(h.d AS VARCHAR) || '/' || CAST(y AS VARCHAR) AS date_text,
+       h.name AS holiday_name, CAST(y AS INTEGER) AS year
+FROM (SELECT y, unnest([{'mo': 1, 'd': 1, 'name': 'Tahun Baru'}, {'mo': 5, 'd': 1, 'name': 'Hari Buruh'},
+                        {'mo': 6, 'd': 1, 'name': 'Hari Lahir Pancasila'},
+                        {'mo': 8, 'd': 17, 'name': 'Hari Kemerdekaan'},
+                        {'mo': 12, 'd': 25, 'name': 'Hari Natal'}]) AS h
+      FROM (SELECT unnest(generate_series(1995, 2001)) AS y))"""
 DEPS["holidays"] = ()
 
 VIEWS["holiday_dates"] = """
