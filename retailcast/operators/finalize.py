@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from retailcast.functions import sqltext as X
-from retailcast.operators.medians import column_medians
+from retailcast.operators.medians import column_medians, column_stats
 from retailcast.session import cut_lineage
 
 TREND_COLUMNS = ["mom_growth_qty", "mom_growth_sales", "trend_qty"]
@@ -41,10 +41,21 @@ def finalize_features(df: DataFrame, trend_cols=TREND_COLUMNS, ratio_cols=RATIO_
                          for c in df.columns])
     if checkpoint:
         df = cut_lineage(df)  # scanned once per median pass below
-    med_b = column_medians(df, ratio_cols, count_infinite=True)
     num = numeric_columns(df) if median_cols is None else [c for c in median_cols if c in df.columns]
     types = dict(df.dtypes)
     dbl = {c for c, t in types.items() if t in ("double", "float")}
+    st = column_stats(df, sorted(set(num) | set(ratio_cols)))
+
+    # Pass group 1 (one refinement loop over the table as it is): the (b)
+    # medians of the ratio columns, infinities counted, and the (d) medians of
+    # every other column that holds a NULL or an infinity (their (d) values
+    # are just their finite values).
+    need_other = [c for c in num if c not in ratio_cols and st[c]["null"] + st[c]["neg"] + st[c]["pos"] > 0]
+    need_b = [c for c in ratio_cols if st[c]["null"] > 0]
+    first = {c: dict(st[c], infinite=True) for c in need_b}
+    first.update({c: dict(st[c], infinite=False) for c in need_other})
+    med = column_medians(df, need_b + need_other, stats=first)
+    med_b = {c: med[c] for c in need_b}
 
     def lit(v, t):
         return f"CAST({float(v)!r} AS {t.upper()})"
@@ -57,16 +68,29 @@ def finalize_features(df: DataFrame, trend_cols=TREND_COLUMNS, ratio_cols=RATIO_
             x = X.inf_null(x)
         return x
 
-    stage = df.selectExpr(*[f"{after_b(c)} AS {X.q(c)}" for c in df.columns])
-    # Step (d) medians are taken over the (b)+(c) values, and only for the
-    # columns that still hold a NULL: one counting pass keeps the unpivoted
-    # input of every refinement pass narrow.
-    if num:
-        holes = stage.selectExpr(*[f"count_if({X.q(c)} IS NULL) AS `n{i}`" for i, c in enumerate(num)]).first()
-        need = [c for i, c in enumerate(num) if holes[f"n{i}"] > 0]
-    else:
-        need = []
-    med_d = column_medians(stage, need, count_infinite=False)
+    # Pass group 2: ratio columns still holding a NULL after (b)+(c) need a
+    # (d) median over the filled values; their stats follow from group 1.
+    med_d = {c: med[c] for c in need_other}
+    second = {}
+    for c in ratio_cols:
+        if c not in num:
+            continue
+        m = med_b.get(c)
+        m_fin = m is not None and m not in (float("inf"), float("-inf"))
+        holes = st[c]["neg"] + st[c]["pos"] + (0 if m_fin else st[c]["null"])
+        if holes == 0:
+            continue
+        s2 = {"null": 0, "neg": 0, "pos": 0, "infinite": False,
+              "fin": st[c]["fin"] + (st[c]["null"] if m_fin else 0),
+              "lo": st[c]["lo"], "hi": st[c]["hi"]}
+        if m_fin and st[c]["null"]:
+            s2["lo"] = m if s2["lo"] is None else min(s2["lo"], m)
+            s2["hi"] = m if s2["hi"] is None else max(s2["hi"], m)
+        second[c] = s2
+    if second:
+        stage = df.selectExpr(*[f"{after_b(c)} AS {X.q(c)}" for c in second])
+        med_d.update(column_medians(stage, list(second), stats=second))
+
     out = []
     for c in df.columns:
         x = after_b(c)

@@ -31,34 +31,57 @@ def _long_form(df: DataFrame, cols: list[str]) -> DataFrame:
               .where(F.col("v").isNotNull() & ~F.isnan("v")))
 
 
-def column_medians(df: DataFrame, cols: list[str], count_infinite: bool = False) -> dict[str, float | None]:
+def column_stats(df: DataFrame, cols: list[str]) -> dict[str, dict]:
+    """One pass: per column the NULL/NaN count, -inf and +inf counts, finite
+    count and finite min / max. The columns are unpivoted and grouped by
+    column index (a handful of aggregates, whatever the column count: a wide
+    aggregate with several expressions per column generates far larger code)."""
+    if not cols:
+        return {}
+    items = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v"))
+                      for i, c in enumerate(cols)])
+    long = df.select(F.explode(items).alias("x")).select("x.c", "x.v")
+    v = F.col("v")
+    finite = v.isNotNull() & ~F.isnan(v) & ~v.isin(float("inf"), float("-inf"))
+    rows = long.groupBy("c").agg(
+        F.count_if(v.isNull() | F.isnan(v)).alias("null"),
+        F.count_if(v == float("-inf")).alias("neg"),
+        F.count_if(v == float("inf")).alias("pos"),
+        F.count_if(finite).alias("fin"),
+        F.min(F.when(finite, v)).alias("lo"),
+        F.max(F.when(finite, v)).alias("hi")).collect()
+    by = {r["c"]: r.asDict() for r in rows}
+    empty = {"null": 0, "neg": 0, "pos": 0, "fin": 0, "lo": None, "hi": None}
+    return {c: {k: by.get(i, empty)[k] for k in empty} for i, c in enumerate(cols)}
+
+
+def column_medians(df: DataFrame, cols: list[str], count_infinite: bool = False,
+                   stats: dict[str, dict] | None = None) -> dict[str, float | None]:
     """{column: exact median} for the given numeric columns (None if no values).
 
-    Callers should pass a checkpointed / materialised frame: it is scanned once
-    per refinement pass (typically 2-4 passes).
+    ``stats`` (from ``column_stats``, or derived by the caller) saves the first
+    pass; per column it may also carry ``infinite`` to override
+    ``count_infinite``. Callers should pass a checkpointed / materialised
+    frame: it is scanned once per refinement pass (typically one or two).
     """
     if not cols:
         return {}
     spark = df.sparkSession
     long = _long_form(df, cols)
     fin = F.col("v").isin(float("inf"), float("-inf"))
-    stats = (long.groupBy("c").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("v") == float("-inf"), 1).otherwise(0)).alias("n_neg"),
-        F.sum(F.when(F.col("v") == float("inf"), 1).otherwise(0)).alias("n_pos"),
-        F.min(F.when(~fin, F.col("v"))).alias("lo"),
-        F.max(F.when(~fin, F.col("v"))).alias("hi")).collect())
-    by_c = {r["c"]: r for r in stats}
+    if stats is None:
+        stats = column_stats(df, cols)
 
     picked: dict[tuple[int, int], float] = {}
     open_rows = []  # (c, t, lo, hi, below, k)
-    for i in range(len(cols)):
-        r = by_c.get(i)
+    for i, c in enumerate(cols):
+        r = stats.get(c)
         if r is None:
             continue
-        n, n_neg, n_pos = r["n"], r["n_neg"], r["n_pos"]
-        if not count_infinite:
-            n, n_neg, n_pos = n - n_neg - n_pos, 0, 0
+        if r.get("infinite", count_infinite):
+            n, n_neg, n_pos = r["fin"] + r["neg"] + r["pos"], r["neg"], r["pos"]
+        else:
+            n, n_neg, n_pos = r["fin"], 0, 0
         if n == 0:
             continue
         for t, k in enumerate(((n - 1) // 2, n // 2)):
