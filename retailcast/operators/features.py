@@ -9,50 +9,17 @@ same hash partitioning and only adds a sort).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-import math
-
 from retailcast.functions import sqltext as X
-from retailcast.functions.calendar import days_in_month, month_cos, month_sin
-from retailcast.functions.numeric import ieee_div, nan_to_null, replace_zero
 
 KEY = "product_key"
 MONTH = "month"
 
 
-def wp(key: str = KEY, month: str = MONTH):
-    return Window.partitionBy(key).orderBy(month)
-
-
-def rolling3(col: str, key: str = KEY, month: str = MONTH) -> Column:
-    """Mean of the current and up to two previous rows (min 1 row)."""
-    return F.avg(F.col(col)).over(wp(key, month).rowsBetween(-2, 0))
-
-
-def lag_filled(col: str, k: int, key: str = KEY, month: str = MONTH) -> Column:
-    return F.coalesce(F.lag(F.col(col), k).over(wp(key, month)), F.lit(0))
-
-
-def mom_growth(col: str, key: str = KEY, month: str = MONTH) -> Column:
-    """pct_change: x / previous row - 1 (x/0 -> inf, 0/0 and first row -> NULL)."""
-    return ieee_div(F.col(col), F.lag(F.col(col), 1).over(wp(key, month))) - F.lit(1.0)
-
-
-def trend_ratio(col: str, rolling_col: str, key: str = KEY, month: str = MONTH) -> Column:
-    """x / the previous row's 3-row rolling mean."""
-    return ieee_div(F.col(col), F.lag(F.col(rolling_col), 1).over(wp(key, month)))
-
-
-def seasonal_index(col: str = "qty", key: str = KEY, moy: str = "month_of_year") -> Column:
-    """Mean for this month-of-year / the product's overall mean; 0 when the
-    overall mean is not positive."""
-    overall = F.avg(F.col(col)).over(Window.partitionBy(key))
-    by_moy = F.avg(F.col(col)).over(Window.partitionBy(key, moy))
-    return F.when(overall > 0, by_moy / overall).otherwise(F.lit(0.0))
-
-
 def seasonal_profile(monthly: DataFrame, col: str = "qty", key: str = KEY, month: str = MONTH) -> DataFrame:
     """Full 12-month seasonal map per product as an array (index m-1):
     month mean / overall mean; a month without data, or overall mean <= 0,
@@ -70,22 +37,6 @@ def seasonal_profile(monthly: DataFrame, col: str = "qty", key: str = KEY, month
     return per.select(key, prof.alias("seasonal"))
 
 
-def calendar_features(df: DataFrame, month: str = MONTH) -> DataFrame:
-    return df.withColumns({
-        "year": F.year(month).cast("long"),
-        "month_of_year": F.month(month).cast("long"),
-        "quarter": F.quarter(month).cast("long"),
-        "days_in_month": days_in_month(F.col(month)).cast("long")})
-
-
-def quarter_flags(df: DataFrame, quarter: str = "quarter") -> DataFrame:
-    return df.withColumns({f"quarter_{q}": F.col(quarter) == q for q in (1, 2, 3, 4)})
-
-
-def cyclic_month(df: DataFrame, moy: str = "month_of_year") -> DataFrame:
-    return df.withColumns({"month_sin": month_sin(F.col(moy)), "month_cos": month_cos(F.col(moy))})
-
-
 def encode_labels(df: DataFrame, col: str, out: str, missing: str = "Unknown") -> DataFrame:
     """Label -> code, alphabetical from 0 (missing -> ``missing`` first).
 
