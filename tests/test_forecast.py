@@ -59,3 +59,23 @@ def test_forecast_matches_loop(spark):
             got.setdefault(r.product_key, []).append((r.month, r.forecast))
         for k, hs in hist.items():
             assert sorted(got[k]) == loop(hs, mode, 5, DEFAULT_LINEAR.weights), (mode, k)
+
+
+def test_forecast_with_mllib_scorer(spark):
+    """A fitted GBT pipeline scores each step over the nine feature columns."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    from retailcast.plans.core_table import MODEL_FEATURES
+    rows = [tuple(float((i * (j + 3)) % 7) for j in range(9)) + (float(i % 7),) for i in range(60)]
+    train = spark.createDataFrame(rows, ", ".join(f"f_{c} double" for c in MODEL_FEATURES) + ", y double")
+    va = VectorAssembler(inputCols=[f"f_{c}" for c in MODEL_FEATURES], outputCol="features")
+    model = GBTRegressor(featuresCol="features", labelCol="y", maxIter=3, maxDepth=2, seed=1).fit(va.transform(train))
+    d = dt.date
+    hist = [("a", d(2024, 1, 1), 3, 0.0, 1.0), ("a", d(2024, 2, 1), 5, 0.5, 1.0), ("b", d(2024, 1, 1), 2, 0.0, 1.0)]
+    df = spark.createDataFrame(hist, "product_key string, month date, total_qty long, mom_growth_qty double, "
+                                     "total_orders double")
+    out = forecast_recursive(df, 3, scorer=model).collect()
+    assert len(out) == 6
+    assert all(r.forecast >= 0 and isinstance(r.forecast, int) for r in out)
+    assert sorted({r.step for r in out}) == [1, 2, 3]
