@@ -55,6 +55,18 @@ def column_stats(df: DataFrame, cols: list[str]) -> dict[str, dict]:
     return {c: {k: by.get(i, empty)[k] for k in empty} for i, c in enumerate(cols)}
 
 
+def approx_medians(df: DataFrame, cols: list[str], accuracy: int = 10000) -> dict[str, float | None]:
+    """One pass with ``percentile_approx`` (bounded sketch per column; rank
+    error at most n / accuracy). Returns an actual value of the column, not
+    the mean of the two middle values. NULL, NaN and infinities are skipped."""
+    if not cols:
+        return {}
+    long = _long_form(df, cols).where(~F.col("v").isin(float("inf"), float("-inf")))
+    rows = long.groupBy("c").agg(F.percentile_approx("v", 0.5, accuracy).alias("m")).collect()
+    by = {r["c"]: r["m"] for r in rows}
+    return {c: by.get(i) for i, c in enumerate(cols)}
+
+
 def column_medians(df: DataFrame, cols: list[str], count_infinite: bool = False,
                    stats: dict[str, dict] | None = None) -> dict[str, float | None]:
     """{column: exact median} for the given numeric columns (None if no values).

@@ -31,3 +31,13 @@ def test_medians_with_infinities(spark):
     assert column_medians(df, ["x"], count_infinite=False)["x"] == 2.0
     empty = spark.createDataFrame([(None,)], "x double")
     assert column_medians(empty, ["x"])["x"] is None
+
+
+def test_approx_medians_close(spark):
+    from retailcast.operators.medians import approx_medians
+    rnd = random.Random(5)
+    vals = [rnd.random() * 100 for _ in range(5000)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = approx_medians(df, ["x"], accuracy=10000)["x"]
+    rank = sum(v < got for v in vals)
+    assert abs(rank - len(vals) / 2) <= len(vals) / 10000 + 1
