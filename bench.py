@@ -64,13 +64,19 @@ def main() -> None:
     times = {}
     for name, fn in plan:
         t0 = time.time()
-        df = fn(spark, sf_dir)
-        if df is not None:
-            run(df)
-        times[name] = round(time.time() - t0, 3)
+        try:
+            df = fn(spark, sf_dir)
+            if df is not None:
+                run(df)
+            times[name] = round(time.time() - t0, 3)
+        except Exception as e:  # noqa: BLE001 - one failing query must not hide the others
+            print(f"bench: {name} failed: {type(e).__name__}: {str(e)[:500]}", file=sys.stderr)
+            times[name] = None
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": sf, "cpus": cpus}))
+    done = [v for v in times.values() if v is not None]
+    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(done), 3),
+                      "unit": "sec", "queries": times, "sf": sf, "cpus": cpus,
+                      "failed": [k for k, v in times.items() if v is None]}))
     spark.stop()
 
 
