@@ -16,3 +16,14 @@ def test_utf8_and_order(spark, tmp_path):
     p.write_text("name,qty\nb,1\na,2\n", encoding="utf-8")
     rows = read_csv(spark, str(p), "name string, qty int", with_row_order=True).orderBy("row_order").collect()
     assert [r.name for r in rows] == ["b", "a"]
+
+
+def test_date_strategy_choice(spark):
+    from retailcast.sources.schema import parse_dates
+    # month-first texts: day-first parses 2 of 4 (< 80 %), month-first all
+    us = spark.createDataFrame([("1/5/2024",), ("8/17/2024",), ("12/25/2024",), ("2/1/2024",)], "d string")
+    got = [r.d for r in parse_dates(us, "d").collect()]
+    assert [(x.month, x.day) for x in got] == [(1, 5), (8, 17), (12, 25), (2, 1)]
+    eu = spark.createDataFrame([("05/01/2024",), ("17/08/2024",)], "d string")
+    got = [r.d for r in parse_dates(eu, "d").collect()]
+    assert [(x.month, x.day) for x in got] == [(1, 5), (8, 17)]
