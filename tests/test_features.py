@@ -43,3 +43,16 @@ def test_fill_order(spark):
     assert out[3].stock_coverage == 2.0 and out[2].stock_coverage == 2.0
     # (d) other numerics: NULL -> median of {10, 30}
     assert out[2].orders_rate == 20.0 and out[4].orders_rate == 20.0
+
+
+def test_seasonal_profile_rules(spark):
+    import datetime as dt
+
+    from retailcast.operators.features import seasonal_profile
+    rows = [("a", dt.date(2024, 1, 1), 2), ("a", dt.date(2025, 1, 1), 4), ("a", dt.date(2024, 3, 1), 6),
+            ("z", dt.date(2024, 5, 1), 0)]
+    df = spark.createDataFrame(rows, "product_key string, month date, qty long")
+    prof = {r.product_key: r.seasonal for r in seasonal_profile(df).collect()}
+    assert prof["a"][0] == 3.0 / 4.0 and prof["a"][2] == 6.0 / 4.0   # month mean / overall mean
+    assert prof["a"][1] == 1.0 and len(prof["a"]) == 12                # month without data -> 1.0
+    assert prof["z"] == [1.0] * 12                                     # overall mean <= 0 -> 1.0
