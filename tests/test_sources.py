@@ -27,3 +27,10 @@ def test_date_strategy_choice(spark):
     eu = spark.createDataFrame([("05/01/2024",), ("17/08/2024",)], "d string")
     got = [r.d for r in parse_dates(eu, "d").collect()]
     assert [(x.month, x.day) for x in got] == [(1, 5), (8, 17)]
+
+
+def test_permissive_typed_read(spark, tmp_path):
+    p = tmp_path / "bad.csv"
+    p.write_text("name,qty\nok,3\nbad,x\n", encoding="utf-8")
+    rows = {r.name: r.qty for r in read_csv(spark, str(p), "name string, qty int").collect()}
+    assert rows == {"ok": 3, "bad": None}
