@@ -46,3 +46,10 @@ def test_half_even_and_discount(spark):
     d = spark.createDataFrame([(0.0, 5.0), (0.0, 0.0), (100.0, 80.0), (None, 1.0)], "list_price double, net_price double")
     got = [r[0] for r in d.select(discount_pct()).collect()]
     assert got[0] == -math.inf and got[1] == 0.0 and abs(got[2] - 20.0) < 1e-12 and got[3] == 0.0
+
+
+def test_unit_price_zero_quantity(spark):
+    from retailcast.operators.clean import unit_price
+    df = spark.createDataFrame([(10.0, 0), (0.0, 0), (9.0, 3)], "net_price double, qty long")
+    got = [r[0] for r in df.select(unit_price()).collect()]
+    assert got[0] == math.inf and got[1] is None and got[2] == 3.0
