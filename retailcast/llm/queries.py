@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailcast.llm import chat_format, secret_scan
+from retailcast.llm import chat_format, decontaminate, secret_scan, simhash
 from retailcast.llm.common import table
 
 
@@ -30,6 +30,51 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         line(s).alias("spans"), count("random").alias("n_random"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    n_hit = F.aggregate("res.hits", F.lit(0).cast("long"), lambda a, h: a + h["end"] - h["begin"])
+    return decontaminate.find_contamination(docs, items, n=10, carry=["doc_id"]).select(
+        "row.doc_id", "res.n_words", n_hit.alias("n_hit"), F.size("res.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("res.items", ","), 256).alias("items_sha256"),
+        (F.size("res.hits") > 0).alias("contaminated"))
+
+
+OP2_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item, array_to_string(w[i:i + 9], ' ') AS s, least(len(w), 10) AS k
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM win),
+occ AS (
+  SELECT p.r, p.i, p.k, win.item
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc, sizes WHERE len(w) >= k) p
+  JOIN win ON win.k = p.k AND win.s = array_to_string(p.w[p.i:p.i + p.k - 1], ' ')),
+hit AS (SELECT r, count(DISTINCT spot) AS n FROM (SELECT r, unnest(range(i, i + k)) AS spot FROM occ) GROUP BY r),
+own AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s
+  FROM (SELECT DISTINCT r, item FROM occ) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(own.n, 0) AS BIGINT) AS n_items, sha256(coalesce(own.s, '')) AS items_sha256,
+  coalesce(hit.n, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN own USING (r)
+"""
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.simhash_components(docs, shingle=4, radius=4).select(
+        "doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = spark.range(2).select(
@@ -70,9 +115,12 @@ FROM e GROUP BY conv_id
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_decontaminate": op2_decontaminate,
+    "op5_simhash": op5_simhash,
     "op9_chat_format": op9_chat_format,
 }
 
 ORACLE = {
+    "op2_decontaminate": OP2_SQL,
     "op9_chat_format": OP9_SQL,
 }
