@@ -1,6 +1,6 @@
-"""Shared pieces of the operators: a one-pass row mapper and small helpers.
+"""Shared pieces of the operators: one-pass mappers and small helpers.
 
-Rules that hold for every operator built on :func:`map_rows`:
+Rules that hold for every operator built on :func:`map_batches`:
 
 * the input may hold any further columns, under any names: results travel in
   a struct of their own (``res``) beside the carried input columns (``row``),
@@ -37,14 +37,15 @@ def ascii_lower(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
-def map_rows(df: DataFrame, inputs: Sequence[str], make: Callable[[], Callable],
-             fields: Sequence[tuple[str, T.DataType]], carry: Sequence[str]) -> DataFrame:
-    """Apply a Python function to each row in one narrow pass over Arrow batches.
+def map_batches(df: DataFrame, inputs: Sequence[str], make: Callable[[], Callable],
+                fields: Sequence[tuple[str, T.DataType]], carry: Sequence[str]) -> DataFrame:
+    """Apply a Python function to each Arrow batch in one narrow pass.
 
-    ``make()`` runs once per task and returns ``f(*inputs) -> tuple`` with one
-    value per field. The result has two struct columns: ``row`` holds the
-    ``carry`` columns of the input and ``res`` the fields. No shuffle; memory
-    is one Arrow batch (Spark bounds it by rows and bytes).
+    ``make()`` runs once per task and returns a function from the Arrow arrays
+    of ``inputs`` to one Arrow array per field, of the same length. The result
+    has two struct columns: ``row`` holds the ``carry`` columns of the input
+    and ``res`` the fields. No shuffle; memory is one Arrow batch (Spark
+    bounds it by rows and bytes).
     """
     need = list(dict.fromkeys([*carry, *inputs]))
     src = df.select(F.struct(*[quoted(c) for c in need]).alias("row"))
@@ -62,14 +63,30 @@ def map_rows(df: DataFrame, inputs: Sequence[str], make: Callable[[], Callable],
             row = batch.column(0)
             if not len(row):
                 continue
-            values = [f(*(v.as_py() for v in vs)) for vs in zip(*(row.field(c) for c in inputs))]
-            cols = [pa.array([v[i] for v in values], t) for i, t in enumerate(types)]
+            cols = [c.cast(t) for c, t in zip(f(*(row.field(c) for c in inputs)), types)]
             kept = pa.StructArray.from_arrays([row.field(c) for c in carry], carry)
             yield pa.RecordBatch.from_arrays([kept, pa.StructArray.from_arrays(cols, names)], ["row", "res"])
 
     return src.mapInArrow(run, out)
 
 
+def map_rows(df: DataFrame, inputs: Sequence[str], make: Callable[[], Callable],
+             fields: Sequence[tuple[str, T.DataType]], carry: Sequence[str]) -> DataFrame:
+    """:func:`map_batches` for a function of one row: ``f(*inputs) -> tuple``, one value per field."""
+    types = [to_arrow_type(t) for _, t in fields]
+
+    def make_batch():
+        f = make()
+
+        def apply(*arrays):
+            values = [f(*(v.as_py() for v in vs)) for vs in zip(*arrays)]
+            return [pa.array([v[i] for v in values], t) for i, t in enumerate(types)]
+
+        return apply
+
+    return map_batches(df, inputs, make_batch, fields, carry)
+
+
 def read_bytes(spark: SparkSession, path: str) -> bytes:
     """A vocabulary file's bytes, read once by the driver.
 

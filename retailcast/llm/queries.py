@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailcast.llm import chat_format, decontaminate, secret_scan, simhash
+from retailcast.llm import bpe_codec, chat_format, decontaminate, secret_scan, simhash, token_counts
 from retailcast.llm.common import table
 
 
@@ -75,6 +75,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_codec.encode_documents(docs, carry=["doc_id"], decoded=True).select(
+        "row.doc_id", F.size("res.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("res.ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("res.decoded", 256).alias("decoded_sha256"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = spark.range(2).select(
@@ -92,6 +100,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs).withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 OP9_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -117,7 +130,9 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_decontaminate": op2_decontaminate,
     "op5_simhash": op5_simhash,
+    "op7_bpe_codec": op7_bpe_codec,
     "op9_chat_format": op9_chat_format,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE = {
