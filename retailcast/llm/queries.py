@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailcast.llm import bpe_codec, chat_format, decontaminate, secret_scan, simhash, token_counts
+from retailcast.llm import bpe_codec, chat_format, decontaminate, language_id, secret_scan, simhash, token_counts
 from retailcast.llm.common import table
 
 
@@ -69,6 +69,14 @@ FROM doc LEFT JOIN hit USING (r) LEFT JOIN own USING (r)
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.learn(docs)
+    return language_id.identify(docs, model, carry=["doc_id"]).select(
+        "row.doc_id", language_id.held_out(F.col("row.doc_id")).alias("held_out"), "res.lang_pred", "res.score",
+        "res.languages", "res.shares")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.simhash_components(docs, shingle=4, radius=4).select(
@@ -129,6 +137,7 @@ FROM e GROUP BY conv_id
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_decontaminate": op2_decontaminate,
+    "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
     "op7_bpe_codec": op7_bpe_codec,
     "op9_chat_format": op9_chat_format,
