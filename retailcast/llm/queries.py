@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailcast.llm import bpe_codec, chat_format, decontaminate, language_id, secret_scan, simhash, token_counts
+from retailcast.llm import bpe_codec, chat_format, decontaminate, html_extract, language_id, secret_scan, simhash, token_counts
 from retailcast.llm.common import table
 
 
@@ -91,6 +91,13 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("res.decoded", 256).alias("decoded_sha256"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract_text(pages, carry=["page_id", "url"]).select(
+        "row.page_id", "row.url", "res.text", F.length("res.text").cast("long").alias("n_chars"),
+        "res.n_blocks", "res.n_main")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = spark.range(2).select(
@@ -140,6 +147,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
     "op7_bpe_codec": op7_bpe_codec,
+    "op8_html_extract": op8_html_extract,
     "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
 }
