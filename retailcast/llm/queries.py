@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailcast.llm import bpe_codec, chat_format, decontaminate, html_extract, language_id, secret_scan, simhash, token_counts
+from retailcast.llm import bpe_codec, chat_format, decontaminate, html_extract, language_id, minhash, secret_scan, simhash, token_counts
 from retailcast.llm.common import table
 
 
@@ -83,6 +83,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.fingerprint_neighbours(docs, minhash.near_classes(docs))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_codec.encode_documents(docs, carry=["doc_id"], decoded=True).select(
@@ -146,6 +151,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
+    "op6_minhash": op6_minhash,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_html_extract": op8_html_extract,
     "op9_chat_format": op9_chat_format,
