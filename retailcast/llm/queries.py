@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailcast.llm import bpe_codec, chat_format, decontaminate, html_extract, language_id, minhash, secret_scan, simhash, token_counts
+from retailcast.llm import bpe_codec, chat_format, decontaminate, html_extract, language_id, minhash, secret_scan, simhash, token_counts, url_filter
 from retailcast.llm.common import table
 
 
@@ -69,6 +69,76 @@ FROM doc LEFT JOIN hit USING (r) LEFT JOIN own USING (r)
 """
 
 
+def _number(column):
+    """A number from the first hexadecimal digits of a checksum, the same in Spark and in SQL."""
+    return F.conv(F.substring(F.md5(column), 1, 7), 16, 10).cast("long")
+
+
+def url_list_events(pages: DataFrame) -> DataFrame:
+    """A dated block list derived from the pages' own hosts and addresses.
+
+    The tables hold no list, so entries and dates follow from checksums: some
+    hosts, their parent domains and some single pages are added, part of them
+    removed again, and part of those added a second time.
+    """
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("entry")).where("entry is not null").distinct()
+    parents = (hosts.select(F.regexp_replace("entry", r"^[^.]*\.", "").alias("entry")).distinct()
+               .where(_number(F.col("entry")) % 4 == 1))
+    urls = (pages.select(url_filter.address_of(F.col("url")).alias("entry")).where("entry is not null").distinct()
+            .where(_number(F.col("entry")) % 50 == 0))
+    entries = (hosts.where(_number(F.col("entry")) % 3 == 0).select(F.lit("domain").alias("kind"), "entry")
+               .union(parents.select(F.lit("domain"), "entry")).union(urls.select(F.lit("url"), "entry"))
+               .withColumn("x", _number(F.col("entry")))
+               .withColumn("day", F.date_add(F.lit("2023-01-01").cast("date"), (F.col("x") % 300).cast("int"))))
+    added = entries.select("kind", "entry", F.lit("add").alias("action"), "day")
+    removed = entries.where("x % 2 = 0").select(
+        "kind", "entry", F.lit("remove"), F.date_add("day", (F.col("x") % 97 + 1).cast("int")))
+    again = entries.where("x % 10 = 0").select("kind", "entry", F.lit("add"), F.date_add("day", 200))
+    return added.union(removed).union(again)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.date_add(
+        F.lit("2023-01-01").cast("date"), (F.col("page_id") * 37 % 730).cast("int")))
+    return url_filter.filter_captures(captures, url_list_events(pages)).select(
+        "row.page_id", "row.url", "row.fetched", "blocked", F.array_join("entries", ",").alias("entries"))
+
+
+OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, DATE '2023-01-01' + CAST(page_id * 37 % 730 AS INTEGER) AS fetched,
+    regexp_replace(nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), ''),
+      '\.$', '') AS host,
+    regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1), '/$', '') AS rest
+  FROM pages),
+names AS (
+  SELECT DISTINCT 'domain' AS kind, host AS entry, 'h' AS part FROM p WHERE host IS NOT NULL
+  UNION ALL SELECT DISTINCT 'domain', regexp_replace(host, '^[^.]*\.', ''), 'p' FROM p WHERE host IS NOT NULL
+  UNION ALL SELECT DISTINCT 'url', host || rest, 'u' FROM p WHERE host IS NOT NULL),
+entries AS (
+  SELECT kind, entry, x, DATE '2023-01-01' + CAST(x % 300 AS INTEGER) AS day
+  FROM (SELECT *, CAST('0x' || substr(md5(entry), 1, 7) AS BIGINT) AS x FROM names)
+  WHERE (part = 'h' AND x % 3 = 0) OR (part = 'p' AND x % 4 = 1) OR (part = 'u' AND x % 50 = 0)),
+events AS (
+  SELECT kind, entry, day, bool_or(adds) AS adds
+  FROM (SELECT kind, entry, day, true AS adds FROM entries
+    UNION ALL SELECT kind, entry, day + CAST(x % 97 + 1 AS INTEGER), false FROM entries WHERE x % 2 = 0
+    UNION ALL SELECT kind, entry, day + 200, true FROM entries WHERE x % 10 = 0)
+  GROUP BY kind, entry, day),
+seen AS (
+  SELECT p.page_id, p.url, p.fetched, e.kind || ':' || e.entry AS name, arg_max(e.adds, e.day) AS active
+  FROM p JOIN events e ON e.day <= p.fetched AND (
+    (e.kind = 'domain' AND (p.host = e.entry OR ends_with(p.host, '.' || e.entry)))
+    OR (e.kind = 'url' AND p.host || p.rest = e.entry))
+  GROUP BY ALL)
+SELECT p.page_id, p.url, p.fetched, count(s.name) > 0 AS blocked,
+  coalesce(string_agg(s.name, ',' ORDER BY s.name), '') AS entries
+FROM p LEFT JOIN seen s ON s.page_id = p.page_id AND s.active
+GROUP BY p.page_id, p.url, p.fetched
+"""
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.learn(docs)
@@ -149,6 +219,7 @@ FROM e GROUP BY conv_id
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_decontaminate": op2_decontaminate,
+    "op3_url_filter": op3_url_filter,
     "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
     "op6_minhash": op6_minhash,
@@ -160,5 +231,6 @@ QUERIES = {
 
 ORACLE = {
     "op2_decontaminate": OP2_SQL,
+    "op3_url_filter": OP3_SQL,
     "op9_chat_format": OP9_SQL,
 }
