@@ -184,6 +184,8 @@ def labelled_pages() -> list[str]:
         long_body = "".join(f"<p>{_say(n)}</p>" for n in (30 + k, 45, 4 + k, 25, 60, 18 + k))
         pages.append(f"<div>{menu}</div><div data-keep>{long_body}</div>{side}<div>{menu}</div>"
                      f"<p>{_say(6)}</p>{menu}<footer>{_say(9)}</footer>")
+        pages.append(f"<nav>{_say(1 + k)}</nav><div data-keep>{long_body}</div><footer>{_say(1 + 2 * k)}</footer>{menu}")
+        pages.append(f"{menu}<div data-keep><p>{_say(3 + k)}</p>{long_body}</div>{menu}")
     return pages
 
 

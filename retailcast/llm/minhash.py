@@ -213,8 +213,8 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
 def _ranges(docs: DataFrame, doc_id: str, ranges: int) -> tuple[np.ndarray, dict[int, int | None]]:
     """(cut points, smallest id of each range that has rows): at most ``ranges`` numbers each."""
     ids = docs.select(quoted(doc_id).cast("long").alias("id"))
-    cuts = np.unique(np.array(ids.approxQuantile("id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)),
-                              np.float64)).astype(np.int64)
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = np.unique(np.array(ids.approxQuantile("id", shares, 1 / (4 * ranges)) if shares else [])).astype(np.int64)
     if len(cuts):
         bucket = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c <= F.col("id")))
     else:
