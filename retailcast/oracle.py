@@ -336,7 +336,7 @@ prof AS (
   LEFT JOIN sm ON sm.product_key = g.product_key AND sm.moy = g.m
   GROUP BY 1)
 SELECT st.*, l3.h1, l3.h2, l3.h3, prof.seasonal
-FROM st LEFT JOIN l3 USING (product_key) LEFT JOIN prof USING (product_key) WHERE st.cnt > 0""", "fc_hist")
+FROM st LEFT JOIN l3 USING (product_key) LEFT JOIN prof USING (product_key)""", "fc_hist")
 
 _W = {"rolling_3m_qty": 0.5, "mean_qty_per_product": 0.2, "lag_1_qty": 0.2, "seasonal_index": 1.0,
       "trend_qty": 0.1, "lag_2_qty": 0.05, "mom_growth_qty": 0.5, "lag_3_qty": 0.05, "total_orders": 0.0}
@@ -357,8 +357,10 @@ def _fc_features(mode: str) -> str:
     return ", ".join(f"CAST({v} AS DOUBLE) AS feature_{k}" for k, v in f.items())
 
 
-def forecast_sql(mode: str, n: int = 6) -> str:
-    score = "(0.0 + " + " + ".join(f"{w!r} * coalesce(feature_{c}, 0.0)" for c, w in _W.items()) + ")"
+def forecast_sql(mode: str, n: int = 6, missing_fails: bool = False, state: str = "fc_state") -> str:
+    score = "(0.0 + " + " + ".join(
+        f"{w!r} * feature_{c}" if missing_fails else f"{w!r} * coalesce(feature_{c}, 0.0)"
+        for c, w in _W.items()) + ")"
     fallback = "CAST(round_even(mean_value, 0) AS BIGINT)" if mode == "plain" else "CAST(0 AS BIGINT)"
     feats = ", ".join(f"feature_{c}" for c in _W)
     return f"""
@@ -366,12 +368,12 @@ fc_rec(product_key, step, last_month, mean_value, mean_growth, mean_orders, cnt,
        month, forecast, {feats}) AS (
   SELECT product_key, 0, last_month, mean_value, mean_growth, mean_orders, cnt, h1, h2, h3, seasonal,
          CAST(NULL AS DATE), CAST(NULL AS BIGINT), {", ".join("CAST(NULL AS DOUBLE)" for _ in _W)}
-  FROM fc_state
+  FROM {state}
   UNION ALL
   SELECT product_key, step, last_month, mean_value, mean_growth, mean_orders, cnt + 1,
          CAST(pred AS DOUBLE), h1, h2, seasonal, m, pred, {feats}
   FROM (
-    SELECT *, CASE WHEN raw IS NULL OR isnan(raw) THEN {fallback}
+    SELECT *, CASE WHEN mean_value IS NULL THEN NULL WHEN raw IS NULL OR isnan(raw) THEN {fallback}
                    ELSE CAST(greatest(0.0, round_even(raw, 0)) AS BIGINT) END AS pred
     FROM (SELECT *, {score} AS raw FROM (
       SELECT product_key, step + 1 AS step, last_month, mean_value, mean_growth, mean_orders, cnt, h1, h2, h3,
@@ -381,16 +383,25 @@ fc_rec(product_key, step, last_month, mean_value, mean_growth, mean_orders, cnt,
 )"""
 
 
-def forecast_query(mode: str, select: str) -> str:
-    body = with_views("SELECT 1", "fc_state")
+def forecast_query(mode: str, select: str, missing_fails: bool = False, state: str = "fc_state") -> str:
+    body = with_views("SELECT 1", state)
     ctes = body[len("WITH "):body.rindex("SELECT 1")].rstrip().rstrip(",")
-    return f"WITH RECURSIVE {ctes},\n{forecast_sql(mode)}\n{select}"
+    return f"WITH RECURSIVE {ctes},\n{forecast_sql(mode, 6, missing_fails, state)}\n{select}"
 
 
 _FC_SEL = ("SELECT product_key, month, CAST(step AS INTEGER) AS step, forecast, "
            + ", ".join(f"round(feature_{c}, 6) AS feature_{c}" for c in _W) + " FROM fc_rec WHERE step >= 1")
 ORACLE["forecast_recursive"] = forecast_query("core", _FC_SEL)
 ORACLE["forecast_recursive_plain"] = forecast_query("plain", _FC_SEL)
+# Products whose key has an even length lose their growth values, so that their scores fail.
+view("fc_state_gaps", "SELECT * REPLACE (CASE WHEN length(product_key) % 2 = 1 THEN mean_growth END AS mean_growth) "
+     "FROM fc_state", "fc_state")
+ORACLE["forecast_fallback"] = forecast_query("plain", _FC_SEL, True, "fc_state_gaps")
+ORACLE["forecast_gbt"] = with_views(
+    "SELECT product_key, CAST(last + to_months(CAST(i AS INTEGER)) AS DATE) AS month, CAST(i AS INTEGER) AS step, "
+    "known, CASE WHEN known THEN true END AS whole_and_not_negative FROM ("
+    "SELECT product_key, last, known, unnest(generate_series(1, 6)) AS i "
+    "FROM (SELECT product_key, max(month) AS last, count(total_qty) > 0 AS known FROM fc_hist GROUP BY 1))", "fc_hist")
 ORACLE["future_months"] = with_views(
     "SELECT product_key, CAST(last + to_months(CAST(i AS INTEGER)) AS DATE) AS month FROM ("
     "SELECT product_key, last, unnest(generate_series(1, 6)) AS i "
@@ -593,8 +604,15 @@ ORACLE["train_test_split"] = with_views(
     "SELECT product_key, month, total_qty, "
     "(('0x' || substr(md5(product_key || '|' || month), 1, 8))::BIGINT % 100) < 80 AS is_train FROM core_train",
     "core_train")
+ORACLE["train_gbt"] = with_views(
+    "SELECT product_key, month, total_qty, true AS prediction_finite FROM core_train "
+    "WHERE (('0x' || substr(md5(product_key || '|' || month), 1, 8))::BIGINT % 100) >= 80", "core_train")
+ORACLE["gbt_metrics"] = with_views(
+    "SELECT count(*) AS test_rows, count(*) AS valid_samples, true AS rmse_below_product_mean, "
+    "true AS mae_below_product_mean FROM core_train "
+    "WHERE (('0x' || substr(md5(product_key || '|' || month), 1, 8))::BIGINT % 100) >= 80", "core_train")
 ORACLE["forecast_totals"] = forecast_query("core", """
-SELECT product_key, CAST(sum(forecast) AS BIGINT) AS total_forecast, round(avg(forecast), 6) AS mean_forecast,
+SELECT product_key, CAST(coalesce(sum(forecast), 0) AS BIGINT) AS total_forecast, round(avg(forecast), 6) AS mean_forecast,
        count(*) AS horizon FROM fc_rec WHERE step >= 1 GROUP BY 1""")
 view("cmp_a", "SELECT strftime(month, '%Y-%m') AS month_text, product_key, qty, net_amount, sales_amount "
               "FROM sales_monthly", "sales_monthly")
@@ -604,19 +622,70 @@ ORACLE["compare_shape"] = with_views(
     "SELECT (SELECT count(*) FROM cmp_a) AS rows_processed, (SELECT count(*) FROM cmp_b) AS rows_reference, "
     "CAST(5 AS BIGINT) AS cols_processed, CAST(5 AS BIGINT) AS cols_reference, 'orders' AS missing_columns, "
     "'sales_amount' AS extra_columns, false AS shape_match", "cmp_a", "cmp_b")
-ORACLE["compare_values"] = with_views("""
-SELECT 'qty' AS "column", true AS type_match, 'bigint' AS processed_type, 'bigint' AS reference_type,
-       CAST(sum(CASE WHEN a.qty IS NULL AND b.qty IS NULL THEN 0 WHEN a.qty IS NULL OR b.qty IS NULL THEN 1
-                     WHEN abs(CAST(a.qty AS DOUBLE) - b.qty) <= 1e-10 + 1e-10 * abs(CAST(b.qty AS DOUBLE)) THEN 0
-                     ELSE 1 END) AS BIGINT) AS different_rows,
-       round(max(abs(CAST(a.qty AS DOUBLE) - b.qty)), 6) AS max_difference,
-       round(avg(abs(CAST(a.qty AS DOUBLE) - b.qty)), 6) AS mean_difference,
-       sum(CASE WHEN a.qty IS NULL AND b.qty IS NULL THEN 0 WHEN a.qty IS NULL OR b.qty IS NULL THEN 1
-                WHEN abs(CAST(a.qty AS DOUBLE) - b.qty) <= 1e-10 + 1e-10 * abs(CAST(b.qty AS DOUBLE)) THEN 0
-                ELSE 1 END) = 0 AS values_match
-FROM cmp_a a FULL OUTER JOIN cmp_b b ON a.month_text = b.month_text AND a.product_key = b.product_key
-UNION ALL
-SELECT 'net_amount', false, 'bigint', 'double', NULL, NULL, NULL, false""", "cmp_a", "cmp_b")
+_PLANTED = """
+pa AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority FROM orders),
+pb AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 113 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey,
+    CASE WHEN o_orderkey % 97 = 0 THEN o_totalprice * 1.001 WHEN o_orderkey % 101 = 0 THEN NULL
+         WHEN o_orderkey % 103 = 0 THEN o_totalprice * (1 + 1e-13)
+         WHEN o_orderkey % 107 = 0 THEN CAST('nan' AS DOUBLE) ELSE o_totalprice END AS o_totalprice,
+    CASE WHEN o_orderkey % 89 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus
+  FROM orders WHERE o_orderkey % 211 <> 0)"""
+
+
+def _differs(c: str) -> str:
+    """Rows that differ, largest and sum of differences and their number, of one column over ``met``."""
+    if c == "o_orderstatus":
+        return ("sum(CASE WHEN pa_there IS NULL OR pb_there IS NULL OR a_{0} IS DISTINCT FROM b_{0} THEN 1 ELSE 0 END),"
+                " CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)").format(c)
+    x, y = (f"CASE WHEN isnan(CAST({s}_{c} AS DOUBLE)) THEN NULL ELSE CAST({s}_{c} AS DOUBLE) END" for s in "ab")
+    return (f"sum(CASE WHEN pa_there IS NULL OR pb_there IS NULL THEN 1 WHEN ({x}) IS NULL AND ({y}) IS NULL THEN 0 "
+            f"WHEN ({x}) IS NULL OR ({y}) IS NULL THEN 1 "
+            f"WHEN abs(({x}) - ({y})) <= 1e-10 + 1e-10 * abs({y}) THEN 0 ELSE 1 END), "
+            f"round(max(abs(({x}) - ({y}))), 6), round(avg(abs(({x}) - ({y}))), 6)")
+
+
+def _value_rows(columns: list[tuple[str, str]]) -> str:
+    parts = [f"SELECT '{c}' AS \"column\", true AS type_match, '{t}' AS processed_type, '{t}' AS reference_type, d[1] AS "
+             f"different_rows, d[2] AS max_difference, d[3] AS mean_difference, d[1] = 0 AS values_match "
+             f"FROM (SELECT {_differs(c)} FROM met) AS q(d1, d2, d3), LATERAL (SELECT 1) l" for c, t in columns]
+    return " UNION ALL ".join(p.replace("d[1]", "CAST(d1 AS BIGINT)").replace("d[2]", "d2").replace("d[3]", "d3")
+                              .replace(", LATERAL (SELECT 1) l", "") for p in parts)
+
+
+_MET = """
+met AS (
+  SELECT a.o_orderkey AS pa_there, b.o_orderkey AS pb_there, a.o_custkey AS a_o_custkey, b.o_custkey AS b_o_custkey,
+    a.o_totalprice AS a_o_totalprice, b.o_totalprice AS b_o_totalprice, a.o_orderstatus AS a_o_orderstatus,
+    b.o_orderstatus AS b_o_orderstatus
+  FROM pa a FULL OUTER JOIN pb b ON a.o_orderkey = b.o_orderkey)"""
+ORACLE["compare_values"] = f"WITH {_PLANTED},{_MET}\n" + _value_rows(
+    [("o_custkey", "bigint"), ("o_totalprice", "double"), ("o_orderstatus", "string")])
+# Of a repeated key equal rows meet first, the others in the order of their columns.
+ORACLE["compare_repeated_keys"] = f"""WITH {_PLANTED},
+na AS (SELECT o_custkey, nullif(o_totalprice, CAST('nan' AS DOUBLE)) AS p, o_orderstatus AS s FROM pa),
+nb AS (SELECT o_custkey, nullif(o_totalprice, CAST('nan' AS DOUBLE)) AS p, o_orderstatus AS s FROM pb),
+ca AS (SELECT o_custkey, p, s, row_number() OVER (PARTITION BY o_custkey, p, s) AS k FROM na),
+cb AS (SELECT o_custkey, p, s, row_number() OVER (PARTITION BY o_custkey, p, s) AS k FROM nb),
+same AS (SELECT ca.* FROM ca JOIN cb ON ca.o_custkey IS NOT DISTINCT FROM cb.o_custkey
+  AND ca.p IS NOT DISTINCT FROM cb.p AND ca.s IS NOT DISTINCT FROM cb.s AND ca.k = cb.k),
+ra AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY p NULLS FIRST, s NULLS FIRST) AS r FROM (
+  SELECT * FROM ca EXCEPT SELECT * FROM same)),
+rb AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY p NULLS FIRST, s NULLS FIRST) AS r FROM (
+  SELECT * FROM cb EXCEPT SELECT * FROM same)),
+met AS (
+  SELECT ra.r AS pa_there, rb.r AS pb_there, ra.p AS a_o_totalprice, rb.p AS b_o_totalprice,
+    ra.s AS a_o_orderstatus, rb.s AS b_o_orderstatus
+  FROM ra FULL OUTER JOIN rb ON ra.o_custkey = rb.o_custkey AND ra.r = rb.r
+  UNION ALL SELECT 1, 1, p, p, s, s FROM same)
+""" + _value_rows([("o_totalprice", "double"), ("o_orderstatus", "string")])
+ORACLE["compare_verdict"] = f"""WITH {_PLANTED},{_MET},
+v AS ({_value_rows([("o_custkey", "bigint"), ("o_totalprice", "double"), ("o_orderstatus", "string")])}),
+n AS (SELECT (SELECT count(*) FROM pa) AS a, (SELECT count(*) FROM pb) AS b),
+w AS (SELECT "column" || ': ' || different_rows || ' rows differ' AS t, 3 AS o FROM v WHERE NOT values_match
+  UNION ALL SELECT 'rows: ' || a || ' instead of ' || b, 1 FROM n WHERE a <> b
+  UNION ALL SELECT 'extra columns: o_orderpriority', 2)
+SELECT false AS success, count(*) AS n_differences, string_agg(t, '; ' ORDER BY o, t) AS message FROM w"""
 ORACLE["compare_nulls"] = with_views("""
 SELECT a."column", a.null_count_processed, b.null_count_reference FROM
  (SELECT 'month_text' AS "column", count(*) FILTER (WHERE month_text IS NULL) AS null_count_processed FROM cmp_a

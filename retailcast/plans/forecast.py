@@ -2,11 +2,13 @@
 
 State: one row per product holding the last three values (actual, then
 predicted), the history length, the product's stable statistics and its
-12-month seasonal profile. Each step is a projection over all products (no
-shuffle): features -> score -> clamp -> shift the three values. The emitted
-steps ride along in the state as an array of structs (at most ``n`` entries)
-and are exploded at the end; lineage is cut with a reliable checkpoint after
-every step.
+12-month seasonal profile. Each step computes features, scores them, clamps
+the score and shifts the three values; there is no shuffle.
+
+With a ``LinearScorer`` the whole recursion is one expression: an ``aggregate``
+over the steps whose lambda variables carry the state, so nothing is inlined
+and no step needs a job. A fitted MLlib model scores all products in one
+transform per step, and the state is checkpointed between steps.
 
 Two modes, as in the source:
 * ``core``: rolling mean of the last min(3, n) values, growth = mean growth
@@ -15,8 +17,9 @@ Two modes, as in the source:
   fewer, undamped growth, orders = mean orders; a failed score falls back to
   the rounded product mean.
 
-The scorer is either a ``LinearScorer`` (a SQL expression: exact and
-oracle-checkable) or a fitted MLlib model over the nine features.
+Every product of the history gets every step. One whose history has no value
+at all (its months matched no row of the table that holds the target) has
+nothing to go on: its forecasts are NULL.
 """
 
 from __future__ import annotations
@@ -33,22 +36,24 @@ from retailcast.session import cut_lineage
 
 # Growth damping of the core mode.
 GROWTH_DAMPING = 0.8
-# Each step's prediction feeds several features of the next; left in one
-# plan, Catalyst would inline it into every use and the expression would grow
-# exponentially with the horizon. The state (one row per product) is
-# checkpointed after every step instead.
+# For MLlib models: each step's prediction feeds several features of the next;
+# left in one plan, Catalyst would inline it into every use and the expression
+# would grow exponentially with the horizon. The state (one row per product)
+# is checkpointed after every step instead.
 CHECKPOINT_EVERY = 1
 
 
 @dataclass
 class LinearScorer:
-    """prediction = intercept + sum(weight * feature); missing feature -> 0."""
+    """prediction = intercept + sum(weight * feature). A missing feature counts
+    as 0, or makes the score NULL if ``missing_fails``."""
     weights: dict[str, float]
     intercept: float = 0.0
+    missing_fails: bool = False
 
-    def sql(self) -> str:
+    def sql(self, prefix: str) -> str:
         terms = [f"CAST({self.intercept!r} AS DOUBLE)"]
-        terms += [f"CAST({w!r} AS DOUBLE) * coalesce(CAST(`f_{c}` AS DOUBLE), 0.0)"
+        terms += [f"CAST({w!r} AS DOUBLE) * " + (f"{prefix}{c}" if self.missing_fails else f"coalesce({prefix}{c}, 0.0)")
                   for c, w in self.weights.items()]
         return "(" + " + ".join(terms) + ")"
 
@@ -85,33 +90,62 @@ def forecast_state(history: DataFrame, *, key: str = "product_key", month: str =
               .groupBy(key).agg(*[F.max(F.when(F.col("__rn") == i, F.col(value).cast("double"))).alias(f"h{i}")
                                   for i in (1, 2, 3)]))
     prof = seasonal_profile(h.where(F.col(value).isNotNull()), col=value, key=key, month=month)
-    return (stats.join(last3, key, "left").join(prof, key, "left")
-                 .where(F.col("cnt") > 0))
+    return stats.join(last3, key, "left").join(prof, key, "left")
 
 
-def _step_features(mode: str) -> list[str]:
-    m = "month(`__m`)"
-    seasonal = f"coalesce(element_at(seasonal, CAST({m} AS INT)), 1.0)"
+def _step_features(mode: str, month: str, state: str = "") -> dict[str, str]:
+    """Feature -> SQL over the state (``state`` prefixes the parts that change) and the step's month."""
+    h1, h2, h3, cnt = (f"{state}{c}" for c in ("h1", "h2", "h3", "cnt"))
+    seasonal = f"coalesce(element_at(seasonal, CAST(month({month}) AS INT)), 1.0)"
     if mode == "core":
-        rolling = ("CASE WHEN cnt >= 3 THEN ((h3 + h2) + h1) / 3.0 WHEN cnt = 2 THEN (h2 + h1) / 2.0 "
-                   "ELSE h1 END")
+        rolling = (f"CASE WHEN {cnt} >= 3 THEN (({h3} + {h2}) + {h1}) / 3.0 "
+                   f"WHEN {cnt} = 2 THEN ({h2} + {h1}) / 2.0 ELSE {h1} END")
         growth = f"mean_growth * {GROWTH_DAMPING!r}"
         orders = f"mean_orders * {seasonal}"
     else:
-        rolling = "CASE WHEN cnt >= 3 THEN ((h3 + h2) + h1) / 3.0 ELSE mean_value END"
+        rolling = f"CASE WHEN {cnt} >= 3 THEN (({h3} + {h2}) + {h1}) / 3.0 ELSE mean_value END"
         growth = "mean_growth"
         orders = "mean_orders"
-    trend = ("greatest(0.0, CASE WHEN cnt >= 3 THEN (h1 - h3) / 2.0 WHEN cnt = 2 THEN h1 - h2 "
+    trend = (f"greatest(0.0, CASE WHEN {cnt} >= 3 THEN ({h1} - {h3}) / 2.0 WHEN {cnt} = 2 THEN {h1} - {h2} "
              "ELSE 0.0 END)")
-    return [f"{rolling} AS f_rolling_3m_qty",
-            "mean_value AS f_mean_qty_per_product",
-            "h1 AS f_lag_1_qty",
-            f"{seasonal} AS f_seasonal_index",
-            f"{trend} AS f_trend_qty",
-            "CASE WHEN cnt >= 2 THEN h2 ELSE 0.0 END AS f_lag_2_qty",
-            f"{growth} AS f_mom_growth_qty",
-            "CASE WHEN cnt >= 3 THEN h3 ELSE 0.0 END AS f_lag_3_qty",
-            f"{orders} AS f_total_orders"]
+    return {c: f"CAST({x} AS DOUBLE)" for c, x in {
+        "rolling_3m_qty": rolling, "mean_qty_per_product": "mean_value", "lag_1_qty": h1,
+        "seasonal_index": seasonal, "trend_qty": trend,
+        "lag_2_qty": f"CASE WHEN {cnt} >= 2 THEN {h2} ELSE 0.0 END", "mom_growth_qty": growth,
+        "lag_3_qty": f"CASE WHEN {cnt} >= 3 THEN {h3} ELSE 0.0 END", "total_orders": orders}.items()}
+
+
+def _prediction(raw: str, mode: str) -> str:
+    """The clamped whole forecast of a raw score; NULL for a product without any value."""
+    fallback = "CAST(bround(mean_value, 0) AS BIGINT)" if mode == "plain" else "CAST(0 AS BIGINT)"
+    return (f"CASE WHEN mean_value IS NULL THEN CAST(NULL AS BIGINT) WHEN {raw} IS NULL OR isnan({raw}) "
+            f"THEN {fallback} ELSE CAST(greatest(0.0, bround({raw}, 0)) AS BIGINT) END")
+
+
+ENTRY = ("struct<step:int,month:date,forecast:bigint,"
+         + ",".join(f"feature_{c}:double" for c in MODEL_FEATURES) + ">")
+
+
+def _entry(step: str, month: str, prediction: str, prefix: str) -> str:
+    return (f"named_struct('step', {step}, 'month', {month}, 'forecast', {prediction}, "
+            + ", ".join(f"'feature_{c}', {prefix}{c}" for c in MODEL_FEATURES) + ")")
+
+
+def _linear_steps(n: int, scorer: LinearScorer, mode: str) -> str:
+    """All n steps as one array expression over the columns of the state.
+
+    ``let`` binds a value to a lambda variable, which is computed once and not inlined.
+    """
+    def let(value: str, name: str, body: str) -> str:
+        return f"transform(array({value}), {name} -> {body})[0]"
+
+    month = "add_months(last_month, i)"
+    feats = "named_struct(" + ", ".join(f"'{c}', {x}" for c, x in _step_features(mode, month, "s.").items()) + ")"
+    after = ("named_struct('h1', CAST(p AS DOUBLE), 'h2', s.h1, 'h3', s.h2, 'cnt', s.cnt + 1, 'steps', "
+             f"concat(s.steps, array({_entry('i', month, 'p', 'f.')})))")
+    step = let(feats, "f", let(scorer.sql("f."), "raw", let(_prediction("raw", mode), "p", after)))
+    start = f"named_struct('h1', h1, 'h2', h2, 'h3', h3, 'cnt', cnt, 'steps', CAST(array() AS array<{ENTRY}>))"
+    return f"aggregate(sequence(1, {n}), {start}, (s, i) -> {step}, s -> s.steps)"
 
 
 def forecast_recursive(history: DataFrame, n: int = 6, *, scorer=DEFAULT_LINEAR, mode: str = "core",
@@ -119,41 +153,45 @@ def forecast_recursive(history: DataFrame, n: int = 6, *, scorer=DEFAULT_LINEAR,
                        growth: str | None = "mom_growth_qty", orders: str | None = "total_orders",
                        checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
     """Forecast n months for every product. Output: key, month, step,
-    forecast (whole, >= 0) and the features used, ``feature_*`` (M10).
+    forecast (whole, >= 0, NULL without any history value) and the features
+    used, ``feature_*`` (M10).
 
-    ``scorer``: a ``LinearScorer`` or a fitted MLlib model whose input is a
-    vector of the nine features in ``MODEL_FEATURES`` order (column
+    ``scorer``: a ``LinearScorer``; the ``PipelineModel`` of ``train_gbt``
+    (also after saving and loading), which takes the nine ``MODEL_FEATURES``
+    by name; or a bare MLlib model whose input is their vector (column
     ``features``) and whose output column is ``prediction``."""
     st = forecast_state(history, key=key, month=month, value=value, growth=growth, orders=orders)
-    st = st.withColumn("__out", F.array().cast(
-        "array<struct<step:int,month:date,forecast:bigint," + ",".join(f"feature_{c}:double" for c in MODEL_FEATURES)
-        + ">>"))
-    base_cols = [c for c in st.columns]
+    if isinstance(scorer, LinearScorer):
+        out = st.select(key, F.expr(_linear_steps(n, scorer, mode)).alias("steps"))
+    else:
+        out = _model_steps(st, n, scorer, mode, checkpoint_every).select(key, "steps")
+    out = out.select(key, F.explode("steps").alias("o"))
+    return out.select(key, F.col("o.month").alias("month"), F.col("o.step").alias("step"),
+                      F.col("o.forecast").alias("forecast"),
+                      *[F.col(f"o.feature_{c}").alias(f"feature_{c}") for c in MODEL_FEATURES])
+
+
+def _model_steps(st: DataFrame, n: int, model, mode: str, checkpoint_every: int) -> DataFrame:
+    """The state after n steps of a fitted MLlib model; ``steps`` holds what each gave (at most n entries)."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+
+    if not isinstance(model, PipelineModel):
+        va = VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features", handleInvalid="keep")
+        model = PipelineModel([va, model])
+    base = [c for c in st.columns]
+    st = st.withColumn("steps", F.array().cast(f"array<{ENTRY}>"))
     for i in range(1, n + 1):
-        st = st.selectExpr(*[X.q(c) for c in base_cols], f"add_months(last_month, {i}) AS `__m`",
-                           *_step_features(mode))
-        if isinstance(scorer, LinearScorer):
-            st = st.selectExpr("*", f"{scorer.sql()} AS `__raw`")
-        else:
-            from pyspark.ml.feature import VectorAssembler
-            va = VectorAssembler(inputCols=[f"f_{c}" for c in MODEL_FEATURES], outputCol="features",
-                                 handleInvalid="keep")
-            st = scorer.transform(va.transform(st)).withColumnRenamed("prediction", "__raw").drop("features")
-        fallback = "CAST(bround(mean_value, 0) AS BIGINT)" if mode == "plain" else "CAST(0 AS BIGINT)"
-        pred = (f"CASE WHEN `__raw` IS NULL OR isnan(`__raw`) THEN {fallback} "
-                f"ELSE CAST(greatest(0.0, bround(`__raw`, 0)) AS BIGINT) END")
-        st = st.selectExpr("*", f"{pred} AS `__pred`")
-        entry = ("named_struct('step', " + str(i) + ", 'month', `__m`, 'forecast', `__pred`, "
-                 + ", ".join(f"'feature_{c}', CAST(f_{c} AS DOUBLE)" for c in MODEL_FEATURES) + ")")
+        st = st.selectExpr(*[X.q(c) for c in [*base, "steps"]], f"add_months(last_month, {i}) AS `__m`")
+        st = st.selectExpr("*", *[f"{x} AS {X.q(c)}" for c, x in _step_features(mode, "`__m`").items()])
+        st = model.transform(st).withColumnRenamed("prediction", "__raw")
+        st = st.selectExpr("*", f"{_prediction('`__raw`', mode)} AS `__pred`")
         shifted = {"h3": "h2", "h2": "h1", "h1": "CAST(`__pred` AS DOUBLE)", "cnt": "cnt + 1",
-                   "__out": f"concat(`__out`, array({entry}))"}
-        st = st.selectExpr(*[f"{shifted[c]} AS {X.q(c)}" if c in shifted else X.q(c) for c in base_cols])
+                   "steps": f"concat(steps, array({_entry(str(i), '`__m`', '`__pred`', '')}))"}
+        st = st.selectExpr(*[f"{shifted[c]} AS {X.q(c)}" if c in shifted else X.q(c) for c in [*base, "steps"]])
         if checkpoint_every and i % checkpoint_every == 0:
             st = cut_lineage(st)
-    out = st.select(key, F.explode("__out").alias("o"))
-    return out.select(key, F.col("o.month").alias("month"), F.col("o.step").alias("step"),
-                      F.col("o.forecast").alias("forecast"),
-                      *[F.col(f"o.feature_{c}").alias(f"feature_{c}") for c in MODEL_FEATURES])
+    return st
 
 
 def forecast_growth(forecast: DataFrame, history: DataFrame, key: str = "product_key",

@@ -37,7 +37,7 @@ def train_test_split(df: DataFrame, keys: list[str], train_share: int = TRAIN_SH
 def gbt_pipeline(features=MODEL_FEATURES, target: str = "total_qty", **params) -> Pipeline:
     p = dict(GBT_PARAMS)
     p.update(params)
-    va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")   # no row is dropped here: the row filter is P13
     gbt = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="prediction", **p)
     return Pipeline(stages=[va, gbt])
 
@@ -61,7 +61,7 @@ def gbt_metrics(model: PipelineModel, test: DataFrame, target: str = "total_qty"
 
 
 def grid_search(train: DataFrame, grid: dict[str, list], features=MODEL_FEATURES, target: str = "total_qty",
-                folds: int = 3, parallelism: int = 2):
+                folds: int = 3, parallelism: int = 2, keys=("product_key", "month")):
     """M4: cross-validated grid search over GBT settings (MLlib CrossValidator)."""
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -72,5 +72,7 @@ def grid_search(train: DataFrame, grid: dict[str, list], features=MODEL_FEATURES
         b = b.addGrid(gbt.getParam(name), values)
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=b.build(), numFolds=folds, seed=42,
                         evaluator=RegressionEvaluator(labelCol=target, metricName="rmse"),
-                        parallelism=parallelism)
-    return cv.fit(train.withColumn(target, F.col(target).cast("double")))
+                        parallelism=parallelism, foldCol="fold")
+    # folds follow the row key, not the partitions, and every fit reads the checkpoint, not the feature plan
+    keyed = train.withColumn("fold", (split_bucket(keys) % folds).cast("int"))
+    return cv.fit(cut_lineage(keyed.select(*features, F.col(target).cast("double").alias(target), "fold")))

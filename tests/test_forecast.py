@@ -79,3 +79,52 @@ def test_forecast_with_mllib_scorer(spark):
     assert len(out) == 6
     assert all(r.forecast >= 0 and isinstance(r.forecast, int) for r in out)
     assert sorted({r.step for r in out}) == [1, 2, 3]
+
+
+HISTORY = "product_key string, month date, total_qty long, mom_growth_qty double, total_orders double"
+
+
+def test_products_without_any_value_keep_their_rows(spark):
+    d = dt.date
+    df = spark.createDataFrame([("a", d(2024, 1, 1), 3, 0.0, 1.0), ("b", d(2024, 1, 1), None, None, None),
+                                ("b", d(2024, 3, 1), None, None, None)], HISTORY)
+    for mode in ("core", "plain"):
+        got = {(r.product_key, r.month): r.forecast for r in forecast_recursive(df, 2, mode=mode).collect()}
+        assert got[("b", d(2024, 4, 1))] is None and got[("b", d(2024, 5, 1))] is None
+        assert got[("a", d(2024, 2, 1))] >= 0 and len(got) == 4
+
+
+def test_failed_score_falls_back_to_the_product_mean(spark):
+    from retailcast.plans.forecast import LinearScorer
+    d = dt.date
+    df = spark.createDataFrame([("a", d(2024, 1, 1), 3, None, 1.0), ("a", d(2024, 2, 1), 6, None, 1.0)], HISTORY)
+    strict = LinearScorer(DEFAULT_LINEAR.weights, missing_fails=True)
+    assert [r.forecast for r in forecast_recursive(df, 3, scorer=strict, mode="plain").collect()] == [4, 4, 4]
+    assert [r.forecast for r in forecast_recursive(df, 2, scorer=strict, mode="core").collect()] == [0, 0]
+
+
+def test_linear_forecast_needs_no_checkpoint(spark):
+    d = dt.date
+    df = spark.createDataFrame([("a", d(2024, 1, 1), 3, 0.0, 1.0)], HISTORY)
+    plan = forecast_recursive(df, 24)._jdf.queryExecution().toString()
+    assert "Scan ExistingRDD" not in plan.split("Physical Plan")[-1].replace("Scan ExistingRDD[product_key", "")
+    assert forecast_recursive(df, 24).count() == 24
+
+
+def test_train_save_load_forecast(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from retailcast.plans.core_table import MODEL_FEATURES
+    from retailcast.plans.train import score, train_gbt
+    rows = [tuple(float((i * (j + 3)) % 7) for j in range(9)) + (float(i % 7),) for i in range(60)]
+    train = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in MODEL_FEATURES) + ", total_qty double")
+    model = train_gbt(train, maxIter=5)
+    model.write().overwrite().save(str(tmp_path / "model"))
+    loaded = PipelineModel.load(str(tmp_path / "model"))
+    d = dt.date
+    df = spark.createDataFrame([("a", d(2024, 1, 1), 3, 0.0, 1.0), ("a", d(2024, 2, 1), 5, 0.5, 1.0),
+                                ("b", d(2024, 1, 1), 2, None, None), ("c", d(2024, 1, 1), None, None, None)], HISTORY)
+    a, b = (sorted(map(tuple, forecast_recursive(df, 3, scorer=m).collect())) for m in (model, loaded))
+    assert len(a) == 9 and str(a) == str(b)   # str: a NULL feature is one value, NaN or not
+    gaps = spark.createDataFrame([(None, *rows[0][1:])] + rows[:3], train.schema)
+    assert score(model, gaps).count() == 4   # a row with a missing feature is scored, not dropped
