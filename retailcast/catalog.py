@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from retailcast.operators.clean import prepare_sales
 from retailcast.operators.rollup import monthly_product_sales
-from retailcast.sources.fixtures import Fixtures
+from retailcast.sources.fixtures import STOCK_DROP_MONTH, TRAFFIC_START, Fixtures
 from retailcast.operators.allocate import allocate_traffic, apportion_counts, month_share
 from retailcast.operators.rollup import TrafficSpec, monthly_traffic, traffic_ratios_global
 from retailcast.plans.feature_table import feature_table, features_unfilled, joined_monthly
@@ -82,19 +82,28 @@ def _monthly(spark, sf):
 
 
 def _traffic_m(spark, sf):
+    # without the first months: what the estimate and the unmatched rows of the joins are for
+    return monthly_traffic(_fx(spark, sf).traffic(TRAFFIC_START))
+
+
+def _all_traffic_m(spark, sf):
     return monthly_traffic(_fx(spark, sf).traffic())
 
 
+def _stock(spark, sf):
+    return _fx(spark, sf).stock_status(STOCK_DROP_MONTH)   # one month without rows: unmatched rows in the joins
+
+
 @query("monthly_traffic")
 def q_monthly_traffic(spark, sf):
-    t = _traffic_m(spark, sf)
+    t = _all_traffic_m(spark, sf)
     return t.select("month", r6("total_sales").alias("total_sales"), *COUNTS,
                     *[r6(c).alias(c) for c in MONEY + ["sales_per_order"] + RATES])
 
 
 @query("traffic_ratios_global")
 def q_traffic_ratios_global(spark, sf):
-    g = traffic_ratios_global(_traffic_m(spark, sf))
+    g = traffic_ratios_global(_all_traffic_m(spark, sf))
     return g.select(*[(F.round(F.col(c) * 1e9) / 1e9).alias(c) for c in g.columns])
 
 
@@ -139,7 +148,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 def _feature_inputs(spark, sf):
     fx = _fx(spark, sf)
-    return fx.sales(), fx.traffic(), fx.stock_status(), fx.holidays()
+    return fx.sales(), fx.traffic(TRAFFIC_START), _stock(spark, sf), fx.holidays()
 
 
 @query("feature_table")
@@ -154,7 +163,7 @@ FORECAST_HORIZON = 6
 
 def _core_assembly(spark, sf):
     fx = _fx(spark, sf)
-    return core_assembly(fx.sales(), fx.traffic(), fx.stock_status(), fx.holidays())
+    return core_assembly(fx.sales(), fx.traffic(TRAFFIC_START), _stock(spark, sf), fx.holidays())
 
 
 def _core_features(spark, sf):
@@ -309,44 +318,41 @@ def q_product_mean(spark, sf):
     return basic_features(_monthly(spark, sf)).select(*_MK, "qty", "mean_qty_per_product")
 
 
-def _monthly_ts(spark, sf):
-    # monthly sales with the allocated traffic: the inputs of the window features
-    a = allocate_traffic(_monthly(spark, sf), _traffic_m(spark, sf))
-    return basic_features(a)
+# Inputs of the window features that a query does not look at.
+_ABSENT = ["views", "visitors", "list_price", "opening_stock", "closing_stock"]
+
+
+def _with_features(df):
+    df = df.withColumns({c: F.lit(None).cast("double") for c in _ABSENT if c not in df.columns})
+    return time_series_features(advanced_features(basic_features(df)))
+
+
+def _features(spark, sf):
+    return _with_features(allocate_traffic(_monthly(spark, sf), _traffic_m(spark, sf)))
+
+
+def _stock_features(spark, sf):
+    return _with_features(sales_stock_join(_monthly(spark, sf), _stock(spark, sf), ["opening_stock", "closing_stock"]))
 
 
 @query("cyclic_month")
 def q_cyclic_month(spark, sf):
-    m = basic_features(_monthly(spark, sf))
-    return sx(m, *_MK, f"round(sin({2 * 3.141592653589793!r} * month_of_year / 12.0), 6) AS month_sin",
-                        f"round(cos({2 * 3.141592653589793!r} * month_of_year / 12.0), 6) AS month_cos")
+    return _features(spark, sf).select(*_MK, r6("month_sin").alias("month_sin"), r6("month_cos").alias("month_cos"))
 
 
 @query("quarter_flags")
 def q_quarter_flags(spark, sf):
-    m = basic_features(_monthly(spark, sf))
-    return sx(m, *_MK, *[f"quarter = {q} AS quarter_{q}" for q in (1, 2, 3, 4)])
-
-
-_WPS = X.window(["product_key"], ["`month`"])
-_R3S = X.window(["product_key"], ["`month`"], "ROWS BETWEEN 2 PRECEDING AND CURRENT ROW")
+    return _features(spark, sf).select(*_MK, *[f"quarter_{q}" for q in (1, 2, 3, 4)])
 
 
 @query("mom_growth")
 def q_mom_growth(spark, sf):
-    m = _monthly(spark, sf)
-    return sx(m, *_MK, f"round({X.ieee('qty', f'lag(qty) OVER {_WPS}')} - 1.0, 6) AS mom_growth_qty",
-                        f"round({X.ieee('sales_amount', f'lag(sales_amount) OVER {_WPS}')} - 1.0, 6) "
-                        "AS mom_growth_sales")
+    return _features(spark, sf).select(*_MK, *[r6(c).alias(c) for c in ("mom_growth_qty", "mom_growth_sales")])
 
 
 @query("seasonal_index")
 def q_seasonal_index(spark, sf):
-    m = basic_features(_monthly(spark, sf))
-    overall = f"avg(qty) OVER {X.window(['product_key'])}"
-    by_moy = f"avg(qty) OVER {X.window(['product_key', 'month_of_year'])}"
-    return sx(m, *_MK, f"round(CASE WHEN {overall} > 0 THEN {by_moy} / {overall} ELSE 0.0 END, 6) "
-                              "AS seasonal_index")
+    return _features(spark, sf).select(*_MK, r6("seasonal_index").alias("seasonal_index"))
 
 
 @query("seasonal_profile")
@@ -358,23 +364,18 @@ def q_seasonal_profile(spark, sf):
 
 @query("rolling_3m")
 def q_rolling_3m(spark, sf):
-    a = _monthly_ts(spark, sf)
-    return sx(a, *_MK, *[f"round(avg({c}) OVER {_R3S}, 6) AS rolling_3m_{o}"
-                                for c, o in (("qty", "qty"), ("sales_amount", "sales"), ("views", "views"))])
+    return _features(spark, sf).select(*_MK, *[r6(c).alias(c) for c in (
+        "rolling_3m_qty", "rolling_3m_sales", "rolling_3m_views")])
 
 
 @query("trend_ratio")
 def q_trend_ratio(spark, sf):
-    m = _monthly(spark, sf).selectExpr("*", f"avg(qty) OVER {_R3S} AS rolling_3m_qty")
-    return sx(m, *_MK, f"round({X.ieee('qty', f'lag(rolling_3m_qty) OVER {_WPS}')}, 6) AS trend_qty")
+    return _features(spark, sf).select(*_MK, r6("trend_qty").alias("trend_qty"))
 
 
 @query("lag_features")
 def q_lag_features(spark, sf):
-    a = _monthly_ts(spark, sf)
-    return sx(a, *_MK, *[f"coalesce(lag({c}, {k}) OVER {_WPS}, 0) AS lag_{k}_{o}"
-                                for k in (1, 2, 3) for c, o in (("qty", "qty"), ("sales_amount", "sales"),
-                                                                 ("views", "views"))])
+    return _features(spark, sf).select(*_MK, *[f"lag_{k}_{o}" for k in (1, 2, 3) for o in ("qty", "sales", "views")])
 
 
 @query("linear_trend")
@@ -455,14 +456,14 @@ def q_sales_product_info_join(spark, sf):
 
 @query("sales_stock_join")
 def q_sales_stock_join(spark, sf):
-    return sales_stock_join(_monthly(spark, sf), _fx(spark, sf).stock_status(),
+    return sales_stock_join(_monthly(spark, sf), _stock(spark, sf),
                             ["product_id", "opening_stock", "closing_stock", "pending", "stock_status"])
 
 
 def _join_sides(spark, sf):
     left = _monthly(spark, sf).select(month_text(F.col("month")).alias("month_text"), "product_key", "qty",
                                       "net_amount")
-    right = _fx(spark, sf).stock_status().select("product_key", "month_text", F.col("sold_qty").alias("qty"),
+    right = _stock(spark, sf).select("product_key", "month_text", F.col("sold_qty").alias("qty"),
                                                  "opening_stock", "stock_status")
     return left, right
 
@@ -480,30 +481,27 @@ for _how in ("left", "right", "outer", "inner"):
 
 @query("stock_turnover")
 def q_stock_turnover(spark, sf):
-    j = sales_stock_join(_monthly(spark, sf), _fx(spark, sf).stock_status(), ["opening_stock", "closing_stock"])
-    return sx(j, *_MK, f"round({X.ieee('qty', '(opening_stock + closing_stock) / 2.0')}, 6) AS stock_turnover")
+    return _stock_features(spark, sf).select(*_MK, r6("stock_turnover").alias("stock_turnover"))
 
 
 @query("stock_coverage")
 def q_stock_coverage(spark, sf):
-    j = sales_stock_join(_monthly(spark, sf), _fx(spark, sf).stock_status(), ["closing_stock"])
-    return sx(j, *_MK, f"round({X.ieee('closing_stock', f'avg(qty) OVER {_R3S}')}, 6) AS stock_coverage")
+    return _stock_features(spark, sf).select(*_MK, r6("stock_coverage").alias("stock_coverage"))
 
 
 @query("price_level")
 def q_price_level(spark, sf):
-    info = product_info_first(_prep(spark, sf), ["list_price"], SOURCE_ORDER)
-    j = sales_product_info_join(_monthly(spark, sf), info)
-    return sx(j, *_MK, f"round({X.ieee('list_price', 'avg(list_price) OVER ' + X.window(['product_key']))}, 6)"
-                              " AS price_level")
+    # the highest list price of each month: a price that varies, unlike the product's first row
+    price = (_prep(spark, sf).where("product_key IS NOT NULL AND month IS NOT NULL")
+             .groupBy("month", "product_key").agg(F.max("list_price").alias("list_price"), F.sum("qty").alias("qty")))
+    return _with_features(price.withColumn("sales_amount", F.col("qty"))).select(
+        *_MK, r6("price_level").alias("price_level"))
 
 
 @query("traffic_ratios")
 def q_traffic_ratios(spark, sf):
-    a = allocate_traffic(_monthly(spark, sf), _traffic_m(spark, sf))
-    return sx(a, *_MK, f"round(views / {X.zero_to_one('qty')}, 6) AS view_to_sales_ratio",
-                        f"round(visitors / {X.zero_to_one('qty')}, 6) AS visitor_to_sales_ratio",
-                        f"round(visitors / {X.zero_to_one('views')}, 6) AS visitor_to_view_ratio")
+    return _features(spark, sf).select(*_MK, *[r6(c).alias(c) for c in (
+        "view_to_sales_ratio", "visitor_to_sales_ratio", "visitor_to_view_ratio")])
 
 
 @query("interaction_features")

@@ -28,37 +28,40 @@ MIN_COUNT = 1
 def month_share(df: DataFrame, amount: str = "net_amount", month: str = "month",
                 out: str = "weight") -> DataFrame:
     """Amount / month total (x/0 -> inf, 0/0 -> NULL). The month totals
-    are a partial aggregate (one row per month) broadcast back to the rows."""
+    are a partial aggregate (one row per month) joined back to the rows."""
     tot = df.groupBy(month).agg(F.sum(F.col(amount)).alias("__mt"))
-    j = df.join(F.broadcast(tot), month, "left")
+    j = df.join(tot, month, "left")
     return j.withColumn(out, ieee_div(F.col(amount), F.col("__mt"))).drop("__mt")
 
 
 def rank_in_group(df: DataFrame, group: str, order: list, out: str = "__rank") -> DataFrame:
-    """0-based position of each row inside its group under ``order``, without
-    sorting a whole group in one task.
-
-    Rows are range-partitioned by (group, order): a large group spans many
-    partitions. The partition ids are frozen by a reliable checkpoint (range
-    bounds come from sampling, so a recomputation could move them); rows are
-    numbered inside (partition, group), and each (partition, group) gets the
-    count of its group's rows in earlier partitions from a table of at most
-    partitions x groups rows."""
+    """0-based position of each row inside its group under ``order``, with one
+    shuffle and without sorting a whole group in one task.
+
+    Rows are range-partitioned by (group, order), sorted inside the ranges and
+    numbered by Spark's row id before a reliable checkpoint freezes both (range
+    bounds come from sampling, so a recomputation could move them). A row's
+    rank is its id minus the smallest id of its (partition, group), plus the
+    group's rows in earlier partitions: a table of at most partitions + groups
+    rows, since a group's stretch is contiguous."""
     # No explicit partition count: the shuffle-partition setting applies and
     # AQE may merge neighbouring ranges, which keeps every partition a
     # contiguous stretch of the order.
-    ranged = cut_lineage(df.repartitionByRange(F.col(group), *order)
-                           .withColumn("__pid", F.spark_partition_id()))
-    local = ranged.withColumn("__lrn", F.row_number().over(Window.partitionBy("__pid", group).orderBy(*order)))
-    counts = ranged.groupBy("__pid", group).agg(F.count(F.lit(1)).alias("__c"))
-    before = Window.partitionBy(group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
-    j = local.join(F.broadcast(offsets), ["__pid", group], "left")
-    return j.withColumn(out, F.col("__off") + F.col("__lrn") - 1).drop("__pid", "__lrn", "__off")
+    ranged = cut_lineage(df.repartitionByRange(F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+                           .withColumn("__id", F.monotonically_increasing_id()))
+    pid = F.shiftright("__id", 33)
+    stretches = ranged.groupBy(pid.alias("__pid"), F.col(group).alias("__g")).agg(
+        F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__c"))
+    before = Window.partitionBy("__g").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    shift = stretches.select("__pid", "__g", (F.coalesce(F.sum("__c").over(before), F.lit(0)) - F.col("__first"))
+                             .alias("__shift"))
+    j = ranged.join(shift, (pid == F.col("__pid")) & F.col(group).eqNullSafe(F.col("__g")), "left")
+    return j.withColumn(out, F.col("__id") + F.col("__shift")).drop("__id", "__pid", "__g", "__shift")
 
 
 def apportion_counts(df: DataFrame, totals: dict[str, str], *, weight: str = "net_amount",
-                     group: str = "month", key: str = "product_key", min_val: int = MIN_COUNT) -> DataFrame:
+                     group: str = "month", key: str = "product_key", min_val: int = MIN_COUNT,
+                     group_totals: DataFrame | None = None) -> DataFrame:
     """Split each whole-number total over the group's rows by weight.
 
     ``totals`` maps output column -> SQL expression of the group total.
@@ -68,20 +71,22 @@ def apportion_counts(df: DataFrame, totals: dict[str, str], *, weight: str = "ne
     zero weights, gives 0 everywhere (no floor). Closed form of the stepwise
     loop: part += sign(d) * (|d| div n + [rank < |d| mod n]).
 
-    Groups are calendar months here: the per-group tables (one row per
-    group) are broadcast; the rank comes from ``rank_in_group``, so no group
-    is ever sorted in a single task.
+    Per-group tables have one row per group and carry no hint (AQE decides);
+    ``group_totals`` (group, __tw, __n) passes weight sums and row counts that
+    are known already. The rank comes from ``rank_in_group``, so no group is
+    ever sorted in a single task.
     """
     names = list(totals)
     tmp = df.selectExpr("*", *[f"CAST({t} AS BIGINT) AS `__t_{o}`" for o, t in totals.items()])
-    g1 = tmp.groupBy(group).agg(F.sum(F.col(weight)).alias("__tw"), F.count(F.lit(1)).alias("__n"))
-    tmp = tmp.join(F.broadcast(g1), group, "left")
+    if group_totals is None:
+        group_totals = tmp.groupBy(group).agg(F.sum(F.col(weight)).alias("__tw"), F.count(F.lit(1)).alias("__n"))
+    tmp = tmp.join(group_totals, group, "left")
     share = X.ieee(X.q(weight), "`__tw`")
     tmp = tmp.selectExpr("*", *[
         f"CASE WHEN `__tw` <> 0 THEN CAST(bround(CAST(`__t_{o}` AS DOUBLE) * {share}, 0) AS BIGINT) END AS `__b_{o}`"
         for o in names])
     g2 = tmp.groupBy(group).agg(*[F.sum(f"__b_{o}").alias(f"__sb_{o}") for o in names])
-    tmp = rank_in_group(tmp.join(F.broadcast(g2), group, "left"), group,
+    tmp = rank_in_group(tmp.join(g2, group, "left"), group,
                         [F.col(weight).desc(), F.col(key).asc()])
     parts = []
     for o in names:
@@ -117,18 +122,22 @@ def allocate_traffic(monthly: DataFrame, traffic_monthly: DataFrame, spec: Traff
     cut_v = cutoff if cutoff is not None else g["first_month"]
     cut = f"DATE '{cut_v}'" if cut_v is not None else "CAST(NULL AS DATE)"
 
-    right = traffic_monthly.drop("total_sales")
-    j = monthly.join(F.broadcast(right), "month", "left")
+    # The roll-up is read several times below: materialise it, so that the
+    # order lines are scanned once. Month totals and row counts are taken once.
+    monthly = cut_lineage(monthly)
+    totals = cut_lineage(monthly.groupBy("month").agg(F.sum(F.col(amount)).alias("__tw"),
+                                                      F.count(F.lit(1)).alias("__n")))
     a = X.q(amount)
-    msales = monthly.groupBy("month").agg(F.sum(F.col(amount)).alias("__msales"))
-    j = j.join(F.broadcast(msales), "month", "left")
+    j = monthly.join(traffic_monthly.drop("total_sales"), "month", "left")
+    j = j.join(totals.select("month", F.col("__tw").alias("__msales")), "month", "left")
     early = f"(`month` < {cut})"
     share = X.ieee(a, "`__msales`")
     est = {c: f"greatest(CAST(1 AS BIGINT), CAST(bround(CAST(`__msales` AS DOUBLE) * {lit[c + '_per_sale']}, 0) AS BIGINT))"
            for c in counts}
     j = j.selectExpr(*[X.q(c) for c in j.columns if c not in counts],
                      *[f"CASE WHEN {early} THEN {est[c]} ELSE {X.q(c)} END AS `__total_{c}`" for c in counts])
-    j = apportion_counts(j, {c: f"`__total_{c}`" for c in counts}, weight=amount)
+    j = apportion_counts(j, {c: f"`__total_{c}`" for c in counts}, weight=amount,
+                         group_totals=totals)
     fills = {}
     for c in money:
         fills[c] = (f"CASE WHEN {early} THEN {share} * ((CAST(`__msales` AS DOUBLE) * {lit[c + '_per_sale']}) "

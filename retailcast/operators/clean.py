@@ -13,6 +13,10 @@ from retailcast.functions.numeric import ieee_div
 CANCELLED_STATUS = "Batal"
 
 
+# Forms of payment times in text.
+TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
+
+
 def with_product_key(df: DataFrame, product: str = "product", variant: str | None = "variant",
                      lenient: bool = False, out: str = "product_key") -> DataFrame:
     has_variant = variant is not None and variant in df.columns
@@ -30,8 +34,12 @@ def drop_cancelled(df: DataFrame, status: str = "status", value: str = CANCELLED
 
 
 def with_order_month(df: DataFrame, ts: str = "paid_at") -> DataFrame:
-    """Payment date and month start (both DATE; bad input is already NULL)."""
-    return df.withColumns({"pay_date": F.to_date(F.col(ts)), "month": month_start(F.col(ts))})
+    """Payment date and month start (both DATE). Text is read in the
+    unambiguous year-first forms; what does not parse is NULL."""
+    c = F.col(ts)
+    if dict(df.dtypes)[ts] == "string":
+        c = F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in TIME_FORMATS])
+    return df.withColumns({"pay_date": F.to_date(c), "month": month_start(c)})
 
 
 def unit_price(net: str = "net_price", qty: str = "qty") -> Column:

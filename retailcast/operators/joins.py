@@ -13,9 +13,15 @@ from retailcast.functions.calendar import month_text
 
 def parse_holiday_dates(holidays: DataFrame, date_col: str = "date_text",
                         formats=("M/d/yyyy", "yyyy-MM-dd", "d/M/yyyy")) -> DataFrame:
-    """Holiday text dates -> DATE column ``holiday_date`` (bad -> NULL)."""
-    d = F.coalesce(*[F.try_to_date(F.col(date_col).cast("string"), f) for f in formats])
-    return holidays.withColumn("holiday_date", d)
+    """Holiday text dates -> DATE column ``holiday_date`` (bad -> NULL).
+
+    One format holds for the whole column: the one that parses most rows, the
+    earlier one in a tie. The holiday table is a calendar, so one small count.
+    """
+    text = F.col(date_col).cast("string")
+    counts = holidays.agg(*[F.count(F.try_to_date(text, f)).alias(f"f{i}") for i, f in enumerate(formats)]).first()
+    best = max(range(len(formats)), key=lambda i: (counts[i], -i))
+    return holidays.withColumn("holiday_date", F.try_to_date(text, formats[best]))
 
 
 def holiday_day_flag(df: DataFrame, holidays: DataFrame, date_col: str = "pay_date",
@@ -47,7 +53,7 @@ def sales_traffic_join(monthly_sales: DataFrame, traffic_monthly: DataFrame,
     """Monthly sales LEFT JOIN monthly traffic on month; the right side's copy
     of the sales total is dropped. One traffic row per month: broadcast."""
     right = traffic_monthly.drop(*[c for c in drop_right if c in traffic_monthly.columns])
-    return monthly_sales.join(F.broadcast(right), "month", "left")
+    return monthly_sales.join(right, "month", "left")
 
 
 def sales_product_info_join(monthly: DataFrame, info: DataFrame, key: str = "product_key") -> DataFrame:

@@ -37,56 +37,76 @@ def monthly_product_sales(df: DataFrame, *, key: str = "product_key", month: str
     ``sales_amount`` is the same value under the traffic-facing name.
     """
     g = monthly_sales_with_first(df, key=key, month=month, qty=qty, amount=amount, scale=scale)
-    return g.where(F.col("month").isNotNull()).drop("first_row")
+    return g.where(F.col("month").isNotNull()).drop("first_order")
 
 
 def monthly_sales_with_first(df: DataFrame, *, key: str = "product_key", month: str = "month",
                              qty: str = "qty", amount: str = "net_price", scale: int = 1000,
-                             first_cols: list[str] | None = None,
-                             order_cols: list[str] | None = None) -> DataFrame:
-    """The (month, product) aggregate, optionally carrying each group's first
-    row in source order (``first_row`` struct). Rows with a NULL month are
-    kept here, as their own group, so the first row of a product is exact;
-    ``monthly_product_sales`` drops them. ``product_info_from_monthly`` then
-    needs no second pass over the order lines: the minimum over an order key
-    of per-group minimums is the overall minimum."""
+                             order_by: str | None = None) -> DataFrame:
+    """The (month, product) aggregate, optionally with the smallest value of
+    the leading order column (``first_order``, a fixed-width type, so that the
+    roll-up stays a hash aggregate). Rows with a NULL month are kept here, as
+    their own group, so the first row of a product is exact;
+    ``monthly_product_sales`` drops them."""
     aggs = [count_sum(qty).alias("qty"), (money_sum(amount) * F.lit(scale)).cast("long").alias("net_amount")]
-    if first_cols:
-        order = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_cols or [])])
-        aggs.append(F.min_by(F.struct(order.alias("order"), F.struct(*[F.col(c) for c in first_cols]).alias("row")),
-                             order).alias("first_row"))
-    else:
-        aggs.append(F.lit(None).alias("first_row"))
+    aggs.append(F.min(order_by).alias("first_order") if order_by else F.lit(None).alias("first_order"))
     g = (df.where(F.col(key).isNotNull())
            .groupBy(F.col(month).alias("month"), F.col(key).alias("product_key")).agg(*aggs))
     return g.withColumn("sales_amount", F.col("net_amount"))
 
 
-def product_info_from_monthly(agg: DataFrame, cols: list[str], key: str = "product_key") -> DataFrame:
-    """A10 from the carried ``first_row`` structs: one row per product."""
-    first = F.min_by(F.col("first_row.row"), F.col("first_row.order")).alias("first")
-    return agg.groupBy(key).agg(first).select(key, *[F.col(f"first.{c}").alias(c) for c in cols])
+#: Products up to which the first orders are sent to all tasks (about 100 bytes each).
+BROADCAST_PRODUCTS = 100_000
+
+
+def product_info_from_monthly(agg: DataFrame, lines: DataFrame, cols: list[str], order_cols: list[str],
+                              key: str = "product_key") -> DataFrame:
+    """A10: one row per product, its first in source order.
+
+    ``agg`` carries the smallest leading order value of each (month, product);
+    only the lines that hold a product's smallest one are fetched, by a join
+    on pruned columns, and compared by the whole order. Neither step sorts or
+    gathers the order lines.
+    """
+    lead = order_cols[0]
+    first = agg.groupBy(F.col(key).alias("__key")).agg(F.min("first_order").alias("__lead"))
+    if first.count() <= BROADCAST_PRODUCTS:
+        first = F.broadcast(first)
+    found = (lines.select(key, *dict.fromkeys([*order_cols, *cols]))
+             .join(first, (F.col(key) == F.col("__key")) & F.col(lead).eqNullSafe(F.col("__lead"))))
+    # the few lines of one leading value per product
+    best = F.array_min(F.collect_list(F.struct(
+        F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_cols)]).alias("order"),
+        F.struct(*[F.col(c) for c in cols]).alias("row")))).alias("first")
+    return found.groupBy(key).agg(best).select(key, *[F.col(f"first.row.{c}").alias(c) for c in cols])
+
+
+MEDIAN_ACCURACY = 10000
 
 
 # --- A2 / A4 ----------------------------------------------------------------
 _AGG_FUNCS = {
     "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)),
+    "exact_sum": lambda c: money_sum(c).cast("double"),   # doubles: the same whatever the partitioning
     "mean": F.avg,
     "avg": F.avg,
     "min": F.min,
     "max": F.max,
     "count": F.count,
     "nunique": F.count_distinct,
-    "median": F.median,
+    # a sketch of bounded size: exact up to its accuracy in distinct values per group
+    "median": lambda c: F.percentile_approx(c.cast("double"), 0.5, MEDIAN_ACCURACY),
 }
 
 
 def monthly_rollup(df: DataFrame, date_col: str | None, group_cols: list[str],
-                   aggs: dict[str, str]) -> DataFrame:
-    """Month ('yyyy-MM' text) + group columns + {column: function}.
+                   aggs: dict[str, str | list[str]]) -> DataFrame:
+    """Month ('yyyy-MM' text) + group columns + {column: function or list of functions}.
 
-    Output columns are named after the input columns; ``{'*': 'size'}``
-    counts rows as ``row_count``. Without a date column the result is empty.
+    Output columns are named after the input columns, with several functions
+    after both (``qty_sum``, ``qty_mean``); ``{'*': 'size'}`` counts rows as
+    ``row_count``. Sums of doubles are exact (decimal), so they do not depend
+    on partitioning. Without a date column the result is empty.
     """
     if not date_col or date_col not in df.columns:
         return df.sparkSession.createDataFrame([], "month string")
@@ -96,11 +116,15 @@ def monthly_rollup(df: DataFrame, date_col: str | None, group_cols: list[str],
     for c in group_cols:
         cond = cond & F.col(c).isNotNull()
     exprs = []
-    for c, fn in aggs.items():
-        if fn == "size":
-            exprs.append(F.count(F.lit(1)).alias("row_count"))
-        else:
-            exprs.append(_AGG_FUNCS[fn](F.col(c)).alias(c))
+    kinds = dict(df.dtypes)
+    for c, fns in aggs.items():
+        for fn in [fns] if isinstance(fns, str) else fns:
+            if fn == "size":
+                exprs.append(F.count(F.lit(1)).alias("row_count"))
+                continue
+            name = c if isinstance(fns, str) else f"{c}_{fn}"
+            exact = fn == "sum" and kinds[c] in ("double", "float")
+            exprs.append(_AGG_FUNCS["exact_sum" if exact else fn](F.col(c)).alias(name))
     return df.where(cond).groupBy(*keys).agg(*exprs)
 
 
@@ -122,7 +146,8 @@ class TrafficSpec:
     counts: dict[str, str] = field(default_factory=lambda: {
         "orders": "orders", "views": "views", "visitors": "visitors",
         "cancelled_orders": "cancelled_orders", "returned_orders": "returned_orders",
-        "buyers": "buyers"})
+        "buyers": "buyers", "new_buyers": "new_buyers", "current_buyers": "current_buyers",
+        "potential_buyers": "potential_buyers"})
     money: dict[str, str] = field(default_factory=lambda: {
         "cancelled_sales": "cancelled_sales", "returned_sales": "returned_sales"})
     mean_money_text: dict[str, str] = field(default_factory=lambda: {
@@ -185,15 +210,11 @@ def dataset_summary(df: DataFrame, key: str = "product_key", month: str = "month
 # --- A10 --------------------------------------------------------------------
 def product_info_first(df: DataFrame, cols: list[str], order_cols: list[str],
                        key: str = "product_key") -> DataFrame:
-    """First row per product in source order, for the given columns.
-
-    ``min_by`` over an order struct is a partial aggregate: exact 'keep
-    first' semantics with map-side reduction, unlike ``dropDuplicates``.
-    """
-    order = F.struct(*[F.col(c) for c in order_cols])
-    first = F.min_by(F.struct(*[F.col(c) for c in cols]), order).alias("first")
-    return (df.where(F.col(key).isNotNull()).groupBy(key).agg(first)
-              .select(key, *[F.col(f"first.{c}").alias(c) for c in cols]))
+    """First row per product in source order, for the given columns (exact
+    'keep first' semantics, unlike ``dropDuplicates``)."""
+    lines = df.where(F.col(key).isNotNull())
+    lead = lines.groupBy(key).agg(F.min(order_cols[0]).alias("first_order"))
+    return product_info_from_monthly(lead, lines, cols, order_cols, key)
 
 
 # --- A11 --------------------------------------------------------------------

@@ -18,7 +18,8 @@ ORACLE["monthly_product_sales"] = with_views(
 # fixture views so ``with_views`` resolves their dependencies).
 from retailcast.sources import fixture_sql as _fs  # noqa: E402
 
-COUNTS = ["orders", "views", "visitors", "cancelled_orders", "returned_orders", "buyers"]
+COUNTS = ["orders", "views", "visitors", "cancelled_orders", "returned_orders", "buyers", "new_buyers",
+          "current_buyers", "potential_buyers"]
 MONEY = ["cancelled_sales", "returned_sales"]
 RATES = ["conversion_rate", "repeat_rate"]
 
@@ -67,6 +68,7 @@ FROM (SELECT *, coalesce(try_strptime(date_text, '%d/%m/%Y'), try_strptime(date_
       FROM traffic) t
 WHERE d IS NOT NULL
 GROUP BY 1""", "traffic")
+view("traffic_monthly_all", _fs.VIEWS["traffic_monthly"].replace("FROM traffic)", "FROM traffic_all)"), "traffic_all")
 
 _TOT = f"CAST(sum(CAST(total_sales AS DECIMAL(38,6))) AS DOUBLE)"
 view("traffic_global", "SELECT " + ", ".join(
@@ -127,12 +129,14 @@ def r6(x: str) -> str:
 ORACLE["monthly_traffic"] = with_views(
     "SELECT month, " + ", ".join(
         [r6("total_sales") + " AS total_sales"] + COUNTS + [r6(c) + f" AS {c}" for c in MONEY + ["sales_per_order"] + RATES])
-    + " FROM traffic_monthly", "traffic_monthly")
+    + " FROM traffic_monthly_all", "traffic_monthly_all")
 
+view("traffic_global_all", _fs.VIEWS["traffic_global"].replace("FROM traffic_monthly", "FROM traffic_monthly_all"),
+     "traffic_monthly_all")
 ORACLE["traffic_ratios_global"] = with_views(
     "SELECT " + ", ".join(f"round({c}, 9) AS {c}" for c in
                           [f"avg_{r}" for r in RATES] + [f"{c}_per_sale" for c in COUNTS + MONEY])
-    + " FROM traffic_global", "traffic_global")
+    + " FROM traffic_global_all", "traffic_global_all")
 
 ORACLE["month_share"] = with_views(
     f"SELECT month, product_key, net_amount, {r6(ieee('net_amount', 'sum(net_amount) OVER (PARTITION BY month)'))} AS weight "
@@ -155,7 +159,8 @@ ORACLE["estimate_missing_traffic"] = with_views(
 
 # --------------------------------------------------------------------------
 # Feature table (notebook path)
-INFO = ["seller_voucher", "shipping_fee", "total_payment", "status", "list_price", "weight_text",
+INFO = ["seller_voucher", "platform_voucher", "coin_discount", "shipping_fee", "shipping_deduction",
+        "return_shipping", "total_payment", "estimated_shipping", "status", "list_price", "weight_text",
         "total_weight_text"]
 ORDER = "src_orderkey, src_linenumber, src_partkey, src_suppkey, list_price"
 
@@ -236,7 +241,8 @@ RATIO = ["price_level", "view_to_sales_ratio", "visitor_to_sales_ratio", "visito
 FE_LONG = (["qty", "net_amount", "sales_amount"] + COUNTS
            + ["stock_status_code", "year", "month_of_year", "quarter", "days_in_month", "mean_qty_per_product"]
            + [f"lag_{k}_{m}" for k in (1, 2, 3) for m in ("qty", "sales", "views")])
-FE_DOUBLE = (MONEY + ["sales_per_order"] + RATES + ["seller_voucher", "shipping_fee", "total_payment", "list_price"]
+FE_DOUBLE = (MONEY + ["sales_per_order"] + RATES + ["seller_voucher", "platform_voucher", "coin_discount", "shipping_fee",
+                "shipping_deduction", "return_shipping", "total_payment", "estimated_shipping", "list_price"]
              + STOCK_NUM + ["weight", "total_weight"] + TREND[:2] + ["seasonal_index"] + RATIO
              + ["rolling_3m_qty", "rolling_3m_sales", "rolling_3m_views", "trend_qty"]
              + [f"lag_{k}_stock_turnover" for k in (1, 2, 3)]
@@ -254,7 +260,8 @@ view("fe_bc", "SELECT * REPLACE (" + ", ".join(
     + [_fin(c) + f" AS {c}" for c in FE_DOUBLE if c not in RATIO]) + ") FROM fe_a", "fe_a")
 view("feature_table_sql", "SELECT " + ", ".join(
     ["strftime(month, '%Y-%m') AS month", "strftime(month, '%Y-%m') AS date_index"] + FE_OTHER + FE_LONG
-    + [f"coalesce(coalesce({c}, (SELECT median({c}) FROM fe_bc)), 0.0) AS {c}" for c in FE_DOUBLE])
+    + [c if c == "product_id" else f"coalesce(coalesce({c}, (SELECT median({c}) FROM fe_bc)), 0.0) AS {c}"
+       for c in FE_DOUBLE])
     + " FROM fe_bc", "fe_bc")
 
 ORACLE["feature_table"] = with_views(
@@ -441,10 +448,10 @@ ORACLE["parse_weight"] = with_views(
     f"SELECT {ROW_ID}, weight_text, {loc_num("replace(weight_text, ' gr', '')")} AS weight FROM sales",
     "sales")
 ORACLE["parse_localized_number"] = with_views(
-    f"SELECT date_text, sales_text, {loc_num('sales_text')} AS sales FROM traffic", "traffic")
+    f"SELECT date_text, sales_text, {loc_num('sales_text')} AS sales FROM traffic_all", "traffic_all")
 ORACLE["parse_percent"] = with_views(
-    f"SELECT date_text, conversion_rate_text, {pct_num('conversion_rate_text')} AS conversion_rate FROM traffic",
-    "traffic")
+    f"SELECT date_text, conversion_rate_text, {pct_num('conversion_rate_text')} AS conversion_rate FROM traffic_all",
+    "traffic_all")
 ORACLE["holiday_day_flag"] = with_views(
     f"SELECT {ROW_ID}, CAST(paid_at AS DATE) AS pay_date, (h.holiday_date IS NOT NULL) AS is_holiday "
     "FROM sales_prep s LEFT JOIN holiday_dates h ON CAST(s.paid_at AS DATE) = h.holiday_date",
@@ -515,18 +522,21 @@ ORACLE["dataset_summary"] = with_views(
     "SELECT count(*) AS n_rows, count(DISTINCT product_key) AS n_products, min(month) AS first_month, "
     "max(month) AS last_month, CAST(floor(datediff('day', min(month), max(month)) / 30) AS BIGINT) AS month_span, "
     "CAST(coalesce(sum(qty), 0) AS BIGINT) AS total_qty FROM sales_monthly", "sales_monthly")
-ORACLE["product_info_first"] = with_views(
-    "SELECT product_key, round(seller_voucher, 6) AS seller_voucher, round(shipping_fee, 6) AS shipping_fee, "
-    "round(total_payment, 6) AS total_payment, status, round(list_price, 6) AS list_price, weight_text, "
-    "total_weight_text FROM product_info", "product_info")
+def _info_cols(prefix: str) -> str:
+    text = ("status", "weight_text", "total_weight_text")
+    return ", ".join(f"{prefix}{c}" if c in text else f"round({prefix}{c}, 6) AS {c}" for c in INFO)
+
+
+ORACLE["product_info_first"] = with_views(f"SELECT product_key, {_info_cols('')} FROM product_info", "product_info")
 ORACLE["product_list"] = with_views("SELECT DISTINCT product_key FROM sales_monthly", "sales_monthly")
 ORACLE["top_products"] = with_views(
     "SELECT product_key, CAST(sum(qty) AS BIGINT) AS total_qty FROM sales_monthly GROUP BY 1 "
     "ORDER BY total_qty DESC, product_key ASC LIMIT 10", "sales_monthly")
 ORACLE["encode_status"] = with_views(
-    "SELECT s.product_key, s.month_text, s.stock_status, c.code AS stock_status_code FROM stock_status s JOIN "
+    "SELECT s.product_key, s.month_text, s.stock_status, c.code AS stock_status_code FROM stock_status_all s JOIN "
     "(SELECT stock_status, CAST(dense_rank() OVER (ORDER BY stock_status) - 1 AS BIGINT) AS code "
-    " FROM (SELECT DISTINCT stock_status FROM stock_status)) c ON s.stock_status = c.stock_status", "stock_status")
+    " FROM (SELECT DISTINCT stock_status FROM stock_status_all)) c ON s.stock_status = c.stock_status",
+    "stock_status_all")
 ORACLE["column_medians"] = with_views(
     "SELECT " + ", ".join(f"round(CAST(median({c}) AS DOUBLE), 6) AS {c}" for c in
                           ["qty", "net_amount", "orders", "cancelled_sales", "sales_per_order", "conversion_rate"])
@@ -539,9 +549,7 @@ ORACLE["sales_traffic_join"] = with_views(
         f"t.{c}" if c in COUNTS else f"round(t.{c}, 6) AS {c}" for c in _TM_COLS)
     + " FROM sales_monthly s LEFT JOIN traffic_monthly t ON s.month = t.month", "sales_monthly", "traffic_monthly")
 ORACLE["sales_product_info_join"] = with_views(
-    "SELECT s.*, round(i.seller_voucher, 6) AS seller_voucher, round(i.shipping_fee, 6) AS shipping_fee, "
-    "round(i.total_payment, 6) AS total_payment, i.status, round(i.list_price, 6) AS list_price, i.weight_text, "
-    "i.total_weight_text FROM sales_monthly s LEFT JOIN product_info i ON s.product_key = i.product_key",
+    f"SELECT s.*, {_info_cols('i.')} FROM sales_monthly s LEFT JOIN product_info i ON s.product_key = i.product_key",
     "sales_monthly", "product_info")
 ORACLE["sales_stock_join"] = with_views(
     "SELECT s.*, st.product_id, st.opening_stock, st.closing_stock, st.pending, st.stock_status "
@@ -571,9 +579,9 @@ ORACLE["stock_coverage"] = with_views(
     f"SELECT s.month, s.product_key, round({ieee('st.closing_stock', 'avg(s.qty) OVER (PARTITION BY s.product_key ORDER BY s.month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')}, 6) "
     f"AS stock_coverage {_SJ}", "sales_monthly", "stock_status")
 ORACLE["price_level"] = with_views(
-    f"SELECT s.month, s.product_key, round({ieee('i.list_price', 'avg(i.list_price) OVER (PARTITION BY s.product_key)')}, 6) "
-    "AS price_level FROM sales_monthly s LEFT JOIN product_info i ON s.product_key = i.product_key",
-    "sales_monthly", "product_info")
+    f"SELECT month, product_key, round({ieee('p', 'avg(p) OVER (PARTITION BY product_key)')}, 6) AS price_level FROM ("
+    "SELECT CAST(date_trunc('month', paid_at) AS DATE) AS month, product_key, max(list_price) AS p FROM sales_prep "
+    "WHERE product_key IS NOT NULL AND paid_at IS NOT NULL GROUP BY 1, 2)", "sales_prep")
 ORACLE["traffic_ratios"] = with_views(
     "SELECT month, product_key, round(views / (CASE WHEN qty = 0 THEN 1 ELSE qty END), 6) AS view_to_sales_ratio, "
     "round(visitors / (CASE WHEN qty = 0 THEN 1 ELSE qty END), 6) AS visitor_to_sales_ratio, "
@@ -752,4 +760,4 @@ def _rates(src: str, view_name: str) -> str:
 
 
 ORACLE["date_parse_rates"] = _fix_round(with_views(
-    _rates("holidays", "holidays") + " UNION ALL " + _rates("traffic", "traffic"), "holidays", "traffic"))
+    _rates("holidays", "holidays") + " UNION ALL " + _rates("traffic", "traffic_all"), "holidays", "traffic_all"))

@@ -19,13 +19,14 @@ from retailcast.operators.allocate import allocate_traffic
 from retailcast.operators.clean import prepare_sales
 from retailcast.operators.features import (advanced_features, basic_features, encode_labels,
                                            time_series_features)
-from retailcast.operators.finalize import finalize_features
+from retailcast.operators.finalize import finalize_features, numeric_columns
 from retailcast.operators.joins import holiday_month_flag, sales_product_info_join, sales_stock_join
 from retailcast.session import cut_lineage
 from retailcast.operators.rollup import (TrafficSpec, monthly_sales_with_first, monthly_traffic,
                                          product_info_from_monthly)
 
-INFO_COLUMNS = ["seller_voucher", "shipping_fee", "total_payment", "status", "list_price",
+INFO_COLUMNS = ["seller_voucher", "platform_voucher", "coin_discount", "shipping_fee", "shipping_deduction",
+                "return_shipping", "total_payment", "estimated_shipping", "status", "list_price",
                 "weight_text", "total_weight_text"]
 SOURCE_ORDER = ["src_orderkey", "src_linenumber", "src_partkey", "src_suppkey", "list_price"]
 STOCK_NUMBERS = ["product_id", "opening_stock", "closing_stock", "pending"]
@@ -38,13 +39,13 @@ def joined_monthly(sales: DataFrame, traffic: DataFrame, stock_status: DataFrame
     """Steps 2-9: clean, roll up, allocate traffic, join product info, stock
     status and holiday months, parse weights, encode the stock status."""
     s = prepare_sales(sales, holidays)
-    # One aggregate over the order lines feeds both the monthly rows and the
-    # per-product first row. It is materialised once (reliable checkpoint):
-    # later steps run as several jobs, and none of them may rescan the lines.
-    agg = cut_lineage(monthly_sales_with_first(s, first_cols=list(info_cols), order_cols=list(order_cols)))
-    monthly = agg.where(F.col("month").isNotNull()).drop("first_row")
+    # One hash aggregate over the order lines, materialised (reliable
+    # checkpoint): later steps run as several jobs, and none of them may roll
+    # up the lines again. The first row of each product is fetched apart.
+    agg = cut_lineage(monthly_sales_with_first(s, order_by=order_cols[0]))
+    monthly = agg.where(F.col("month").isNotNull()).drop("first_order")
     alloc = allocate_traffic(monthly, monthly_traffic(traffic, spec), spec, cutoff)
-    info = product_info_from_monthly(agg, list(info_cols))
+    info = product_info_from_monthly(agg, s, list(info_cols), list(order_cols))
     j = sales_product_info_join(alloc, info)
     j = sales_stock_join(j, stock_status, STOCK_NUMBERS + ["stock_status"])
     # NULL for products without stock rows: float columns, as after the source's join
@@ -69,6 +70,7 @@ def feature_table(sales: DataFrame, traffic: DataFrame, stock_status: DataFrame,
     status column is dropped, as in the source."""
     f = features_unfilled(joined_monthly(sales, traffic, stock_status, holidays, spec=spec, cutoff=cutoff))
     if finalize:
-        f = finalize_features(f)
+        # identifiers are no quantities: no median, no zero
+        f = finalize_features(f, median_cols=numeric_columns(f, exclude=("product_id",)))
     f = f.withColumns({"date_index": month_text(F.col("month")), "month": month_text(F.col("month"))})
     return f.drop("status")

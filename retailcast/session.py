@@ -40,8 +40,9 @@ def build_session(master: str | None = None, app: str = "retailcast",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting wins. Only when nothing is set (local tests) is a
-    fresh scratch folder created and registered.
+    The cluster's setting wins. Only in local mode with nothing set (tests) is
+    a fresh scratch folder created and registered; on a cluster a folder of
+    the driver's machine would lose data, so that is an error.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -53,7 +54,9 @@ def checkpoint_root(spark: SparkSession) -> str:
             conf_dir = spark.conf.get("spark.checkpoint.dir", None)
         except Exception:  # noqa: BLE001 - key unknown to the SQL conf
             conf_dir = None
-    if not conf_dir:  # unset: only in tests / local runs
+    if not conf_dir:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="retailcast-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir

@@ -41,7 +41,12 @@ SELECT l.l_orderkey AS src_orderkey, l.l_linenumber AS src_linenumber,
        {thousands('p.p_size * 100')} || ' gr' AS weight_text,
        {thousands('CAST(p.p_size * 100 AS BIGINT) * CAST(l.l_quantity AS BIGINT)')} || ' gr' AS total_weight_text,
        l.l_extendedprice * l.l_discount AS seller_voucher,
+       l.l_extendedprice * l.l_discount / 2.0 AS platform_voucher,
+       l.l_quantity AS coin_discount,
        l.l_extendedprice * l.l_tax AS shipping_fee,
+       l.l_extendedprice * l.l_tax / 2.0 AS shipping_deduction,
+       CASE WHEN l.l_returnflag = 'R' THEN l.l_tax ELSE 0.0 END AS return_shipping,
+       l.l_extendedprice * l.l_tax + 1.0 AS estimated_shipping,
        (l.l_extendedprice * (CAST(1.0 AS DOUBLE) - l.l_discount)) * (CAST(1.0 AS DOUBLE) + l.l_tax) AS total_payment
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey"""
 DEPS["sales"] = ()
@@ -51,6 +56,8 @@ SELECT CAST(o_orderdate AS DATE) AS day,
        sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS sales_cents,
        count(*) AS orders,
        count(DISTINCT o_custkey) AS buyers,
+       sum(CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END) AS new_buyers,
+       sum(CASE WHEN o_custkey % 3 = 1 THEN 1 ELSE 0 END) AS current_buyers,
        sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS cancelled_orders,
        sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS returned_orders,
        coalesce(sum(CASE WHEN o_orderstatus = 'F' THEN CAST(round(o_totalprice * 100) AS BIGINT) END), 0) AS cancelled_cents,
@@ -72,9 +79,17 @@ SELECT strftime(day, '%d/%m/%Y') AS date_text,
        CAST(returned_orders AS BIGINT) AS returned_orders,
        returned_cents / 100.0 AS returned_sales,
        CAST(buyers AS BIGINT) AS buyers,
+       CAST(new_buyers AS BIGINT) AS new_buyers,
+       CAST(current_buyers AS BIGINT) AS current_buyers,
+       CAST(orders * 3 - new_buyers AS BIGINT) AS potential_buyers,
        {bp_text('(returned_orders * 10000) // orders')} AS repeat_rate_text
 FROM traffic_daily"""
 DEPS["traffic"] = ("traffic_daily",)
+# The same for every day; the cut view leaves months without traffic for the estimate.
+VIEWS["traffic_daily_all"] = VIEWS["traffic_daily"].replace(" WHERE o_orderdate >= TIMESTAMP '1995-04-01'", "")
+DEPS["traffic_daily_all"] = ()
+VIEWS["traffic_all"] = VIEWS["traffic"].replace("FROM traffic_daily", "FROM traffic_daily_all")
+DEPS["traffic_all"] = ("traffic_daily_all",)
 
 # Strict-key monthly sales after the cancellation rule (FIXTURES "monthly sales view").
 VIEWS["sales_monthly_base"] = f"""
@@ -110,6 +125,10 @@ SELECT product_id, strftime(month, '%Y-%m') AS month_text, product_key, opening_
             ELSE 'Overstock' END AS stock_status
 FROM stock_base"""
 DEPS["stock_status"] = ("stock_base",)
+VIEWS["stock_base_all"] = VIEWS["stock_base"].replace("\nWHERE month(s.month) <> 7", "")
+DEPS["stock_base_all"] = DEPS["stock_base"]
+VIEWS["stock_status_all"] = VIEWS["stock_status"].replace("FROM stock_base", "FROM stock_base_all")
+DEPS["stock_status_all"] = ("stock_base_all",)
 
 VIEWS["shop_stock"] = f"""
 SELECT p.p_partkey AS product_code, p.p_brand AS product, CAST(p.p_partkey AS VARCHAR) AS variant_code,

@@ -70,18 +70,28 @@ class Fixtures:
             F.concat(format_thousands(grams), F.lit(" gr")).alias("weight_text"),
             F.concat(format_thousands(grams * qty), F.lit(" gr")).alias("total_weight_text"),
             (F.col("l_extendedprice") * F.col("l_discount")).alias("seller_voucher"),
+            (F.col("l_extendedprice") * F.col("l_discount") / F.lit(2.0)).alias("platform_voucher"),
+            F.col("l_quantity").alias("coin_discount"),
             (F.col("l_extendedprice") * F.col("l_tax")).alias("shipping_fee"),
+            (F.col("l_extendedprice") * F.col("l_tax") / F.lit(2.0)).alias("shipping_deduction"),
+            F.when(F.col("l_returnflag") == "R", F.col("l_tax")).otherwise(F.lit(0.0)).alias("return_shipping"),
+            (F.col("l_extendedprice") * F.col("l_tax") + F.lit(1.0)).alias("estimated_shipping"),
             (net * (F.lit(1.0) + F.col("l_tax"))).alias("total_payment"),
         )
 
     # --- traffic: one row per day ---------------------------------------
-    def traffic(self) -> DataFrame:
-        od = self.table("orders").where(F.col("o_orderdate") >= F.lit(TRAFFIC_START).cast("timestamp_ntz"))
+    def traffic(self, start: str | None = None) -> DataFrame:
+        """Every day; from ``start`` on where the months before it shall lack traffic."""
+        od = self.table("orders")
+        if start:
+            od = od.where(F.col("o_orderdate") >= F.lit(start).cast("timestamp_ntz"))
         cents = F.round(F.col("o_totalprice") * 100).cast("long")
         daily = od.groupBy(F.to_date("o_orderdate").alias("day")).agg(
             F.sum(cents).alias("sales_cents"),
             F.count(F.lit(1)).alias("orders"),
             F.count_distinct("o_custkey").alias("buyers"),
+            F.sum(F.when(F.col("o_custkey") % 3 == 0, 1).otherwise(0)).cast("long").alias("new_buyers"),
+            F.sum(F.when(F.col("o_custkey") % 3 == 1, 1).otherwise(0)).cast("long").alias("current_buyers"),
             F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).cast("long").alias("cancelled_orders"),
             F.sum(F.when(F.col("o_orderstatus") == "P", 1).otherwise(0)).cast("long").alias("returned_orders"),
             F.coalesce(F.sum(F.when(F.col("o_orderstatus") == "F", cents)), F.lit(0)).alias("cancelled_cents"),
@@ -100,11 +110,15 @@ class Fixtures:
             F.col("returned_orders"),
             (F.col("returned_cents") / 100.0).alias("returned_sales"),
             F.col("buyers"),
+            F.col("new_buyers"),
+            F.col("current_buyers"),
+            (F.col("orders") * 3 - F.col("new_buyers")).alias("potential_buyers"),
             format_percent_bp(F.expr("(returned_orders * 10000) div orders")).alias("repeat_rate_text"),
         )
 
-    # --- stock status: one row per (product, month), July removed --------
-    def stock_status(self) -> DataFrame:
+    # --- stock status: one row per (product, month) -----------------------
+    def stock_status(self, without_month: int | None = None) -> DataFrame:
+        """Every month; without one month of the year where rows shall lack a match."""
         from retailcast.operators.clean import prepare_sales
         from retailcast.operators.rollup import monthly_product_sales
 
@@ -121,8 +135,9 @@ class Fixtures:
         opening = (F.when((m + L) % 5 == 0, q)
                    .otherwise(F.greatest(F.lit(1).cast("long"),
                                          q + (((F.year("month") * 12 + m + L) % 9) - 2) * 8)))
-        st = (monthly.where(F.month("month") != STOCK_DROP_MONTH)
-              .join(ids, "product_key", "left")
+        if without_month:
+            monthly = monthly.where(F.month("month") != without_month)
+        st = (monthly.join(ids, "product_key", "left")
               .select("product_id", "month", "product_key", q.alias("sold_qty"),
                       opening.cast("long").alias("opening_stock")))
         closing = F.greatest(F.col("opening_stock") - F.col("sold_qty"), F.lit(0).cast("long"))

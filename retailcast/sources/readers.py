@@ -2,16 +2,16 @@
 
 CSV is read with an explicit schema when one is given (no inference pass
 over the data), permissive mode (bad fields -> NULL) and quoting on, so
-product names with commas survive. A ``row_order`` column can be attached:
-``monotonically_increasing_id`` right after the scan is increasing in file
-order, which is what 'keep the first row' rules need.
+product names with commas survive. A ``row_order`` column can be attached: a struct
+that sorts rows by file name and place in the file, which is what 'keep the
+first row' rules need.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from retailcast.functions.calendar import month_from_text
 
@@ -19,15 +19,27 @@ REPLACEMENT_CHAR = "�"
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, *,
-             encoding: str = "UTF-8", sep: str = ",", with_row_order: bool = False) -> DataFrame:
-    """Header CSV, typed by ``schema`` (all strings when None)."""
+             encoding: str = "UTF-8", sep: str = ",", with_row_order: bool = False, multi_line: bool = False,
+             corrupt_column: str | None = None) -> DataFrame:
+    """Header CSV, typed by ``schema`` (all strings when None).
+
+    ``multi_line`` keeps quoted line breaks inside a record (a file is then
+    read by one task, so leave it off where no field holds one).
+    ``corrupt_column`` receives the raw text of records that do not fit."""
     r = (spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-         .option("multiLine", False).option("mode", "PERMISSIVE").option("encoding", encoding))
+         .option("multiLine", multi_line).option("mode", "PERMISSIVE").option("encoding", encoding))
     if schema is not None:
-        r = r.schema(schema)
+        kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        if corrupt_column:
+            kind = StructType([*kind.fields, StructField(corrupt_column, StringType())])
+            r = r.option("columnNameOfCorruptRecord", corrupt_column)
+        r = r.schema(kind)
     df = r.csv(path)
     if with_row_order:
-        df = df.withColumn("row_order", F.monotonically_increasing_id())
+        # Spark deals file blocks by size, so a row's place is its file, its block and its number therein
+        df = df.withColumn("row_order", F.struct(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row")))
     return df
 
 

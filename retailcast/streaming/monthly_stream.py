@@ -1,12 +1,12 @@
 """Monthly product sales (A1) over a stream of order lines.
 
 The same roll-up as ``monthly_product_sales``, kept up to date as order-line
-files arrive: a Structured Streaming aggregation keyed by (month, product)
-with a watermark on the payment time, so state for closed months is dropped.
-Each micro-batch's changed (month, product) rows are handed to a batch
-function (e.g. a MERGE into the feature-table input); a checkpoint location
-in the shared folder makes the query restartable after executor or driver
-loss.
+files arrive, in any order of their payment times. There is no watermark: a
+late line updates its month like any other. The state is one running total per
+(month, product), as large as the roll-up itself. Each micro-batch's changed
+rows are handed to a batch function (for example a MERGE into the feature
+table's input); a checkpoint location in the shared folder makes the query
+restartable after executor or driver loss.
 """
 
 from __future__ import annotations
@@ -19,47 +19,36 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from retailcast.operators.clean import prepare_sales
-from retailcast.operators.rollup import MONEY
+from retailcast.operators.rollup import count_sum, money_sum
 
+KEY = ["month", "product_key"]
 
-def monthly_sales_stream(lines: DataFrame, *, watermark: str = "62 days") -> DataFrame:
-    """Streaming (month, product) quantity and scaled net amount."""
-    # Watermarks need TIMESTAMP (zone-bound); local payment times are cast once.
-    s = (prepare_sales(lines).withColumn("__event_ts", F.col("paid_at").cast("timestamp"))
-         .withWatermark("__event_ts", watermark))
-    g = (s.where(F.col("product_key").isNotNull() & F.col("month").isNotNull())
-          .groupBy(F.window("__event_ts", "31 days").alias("__w"), "month", "product_key")
-          .agg(F.coalesce(F.sum("qty"), F.lit(0)).cast("long").alias("qty"),
-               F.coalesce(F.sum(F.col("net_price").cast(MONEY)), F.lit(0).cast(MONEY)).alias("__net")))
-    # Months are grouped by their first day; the event-time window only lets
-    # the watermark retire state. A month can span two windows, so a row is a
-    # running partial sum keyed by (window_start, month, product): the sink
-    # upserts on that key and ``finish_monthly`` adds the windows up.
-    return g.select(F.col("__w.start").alias("window_start"), "month", "product_key", "qty", "__net")
+
+def monthly_sales_stream(lines: DataFrame) -> DataFrame:
+    """Running (month, product) quantity and exact net amount (``net``, unscaled)."""
+    s = prepare_sales(lines)
+    return (s.where(F.col("product_key").isNotNull() & F.col("month").isNotNull())
+             .groupBy(*KEY).agg(count_sum("qty").alias("qty"), money_sum("net_price").alias("net")))
 
 
 def start_monthly_sales_stream(spark: SparkSession, source_dir: str, schema: StructType | str,
                                on_batch: Callable[[DataFrame, int], None], checkpoint: str,
                                fmt: str = "parquet", available_now: bool = False) -> StreamingQuery:
     """Read order-line files from ``source_dir`` and call ``on_batch`` with
-    each micro-batch's updated rows (``update`` output mode: the current
-    running totals of the keys that changed, to be upserted)."""
+    each micro-batch's updated rows (``update`` output mode: the running
+    totals of the (month, product) keys that changed, to be upserted)."""
     lines = spark.readStream.schema(schema).format(fmt).load(source_dir)
-    agg = monthly_sales_stream(lines)
-    w = (agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    w = (monthly_sales_stream(lines).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
          .foreachBatch(on_batch))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
 
-def finish_monthly(partials: DataFrame, scale: int = 1000, batch_col: str = "batch_id") -> DataFrame:
-    """Combine upserted partial sums into the batch roll-up's shape. If the
-    sink appended batches instead of upserting, the latest batch per key wins."""
-    key = ["window_start", "month", "product_key"]
-    if batch_col in partials.columns:
-        latest = partials.groupBy(*key).agg(F.max_by(F.struct("qty", "__net"), F.col(batch_col)).alias("v"))
-        partials = latest.select(*key, "v.qty", "v.__net")
-    g = partials.groupBy("month", "product_key").agg(F.sum("qty").cast("long").alias("qty"),
-                                                      F.sum("__net").alias("__net"))
-    amount = (F.col("__net") * F.lit(scale)).cast("long")
-    return g.select("month", "product_key", "qty", amount.alias("net_amount"), amount.alias("sales_amount"))
+def finish_monthly(totals: DataFrame, scale: int = 1000, batch_col: str = "batch_id") -> DataFrame:
+    """Upserted totals in the batch roll-up's shape. If the sink appended
+    batches instead of upserting, the latest batch per key wins."""
+    if batch_col in totals.columns:
+        latest = totals.groupBy(*KEY).agg(F.max_by(F.struct("qty", "net"), F.col(batch_col)).alias("v"))
+        totals = latest.select(*KEY, "v.qty", "v.net")
+    amount = (F.col("net") * F.lit(scale)).cast("long")
+    return totals.select(*KEY, "qty", amount.alias("net_amount"), amount.alias("sales_amount"))

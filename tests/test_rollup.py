@@ -17,8 +17,8 @@ def test_first_row_in_source_order(spark):
             (2, "a", dt.date(2024, 1, 1), 1, 5.0, "second"), (4, "b", dt.date(2024, 1, 1), 2, 1.0, "b1")]
     df = spark.createDataFrame(rows, "ord long, product_key string, month date, qty long, net_price double, tag string")
     direct = {r.product_key: r.tag for r in product_info_first(df, ["tag"], ["ord"]).collect()}
-    agg = monthly_sales_with_first(df, first_cols=["tag"], order_cols=["ord"])
-    via = {r.product_key: r.tag for r in product_info_from_monthly(agg, ["tag"]).collect()}
+    agg = monthly_sales_with_first(df, order_by="ord")
+    via = {r.product_key: r.tag for r in product_info_from_monthly(agg, df, ["tag"], ["ord"]).collect()}
     assert direct == via == {"a": "first-no-date", "b": "b1"}
     # the dateless line is not a monthly row
     assert agg.where("month IS NOT NULL").count() == 3
@@ -27,3 +27,22 @@ def test_first_row_in_source_order(spark):
 def test_top_products_ties(spark):
     df = spark.createDataFrame([("b", 5), ("a", 5), ("c", 9), ("d", 1)], "product_key string, qty long")
     assert [r.product_key for r in top_products(df, 3).collect()] == ["c", "a", "b"]
+
+
+def test_several_functions_per_column(spark):
+    import datetime as dt
+    df = spark.createDataFrame([(dt.date(2024, 1, 2), 1, 0.1), (dt.date(2024, 1, 3), 3, 0.2)], "d date, q long, x double")
+    r = monthly_rollup(df, "d", [], {"q": ["sum", "mean", "median"], "x": "sum"}).collect()[0]
+    assert (r.month, r.q_sum, r.q_mean, r.x) == ("2024-01", 4, 2.0, 0.3)
+    assert r.q_median in (1.0, 3.0)
+
+
+def test_first_rows_without_sorting_the_lines(spark):
+    from retailcast.operators.rollup import product_info_first
+    rows = [("a", 2, 1, "late"), ("a", 1, 2, "second"), ("a", 1, 1, "first"), ("b", None, 1, "null first"),
+            ("c", 7, 7, None), (None, 0, 0, "no key")]
+    df = spark.createDataFrame(rows, "product_key string, o1 long, o2 long, v string")
+    out = product_info_first(df, ["v"], ["o1", "o2"])
+    assert {r.product_key: r.v for r in out.collect()} == {"a": "first", "b": "null first", "c": None}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
