@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from retailcast.functions.calendar import month_start
@@ -25,12 +25,18 @@ def with_product_key(df: DataFrame, product: str = "product", variant: str | Non
     return df.withColumn(out, key)
 
 
-def drop_cancelled(df: DataFrame, status: str = "status", value: str = CANCELLED_STATUS) -> DataFrame:
+def drop_cancelled(df: DataFrame, status: str = "status", value: str = CANCELLED_STATUS,
+                   report: Observation | None = None) -> DataFrame:
     """Drop rows whose status equals ``value``; rows with NULL status stay.
 
-    Use ``df.observe`` on the result to count rows if a report is needed.
+    ``report`` (a ``pyspark.sql.Observation``) receives ``rows`` and
+    ``dropped`` when the result is computed, without a pass of its own.
     """
-    return df.where(~F.col(status).eqNullSafe(F.lit(value)))
+    cancelled = F.col(status).eqNullSafe(F.lit(value))
+    if report is not None:
+        df = df.observe(report, F.count(F.lit(1)).alias("rows"),
+                        F.count(F.when(cancelled, 1)).alias("dropped"))
+    return df.where(~cancelled)
 
 
 def with_order_month(df: DataFrame, ts: str = "paid_at") -> DataFrame:

@@ -40,13 +40,12 @@ def seasonal_profile(monthly: DataFrame, col: str = "qty", key: str = KEY, month
 def encode_labels(df: DataFrame, col: str, out: str, missing: str = "Unknown") -> DataFrame:
     """Label -> code, alphabetical from 0 (missing -> ``missing`` first).
 
-    The vocabulary is the distinct labels; codes come from one ordered window
-    over that distinct set and are joined back (AQE broadcasts it when the
-    runtime size allows, which a status vocabulary always does)."""
+    The vocabulary is one sorted array (a status column has a handful of
+    labels), gathered by a partial aggregate and read as a scalar: a code is a
+    position in it, with neither a join nor a window."""
     filled = df.withColumn(col, F.coalesce(F.col(col), F.lit(missing)))
-    vocab = filled.select(col).distinct()
-    codes = vocab.withColumn(out, (F.dense_rank().over(Window.orderBy(F.col(col))) - 1).cast("long"))
-    return filled.join(codes, col, "left")
+    vocabulary = filled.agg(F.sort_array(F.collect_set(col)).alias("v")).scalar()
+    return filled.withColumn(out, (F.array_position(vocabulary, F.col(col)) - 1).cast("long"))
 
 
 _WP = X.window([KEY], [X.q(MONTH)])

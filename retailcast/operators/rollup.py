@@ -68,13 +68,16 @@ def product_info_from_monthly(agg: DataFrame, lines: DataFrame, cols: list[str],
     on pruned columns, and compared by the whole order. Neither step sorts or
     gathers the order lines.
     """
-    lead = order_cols[0]
     first = agg.groupBy(F.col(key).alias("__key")).agg(F.min("first_order").alias("__lead"))
-    if first.count() <= BROADCAST_PRODUCTS:
-        first = F.broadcast(first)
-    found = (lines.select(key, *dict.fromkeys([*order_cols, *cols]))
-             .join(first, (F.col(key) == F.col("__key")) & F.col(lead).eqNullSafe(F.col("__lead"))))
-    # the few lines of one leading value per product
+    small = first.count() <= BROADCAST_PRODUCTS
+    found = lines.select(key, *dict.fromkeys([*order_cols, *cols]))
+    for i, c in enumerate(order_cols[:2]):
+        if i:   # lines that share the leading value: go on with the second
+            first = found.groupBy(F.col(key).alias("__key")).agg(F.min(c).alias("__lead"))
+        side = F.broadcast(first) if small else first
+        found = found.join(side, (F.col(key) == F.col("__key")) & F.col(c).eqNullSafe(F.col("__lead"))).drop(
+            "__key", "__lead")
+    # the few lines that agree in both
     best = F.array_min(F.collect_list(F.struct(
         F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_cols)]).alias("order"),
         F.struct(*[F.col(c) for c in cols]).alias("row")))).alias("first")

@@ -64,11 +64,12 @@ def features_unfilled(joined: DataFrame) -> DataFrame:
 
 def feature_table(sales: DataFrame, traffic: DataFrame, stock_status: DataFrame,
                   holidays: DataFrame | None, *, spec: TrafficSpec | None = None,
-                  cutoff: str | None = None, finalize: bool = True) -> DataFrame:
+                  cutoff: str | None = None, finalize: bool = True, order_cols=SOURCE_ORDER) -> DataFrame:
     """The full table (step 13 included unless ``finalize=False``). Month is
     returned as 'yyyy-MM' text, plus ``date_index`` (same text); the order
     status column is dropped, as in the source."""
-    f = features_unfilled(joined_monthly(sales, traffic, stock_status, holidays, spec=spec, cutoff=cutoff))
+    f = features_unfilled(joined_monthly(sales, traffic, stock_status, holidays, spec=spec, cutoff=cutoff,
+                                         order_cols=order_cols))
     if finalize:
         # identifiers are no quantities: no median, no zero
         f = finalize_features(f, median_cols=numeric_columns(f, exclude=("product_id",)))

@@ -92,10 +92,11 @@ def parse_dates(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
         return df.withColumn(out, F.col(col)) if out != col else df
     if t == "date":
         return df.withColumn(out, F.col(col).cast("timestamp_ntz"))
-    rates = {r["strategy_order"]: r["parsed_share"] or 0.0 for r in date_parse_rates(df, col).collect()}
+    # strategies are tried in order, so the usual first success costs one pass with its own few formats
     chosen = len(DATE_STRATEGIES) - 1
-    for i in range(len(DATE_STRATEGIES)):
-        if rates.get(i, 0.0) > PARSE_THRESHOLD:
+    for i, (_, formats) in enumerate(DATE_STRATEGIES):
+        share = df.agg(F.avg(_strategy_expr(col, formats).isNotNull().cast("double"))).first()[0]
+        if (share or 0.0) > PARSE_THRESHOLD:
             chosen = i
             break
     return df.withColumn(out, _strategy_expr(col, DATE_STRATEGIES[chosen][1]))
