@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
@@ -32,12 +33,16 @@ def main() -> None:
              .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
              .config("spark.sql.adaptive.skewJoin.enabled", "true")
              .config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-checkpoints-"))
+             .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
 
     from retailcast.catalog import QUERIES, _history, _training
     from retailcast.plans.forecast import DEFAULT_LINEAR, forecast_recursive
+    from retailcast.plans.feature_table import feature_table
     from retailcast.plans.train import train_gbt, train_test_split
+    from retailcast.sources.fixtures import Fixtures
 
     def run(df):
         df.write.format("noop").mode("overwrite").save()
@@ -49,16 +54,24 @@ def main() -> None:
 
     def gbt_fit(spark, sf):
         t = train_test_split(_training(spark, sf), ["product_key", "month"])
-        train_gbt(t.where("is_train"), maxIter=20)
+        train_gbt(t.where("is_train"))   # all 300 trees
         return None
 
+    def by_part(spark, sf):
+        # the product key grows with the data: part number as variant
+        from pyspark.sql import functions as F
+        fx = Fixtures(spark, sf)
+        sales = fx.sales().withColumn("variant", F.col("src_partkey").cast("string"))
+        return feature_table(sales, fx.traffic("1995-04-01"), fx.stock_status(), fx.holidays())
+
     plan = [
         ("monthly_product_sales", QUERIES["monthly_product_sales"]),
         ("estimate_missing_traffic", QUERIES["estimate_missing_traffic"]),
         ("feature_table", QUERIES["feature_table"]),
         ("core_features", QUERIES["core_features"]),
         ("forecast_recursive_12", forecast_12),
-        ("gbt_fit_20_trees", gbt_fit),
+        ("feature_table_by_part", by_part),
+        ("gbt_fit_300_trees", gbt_fit),
         ("compare_values", QUERIES["compare_values"]),
     ]
     times = {}

@@ -38,7 +38,10 @@ from retailcast.operators.rollup import (dataset_summary, forecast_totals, month
                                          monthly_row_counts, product_info_first, product_list, top_products)
 from retailcast.plans.feature_table import INFO_COLUMNS, SOURCE_ORDER
 from retailcast.plans.train import gbt_metrics, score, train_gbt, train_test_split
-from retailcast.sources.schema import date_parse_rates
+from retailcast.session import scratch_path
+from retailcast.sources.readers import read_table
+from retailcast.sources.schema import date_parse_rates, resolve_columns
+from retailcast.sources.sinks import write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -633,3 +636,33 @@ def q_date_parse_rates(spark, sf):
     h = date_parse_rates(fx.holidays(), "date_text").withColumn("source", F.lit("holidays"))
     t = date_parse_rates(fx.traffic(), "date_text").withColumn("source", F.lit("traffic"))
     return h.unionByName(t).select("source", "strategy", "strategy_order", r6("parsed_share").alias("parsed_share"))
+
+
+@query("resolve_columns")
+def q_resolve_columns(spark, sf):
+    # every table under its source headers: which header each logical field finds, and how many values it holds
+    fx = _fx(spark, sf)
+    tables = {"sales": fx.sales().withColumnsRenamed({"paid_at": "Tanggal", "net_price": "Harga"}),
+              "traffic": fx.traffic(), "stock_status": fx.stock_status().withColumnsRenamed({"month_text": "Bulan"}),
+              "shop_stock": fx.shop_stock(), "holidays": fx.holidays()}
+    parts = []
+    for role, df in tables.items():
+        found = {f: h for f, h in resolve_columns(df, role).items() if h}
+        row = df.agg(*[F.count(F.col(h)).alias(f) for f, h in found.items()])
+        stack = ", ".join(f"'{f}', '{h}', `{f}`" for f, h in found.items())
+        parts.append(row.selectExpr(f"'{role}' AS role", f"stack({len(found)}, {stack}) AS (field, header, n_values)"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("table_round_trip")
+def q_table_round_trip(spark, sf):
+    # the monthly roll-up written in order as CSV, read again with its month parsed back
+    path = scratch_path(spark, "round-trip")
+    m = _monthly(spark, sf)
+    write_table(m.withColumn("month", month_text(F.col("month"))), path, fmt="csv", sort_by=["product_key", "month"])
+    back = read_table(spark, path, fmt="csv", month_col="month")
+    return back.select(F.col("month_date").alias("month"), "product_key",
+                       *[F.col(c).cast("bigint").alias(c) for c in ("qty", "net_amount", "sales_amount")])

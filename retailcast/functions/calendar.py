@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,15 +22,3 @@ def month_text(x) -> Column:
 def month_from_text(x) -> Column:
     """'yyyy-MM' -> DATE; bad text -> NULL."""
     return F.try_to_date(F.concat(_c(x), F.lit("-01")), "yyyy-MM-dd")
-
-
-def days_in_month(x) -> Column:
-    return F.dayofmonth(F.last_day(_c(x)))
-
-
-def month_sin(month_number) -> Column:
-    return F.sin(F.lit(2 * math.pi) * _c(month_number) / F.lit(12.0))
-
-
-def month_cos(month_number) -> Column:
-    return F.cos(F.lit(2 * math.pi) * _c(month_number) / F.lit(12.0))

@@ -41,32 +41,7 @@ def is_infinite(x) -> Column:
     return x.isin(POS_INF, NEG_INF)
 
 
-def inf_to_null(x) -> Column:
-    x = _c(x)
-    return F.when(is_infinite(x), F.lit(None).cast("double")).otherwise(x)
-
-
-def is_finite(x) -> Column:
-    x = _c(x)
-    return x.isNotNull() & ~F.isnan(x) & ~is_infinite(x)
-
 
 def half_even(x, scale: int = 0) -> Column:
     """Banker's rounding, as NumPy / Python ``round`` do."""
     return F.bround(_c(x), scale)
-
-
-def clamp_round(x) -> Column:
-    """``max(0, round(x))`` with half-even rounding, as a whole number."""
-    return F.greatest(F.lit(0.0), F.bround(_c(x), 0)).cast("long")
-
-
-def replace_zero(x, by=1) -> Column:
-    """``x.replace(0, by)``: a zero divisor becomes ``by``."""
-    x = _c(x)
-    return F.when(x == 0, F.lit(by)).otherwise(x)
-
-
-def pct_change(cur, prev) -> Column:
-    """``cur / prev - 1`` with IEEE meaning (NULL where prev is missing)."""
-    return ieee_div(cur, prev) - F.lit(1.0)

@@ -112,9 +112,3 @@ def safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left
             continue
         out.append(F.col(f"__r.`{c}`").alias(c + suffixes[1] if c in clash else c))
     return j.select(*out)
-
-
-def product_mean(value: str = "qty", key: str = "product_key", whole: bool = True):
-    """Mean per product joined back to each row (window, no extra join)."""
-    m = F.avg(F.col(value)).over(Window.partitionBy(key))
-    return F.bround(m, 0).cast("long") if whole else m

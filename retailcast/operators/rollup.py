@@ -225,10 +225,6 @@ def product_list(df: DataFrame, key: str = "product_key") -> DataFrame:
     return df.where(F.col(key).isNotNull()).select(key).distinct()
 
 
-def holiday_months(holidays: DataFrame, date_col: str = "holiday_date") -> DataFrame:
-    return (holidays.select(month_text(F.col(date_col)).alias("month_text"))
-                    .where(F.col("month_text").isNotNull()).distinct())
-
 
 # --- A14 --------------------------------------------------------------------
 def forecast_totals(fc: DataFrame, key: str = "product_key", value: str = "forecast") -> DataFrame:
@@ -244,9 +240,3 @@ def top_products(monthly: DataFrame, n: int, key: str = "product_key", qty: str
     Spark plans orderBy+limit as TakeOrderedAndProject: k rows per task."""
     return (monthly.groupBy(key).agg(count_sum(qty).alias("total_qty"))
                    .orderBy(F.col("total_qty").desc(), F.col(key).asc()).limit(n))
-
-
-def share_of_month(amount: str = "net_amount", month: str = "month") -> Column:
-    """amount / month total, over a month window."""
-    from pyspark.sql import Window
-    return ieee_div(F.col(amount), F.sum(F.col(amount)).over(Window.partitionBy(month)))

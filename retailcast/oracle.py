@@ -761,3 +761,22 @@ def _rates(src: str, view_name: str) -> str:
 
 ORACLE["date_parse_rates"] = _fix_round(with_views(
     _rates("holidays", "holidays") + " UNION ALL " + _rates("traffic", "traffic_all"), "holidays", "traffic_all"))
+
+ORACLE["table_round_trip"] = ORACLE["monthly_product_sales"]
+_RESOLVED = [("sales", "date", "Tanggal", "paid_at", "sales"), ("sales", "product", "product", "product", "sales"),
+             ("sales", "variant", "variant", "variant", "sales"), ("sales", "quantity", "qty", "qty", "sales"),
+             ("sales", "price", "Harga", "net_price", "sales"),
+             ("traffic", "date", "date_text", "date_text", "traffic_all"),
+             ("traffic", "quantity", "orders", "orders", "traffic_all"),
+             ("stock_status", "product", "product_key", "product_key", "stock_status_all"),
+             ("stock_status", "month", "Bulan", "month_text", "stock_status_all"),
+             ("stock_status", "stock_start", "opening_stock", "opening_stock", "stock_status_all"),
+             ("stock_status", "stock_end", "closing_stock", "closing_stock", "stock_status_all"),
+             ("shop_stock", "product", "product", "product", "shop_stock"),
+             ("shop_stock", "variant", "variant", "variant", "shop_stock"),
+             ("shop_stock", "stock", "stock", "stock", "shop_stock"),
+             ("holidays", "date", "date_text", "date_text", "holidays"),
+             ("holidays", "description", "holiday_name", "holiday_name", "holidays")]
+ORACLE["resolve_columns"] = with_views(" UNION ALL ".join(
+    f"SELECT '{r}' AS role, '{f}' AS field, '{h}' AS header, (SELECT count({c}) FROM {v}) AS n_values"
+    for r, f, h, c, v in _RESOLVED), "sales", "traffic_all", "stock_status_all", "shop_stock", "holidays")

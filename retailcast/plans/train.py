@@ -61,8 +61,10 @@ def gbt_metrics(model: PipelineModel, test: DataFrame, target: str = "total_qty"
 
 
 def grid_search(train: DataFrame, grid: dict[str, list], features=MODEL_FEATURES, target: str = "total_qty",
-                folds: int = 3, parallelism: int = 2, keys=("product_key", "month")):
-    """M4: cross-validated grid search over GBT settings (MLlib CrossValidator)."""
+                folds: int = 3, parallelism: int = 2, keys: list[str] | None = None):
+    """M4: cross-validated grid search over GBT settings (MLlib CrossValidator).
+
+    ``keys`` (default: product and month, else the features) decide a row's fold."""
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
     pipe = gbt_pipeline(features, target)
@@ -74,5 +76,6 @@ def grid_search(train: DataFrame, grid: dict[str, list], features=MODEL_FEATURES
                         evaluator=RegressionEvaluator(labelCol=target, metricName="rmse"),
                         parallelism=parallelism, foldCol="fold")
     # folds follow the row key, not the partitions, and every fit reads the checkpoint, not the feature plan
+    keys = keys or [c for c in ("product_key", "month") if c in train.columns] or list(features)
     keyed = train.withColumn("fold", (split_bucket(keys) % folds).cast("int"))
     return cv.fit(cut_lineage(keyed.select(*features, F.col(target).cast("double").alias(target), "fold")))

@@ -17,7 +17,8 @@ def test_entry_runs(spark):
 
 EXPECTED = {
     "allocate_currency", "apportion_counts", "calendar_features", "column_medians", "compare_nulls",
-    "compare_shape", "compare_values", "compare_repeated_keys", "compare_verdict", "forecast_gbt", "forecast_fallback", "core_assembly", "core_features", "cyclic_month", "dataset_summary",
+    "compare_shape", "compare_values", "compare_repeated_keys", "compare_verdict", "forecast_gbt", "forecast_fallback", "resolve_columns",
+    "table_round_trip", "core_assembly", "core_features", "cyclic_month", "dataset_summary",
     "date_parse_rates", "discount_pct", "drop_cancelled", "encode_status", "estimate_missing_traffic",
     "feature_correlation", "feature_table", "forecast_growth", "forecast_recursive", "forecast_recursive_plain",
     "forecast_totals", "future_months", "gbt_metrics", "history_and_forecast", "holiday_day_flag",

@@ -38,3 +38,12 @@ def test_grid_search(spark):
     cv = grid_search(df, {"maxDepth": [1, 2], "maxIter": [2]}, features=["a", "b"], folds=2)
     assert len(cv.avgMetrics) == 2
     assert min(cv.avgMetrics) == cv.avgMetrics[1]  # the deeper trees fit this better
+
+
+def test_ordered_output(spark, tmp_path):
+    from retailcast.sources.sinks import write_table
+    df = spark.createDataFrame([(i * 37 % 101, i) for i in range(101)], "k long, v long").repartition(5)
+    write_table(df, str(tmp_path / "t"), fmt="csv", sort_by=["k"])
+    files = sorted((tmp_path / "t").glob("part-*.csv"))
+    keys = [int(line.split(",")[0]) for f in files for line in f.read_text().splitlines()[1:]]
+    assert keys == sorted(keys) and len(keys) == 101
