@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retailcast.llm.common import ascii_lower, cut_lineage, map_rows, quoted
+from retailcast.llm.common import ascii_lower, cut_lineage, map_in_arrow, map_rows, quoted
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")   # in UTF-8: digits, a-z and every non-ASCII character
 SEGMENT_WORDS = 2000   # an item's words are shipped in pieces of so many, overlapping by n - 1
@@ -120,7 +120,7 @@ def item_segments(items: DataFrame, item_id: str, text: str, n: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()),
                                               pa.array([x[1] for x in out], pa.string())], ["item", "words"])
 
-    return src.mapInArrow(cut, "item string, words string").distinct()
+    return map_in_arrow(src, cut, "item string, words string").distinct()
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retailcast.llm.common import map_rows, quoted
+from retailcast.llm.common import map_in_arrow, map_rows, quoted
 
 UNKNOWN = "und"
 GRAM = 4          # bytes of an n-gram, word boundaries included
@@ -98,8 +98,9 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: st
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(cells), pa.string()), pa.array(cells, pa.int64()),
                                               pa.array(total[cells], pa.int64())], ["label", "cell", "n"])
 
-    counted = (sample.select(F.col("label").cast("string"), "text").mapInArrow(
-        run, "label string, cell bigint, n bigint").groupBy("label", "cell").agg(F.sum("n").alias("n")))
+    counted = (map_in_arrow(sample.select(F.col("label").cast("string"), "text"), run,
+                            "label string, cell bigint, n bigint")
+               .groupBy("label", "cell").agg(F.sum("n").alias("n")))
     table = np.full((len(languages), 1 << BITS), SMOOTHING)
     got = counted.toPandas()   # at most languages x 2**BITS rows
     table[np.searchsorted(languages, got["label"].to_numpy(dtype=str)), got["cell"].to_numpy()] += got["n"].to_numpy()
@@ -174,7 +175,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
 
 
 def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text",
-                    min_score: float = 0.5) -> DataFrame:
+                    min_score: float = 0.4) -> DataFrame:
     """The rows of ``docs`` whose text has a main language, with exactly its columns.
 
     Rejected: texts without letters, and texts in which no language has a share of ``min_score``.

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retailcast.llm.common import ascii_lower, cut_lineage, map_rows, quoted
+from retailcast.llm.common import ascii_lower, cut_lineage, map_in_arrow, map_rows, quoted
 
 SEED = 42
 SUB_TILE = 256
@@ -156,7 +156,7 @@ def fingerprint_links(prints: DataFrame, radius: int, tile: int = 4096) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()),
                                               pa.array([e[1] for e in edges], pa.int64())], ["u", "v"])
 
-    return work.mapInArrow(compare, "u bigint, v bigint").distinct()
+    return map_in_arrow(work, compare, "u bigint, v bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -217,8 +217,9 @@ def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     keep = cut_lineage(found.where(F.col("doc_id") == F.col("component_id"))
                        .groupBy("component_id").agg(F.count("*").alias("copies")))
     raw = docs.select(quoted(doc_id).alias("id"), F.struct(*[quoted(c) for c in docs.columns]).alias("row"))
-    single = raw.join(keep.where("copies = 1"), raw["id"] == keep["component_id"], "left_semi").select("row.*")
+    kept = raw.join(keep.where("copies = 1"), raw["id"] == keep["component_id"], "left_semi").select("row.*")
     repeated = keep.where("copies > 1")
-    first = (raw.join(repeated, raw["id"] == repeated["component_id"], "left_semi")
-             .groupBy("id").agg(F.min("row").alias("row")).select("row.*"))
-    return single.unionByName(first).unionByName(raw.where("id is null").select("row.*"))
+    if not repeated.isEmpty():   # else the texts need not be shuffled a second time
+        kept = kept.unionByName(raw.join(repeated, raw["id"] == repeated["component_id"], "left_semi")
+                                .groupBy("id").agg(F.min("row").alias("row")).select("row.*"))
+    return kept.unionByName(raw.where("id is null").select("row.*"))
