@@ -1,20 +1,20 @@
 """Token counts per document, without ever holding a document's ids.
 
 1. Each document is split into pre-tokens by the vocabulary's own pattern;
-   added special strings are pieces of their own. A chunk of documents gives
-   one row per distinct pre-token: its documents and its frequency in each,
-   packed as pairs of numbers.
-2. Distinct pre-tokens of the whole corpus are counted once each with the
-   tokenizer.
-3. The counts are joined to the chunk rows by pre-token, frequencies times
-   counts are summed by document.
+   added special strings are pieces of their own. A chunk of documents lists,
+   for every distinct pre-token, the documents that hold it and how often.
+2. The lists are dealt by pre-token: a chunk sends one packed row to each hash
+   bucket, so all chunks' lists of a pre-token meet in one bucket.
+3. There each distinct pre-token is counted once with the tokenizer, the count
+   meets the frequencies, and frequency times count is summed by document of
+   the block; the blocks' packed sums go back to their chunk and are added.
 
-Both shuffles carry a row per chunk and distinct pre-token, so the most common
-pre-token has as many rows as there are chunks; Spark splits it when it joins
-(adaptive skew join), since the other side has one row for it.
+A pre-token that a chunk holds in more than ``HOT`` documents is dealt by
+pre-token and chunk: the most common ones spread over all buckets (and are
+counted once in each), so that no bucket grows with them.
 
-The row number that ties 1 and 3 together is Spark's own of a scan, so ``docs``
-must be a table read (or checkpointed), not the output of a shuffle.
+The row number that ties the steps together is Spark's own of a scan, so
+``docs`` must be a table read (or checkpointed), not the output of a shuffle.
 
 Defined cases: NULL or empty texts have no bytes and no tokens; repeated rows
 are counted each for itself; an empty table gives an empty result; further
@@ -35,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailcast.llm.common import quoted, rank_pattern, read_bytes, vocabulary_path
+from retailcast.llm.common import map_in_arrow, quoted, rank_pattern, read_bytes, vocabulary_path
 
 CHUNK_CHARS = 16 << 20   # characters of a chunk; a chunk has at most CHUNK_ROWS documents
 CHUNK_ROWS = 1 << 16
 MAX_FREQUENCY = (1 << 16) - 1
+HOT = 2048               # documents of a chunk
+KNOWN_PIECES = 1 << 20   # counts remembered in a task; beyond it they are taken anew
 COUNT_BLOCK = 1 << 14
 
 
@@ -73,20 +75,70 @@ def make_splitter(added: list[str]):
     return split
 
 
-def pre_token_rows(docs: DataFrame, text: str, added: list[str]) -> DataFrame:
-    """Rows (piece, first, pairs): ``pairs`` holds 16-bit (row number - first, frequency) pairs."""
+def planes(x: np.ndarray) -> bytes:
+    """16-bit numbers as their low bytes, then their high bytes: small numbers compress well so."""
+    return (x & 255).astype(np.uint8).tobytes() + (x >> 8).astype(np.uint8).tobytes()
+
+
+def from_planes(raw: bytes, at: int, n: int) -> np.ndarray:
+    x = np.frombuffer(raw, np.uint8, 2 * n, at).astype(np.int64)
+    return x[:n] + 256 * x[n:]
+
+
+def pack(found: dict[str, array], pieces: list[str]) -> bytes:
+    """Pre-tokens and their (document, frequency) pairs in one compressed block."""
+    import zstandard
+
+    pieces = sorted(pieces)
+    raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+    pairs = np.frombuffer(b"".join(found[p].tobytes() for p in pieces), np.uint16).astype(np.int64)
+    doc, frequency = pairs[::2], pairs[1::2]
+    held = np.fromiter((len(found[p]) // 2 for p in pieces), np.int64, len(pieces))
+    first = np.cumsum(held) - held
+    step = np.diff(doc, prepend=0)   # documents as steps from the one before, anew for each pre-token
+    step[first] = doc[first]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(
+        [np.uint32(len(raw)).tobytes(), np.fromiter(map(len, raw), "<u4", len(raw)).tobytes(),
+         held.astype("<u4").tobytes(), *raw, planes(step), planes(frequency)]))
+
+
+def unpack(block: bytes) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(pre-tokens, number of pairs of each, documents, frequencies)."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    sizes = np.frombuffer(raw, "<u4", n, 4).astype(np.int64)
+    held = np.frombuffer(raw, "<u4", n, 4 + 4 * n).astype(np.int64)
+    ends = 4 + 8 * n + np.cumsum(sizes)
+    pieces = [raw[e - k:e].decode("utf-8", "surrogatepass") for e, k in zip(ends.tolist(), sizes.tolist())]
+    total, at = int(held.sum()), int(ends[-1])
+    step, frequency = from_planes(raw, at, total), from_planes(raw, at + 2 * total, total)
+    run = np.cumsum(step)
+    first = np.cumsum(held) - held
+    return pieces, held, run - np.repeat(run[first] - step[first], held), frequency
+
+
+def pre_token_rows(docs: DataFrame, text: str, added: list[str], buckets: int) -> DataFrame:
+    """Rows (bucket, first, block): a chunk's pre-tokens of one bucket; documents count from row number ``first``."""
     src = docs.select(F.monotonically_increasing_id().alias("rid"), quoted(text).alias("text"))
 
     def run(batches):
+        from xxhash import xxh64_intdigest
+
         split = make_splitter(added)
         found: dict[str, array] = defaultdict(lambda: array("H"))
-        first, last, chars = None, -1, 0
+        first, chars = None, 0
 
         def flush():
-            pieces = list(found)
+            dealt = defaultdict(list)
+            for p, pairs in found.items():
+                dealt[xxh64_intdigest(p.encode("utf-8", "surrogatepass"),
+                                      first if len(pairs) > 2 * HOT else 0) % buckets].append(p)
             return pa.RecordBatch.from_arrays(
-                [pa.array(pieces, pa.string()), pa.array([first] * len(pieces), pa.int64()),
-                 pa.array([found[p].tobytes() for p in pieces], pa.binary())], ["piece", "first", "pairs"])
+                [pa.array(list(dealt), pa.int32()), pa.array([first] * len(dealt), pa.int64()),
+                 pa.array([pack(found, pieces) for pieces in dealt.values()], pa.binary())],
+                ["bucket", "first", "block"])
 
         for batch in batches:
             for rid, t in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -106,45 +158,70 @@ def pre_token_rows(docs: DataFrame, text: str, added: list[str]) -> DataFrame:
         if first is not None:
             yield flush()
 
-    return src.mapInArrow(run, "piece string, first bigint, pairs binary")
+    return map_in_arrow(src, run, "bucket int, first bigint, block binary")
 
 
-def piece_counts(pieces: DataFrame, data: bytes) -> DataFrame:
-    """(piece, tokens) with the tokenizer's count of each piece."""
-    shared = pieces.sparkSession.sparkContext.broadcast(data)
+def block_sums(rows: DataFrame, data: bytes) -> DataFrame:
+    """(first, sums): for each block its documents' counts times frequencies, packed."""
+    shared = rows.sparkSession.sparkContext.broadcast(data)
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import zstandard
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(shared.value.decode("utf-8"))
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        known: dict[str, int] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, COUNT_BLOCK):
-                part = batch.column(0).slice(at, COUNT_BLOCK)
-                counts = [len(e) for e in tokenizer.encode_batch_fast(part.to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part, pa.array(counts, pa.int64())], ["piece", "tokens"])
+            out = []
+            for block in batch.column("block"):
+                pieces, held, doc, frequency = unpack(block.as_py())
+                if len(known) > KNOWN_PIECES:
+                    known.clear()
+                new = [p for p in pieces if p not in known]
+                for at in range(0, len(new), COUNT_BLOCK):
+                    part = new[at:at + COUNT_BLOCK]
+                    known.update(zip(part, map(len, tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+                tokens = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+                sums = np.zeros(CHUNK_ROWS, np.int64)
+                np.add.at(sums, doc, np.repeat(tokens, held) * frequency)
+                some = np.nonzero(sums)[0]
+                out.append(squeeze(planes(np.diff(some, prepend=0)) + sums[some].astype("<i8").reshape(-1, 1)
+                                   .view(np.uint8).T.tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column("first"), pa.array(out, pa.binary())], ["first", "sums"])
+
+    return map_in_arrow(rows, run, "first bigint, sums binary")
+
+
+def row_sums(blocks: DataFrame) -> DataFrame:
+    """(rid, tokens): the sums of all blocks of a chunk, by document."""
+    def run(batches):
+        import zstandard
 
-    return pieces.mapInArrow(run, "piece string, tokens bigint")
+        unsqueeze = zstandard.ZstdDecompressor().decompress
+        chunk, total = None, None
 
+        def done():
+            held = np.nonzero(total)[0]
+            return pa.RecordBatch.from_arrays([pa.array(chunk + held), pa.array(total[held])], ["rid", "tokens"])
 
-def row_sums(joined: DataFrame) -> DataFrame:
-    """(rid, tokens): frequency times count, summed within each batch."""
-    def run(batches):
         for batch in batches:
-            first = batch.column("first").to_numpy()
-            tokens = batch.column("tokens").to_numpy()
-            raw = batch.column("pairs").to_pylist()
-            sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-            pairs = np.frombuffer(b"".join(raw), np.uint16).reshape(-1, 2).astype(np.int64)
-            rid = np.repeat(first, sizes) + pairs[:, 0]
-            keys, where = np.unique(rid, return_inverse=True)
-            sums = np.zeros(len(keys), np.int64)
-            np.add.at(sums, where, np.repeat(tokens, sizes) * pairs[:, 1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["rid", "tokens"])
+            for first, packed in zip(batch.column("first").to_pylist(), batch.column("sums")):
+                if first != chunk:
+                    if chunk is not None:
+                        yield done()
+                    chunk, total = first, np.zeros(CHUNK_ROWS, np.int64)
+                raw = unsqueeze(packed.as_py())
+                n = len(raw) // 10   # two bytes of a step and eight of a sum for each document
+                sums = np.frombuffer(raw, np.uint8, 8 * n, 2 * n).reshape(8, n).T.copy().view("<i8")[:, 0]
+                total[np.cumsum(from_planes(raw, 0, n))] += sums
+        if chunk is not None:
+            yield done()
 
-    return joined.mapInArrow(run, "rid bigint, tokens bigint")
+    return map_in_arrow(blocks.repartition("first").sortWithinPartitions("first"), run, "rid bigint, tokens bigint")
 
 
 def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -152,10 +229,10 @@ def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per row of ``docs``: doc_id, n_bytes (UTF-8), n_tokens."""
     spark = docs.sparkSession
     data = read_bytes(spark, vocabulary or vocabulary_path("byte_bpe_50k.json"))
-    rows = pre_token_rows(docs, text, added_strings(data))
-    counts = piece_counts(rows.select("piece").distinct(), data)
-    sums = (row_sums(rows.join(counts, "piece").select("first", "tokens", "pairs"))
-            .groupBy("rid").agg(F.sum("tokens").alias("tokens")))
+    # four buckets to a partition even out what hashing puts into each
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = pre_token_rows(docs, text, added_strings(data), buckets)
+    sums = row_sums(block_sums(rows.repartition("bucket"), data))
     info = docs.select(F.monotonically_increasing_id().alias("rid"), quoted(doc_id).alias("doc_id"),
                        F.coalesce(F.octet_length(quoted(text)), F.lit(0)).cast("long").alias("n_bytes"))
     return info.join(sums, "rid", "left").select(
