@@ -166,8 +166,12 @@ def parse_day_first(text: Column, formats) -> Column:
 
 def monthly_traffic(traffic: DataFrame, spec: TrafficSpec | None = None) -> DataFrame:
     """Shop traffic per month: sums of counts and money, means of rates and of
-    amount per order. Text numbers are parsed first; junk becomes NULL."""
+    amount per order. Text numbers are parsed first; junk becomes NULL. A
+    column that the table lacks counts as missing values."""
     s = spec or TrafficSpec()
+    absent = {c for c in (*s.counts.values(), *s.money.values(), *s.mean_money_text.values(), *s.rate_text.values())
+              if c not in traffic.columns}
+    traffic = traffic.withColumns({c: F.lit(None).cast("string" if c.endswith("_text") else "double") for c in absent})
     m = month_start(parse_day_first(F.col(s.date), s.date_formats))
     exprs = [money_sum(parse_localized_number(F.col(s.total_sales_text))).cast("double").alias("total_sales")]
     exprs += [count_sum(F.col(c)).alias(o) for o, c in s.counts.items()]

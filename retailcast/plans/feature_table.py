@@ -38,6 +38,8 @@ def joined_monthly(sales: DataFrame, traffic: DataFrame, stock_status: DataFrame
                    order_cols=SOURCE_ORDER) -> DataFrame:
     """Steps 2-9: clean, roll up, allocate traffic, join product info, stock
     status and holiday months, parse weights, encode the stock status."""
+    absent = [c for c in info_cols if c not in sales.columns]
+    sales = sales.withColumns({c: F.lit(None).cast("string" if c.endswith("_text") else "double") for c in absent})
     s = prepare_sales(sales, holidays)
     # One hash aggregate over the order lines, materialised (reliable
     # checkpoint): later steps run as several jobs, and none of them may roll
