@@ -2,18 +2,21 @@
 
 A text's words (runs without ASCII white space, A-Z lower-cased) make shingles
 of five; a shorter text is one shingle. Universal hash functions over the
-shingles' 64-bit hashes are minimised in numpy; the fingerprint is the low 16
-bits of each minimum, in hexadecimal. The likeness of two fingerprints is the
+shingles' hashes (permutations of 32 bits) are minimised in numpy; the
+fingerprint is the low 16 bits of each minimum, in hexadecimal. The likeness of two fingerprints is the
 share of equal values, an estimate of the Jaccard similarity.
 
 :func:`near_classes` joins signature bands in Spark. Texts that share a band
-are candidates. Of each band bucket every member is compared with the smallest
-member first; members that this leaves in another class are then compared with
-all members of the bucket outside their class, so no candidate is skipped
-unless it is already connected. Every link is verified by the exact Jaccard
-similarity of the shingle sets. Equal texts are one node throughout. A bitmap
-of fixed size (``2**BITMAP_BITS`` bits) of the candidates goes to the tasks,
-so that only candidates' shingle sets are shuffled.
+are candidates, and every link is verified by the exact Jaccard similarity of
+the shingle sets. Of each band bucket all members are compared with the
+smallest one first. Buckets that this leaves in several classes are then
+compared in full: their members' shingle sets meet in tiles of at most about
+``TILE`` texts (larger buckets as pairs of tiles), where an inverted index
+counts common shingles; what leaves a tile is a spanning set of links and not
+all pairs. So no candidate is skipped unless it is already connected, and no
+bucket is held in one task. Equal texts are one node throughout. A bitmap of
+fixed size (``2**BITMAP_BITS`` bits) of the candidates goes to the tasks, so
+that only candidates' shingle sets are shuffled.
 
 :func:`fingerprint_neighbours` compares each document with its edited text and
 with the next document by id. Documents are dealt by ranges of the id, in
@@ -38,13 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retailcast.llm.common import ascii_lower, cut_lineage, map_rows, quoted
+from retailcast.llm.common import ascii_lower, cut_lineage, map_in_arrow, map_rows, quoted
 from retailcast.llm.simhash import components
 
 SHINGLE = 5
 HASHES = 128
 BANDS, ROWS = 21, 6   # a pair of similarity 0.8 shares a band with probability 0.998, one of 0.9 always
 CHUNK = 1024          # shingles hashed at once
+TILE = 256            # texts compared at once
+TURNS = 3             # parts of the bands, compared one after the other
 WORDS_KEPT = 200_000  # word hashes remembered in a task
 BITMAP_BITS = 23
 
@@ -53,8 +58,8 @@ BITMAP_BITS = 23
 def parameters() -> tuple[np.ndarray, np.ndarray]:
     """Multipliers (odd) and offsets of the universal hash functions; the same at every run."""
     random = np.random.Generator(np.random.PCG64(20240229))
-    a = random.integers(0, 1 << 64, HASHES, np.uint64, endpoint=False) | np.uint64(1)
-    return a[:, None], random.integers(0, 1 << 64, HASHES, np.uint64, endpoint=False)[:, None]
+    a = random.integers(0, 1 << 32, HASHES, np.uint32) | np.uint32(1)
+    return a[:, None], random.integers(0, 1 << 32, HASHES, np.uint32)[:, None]
 
 
 class WordHashes(dict):
@@ -84,10 +89,11 @@ def shingle_hashes(text: str, known: WordHashes) -> np.ndarray:
 def signature(hashes: np.ndarray) -> np.ndarray:
     """The minimum of each hash function over the shingles (32 bits)."""
     a, b = parameters()
-    low = np.full(HASHES, (1 << 32) - 1, np.uint64)
-    for at in range(0, len(hashes), CHUNK):
-        np.minimum(low, ((a * hashes[None, at:at + CHUNK] + b) >> np.uint64(32)).min(axis=1), out=low)
-    return low.astype(np.uint32)
+    low = np.full(HASHES, (1 << 32) - 1, np.uint32)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), CHUNK):
+        np.minimum(low, (a * short[None, at:at + CHUNK] + b).min(axis=1), out=low)
+    return low
 
 
 def fingerprint(sig: np.ndarray) -> np.ndarray:
@@ -120,8 +126,23 @@ def _bitmap(nodes: DataFrame) -> np.ndarray:
     return np.packbits(bits)
 
 
+def pack_set(shingles: np.ndarray) -> bytes:
+    """Sorted distinct 32-bit hashes as compressed steps, byte by byte place."""
+    import zstandard
+
+    steps = np.diff(shingles, prepend=np.uint32(0)).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack_set(packed: bytes) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.cumsum(raw.reshape(4, -1).T.copy().view("<u4")[:, 0], dtype=np.uint32)
+
+
 def _shingle_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted nodes; shingles are sorted 32-bit hashes, in one binary."""
+    """(node, shingles) of the wanted nodes; shingles are packed 32-bit hashes."""
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def run(batches):
@@ -135,11 +156,11 @@ def _shingle_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                 if page[cell >> 3] >> (7 - (cell & 7)) & 1 and key not in seen:
                     seen.add(key)
                     keys.append(key)
-                    sets.append(np.unique((shingle_hashes(t, known) >> np.uint64(32)).astype("<u4")).tobytes())
+                    sets.append(pack_set(np.unique((shingle_hashes(t, known) >> np.uint64(32)).astype("<u4"))))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())],
                                              ["node", "shingles"])
 
-    return (docs.select(quoted(text).alias("text")).mapInArrow(run, "node binary, shingles binary")
+    return (map_in_arrow(docs.select(quoted(text).alias("text")), run, "node binary, shingles binary")
             .join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
 
 
@@ -154,13 +175,72 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, threshold: float) ->
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("a"), batch.column("b")):
-                x, y = (np.frombuffer(s.as_py(), "<u4") for s in (a, b))
+                x, y = unpack_set(a.as_py()), unpack_set(b.as_py())
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 union = len(x) + len(y) - same
                 keep.append(same >= threshold * union if union else True)
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+    return map_in_arrow(both.select("u", "v", "a", "b"), run, "u binary, v binary")
+
+
+def tile_links(sets: list[np.ndarray], classes: list, split: int, threshold: float) -> list[tuple[int, int]]:
+    """Links that connect what is similar among ``sets`` and in different classes.
+
+    With ``split`` below the number of sets, only sets before it are compared
+    with sets from it on. Equal classes count as connected already.
+    """
+    n = len(sets)
+    names = {c: i for i, c in enumerate(dict.fromkeys(classes))}
+    label = np.array([names[c] for c in classes])
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    flat = np.concatenate([*sets, np.zeros(0, np.uint32)])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    out = []
+    for i in range(split):
+        left, right = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+        spans = right - left
+        at = np.repeat(left - np.concatenate(([0], np.cumsum(spans)[:-1])), spans) + np.arange(spans.sum())
+        common = np.bincount(owner[at], minlength=n)
+        near = common >= threshold * (sizes + sizes[i] - common)
+        near[:split if split < n else i + 1] = False
+        for j in np.nonzero(near)[0].tolist():
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                out.append((i, j))
+    return out
+
+
+def _open_links(open_rows: DataFrame, docs: DataFrame, text: str, threshold: float) -> DataFrame:
+    """Links (u, v) inside the buckets (band, node, class) that hold several classes."""
+    wanted = cut_lineage(open_rows.select("node").distinct())
+    rows = open_rows.join(_shingle_sets(docs, text, wanted), "node")
+    large = cut_lineage(open_rows.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > TILE))
+    member = F.collect_list(F.struct("node", "class", "shingles"))
+    work = (rows.join(large, "band", "left_anti").groupBy("band").agg(member.alias("m"))
+            .select("m", F.lit(None).cast("array<struct<node:binary,class:binary,shingles:binary>>").alias("m2")))
+    if not large.isEmpty():   # a large bucket is cut into tiles, which meet in pairs
+        part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(TILE)))
+        tiles = cut_lineage(rows.join(large, "band").groupBy("band", part.alias("part")).agg(member.alias("m")))
+        other = tiles.select("band", F.col("part").alias("part2"), F.col("m").alias("m2"))
+        work = (work.unionByName(tiles.select("m", F.lit(None).cast(tiles.schema["m"].dataType).alias("m2")))
+                .unionByName(tiles.join(other, "band").where("part2 > part").select("m", "m2")))
+
+    def run(batches):
+        for batch in batches:
+            for a, b in zip(batch.column(0), batch.column(1)):
+                first, second = a.as_py(), b.as_py() or []
+                members = first + second
+                links = tile_links([unpack_set(m["shingles"]) for m in members],
+                                   [m["class"] for m in members], len(first), threshold)
+                if links:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([members[i]["node"] for i, _ in links], pa.binary()),
+                         pa.array([members[j]["node"] for _, j in links], pa.binary())], ["u", "v"])
+
+    return map_in_arrow(work, run, "u binary, v binary")
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -185,23 +265,22 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     prints = cut_lineage(map_rows(docs, [text], make, fields, [doc_id]).select(
         F.col("row")[doc_id].alias("doc_id"), "res.node", "res.bands"))
     nodes = prints.groupBy("node").agg(F.first("bands").alias("bands"))
-    bands = cut_lineage(nodes.select("node", F.explode("bands").alias("band")))
+    bands = cut_lineage(nodes.select("node", F.posexplode("bands").alias("i", "band")))
     low = bands.groupBy("band").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1")
-    member = cut_lineage(bands.join(low, "band").select("band", "u", F.col("node").alias("v")))
+    member = cut_lineage(bands.join(low, "band").select("i", "band", "u", F.col("node").alias("v")))
     links = cut_lineage(_verified(member.where("u <> v").select("u", "v").distinct(), docs, text, threshold))
     found = components(links)
-    # what is left: members of one bucket in different classes, other than those compared already
-    named = cut_lineage(member.join(found.withColumnRenamed("node", "v"), "v", "left").select(
-        "band", "u", "v", F.coalesce("root", "v").alias("class")))
-    mixed = named.groupBy("band").agg(F.min("class").alias("c"), F.max("class").alias("d")).where("c <> d")
-    open_rows = named.join(mixed.select("band"), "band")
-    left = open_rows.select("band", "u", F.col("v").alias("x"), F.col("class").alias("cx"))
-    right = open_rows.select("band", F.col("v").alias("y"), F.col("class").alias("cy"))
-    rest = (left.join(right, "band").where("cx < cy and x <> u and y <> u")
-            .select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
-    more = cut_lineage(_verified(cut_lineage(rest), docs, text, threshold))
-    if not more.isEmpty():
-        found = components(links.union(more))
+    # What is left: buckets whose members are in different classes. They go in turns: what one part of the
+    # bands connects need not be compared again in the others.
+    for turn in range(TURNS):
+        named = cut_lineage(member.where(F.col("i") % TURNS == turn)
+                            .join(found.withColumnRenamed("node", "v"), "v", "left")
+                            .select("band", F.col("v").alias("node"), F.coalesce("root", "v").alias("class")))
+        mixed = named.groupBy("band").agg(F.min("class").alias("c"), F.max("class").alias("d")).where("c <> d")
+        more = cut_lineage(_open_links(named.join(mixed.select("band"), "band"), docs, text, threshold))
+        if not more.isEmpty():
+            links = links.union(more)
+            found = components(links)
     owner = prints.select("doc_id", "node").distinct().join(found, "node", "left").select(
         "doc_id", "node", F.coalesce("root", "node").alias("root"))
     first = owner.groupBy("root").agg(F.min("doc_id").alias("class_id"))
@@ -215,12 +294,23 @@ def _ranges(docs: DataFrame, doc_id: str, ranges: int) -> tuple[np.ndarray, dict
     ids = docs.select(quoted(doc_id).cast("long").alias("id"))
     shares = [i / ranges for i in range(1, ranges)]
     cuts = np.unique(np.array(ids.approxQuantile("id", shares, 1 / (4 * ranges)) if shares else [])).astype(np.int64)
-    if len(cuts):
-        bucket = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c <= F.col("id")))
-    else:
-        bucket = F.lit(0)
-    found = (ids.groupBy(F.coalesce(F.when(F.col("id").isNotNull(), bucket), F.lit(0)).alias("bucket"))
-             .agg(F.min("id").alias("low"), F.max(F.col("id").isNull()).alias("nulls")).collect())
+
+    def lowest(batches):
+        for batch in batches:
+            x = batch.column(0)
+            known = x.drop_null().to_numpy()
+            place = np.searchsorted(cuts, known, side="right")
+            at, first = np.unique(place[np.argsort(known, kind="stable")], return_index=True)
+            low = np.sort(known, kind="stable")[first]
+            if x.null_count:
+                at, low = np.append(at, 0), np.append(low, np.iinfo(np.int64).max)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at.astype(np.int32)), pa.array(low.astype(np.int64)),
+                 pa.array([False] * (len(at) - bool(x.null_count)) + [True] * bool(x.null_count))],
+                ["bucket", "low", "nulls"])
+
+    found = (map_in_arrow(ids, lowest, "bucket int, low bigint, nulls boolean")
+             .groupBy("bucket").agg(F.min("low").alias("low"), F.max("nulls").alias("nulls")).collect())
     return cuts, {r["bucket"]: None if r["nulls"] else r["low"] for r in found}
 
 
@@ -270,9 +360,9 @@ def fingerprint_neighbours(docs: DataFrame, classes: DataFrame, doc_id: str = "d
                 [pa.array([place(i) for i in ids], pa.int32()), pa.array([False] * n), batch.column(0),
                  batch.column(1), batch.column(2), pa.nulls(n, pa.binary())], names)
 
-    texts = docs.select(quoted(doc_id).cast("long"), quoted(text)).mapInArrow(deal, schema)
-    known = classes.select(F.col("doc_id").cast("long"), "node", F.col("class_id").cast("long")).mapInArrow(
-        deal_classes, schema)
+    texts = map_in_arrow(docs.select(quoted(doc_id).cast("long"), quoted(text)), deal, schema)
+    known = map_in_arrow(classes.select(F.col("doc_id").cast("long"), "node", F.col("class_id").cast("long")),
+                         deal_classes, schema)
     rows = (texts.unionByName(known).repartition("bucket")
             .sortWithinPartitions("bucket", "closing", "doc_id", "node", F.col("packed").isNotNull()))
     result = ("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
@@ -317,4 +407,4 @@ def fingerprint_neighbours(docs: DataFrame, classes: DataFrame, doc_id: str = "d
                                              ["doc_id", "n_chars", "edited_sha256", "fingerprint",
                                               "edited_fingerprint", "near_edited", "near_next", "class_id"])
 
-    return rows.mapInArrow(compare, result)
+    return map_in_arrow(rows, compare, result)

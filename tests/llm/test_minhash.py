@@ -114,3 +114,32 @@ def test_edges(spark):
     single = spark.createDataFrame([(5, "only one document here")], "doc_id long, text string")
     (r,) = M.fingerprint_neighbours(single, M.near_classes(single)).collect()
     assert (r.doc_id, r.near_next, r.class_id) == (5, 1.0, 5)
+
+
+def test_tiles_link_what_is_similar():
+    texts = [t for t in near_texts(9) if t]
+    known = M.WordHashes()
+    sets = [np.unique((M.shingle_hashes(t, known) >> np.uint64(32)).astype(np.uint32)) for t in texts]
+
+    def groups(links, n):
+        label = list(range(n))
+        for i, j in links:
+            a, b = label[i], label[j]
+            label = [a if x == b else x for x in label]
+        return label
+
+    same = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
+    n = len(sets)
+    full = groups([(i, j) for i in range(n) for j in range(i) if same(i, j)], n)
+    got = groups(M.tile_links(sets, list(range(n)), n, 0.8), n)
+    half = n // 2
+    across = groups([(i, j) for i in range(half) for j in range(half, n) if same(i, j)], n)
+    got_across = groups(M.tile_links(sets, list(range(n)), half, 0.8), n)
+    for a, b in ((full, got), (across, got_across)):
+        assert [[x == y for y in a] for x in a] == [[x == y for y in b] for x in b]
+    assert M.tile_links(sets, ["one class"] * n, n, 0.8) == []
+
+
+def test_large_buckets_are_cut_into_tiles(spark, monkeypatch):
+    monkeypatch.setattr(M, "TILE", 5)
+    test_members_apart_from_the_bucket_minimum_are_compared_too(spark, monkeypatch)
