@@ -5,8 +5,10 @@ keys, long hexadecimal runs). The token-efficiency test adds spans of kind
 ``random``: a run of key characters that a byte-pair vocabulary can only cut
 into very short pieces (few characters per token) is a random string, since
 the vocabulary's merges follow natural text. Known digests (hexadecimal runs
-of a digest's length), UUIDs, plain numbers and word-like identifiers are
-excluded first, and runs that a base span already covers are not repeated.
+of a digest's length), UUIDs, plain numbers and identifiers are excluded, and
+runs that a base span already covers are not repeated. An identifier is made
+of words: letter parts that are themselves cheap in tokens (in lower case, so
+that capitals do not count against a name), or that repeat a few letters.
 
 Defined cases: NULL text is empty and has no span; an empty table gives an
 empty result; ties (spans with one start) order by kind as listed; repeated
@@ -39,6 +41,10 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 # Lengths of common hexadecimal digests.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
+# A word has this many characters per token or more; a part of at most so many different
+# letters, each so many times on average, is a repetition ("zzzzz", "acgtacgt..."), not a key.
+WORD_CHARS_PER_TOKEN = 3
+REPEATED_LETTERS = 4
 
 
 def base_spans(text: str, assign=re.compile(ASSIGN, re.I | re.A), access=re.compile(ACCESS),
@@ -50,7 +56,15 @@ def base_spans(text: str, assign=re.compile(ASSIGN, re.I | re.A), access=re.comp
     return found
 
 
-def known(run: str) -> bool:
+def word_like(part: str, tokens: Callable[[str], int]) -> bool:
+    """A letter part that the vocabulary knows as words, or that repeats very few letters."""
+    if len(set(part)) <= min(REPEATED_LETTERS, len(part) // REPEATED_LETTERS):
+        return True
+    lower = part.lower()
+    return len(part) >= WORD_CHARS_PER_TOKEN * min(tokens(part), tokens(lower), tokens(" " + lower))
+
+
+def known(run: str, tokens: Callable[[str], int]) -> bool:
     """Digests, UUIDs, plain numbers and identifiers made of words are not secrets."""
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run) and len(run) in DIGEST_LENGTHS:
         return True
@@ -58,7 +72,7 @@ def known(run: str) -> bool:
         return True
     # identifiers: words of letters with few digits, joined by separators or by a change of case
     parts = re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+", run)
-    words = sum(len(p) for p in parts if p.isalpha() and len(p) >= 3)
+    words = sum(len(p) for p in parts if p.isalpha() and len(p) >= 3 and word_like(p, tokens))
     return words >= 0.75 * len(run)
 
 
@@ -70,15 +84,18 @@ def make_scanner(rank_data: bytes, max_chars_per_token: float) -> Callable[[str
                                  special_tokens={})
     candidate = re.compile(CANDIDATE)
 
+    def tokens(run: str) -> int:
+        return len(encoding.encode_ordinary(run))
+
     def scan(text: str | None) -> list[tuple[str, int, int]]:
         text = text or ""
         found = base_spans(text)
         taken = [(b, e) for b, _, e in found]
         for m in candidate.finditer(text):
             b, e, run = m.start(), m.end(), m.group()
-            if any(x < e and b < y for x, y in taken) or known(run):
+            if any(x < e and b < y for x, y in taken):
                 continue
-            if len(run) < max_chars_per_token * len(encoding.encode_ordinary(run)):
+            if len(run) < max_chars_per_token * tokens(run) and not known(run, tokens):
                 found.append((b, 3, e))
         return [(KINDS[k], b, e) for b, k, e in sorted(found)]
 

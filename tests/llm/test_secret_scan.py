@@ -46,6 +46,20 @@ def test_token_efficiency_finds_random_strings_only(spark):
     assert not any("random" in spans[i + len(random_strings)] for i in range(len(harmless)))
 
 
+def test_keys_of_one_case_are_found():
+    scan = S.make_scanner(S.read_bytes(None, S.vocabulary_path("byte_bpe_50k.tiktoken")), 2.0)
+    rng = random.Random(7)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for alphabet, share in ((lower, 0.9), (upper, 0.97), (upper + "234567", 0.97), (lower + "234567", 0.97),
+                            (lower + "0123456789", 0.97)):
+        runs = ["".join(rng.choice(alphabet) for _ in range(32)) for _ in range(200)]
+        hits = sum(scan(f"see {run} here") == [("random", 4, 36)] for run in runs)
+        assert hits >= share * len(runs), alphabet
+    for harmless in ("MAX_NUMBER_OF_CONNECTIONS_PER_HOST", "INTERNATIONALIZATION_OF_PROCESSES", "z" * 71, "q" * 21,
+                     "acgttgcaacgtacgttagc", "java/lang/IllegalArgumentException", "hahahahahahahahahahaha"):
+        assert scan(harmless) == []
+
+
 def test_edges_and_redaction(spark):
     docs = odd_documents(spark)
     assert S.scan_secrets(docs).count() == docs.count()
