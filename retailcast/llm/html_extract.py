@@ -9,6 +9,11 @@ marked as a side part (navigation, footers, forms, or a class, id or role that
 says advert, comments, cookie notice and the like). A decision tree (MLlib),
 trained on the small labelled table below, says which blocks are main text.
 
+Side words count as a whole class or at its end (``cookie-notice``; a place or
+container after them may follow, as in ``comment-list``), but not in states
+(``has-sidebar``, ``comments-open``). They never count on html, body, main and
+article, nor on elements around them where the page's article would be lost.
+
 White space inside a block is one space, blocks are joined by line feeds in
 page order, character references are decoded.
 
@@ -51,29 +56,81 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>
                    re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WORD = re.compile(r"[a-z0-9]+")
+# Elements whose class, id or role says no side part (it names the page's state or kind).
+WHOLE = MAIN | {"html", "body"}
+# Before a side word they make a state of it; after one they name its container or place.
+STATES = frozenset("has have with without no not non hide show".split())
+PLACES = frozenset("""area articles bar block blocks body box button buttons column container content entry footer form
+group header heading holder icons info inner item items law left link links list main message outer panel posts primary
+reading right row secondary section slot stories text this title top bottom trail unit wrap wrapper zone""".split())
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after",
             "in_main", "has_main", "side")
 
 
-def marks_side(tag: str, attributes: str, in_main: bool) -> bool:
-    if tag in SIDE or (tag == "header" and not in_main):
-        return True
+def side_name(name: str) -> bool:
+    """Whether one class (or id, or role) names a side part: a side word at its end, places and numbers aside."""
+    parts = WORD.findall(name)
+    while parts and parts[-1] not in SIDE_WORDS and (parts[-1] in PLACES or parts[-1].isdigit()):
+        parts.pop()
+    return bool(parts) and parts[-1] in SIDE_WORDS and not STATES.intersection(parts)
+
+
+def marks_side(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
+    """Whether an element is a side part (by its tag, or not shown), and whether its names say so."""
+    fixed, named = tag in SIDE or (tag == "header" and not in_main), False
     for name, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         name = name.lower()
-        if name in ("class", "id", "role") and SIDE_WORDS.intersection(WORD.findall(value)):
-            return True
+        if name in ("class", "id", "role") and any(map(side_name, value.split())):
+            named = True
         if name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            fixed = True
+    return fixed, named
+
+
+def side_parts(elements: Sequence[tuple[str, int, bool, bool]]) -> list[bool]:
+    """Whether each element (tag, index of its parent or -1, the two marks) lies in a side part.
+
+    If names would put every main element, or every article (of the main elements, if there are any) into
+    side parts, they do not count on the elements around these. Else an article in a side part is a comment
+    or a teaser.
+    """
+    counts = [named and tag not in WHOLE for tag, _, _, named in elements]
+
+    def spread():
+        side = []
+        for (_, parent, fixed, _), named in zip(elements, counts):
+            side.append(fixed or named or parent >= 0 and side[parent])
+        return side
+
+    side = spread()
+    if not any(counts):
+        return side
+    inside: list[bool] = []   # a main element, or in one
+    for tag, parent, _, _ in elements:
+        inside.append(tag == "main" or parent >= 0 and inside[parent])
+    mains = [i for i, e in enumerate(elements) if e[0] == "main"]
+    articles = [i for i, e in enumerate(elements) if e[0] == "article" and (inside[i] or not mains)]
+    unnamed = [i for i in articles if not elements[i][3]]   # an article named comment is no page's article
+    for found in (mains, unnamed if unnamed or mains else articles):
+        if found and all(side[i] for i in found):
+            seen = set()
+            for i in found:
+                while i >= 0 and i not in seen:
+                    seen.add(i)
+                    counts[i] = False
+                    i = elements[i][1]
+            side = spread()
+    return side
 
 
 def text_blocks(page: str | None) -> list[dict]:
     """Flat blocks in page order: text, words, links (density), in_main, has_main, side, label."""
     page = page or ""
     blocks: list[dict] = []
-    stack: list[tuple[str, bool, bool, bool]] = []   # open block elements: tag, in_main, side, label
+    elements: list[tuple[str, int, bool, bool]] = []   # block elements: tag, parent, the two marks of a side part
+    stack: list[tuple[str, bool, int, bool]] = []   # the open ones: tag, in_main, index, label
     parts: list[str] = []
     linked: list[str] = []
     depth_a = 0
@@ -82,8 +139,8 @@ def text_blocks(page: str | None) -> list[dict]:
         text = " ".join("".join(parts).split())
         if text:
             words = len(text.split(" "))
-            _, main, side, label = stack[-1] if stack else ("", False, False, False)
-            blocks.append({"text": text, "words": words, "in_main": main, "side": side, "label": label,
+            _, main, element, label = stack[-1] if stack else ("", False, -1, False)
+            blocks.append({"text": text, "words": words, "in_main": main, "element": element, "label": label,
                            "links": min(1.0, len("".join(linked).split()) / words)})
         parts.clear()
         linked.clear()
@@ -134,13 +191,16 @@ def text_blocks(page: str | None) -> list[dict]:
                     break
         if attributes.endswith("/") or tag in ("hr", "input", "meta", "link", "base", "col", "embed", "source", "track"):
             continue
-        _, main, side, label = stack[-1] if stack else ("", False, False, False)
-        stack.append((tag, main or tag in MAIN, side or marks_side(tag, attributes, main or tag in MAIN),
-                      label or "data-keep" in attributes))
+        _, main, parent, label = stack[-1] if stack else ("", False, -1, False)
+        stack.append((tag, main or tag in MAIN, len(elements), label or "data-keep" in attributes))
+        elements.append((tag, parent, *marks_side(tag, attributes, main or tag in MAIN)))
     end_block()
     has_main = any(b["in_main"] for b in blocks)
+    side = side_parts(elements)
     for b in blocks:
+        element = b.pop("element")
         b["has_main"] = has_main
+        b["side"] = element >= 0 and side[element]
     return blocks
 
 
@@ -186,6 +246,14 @@ def labelled_pages() -> list[str]:
                      f"<p>{_say(6)}</p>{menu}<footer>{_say(9)}</footer>")
         pages.append(f"<nav>{_say(1 + k)}</nav><div data-keep>{long_body}</div><footer>{_say(1 + 2 * k)}</footer>{menu}")
         pages.append(f"{menu}<div data-keep><p>{_say(3 + k)}</p>{long_body}</div>{menu}")
+        # classes that name a state of the page, or stand around its article
+        pages.append(f'<body class="single has-sidebar comments-open"><nav>{menu}</nav><div class="page-with-sidebar menu-open">'
+                     f'<article class="post hidden-print"><div data-keep>{title}{body}{linked}</div>{side}</article>'
+                     f'<div>{_say(20 + 60 * k)}</div></div><div class="sidebar"><p>{_say(30)}</p></div></body>')
+        pages.append(f'<body class="search sidebar"><div class="widget"><main id="related"><div data-keep>{title}{body}</div>'
+                     f'{side}</main></div><div class="widget"><article>{_say(40)}</article></div><p>{_say(50 + k)}</p></body>')
+        pages.append(f'<body class="menu"><div>{menu}</div><div class="with-sidebar comments-open"><div data-keep>{long_body}'
+                     f'</div></div>{side}{menu}<div class="comment-list"><p>{_say(40 + k)}</p></div></body>')
     return pages
 
 

@@ -48,6 +48,30 @@ def test_side_parts(tree):
     assert text(tree, page) == f"Title\nFirst & bold text.\n{LONG}\nShort."
 
 
+@pytest.mark.parametrize("around", [
+    "<body class='single has-sidebar'><article>{}</article></body>", "<body class='comments-open'><article>{}</article>",
+    "<html class='menu'><body id='search' class='sidebar'><main>{}</main>", "<article class='post hidden-print'>{}</article>",
+    "<article class='sidebar'>{}</article>", "<main role='complementary'>{}</main>",
+    "<div class='menu-open'><article>{}</article></div>", "<div class='page-with-sidebar'><div><main>{}</main></div></div>",
+    "<div id='sidebar' class='widget'><article>{}</article></div>", "<main><div class='notice'><article>{}</article></div></main>",
+    "<div class='side'><article class='promo'>{}</article></div>",
+    "<div class='widget'><article>{}</article></div><div class='widget'><article></article></div>",
+    "<body class='sidebar'><div class='no-sidebar search-open'>{}</div></body>"])
+def test_classes_of_the_page_and_around_its_article(tree, around):
+    body = f"<p>{LONG} one</p><p>{LONG} two</p><div class='cookie-notice'>{LONG}</div><ul class='comment-list'>{LONG}</ul>"
+    assert text(tree, around.format(body)) == f"{LONG} one\n{LONG} two"
+
+
+def test_articles_in_side_parts_are_comments_and_teasers(tree):
+    body = f"<p>{LONG} one</p>"
+    comments = f"<section class='comments'><article>{LONG}</article><article class='comment'>{LONG}</article></section>"
+    for page in (f"<article>{body}{comments}</article>", f"<article>{body}</article>{comments}",
+                 f"<div class='sidebar'><article>{LONG}</article></div><main>{body}</main>",
+                 f"<main>{body}<div class='comments'><article id='comment-12'>{LONG}</article></div></main>",
+                 f"<aside><article>{LONG}</article></aside><article>{body}</article>"):
+        assert text(tree, page) == f"{LONG} one"
+
+
 def test_pages_without_an_article_element(tree):
     menu = "<ul>" + "".join(f'<li><a href="/{i}">entry {i}</a></li>' for i in range(8)) + "</ul>"
     page = f"<div>{menu}</div><div><p>{LONG} one</p><p>{LONG} two</p><p>{LONG} three</p></div><footer>end</footer>"
