@@ -6,7 +6,7 @@ keys, long hexadecimal runs). The token-efficiency test adds spans of kind
 into very short pieces (few characters per token) is a random string, since
 the vocabulary's merges follow natural text. Known digests (hexadecimal runs
 of a digest's length), UUIDs, plain numbers and identifiers are excluded, and
-runs that a base span already covers are not repeated. An identifier is made
+runs that one base span covers wholly are not repeated. An identifier is made
 of words: letter parts that are themselves cheap in tokens (in lower case, so
 that capitals do not count against a name), or that repeat a few letters.
 
@@ -93,7 +93,7 @@ def make_scanner(rank_data: bytes, max_chars_per_token: float) -> Callable[[str
         taken = [(b, e) for b, _, e in found]
         for m in candidate.finditer(text):
             b, e, run = m.start(), m.end(), m.group()
-            if any(x < e and b < y for x, y in taken):
+            if any(x <= b and e <= y for x, y in taken):
                 continue
             if len(run) < max_chars_per_token * tokens(run) and not known(run, tokens):
                 found.append((b, 3, e))

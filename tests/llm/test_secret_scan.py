@@ -60,6 +60,18 @@ def test_keys_of_one_case_are_found():
         assert scan(harmless) == []
 
 
+def test_runs_that_base_spans_cover_in_part(spark):
+    scan = S.make_scanner(S.read_bytes(None, S.vocabulary_path("byte_bpe_50k.tiktoken")), 2.0)
+    key = "xK9vQ2mZ7pLw4RtY8sBn3"
+    mixed = f"{key}0123456789abcdef{key}"
+    assert scan(f"see {mixed} here") == [("random", 4, 4 + len(mixed)), ("hex", 24, 41)]
+    assert scan(f"{key}_token={key}") == [("random", 0, 49), ("assign", 22, 49)]
+    assert scan(f"token={key}") == [("assign", 0, 27)]
+    assert scan("see 0123456789abcdef0123 here") == [("hex", 4, 24)]
+    df = spark.createDataFrame([(1, f"see {mixed} here"), (2, f"{key}_token={key}.{key}")], "doc_id long, text string")
+    assert [r.text for r in S.redact(df).orderBy("doc_id").collect()] == ["see [SECRET] here", "[SECRET]"]
+
+
 def test_edges_and_redaction(spark):
     docs = odd_documents(spark)
     assert S.scan_secrets(docs).count() == docs.count()
