@@ -186,21 +186,32 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4,
-                       radius: int = 4, tile: int = 4096) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp (signed 64-bit fingerprint), component_id."""
+def fingerprints(docs: DataFrame, text: str, shingle: int, carry: list[str]) -> DataFrame:
+    """Columns ``row`` (the carried columns) and ``res.fp``, the signed 64-bit fingerprint."""
     def make():
         return lambda t: (signed(fingerprint(t, shingle)),)
 
-    prints = cut_lineage(map_rows(docs, [text], make, [("fp", T.LongType())], [doc_id]).select(
+    return map_rows(docs, [text], make, [("fp", T.LongType())], carry)
+
+
+def rooted_components(docs: DataFrame, doc_id: str, text: str, shingle: int = 4, radius: int = 4,
+                      tile: int = 4096) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp, component_id, root (the component's own fingerprint)."""
+    prints = cut_lineage(fingerprints(docs, text, shingle, [doc_id]).select(
         F.col("row")[doc_id].alias("doc_id"), F.col("res.fp").alias("fp")))
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
     member = components(fingerprint_links(nodes.select("fp"), radius, tile)).select(
         F.col("node").alias("fp"), "root")
     named = nodes.join(member, "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = named.join(lowest, "root").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = named.join(lowest, "root").select("fp", "component_id", "root")
+    return prints.join(ids, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4,
+                       radius: int = 4, tile: int = 4096) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp (signed 64-bit fingerprint), component_id."""
+    return rooted_components(docs, doc_id, text, shingle, radius, tile).drop("root")
 
 
 def hex_fingerprint(fp):
@@ -210,16 +221,25 @@ def hex_fingerprint(fp):
 def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, with exactly its columns.
 
-    The row with the smallest document id stays; where that id is repeated,
-    the smallest of its rows. Rows without an id cannot be addressed and stay.
+    The row with the smallest document id stays; where a component has that
+    id more than once, the smallest of these rows. An id may be on rows of
+    several components. Rows without an id cannot be addressed and stay.
     """
-    found = simhash_components(docs, doc_id, text, **options)
-    keep = cut_lineage(found.where(F.col("doc_id") == F.col("component_id"))
-                       .groupBy("component_id").agg(F.count("*").alias("copies")))
-    raw = docs.select(quoted(doc_id).alias("id"), F.struct(*[quoted(c) for c in docs.columns]).alias("row"))
-    kept = raw.join(keep.where("copies = 1"), raw["id"] == keep["component_id"], "left_semi").select("row.*")
-    repeated = keep.where("copies > 1")
+    shingle = options.get("shingle", 4)
+    found = cut_lineage(rooted_components(docs, doc_id, text, **options))
+    first = F.col("doc_id") == F.col("component_id")
+    ids = cut_lineage(found.groupBy("doc_id").agg(F.count("*").alias("copies"), F.max(first).alias("first"))
+                      .where("first"))
+    raw = docs.select(quoted(doc_id).alias("id"), quoted(text).alias("text"),
+                      F.struct(*[quoted(c) for c in docs.columns]).alias("row"))
+    single, repeated = ids.where("copies = 1"), ids.where("copies > 1")
+    kept = raw.join(single, raw["id"] == single["doc_id"], "left_semi").select("row.*")
     if not repeated.isEmpty():   # else the texts need not be shuffled a second time
-        kept = kept.unionByName(raw.join(repeated, raw["id"] == repeated["component_id"], "left_semi")
-                                .groupBy("id").agg(F.min("row").alias("row")).select("row.*"))
+        # the id does not say which of its rows are meant: their fingerprints do
+        roots = found.where(first).join(repeated, "doc_id", "left_semi").select("doc_id", "fp", "root").distinct()
+        rows = fingerprints(raw.join(repeated, raw["id"] == repeated["doc_id"], "left_semi"), "text", shingle,
+                            ["id", "row"]).select(F.col("row.id").alias("doc_id"), F.col("res.fp").alias("fp"),
+                                                  F.col("row.row").alias("row"))
+        kept = kept.unionByName(rows.join(roots, ["doc_id", "fp"]).groupBy("root").agg(F.min("row").alias("row"))
+                                .select("row.*"))
     return kept.unionByName(raw.where("id is null").select("row.*"))

@@ -118,6 +118,20 @@ def test_documents(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "30", "40", "50", "None"]
 
 
+def test_an_id_on_texts_of_several_components(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(400)) for x in "abc")
+    tables = [[(5, a), (5, b), (3, c), (6, b)],          # the smallest id of two components: both texts stay
+              [(3, a), (5, a), (5, b)],                  # 5 is second in one component and alone in another
+              [(5, a.replace(f"a{i} ", "other ")) for i in range(0, 400, 40)] + [(5, a), (5, a), (9, a), (9, b)]]
+    for rows in tables:
+        root = naive_components({naive_print(t) for _, t in rows}, 4)
+        first = {}
+        for i, t in sorted(rows):
+            first.setdefault(root[naive_print(t)], (i, t))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(map(tuple, S.one_per_component(df).collect())) == sorted(first.values())
+
+
 def test_edges(spark):
     docs = odd_documents(spark)
     assert S.simhash_components(docs).count() == docs.count()
