@@ -4,7 +4,8 @@
    learned from the stage's own labelled rows.
 2. ``simhash_near_dedup`` keeps one document of each near-duplicate group.
 3. ``benchmark_decontamination`` removes documents that hold ten words in a
-   row of a benchmark item.
+   row of a benchmark item (an item of fewer words has no such run and removes
+   nothing).
 4. ``secret_scan`` keeps all documents and replaces secrets in their texts.
 5. ``byte_bpe`` encodes the texts: the documents' columns, with the text
    decoded back from the ids, and the ids and their number.
@@ -32,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"), n=10)
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"), n=10, min_words=10)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A text's words are runs of digits, a-z and non-ASCII characters after A-Z are
 lower-cased. The patterns are all windows of ``n`` consecutive words of the
-benchmark items; an item of fewer words is one (short) pattern. Documents are
-searched with one searcher per pattern length:
+benchmark items; an item of fewer words is one (short) pattern, unless
+``min_words`` leaves such items out. Documents are searched with one searcher
+per pattern length:
 
 * a shift table over blocks of two words says how far the search may jump
   without passing an occurrence; blocks of no pattern jump a whole window;
@@ -105,7 +106,7 @@ def build_searchers(items: Sequence[tuple[str, str]], n: int):
     return [WuManber(ps) for _, ps in sorted(by_length.items())], owners
 
 
-def item_segments(items: DataFrame, item_id: str, text: str, n: int) -> DataFrame:
+def item_segments(items: DataFrame, item_id: str, text: str, n: int, min_words: int = 1) -> DataFrame:
     """Rows (item, words): the items' words joined by spaces, in overlapping pieces, each once."""
     src = items.select(F.coalesce(quoted(item_id).cast("string"), F.lit("")).alias("item"),
                        quoted(text).alias("text"))
@@ -115,6 +116,8 @@ def item_segments(items: DataFrame, item_id: str, text: str, n: int) -> DataFram
             out = []
             for item, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w = words_of(t)
+                if len(w) < min_words:
+                    continue
                 for i in range(0, max(1, len(w) - n + 1) if w else 0, SEGMENT_WORDS):
                     out.append((item, b" ".join(w[i:i + SEGMENT_WORDS + n - 1]).decode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()),
@@ -125,14 +128,15 @@ def item_segments(items: DataFrame, item_id: str, text: str, n: int) -> DataFram
 
 def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
                        item_text: str = "text", n: int = 10, carry: Sequence[str] | None = None,
-                       block_bytes: int = 32 << 20) -> DataFrame:
+                       block_bytes: int = 32 << 20, min_words: int = 1) -> DataFrame:
     """Columns ``row`` (carried) and ``res``: n_words, hits (disjoint word spans), items (ids, sorted).
 
-    ``hits`` covers exactly the words inside any occurrence of a window.
+    ``hits`` covers exactly the words inside any occurrence of a window. Items
+    of fewer than ``min_words`` words have no windows.
     """
     spark = docs.sparkSession
     carry = docs.columns if carry is None else list(carry)
-    segments = cut_lineage(item_segments(items, item_id, item_text, n))
+    segments = cut_lineage(item_segments(items, item_id, item_text, n, min_words))
     total = segments.agg(F.coalesce(F.sum(F.octet_length("words") + F.octet_length("item") + 16), F.lit(0))).first()[0]
     blocks = 1 + total // block_bytes
     current = docs.select(F.struct(*[quoted(c) for c in carry]).alias("row"), quoted(text).alias("text"),

@@ -52,6 +52,15 @@ def test_stages_keep_the_columns(spark):
     assert P.STAGES[-1][1](spark, docs, SMALL).count() == 0
 
 
+def test_short_benchmark_items_remove_nothing(spark, tmp_path):
+    long = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(1, "Yes"), (2, "New York"), (3, long), (4, None)], "item_id long, text string").write.parquet(
+        str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, "yes, in New York"), (2, "New York " * 10), (3, f"yes {long}."), (4, long[:-4])],
+                                 "doc_id long, text string")
+    assert sorted(r.doc_id for r in P.drop_contaminated(spark, docs, str(tmp_path)).collect()) == [1, 2, 4]
+
+
 def test_registered():
     names = set(E.queries())
     assert {"pipeline"} | {n for n in names if n.startswith("op")} <= names
