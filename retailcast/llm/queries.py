@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailcast.llm import bpe_codec, chat_format, decontaminate, html_extract, language_id, minhash, secret_scan, simhash, token_counts, url_filter
+from retailcast.llm import (bpe_codec, chat_format, decontaminate, html_extract, language_id, minhash, secret_scan,
+                            simhash, source_mix, token_alignment, token_counts, url_filter, whitening)
 from retailcast.llm.common import table
 
 
@@ -195,6 +196,64 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs).withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.align_documents(docs, carry=["doc_id"]).select(
+        "row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality weights from the labels: 2 for good documents, 1/2 for others, 1 without a label."""
+    sized = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", source_mix.word_count(F.col("text")).alias("size"))
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(
+        F.when(F.max("quality") > 0, 2.0).otherwise(0.5).alias("q"))
+    return source_mix.mix_sources(sized.join(labels, "doc_id", "left"), weights=[3, 1, 2], share=(3, 2), max_epochs=2,
+                                  quality="q").select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+OP12_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+lab AS (SELECT doc_id, CASE WHEN max(quality) > 0 THEN 2.0 ELSE 0.5 END AS q FROM labels GROUP BY doc_id),
+keyed AS (
+  SELECT row_number() OVER () AS r, d.*, -ln((CAST(CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 12)
+    AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0) / CAST(coalesce(lab.q, 1.0) AS DOUBLE) AS k,
+    coalesce(lab.q, 1.0) AS q
+  FROM doc d LEFT JOIN lab USING (doc_id)),
+src AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    (ARRAY[3, 1, 2])[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS weight
+  FROM doc GROUP BY source),
+-- sources by the level of words at which they stop: before which of them does the level fit?
+stop AS (
+  SELECT *, coalesce(sum(2 * source_size) OVER w, 0) AS held, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS open,
+    3 * sum(source_size) OVER () AS asked
+  FROM src WINDOW w AS (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (
+  SELECT min(CAST(asked - 2 * held AS DOUBLE) / CAST(2 * open AS DOUBLE)) AS x FROM stop
+  WHERE 2.0 * source_size * 2 * open > weight * (asked - 2 * held)),
+goal AS (
+  SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE), weight * coalesce((SELECT x FROM level), 'inf'::DOUBLE))
+    AS target FROM src),
+put AS (
+  SELECT keyed.*, goal.source_size, goal.target,
+    CASE WHEN goal.source_size > 0 THEN floor(goal.target / goal.source_size) ELSE 0 END AS epochs,
+    sum(size) OVER (PARTITION BY keyed.source ORDER BY k, doc_id, size, q, r) AS upto
+  FROM keyed JOIN goal ON keyed.source IS NOT DISTINCT FROM goal.source)
+SELECT doc_id, source, size, source_size, target,
+  CAST(size * (epochs + CASE WHEN upto - size / 2.0 <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM put
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=8, scale=1024.0).select(
+        "vec_id", "component", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), "whitened", "explained",
+        "identity_error", "eigenvalue")
+
+
 OP9_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -227,10 +286,14 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_source_mix": op12_source_mix,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE = {
     "op2_decontaminate": OP2_SQL,
     "op3_url_filter": OP3_SQL,
     "op9_chat_format": OP9_SQL,
+    "op12_source_mix": OP12_SQL,
 }
