@@ -229,10 +229,10 @@ src AS (
 -- sources by the level of words at which they stop: before which of them does the level fit?
 stop AS (
   SELECT *, coalesce(sum(2 * source_size) OVER w, 0) AS held, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS open,
-    3 * sum(source_size) OVER () AS asked
+    3 * sum(source_size) OVER () AS asked, count(*) OVER w AS place
   FROM src WINDOW w AS (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 level AS (
-  SELECT min(CAST(asked - 2 * held AS DOUBLE) / CAST(2 * open AS DOUBLE)) AS x FROM stop
+  SELECT arg_min(CAST(asked - 2 * held AS DOUBLE) / CAST(2 * open AS DOUBLE), place) AS x FROM stop
   WHERE 2.0 * source_size * 2 * open > weight * (asked - 2 * held)),
 goal AS (
   SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE), weight * coalesce((SELECT x FROM level), 'inf'::DOUBLE))
