@@ -39,9 +39,11 @@ from retailcast.operators.rollup import (dataset_summary, forecast_totals, month
 from retailcast.plans.feature_table import INFO_COLUMNS, SOURCE_ORDER
 from retailcast.plans.train import gbt_metrics, score, train_gbt, train_test_split
 from retailcast.session import scratch_path
+from retailcast.sources.folders import read_role_folder
 from retailcast.sources.readers import read_table
 from retailcast.sources.schema import date_parse_rates, resolve_columns
 from retailcast.sources.sinks import write_table
+from retailcast.sources.tables import SOURCE_TABLES, read_source_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -666,3 +668,57 @@ def q_table_round_trip(spark, sf):
     back = read_table(spark, path, fmt="csv", month_col="month")
     return back.select(F.col("month_date").alias("month"), "product_key",
                        *[F.col(c).cast("bigint").alias(c) for c in ("qty", "net_amount", "sales_amount")])
+
+
+# --- folders of exports that do not agree -----------------------------------------
+
+
+def _export(df, path, columns, encoding="UTF-8"):
+    """Appends CSV files with the given (header, column) pairs, in this order."""
+    df.select(*[F.col(c).alias(h) for h, c in columns]).write.mode("append").option("header", True).option(
+        "escape", '"').option("encoding", encoding).csv(path)
+
+
+@query("mixed_headers")
+def q_mixed_headers(spark, sf):
+    # order lines in three exports that name and order their columns differently; one has no variants
+    path = scratch_path(spark, "mixed-headers")
+    s = _sales(spark, sf).withColumn("paid_at", F.date_format("paid_at", "yyyy-MM-dd"))
+    k = F.col("src_linenumber") % 3
+    _export(s.where(k == 0), path, [("Waktu Pembayaran Dilakukan", "paid_at"), ("Nama Produk", "product"),
+                                    ("Nama Variasi", "variant"), ("Jumlah", "qty"), ("Harga Setelah Diskon", "net_price")])
+    _export(s.where(k == 1), path, [("Price", "net_price"), ("Qty", "qty"), ("No", "src_orderkey"), ("SKU", "variant"),
+                                    ("Date", "paid_at"), ("Item", "product")])
+    _export(s.where(k == 2), path, [("Produk", "product"), ("Tanggal", "paid_at"), ("Harga", "net_price"),
+                                    ("Quantity", "qty")])
+    back = read_role_folder(spark, path, "sales", {"date": "date", "product": "string", "variant": "string",
+                                                   "quantity": "bigint", "price": "double"})
+    return back.groupBy("date", "product", "variant").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("quantity").alias("quantity"),
+        r6(F.sum(F.col("price").cast("decimal(38,6)"))).alias("price"))
+
+
+@query("mixed_columns")
+def q_mixed_columns(spark, sf):
+    # stock status of a year in one export each: turned round in odd years, without two columns in every third
+    path = scratch_path(spark, "mixed-columns")
+    st = _fx(spark, sf).stock_status().withColumn("remark", F.concat(F.lit("a, \"b\" "), F.col("product_key")))
+    columns = [(h, name) for h, (name, _) in SOURCE_TABLES["stock_status"].items()]
+    year = F.substring("month_text", 1, 4).cast("int")
+    few = [c for c in columns if c[1] not in ("pending", "opening_stock")] + [("Catatan", "remark")]
+    _export(st.where(year % 3 == 0), path, few)
+    _export(st.where((year % 3 != 0) & (year % 2 == 1)), path, columns[::-1])
+    _export(st.where((year % 3 != 0) & (year % 2 == 0)), path, columns)
+    return read_source_table(spark, path, "stock_status").withColumnRenamed("Catatan", "remark")
+
+
+@query("mixed_encodings")
+def q_mixed_encodings(spark, sf):
+    # products with accents, half of them exported as Latin-1
+    path = scratch_path(spark, "mixed-encodings")
+    shop = _fx(spark, sf).shop_stock().withColumn("variant", F.translate("variant", "AEIOU", "ÀÉÎÖü"))
+    columns = [(h, name) for h, (name, _) in SOURCE_TABLES["shop_stock"].items()]
+    half = F.col("product_code") % 2 == 0
+    _export(shop.where(half), path, columns)
+    _export(shop.where(~half), path, columns, "ISO-8859-1")
+    return read_source_table(spark, path, "shop_stock")

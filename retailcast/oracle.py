@@ -780,3 +780,19 @@ _RESOLVED = [("sales", "date", "Tanggal", "paid_at", "sales"), ("sales", "produc
 ORACLE["resolve_columns"] = with_views(" UNION ALL ".join(
     f"SELECT '{r}' AS role, '{f}' AS field, '{h}' AS header, (SELECT count({c}) FROM {v}) AS n_values"
     for r, f, h, c, v in _RESOLVED), "sales", "traffic_all", "stock_status_all", "shop_stock", "holidays")
+
+
+# Folders of exports that do not agree: what was written must come back.
+ORACLE["mixed_headers"] = with_views(
+    "SELECT CAST(paid_at AS DATE) AS date, product, CASE WHEN src_linenumber % 3 <> 2 THEN variant END AS variant, "
+    "count(*) AS n_lines, CAST(sum(qty) AS BIGINT) AS quantity, "
+    "round(CAST(sum(CAST(net_price AS DECIMAL(38,6))) AS DOUBLE), 6) AS price FROM sales GROUP BY 1, 2, 3", "sales")
+ORACLE["mixed_columns"] = with_views(
+    "SELECT product_id, month_text, product_key, CASE WHEN y % 3 <> 0 THEN opening_stock END AS opening_stock, sold_qty, "
+    "closing_stock, CASE WHEN y % 3 <> 0 THEN pending END AS pending, stock_status, "
+    "CASE WHEN y % 3 = 0 THEN 'a, \"b\" ' || product_key END AS remark "
+    "FROM (SELECT *, CAST(substr(month_text, 1, 4) AS INTEGER) AS y FROM stock_status_all)", "stock_status_all")
+ORACLE["mixed_encodings"] = (
+    "SELECT p_partkey AS product_code, p_brand AS product, CAST(p_partkey AS VARCHAR) AS variant_code, "
+    "CASE WHEN p_size % 10 <> 0 THEN translate(p_type, 'AEIOU', 'ÀÉÎÖü') END AS variant, p_retailprice AS price, "
+    "CAST(p_size AS INTEGER) AS stock FROM part")

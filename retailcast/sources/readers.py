@@ -9,16 +9,16 @@ first row' rules need.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from retailcast.functions.calendar import month_from_text
 
-REPLACEMENT_CHAR = "�"
-
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, *,
+def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | str | None = None, *,
              encoding: str = "UTF-8", sep: str = ",", with_row_order: bool = False, multi_line: bool = False,
              corrupt_column: str | None = None) -> DataFrame:
     """Header CSV, typed by ``schema`` (all strings when None).
@@ -45,20 +45,19 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
 
 def read_csv_with_fallback(spark: SparkSession, path: str, schema: StructType | str | None = None, *,
                            fallback: str = "ISO-8859-1", with_row_order: bool = False) -> DataFrame:
-    """Read as UTF-8; if any string field holds the replacement character
-    (bytes that are not UTF-8), read again as Latin-1. The check is one
-    distributed ``exists`` probe (stops at the first hit), not a collect."""
-    df = read_csv(spark, path, schema, with_row_order=with_row_order)
-    strings = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
-    if not strings:
-        return df
-    bad = None
-    for c in strings:
-        cond = F.col(c).contains(REPLACEMENT_CHAR)
-        bad = cond if bad is None else bad | cond
-    if df.where(bad).limit(1).count() > 0:
-        return read_csv(spark, path, schema, encoding=fallback, with_row_order=with_row_order)
-    return df
+    """UTF-8 where a file's bytes are UTF-8, else ``fallback``, file by file. The files of ``path``
+    share one header; ``folders.read_csv_folder`` reads files that do not."""
+    from retailcast.sources.folders import escaped, file_encodings
+
+    by_encoding: dict[str, list[str]] = {}
+    for file, encoding in sorted(file_encodings(spark, path, fallback).items()):
+        by_encoding.setdefault(encoding, []).append(escaped(file))
+    if len(by_encoding) < 2:
+        return read_csv(spark, path, schema, encoding=next(iter(by_encoding), "UTF-8"), with_row_order=with_row_order)
+    kind = schema or read_csv(spark, path).schema   # one header for all, so one list of columns
+    first, *rest = [read_csv(spark, files, kind, encoding=e, with_row_order=with_row_order)
+                    for e, files in by_encoding.items()]
+    return reduce(DataFrame.unionByName, rest, first)
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", month_col: str | None = None) -> DataFrame:

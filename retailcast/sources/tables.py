@@ -1,17 +1,19 @@
 """The five source tables as they are exported: header maps, types, readers.
 
-Files are read by their header names, so the column order does not matter;
-values become typed with ``try_cast`` (what does not fit is NULL), columns
+Every file is read by its own header names and in its own encoding
+(``folders.py``), so the files of a folder need not agree; values become typed with ``try_cast`` (what does not fit is NULL), columns
 that a file lacks are NULL. The result has this library's canonical names and
 feeds ``feature_table`` directly.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailcast.sources.readers import read_csv_with_fallback
+from retailcast.sources.folders import read_csv_folder
 
 # Source header -> (canonical name, type), by table.
 SOURCE_TABLES: dict[str, dict[str, tuple[str, str]]] = {
@@ -87,7 +89,11 @@ def to_canonical(df: DataFrame, table: str) -> DataFrame:
     made = [(F.col(f"`{h}`").try_cast(kind) if h in df.columns else F.lit(None).cast(kind)).alias(name)
             for h, (name, kind) in spec.items()]
     names = {name for name, _ in spec.values()}
-    return df.select(*made, *[F.col(f"`{c}`") for c in df.columns if c not in spec and c not in names])
+    return df.select(*made, *[F.col("`" + c.replace("`", "``") + "`") for c in df.columns
+                              if c not in spec and c not in names])
+
+
+LOCAL_URI = re.compile("^file:/+")   # Spark writes it with one slash in a row's metadata, with three in a listing
 
 
 def with_file_order(df: DataFrame) -> DataFrame:
@@ -95,19 +101,20 @@ def with_file_order(df: DataFrame) -> DataFrame:
 
     File names are ranked on the driver, which has listed them anyway.
     """
-    files = sorted(r[0] for r in df.select("row_order.file").distinct().collect())
+    files = sorted(df.inputFiles())
     spark = df.sparkSession
-    ranks = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "__file string, __rank bigint")
-    return (df.join(ranks, F.col("row_order.file") == F.col("__file"), "left")
+    ranks = spark.createDataFrame([(LOCAL_URI.sub("file:/", f), i) for i, f in enumerate(files)],
+                                  "__file string, __rank bigint")
+    return (df.join(ranks, F.regexp_replace("row_order.file", LOCAL_URI.pattern, "file:/") == F.col("__file"), "left")
             .withColumns({"source_block": F.col("__rank") * (1 << 42) + F.col("row_order.block"),
                           "source_row": F.col("row_order.row")})
             .drop("__file", "__rank", "row_order"))
 
 
-def read_source_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """One exported CSV file or folder (UTF-8, else Latin-1) in canonical form.
+def read_source_table(spark: SparkSession, path: str | list[str], table: str) -> DataFrame:
+    """One exported CSV file, or a folder of them, in canonical form.
 
     Sales also get their file order, which 'keep the first row' needs.
     """
-    df = to_canonical(read_csv_with_fallback(spark, path, with_row_order=table == "sales"), table)
+    df = read_csv_folder(spark, path, lambda part: to_canonical(part, table), with_row_order=table == "sales")
     return with_file_order(df) if table == "sales" else df

@@ -21,7 +21,7 @@ EXPECTED = {
     "table_round_trip", "core_assembly", "core_features", "cyclic_month", "dataset_summary",
     "date_parse_rates", "discount_pct", "drop_cancelled", "encode_status", "estimate_missing_traffic",
     "feature_correlation", "feature_table", "forecast_growth", "forecast_recursive", "forecast_recursive_plain",
-    "forecast_totals", "future_months", "gbt_metrics", "history_and_forecast", "holiday_day_flag",
+    "forecast_totals", "future_months", "mixed_columns", "mixed_encodings", "mixed_headers", "gbt_metrics", "history_and_forecast", "holiday_day_flag",
     "holiday_month_flag", "interaction_features", "lag_features", "linear_trend", "mom_growth", "month_share",
     "monthly_product_sales", "monthly_rollup", "monthly_row_counts", "monthly_traffic", "order_month",
     "parse_localized_number", "parse_percent", "parse_weight", "price_level", "product_info_first",
