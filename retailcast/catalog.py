@@ -24,6 +24,7 @@ from retailcast.functions.calendar import month_from_text
 from pyspark.sql import Window
 from retailcast.functions import sqltext as X
 from retailcast.functions.calendar import month_text
+from retailcast.functions.numeric import ieee_div
 from retailcast.functions.text import parse_localized_number, parse_percent, parse_weight
 from retailcast.operators.clean import (discount_pct, drop_cancelled, scaled_amount, unit_price,
                                         with_order_month, with_product_key)
@@ -33,7 +34,7 @@ from retailcast.operators.features import (advanced_features, basic_features, en
                                            linear_trend_last3, seasonal_profile, time_series_features)
 from retailcast.operators.joins import (holiday_month_flag, safe_join, sales_product_info_join,
                                         sales_stock_join, sales_traffic_join)
-from retailcast.operators.medians import column_medians_frame
+from retailcast.operators.medians import column_medians_frame, grouped_medians
 from retailcast.operators.rollup import (dataset_summary, forecast_totals, monthly_rollup,
                                          monthly_row_counts, product_info_first, product_list, top_products)
 from retailcast.plans.feature_table import INFO_COLUMNS, SOURCE_ORDER
@@ -41,7 +42,7 @@ from retailcast.plans.train import gbt_metrics, score, train_gbt, train_test_spl
 from retailcast.session import scratch_path
 from retailcast.sources.folders import read_role_folder
 from retailcast.sources.readers import read_table
-from retailcast.sources.schema import date_parse_rates, resolve_columns
+from retailcast.sources.schema import date_parse_rates, parse_dates, resolve_columns
 from retailcast.sources.sinks import write_table
 from retailcast.sources.tables import SOURCE_TABLES, read_source_table
 
@@ -447,6 +448,20 @@ def q_column_medians(spark, sf):
                                             "sales_per_order", "conversion_rate"]))
 
 
+@query("monthly_medians")
+def q_monthly_medians(spark, sf):
+    r = monthly_rollup(_prep(spark, sf), "paid_at", ["product"],
+                       {"net_price": ["median", "count"], "qty": "median", "src_orderkey": "median"})
+    return rounded(r)
+
+
+@query("product_medians")
+def q_product_medians(spark, sf):
+    # infinite and missing values among them: sales per shipping fee, some of which are 0
+    s = _sales(spark, sf).withColumn("ratio", ieee_div(F.col("net_price"), F.col("return_shipping")))
+    return rounded(grouped_medians(s, ["product", "variant"], ["net_price", "ratio", "qty"]))
+
+
 # --- joins ---------------------------------------------------------------------
 @query("sales_traffic_join")
 def q_sales_traffic_join(spark, sf):
@@ -640,6 +655,17 @@ def q_date_parse_rates(spark, sf):
     return h.unionByName(t).select("source", "strategy", "strategy_order", r6("parsed_share").alias("parsed_share"))
 
 
+@query("parse_dates")
+def q_parse_dates(spark, sf):
+    # order days as text, day first in one column and month first in the other, with some junk in both
+    o = _fx(spark, sf).table("orders").where("o_orderdate IS NOT NULL")
+    texts = o.select("o_orderkey", *[
+        F.when(F.col("o_orderkey") % k == 0, "unknown").otherwise(F.date_format("o_orderdate", form)).alias(c)
+        for c, form, k in (("day_first", "d/M/yyyy", 7), ("month_first", "M/d/yyyy", 11))])
+    return parse_dates(parse_dates(texts, "day_first"), "month_first").select(
+        "o_orderkey", *[F.col(c).cast("date").alias(c) for c in ("day_first", "month_first")])
+
+
 @query("resolve_columns")
 def q_resolve_columns(spark, sf):
     # every table under its source headers: which header each logical field finds, and how many values it holds

@@ -1,4 +1,4 @@
-"""Exact column medians without gathering a column into one task.
+"""Exact medians of columns and of groups without gathering a column or a group into one task.
 
 ``F.median`` keeps every distinct value of a global group in one buffer. This
 selects the two middle order statistics by bucket refinement instead: each
@@ -15,9 +15,13 @@ otherwise they are skipped too. Even counts average the two middle values.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from retailcast.session import cut_lineage
+
 # The per-pass aggregate holds at most min(BUCKETS, distinct values) rows
 # per (column, target); a wide grid usually resolves the rank in one pass.
 BUCKETS = 65536
@@ -147,3 +151,87 @@ def column_medians_frame(df: DataFrame, cols: list[str], count_infinite: bool =
     m = column_medians(df, cols, count_infinite)
     return df.sparkSession.createDataFrame([tuple(m[c] for c in cols)],
                                            ", ".join(f"`{c}` double" for c in cols))
+
+
+# --- medians of groups ----------------------------------------------------------
+GROUP_BUCKETS = 1024          # per open group, column and pass
+BROADCAST_STATE = 100_000     # open (group, column) rows, counted
+
+
+def _with_state(rows: DataFrame, state: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of open groups inside their open range, with the range; a few open groups are broadcast."""
+    if state.count() <= BROADCAST_STATE:
+        state = F.broadcast(state)
+    own = state.select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(names)], "t", "lo", "hi", "below", "k")
+    same = F.col("v").between(F.col("lo"), F.col("hi"))
+    for i, c in enumerate(names):
+        same = same & F.col(c).eqNullSafe(F.col(f"__s{i}"))
+    return rows.join(own, same).drop(*[f"__s{i}" for i in range(len(names))])
+
+
+def grouped_medians(df: DataFrame, keys: list[str], cols: list[str], buckets: int = GROUP_BUCKETS) -> DataFrame:
+    """Exact median of each column in each group: ``keys`` and one double column per name in ``cols``.
+
+    The refinement of ``column_medians`` with a range per (group, column): a
+    pass counts the open rows by bucket (partial aggregates, so a group of any
+    size is a few rows per task), finds the buckets of the two middle ranks
+    with a sum over at most ``buckets`` rows per group, and keeps only the rows
+    of those buckets for the next pass. Groups that are done drop out. State
+    and rows stay distributed.
+
+    NULL and NaN are skipped, infinities are ordinary values, an even number of
+    values gives the mean of the middle two, a group without values NULL. NULL
+    is a group of its own.
+    """
+    names = [f"__k{i}" for i in range(len(keys))] + ["c"]
+    group = [F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)]
+    items = F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(cols)])
+    rows = cut_lineage(df.select(*group, F.explode(items).alias("x")).select(*names[:-1], "x.c", "x.v"))
+    all_groups = rows.select(*names[:-1]).distinct()
+    rows = rows.where("v IS NOT NULL AND NOT isnan(v)")
+
+    infinite = float("inf")
+    finite = F.when(~F.col("v").isin(infinite, -infinite), F.col("v"))
+    stats = rows.groupBy(*names).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") == -infinite).alias("neg"),
+        F.count_if(F.col("v") == infinite).alias("pos"), F.min(finite).alias("lo"), F.max(finite).alias("hi"))
+    ranks = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.floor((F.col("n") - 1 + t) / 2).cast("long").alias("k"))
+                                for t in (0, 1)]))
+    state = cut_lineage(stats.select("*", ranks.alias("r")).select(
+        *names, "r.t", "lo", "hi", F.col("neg").alias("below"), "r.k",
+        F.when(F.col("r.k") < F.col("neg"), -infinite).when(F.col("r.k") >= F.col("n") - F.col("pos"), infinite)
+        .when(F.col("lo") == F.col("hi"), F.col("lo")).alias("found")))
+    rows = rows.where(finite.isNotNull())
+    done = []
+    while True:
+        done.append(state.where("found IS NOT NULL").select(*names, "found"))
+        state = state.where("found IS NULL")
+        if state.isEmpty():
+            break
+        span = F.col("hi") / 2 - F.col("lo") / 2
+        bucket = F.when(span > 0, F.least(F.lit(buckets - 1), F.floor(
+            (F.col("v") / 2 - F.col("lo") / 2) / span * buckets).cast("int"))).otherwise(
+            F.when(F.col("v") > F.col("lo"), 1).otherwise(0))   # a span below the smallest number
+        counts = _with_state(rows, state, names).groupBy(*names, "t", "below", "k", bucket.alias("b")).agg(
+            F.count(F.lit(1)).alias("cnt"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        earlier = Window.partitionBy(*names, "t").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.col("below") + F.coalesce(F.sum("cnt").over(earlier), F.lit(0))
+        state = cut_lineage(counts.withColumn("before", before)
+                            .where((F.col("k") >= F.col("before")) & (F.col("k") < F.col("before") + F.col("cnt")))
+                            .select(*names, "t", "lo", "hi", F.col("before").alias("below"), "k",
+                                    F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("found")))
+        still = state.where("found IS NULL")
+        if still.isEmpty():
+            continue
+        # both ranks of a group may be open in one range: a row is kept once
+        ranges = still.groupBy(*names).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select(
+            "*", *[F.lit(0).alias(c) for c in ("t", "below", "k")])
+        rows = cut_lineage(_with_state(rows, ranges, names).select(*names, "v"))
+
+    found = reduce(DataFrame.unionByName, done).groupBy(*names).agg(F.min("found").alias("a"), F.max("found").alias("b"))
+    median = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.col("a") + F.col("b")) / 2)
+    wide = found.groupBy(*names[:-1]).agg(*[F.max(F.when(F.col("c") == i, median)).alias(f"__m{i}")
+                                            for i in range(len(cols))])
+    same = reduce(lambda x, y: x & y, [all_groups[n].eqNullSafe(wide[n]) for n in names[:-1]], F.lit(True))
+    return all_groups.join(wide, same, "left").select(
+        *[all_groups[n].alias(k) for n, k in zip(names, keys)], *[F.col(f"__m{i}").alias(c) for i, c in enumerate(cols)])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from retailcast.functions.calendar import month_start, month_text
 from retailcast.functions.numeric import ieee_div
 from retailcast.functions.text import parse_localized_number, parse_percent
+from retailcast.operators.medians import grouped_medians
 
 MONEY = "decimal(38,6)"
 
@@ -84,9 +85,6 @@ def product_info_from_monthly(agg: DataFrame, lines: DataFrame, cols: list[str],
     return found.groupBy(key).agg(best).select(key, *[F.col(f"first.row.{c}").alias(c) for c in cols])
 
 
-MEDIAN_ACCURACY = 10000
-
-
 # --- A2 / A4 ----------------------------------------------------------------
 _AGG_FUNCS = {
     "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)),
@@ -97,8 +95,6 @@ _AGG_FUNCS = {
     "max": F.max,
     "count": F.count,
     "nunique": F.count_distinct,
-    # a sketch of bounded size: exact up to its accuracy in distinct values per group
-    "median": lambda c: F.percentile_approx(c.cast("double"), 0.5, MEDIAN_ACCURACY),
 }
 
 
@@ -109,7 +105,9 @@ def monthly_rollup(df: DataFrame, date_col: str | None, group_cols: list[str],
     Output columns are named after the input columns, with several functions
     after both (``qty_sum``, ``qty_mean``); ``{'*': 'size'}`` counts rows as
     ``row_count``. Sums of doubles are exact (decimal), so they do not depend
-    on partitioning. Without a date column the result is empty.
+    on partitioning, and so are medians (``grouped_medians``: passes of their
+    own over the columns that need them). Without a date column the result is
+    empty.
     """
     if not date_col or date_col not in df.columns:
         return df.sparkSession.createDataFrame([], "month string")
@@ -118,17 +116,28 @@ def monthly_rollup(df: DataFrame, date_col: str | None, group_cols: list[str],
     cond = F.col(date_col).isNotNull()
     for c in group_cols:
         cond = cond & F.col(c).isNotNull()
-    exprs = []
+    exprs, medians, names = [], {}, []
     kinds = dict(df.dtypes)
     for c, fns in aggs.items():
         for fn in [fns] if isinstance(fns, str) else fns:
             if fn == "size":
+                names.append("row_count")
                 exprs.append(F.count(F.lit(1)).alias("row_count"))
                 continue
-            name = c if isinstance(fns, str) else f"{c}_{fn}"
+            names.append(c if isinstance(fns, str) else f"{c}_{fn}")
+            if fn == "median":
+                medians[names[-1]] = c
+                continue
             exact = fn == "sum" and kinds[c] in ("double", "float")
-            exprs.append(_AGG_FUNCS["exact_sum" if exact else fn](F.col(c)).alias(name))
-    return df.where(cond).groupBy(*keys).agg(*exprs)
+            exprs.append(_AGG_FUNCS["exact_sum" if exact else fn](F.col(c)).alias(names[-1]))
+    kept = df.where(cond)
+    if not medians:
+        return kept.groupBy(*keys).agg(*exprs)
+    own = ["month", *group_cols]
+    middle = grouped_medians(kept.select(*keys, *[F.col(c).alias(f"__{n}") for n, c in medians.items()]), own,
+                             [f"__{n}" for n in medians]).withColumnsRenamed({f"__{n}": n for n in medians})
+    rest = kept.groupBy(*keys).agg(*(exprs or [F.count(F.lit(1)).alias("__rows")]))
+    return rest.join(middle, own).select(*own, *names)
 
 
 def monthly_row_counts(df: DataFrame, date_col: str, group_cols: list[str] | None = None) -> DataFrame:

@@ -762,6 +762,11 @@ def _rates(src: str, view_name: str) -> str:
 ORACLE["date_parse_rates"] = _fix_round(with_views(
     _rates("holidays", "holidays") + " UNION ALL " + _rates("traffic", "traffic_all"), "holidays", "traffic_all"))
 
+ORACLE["parse_dates"] = (
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS day_first, "
+    "CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) END AS month_first "
+    "FROM orders WHERE o_orderdate IS NOT NULL")
+
 ORACLE["table_round_trip"] = ORACLE["monthly_product_sales"]
 _RESOLVED = [("sales", "date", "Tanggal", "paid_at", "sales"), ("sales", "product", "product", "product", "sales"),
              ("sales", "variant", "variant", "variant", "sales"), ("sales", "quantity", "qty", "qty", "sales"),
@@ -796,3 +801,12 @@ ORACLE["mixed_encodings"] = (
     "SELECT p_partkey AS product_code, p_brand AS product, CAST(p_partkey AS VARCHAR) AS variant_code, "
     "CASE WHEN p_size % 10 <> 0 THEN translate(p_type, 'AEIOU', 'ÀÉÎÖü') END AS variant, p_retailprice AS price, "
     "CAST(p_size AS INTEGER) AS stock FROM part")
+
+ORACLE["monthly_medians"] = with_views(
+    "SELECT strftime(paid_at, '%Y-%m') AS month, product, round(median(net_price), 6) AS net_price_median, "
+    "count(net_price) AS net_price_count, CAST(median(qty) AS DOUBLE) AS qty, CAST(median(src_orderkey) AS DOUBLE) "
+    "AS src_orderkey FROM sales_prep WHERE paid_at IS NOT NULL AND product IS NOT NULL GROUP BY 1, 2", "sales_prep")
+ORACLE["product_medians"] = with_views(
+    "SELECT product, variant, round(median(net_price), 6) AS net_price, round(median(ratio), 6) AS ratio, "
+    f"CAST(median(qty) AS DOUBLE) AS qty FROM (SELECT *, {ieee('net_price', 'return_shipping')} AS ratio FROM sales) "
+    "GROUP BY 1, 2", "sales")

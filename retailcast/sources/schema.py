@@ -69,37 +69,74 @@ def _strategy_expr(c, formats):
     return F.coalesce(*parsed)
 
 
+# What the strategies' formats can match at all, and a time of day in its range.
+_DAY_OR_MONTH_FIRST = r"^([0-9]{1,2}[-/.][0-9]{1,2}[-/.])([0-9]{4})((?: [0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)?)$"
+_YEAR_FIRST = r"^([0-9]{4})([-/][0-9]{2}[-/][0-9]{2}|[0-9]{4})((?:[ Tt][0-9]{2}:[0-9]{2}:[0-9]{2})?)$"
+_TIME = r"^.(?:[01]?[0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9])?$"
+
+
+def date_shape(text):
+    """``text`` with what no strategy tells apart made alike: the year becomes a leap year, another year or 0, a
+    time of day all zeros (nines where it is out of range). Day and month stay, and so does every width, so a
+    text parses under a format if and only if its shape does. Texts with other characters become ''.
+
+    A column has a few hundred shapes however many rows it has.
+    """
+    def part(pattern, k):
+        return F.regexp_extract(text, pattern, k)
+
+    def year(y):
+        n = y.cast("int")
+        leap = (n % 4 == 0) & ((n % 100 != 0) | (n % 400 == 0))
+        return F.when(n == 0, "0000").when(leap, "2000").otherwise("2001")
+
+    def time(t):
+        return F.regexp_replace(t, "[0-9]", F.when(t.rlike(_TIME), F.lit("0")).otherwise(F.lit("9")))
+
+    return (F.when(text.isNull(), None)
+            .when(text.rlike(_DAY_OR_MONTH_FIRST), F.concat(part(_DAY_OR_MONTH_FIRST, 1), year(part(_DAY_OR_MONTH_FIRST, 2)),
+                                                            time(part(_DAY_OR_MONTH_FIRST, 3))))
+            .when(text.rlike(_YEAR_FIRST), F.concat(year(part(_YEAR_FIRST, 1)), part(_YEAR_FIRST, 2),
+                                                    time(part(_YEAR_FIRST, 3))))
+            .when(text.rlike(r"^[-0-9+/.:Tt ]*$"), text).otherwise(""))
+
+
+def date_shapes(df: DataFrame, col: str) -> DataFrame:
+    """(shape, n): the histogram of shapes, one pass with a mergeable aggregate."""
+    return df.groupBy(date_shape(F.col(col).cast("string")).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def date_parse_rates(df: DataFrame, col: str) -> DataFrame:
-    """One row per strategy: (strategy, order, parsed share). A single
-    aggregate over the column; a timestamp column parses at 100 %."""
+    """One row per strategy: (strategy, order, parsed share), from one pass over the column (the shapes'
+    histogram); a timestamp column parses at 100 %."""
     if dict(df.dtypes).get(col) in ("timestamp", "timestamp_ntz", "date"):
         rates = [F.avg(F.col(col).isNotNull().cast("double")).alias(f"s{i}") for i in range(len(DATE_STRATEGIES))]
+        row = df.agg(*rates)
     else:
-        rates = [F.avg(_strategy_expr(col, fm).isNotNull().cast("double")).alias(f"s{i}")
-                 for i, (_, fm) in enumerate(DATE_STRATEGIES)]
-    row = df.agg(*rates)
+        n = F.sum("n")
+        row = date_shapes(df, col).agg(*[
+            (F.sum(F.when(_strategy_expr("shape", fm).isNotNull(), F.col("n")).otherwise(0)) / n).alias(f"s{i}")
+            for i, (_, fm) in enumerate(DATE_STRATEGIES)])
     stack = ", ".join(f"'{name}', {i}, s{i}" for i, (name, _) in enumerate(DATE_STRATEGIES))
     return row.selectExpr(f"stack({len(DATE_STRATEGIES)}, {stack}) AS (strategy, strategy_order, parsed_share)")
 
 
+def choose_date_strategy(df: DataFrame, col: str) -> int:
+    """The first strategy over the threshold, each tested on the raw text (so one failure cannot hide another);
+    the last one if none is, as in the source. One pass over the column, whichever it is."""
+    shares = {r["strategy_order"]: r["parsed_share"] or 0.0 for r in date_parse_rates(df, col).collect()}
+    return next((i for i in sorted(shares) if shares[i] > PARSE_THRESHOLD), len(DATE_STRATEGIES) - 1)
+
+
 def parse_dates(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    """Parse ``col`` with the first strategy that clears the threshold, each
-    strategy tested on the raw text (so one failure cannot hide another).
-    If none clears it, the last strategy's result is kept, as in the source."""
+    """Parse ``col`` with the strategy that one pass over it chooses."""
     out = out or col
     t = dict(df.dtypes).get(col)
     if t in ("timestamp", "timestamp_ntz"):
         return df.withColumn(out, F.col(col)) if out != col else df
     if t == "date":
         return df.withColumn(out, F.col(col).cast("timestamp_ntz"))
-    # strategies are tried in order, so the usual first success costs one pass with its own few formats
-    chosen = len(DATE_STRATEGIES) - 1
-    for i, (_, formats) in enumerate(DATE_STRATEGIES):
-        share = df.agg(F.avg(_strategy_expr(col, formats).isNotNull().cast("double"))).first()[0]
-        if (share or 0.0) > PARSE_THRESHOLD:
-            chosen = i
-            break
-    return df.withColumn(out, _strategy_expr(col, DATE_STRATEGIES[chosen][1]))
+    return df.withColumn(out, _strategy_expr(col, DATE_STRATEGIES[choose_date_strategy(df, col)][1]))
 
 
 def rename_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:

@@ -23,8 +23,8 @@ EXPECTED = {
     "feature_correlation", "feature_table", "forecast_growth", "forecast_recursive", "forecast_recursive_plain",
     "forecast_totals", "future_months", "mixed_columns", "mixed_encodings", "mixed_headers", "gbt_metrics", "history_and_forecast", "holiday_day_flag",
     "holiday_month_flag", "interaction_features", "lag_features", "linear_trend", "mom_growth", "month_share",
-    "monthly_product_sales", "monthly_rollup", "monthly_row_counts", "monthly_traffic", "order_month",
-    "parse_localized_number", "parse_percent", "parse_weight", "price_level", "product_info_first",
+    "monthly_medians", "product_medians", "monthly_product_sales", "monthly_rollup", "monthly_row_counts", "monthly_traffic", "order_month",
+    "parse_dates", "parse_localized_number", "parse_percent", "parse_weight", "price_level", "product_info_first",
     "product_key", "product_key_lenient", "product_list", "product_mean", "quarter_flags", "regression_metrics",
     "rolling_3m", "safe_join_inner", "safe_join_left", "safe_join_outer", "safe_join_right",
     "sales_product_info_join", "sales_stock_join", "sales_traffic_join", "scaled_amount", "seasonal_index",
