@@ -35,6 +35,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,12 @@ from pyspark.sql import types as T
 
 from retailcast.llm.common import (cut_lineage, map_in_arrow, quoted, read_bytes, scratch_path,
                                    ship_code, vocabulary_path)
+from retailcast.llm.token_counts import added_strings, make_splitter
 
 CHUNK_CHARS = 4 << 20    # characters of a chunk, unless one text alone has more
 ENCODE_CHARS = 1 << 18   # characters given to a tokenizer at once
+KNOWN_PIECES = 1 << 19   # pre-tokens remembered in a task; beyond it they are encoded anew
+LONG_PIECE = 64          # characters of a pre-token that is not remembered
 LARGE_GROUP = 1 << 12    # links of a group that are listed one by one
 
 
@@ -58,7 +62,11 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class ByteLevel:
-    """The byte-level tokenizer: ids of texts, and the bytes of every id."""
+    """The byte-level tokenizer: ids of texts, and the bytes of every id.
+
+    Its pattern cuts texts into pre-tokens that it encodes each for itself, so
+    each distinct one is encoded once and remembered.
+    """
 
     def __init__(self, data: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,6 +76,9 @@ class ByteLevel:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        added_strings(data)   # no normalizer, the published pattern
+        self.cut = make_splitter([])
+        self.known: dict[str, list[int]] = {}
         byte = byte_alphabet()
         vocabulary = self.tokenizer.get_vocab()
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
@@ -76,8 +87,16 @@ class ByteLevel:
                              else token.encode("utf-8"))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [e.ids for e in found]
+        if len(self.known) > KNOWN_PIECES:
+            self.known.clear()
+        known, cut = self.known, [self.cut(" " + t) for t in texts]
+        new = list({p for pieces in cut for p in pieces if p not in known})
+        known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+        out = [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in cut]
+        for p in new:
+            if len(p) > LONG_PIECE:
+                del known[p]
+        return out
 
 
 class Pieces:
@@ -243,7 +262,7 @@ class Aligner:
         found = self.tokens(texts)
         n = len(texts)
         sizes = [np.fromiter((len(x[k]) for x in found), np.int64, n) for k in (0, 1)]
-        ids = [np.fromiter((i for x in found for i in x[k]), np.int64, int(sizes[k].sum())) for k in (0, 1)]
+        ids = [np.fromiter(chain.from_iterable(x[k] for x in found), np.int64, int(sizes[k].sum())) for k in (0, 1)]
         a, b = ids
         in_a, in_b = common_ends(*(np.cumsum(size[x]) for x, (_, size, _) in zip(ids, self.sides)))
         doc = np.searchsorted(np.cumsum(sizes[0]), in_a, side="right")
