@@ -38,6 +38,7 @@ from retailcast.operators.medians import column_medians_frame, grouped_medians
 from retailcast.operators.rollup import (dataset_summary, forecast_totals, monthly_rollup,
                                          monthly_row_counts, product_info_first, product_list, top_products)
 from retailcast.plans.feature_table import INFO_COLUMNS, SOURCE_ORDER
+from retailcast.plans.boosting import BoostSettings, grid_search as boosted_grid, train_boosted
 from retailcast.plans.train import gbt_metrics, score, train_gbt, train_test_split
 from retailcast.session import scratch_path
 from retailcast.sources.folders import read_role_folder
@@ -587,8 +588,14 @@ def q_gbt_metrics(spark, sf):
 def q_forecast_gbt(spark, sf):
     model, _ = _gbt(spark, sf)
     f = forecast_recursive(_history(spark, sf), FORECAST_HORIZON, scorer=model, mode="core")
-    return f.select("product_key", "month", "step", F.col("feature_mean_qty_per_product").isNotNull().alias("known"),
-                    (F.col("forecast") >= 0).alias("whole_and_not_negative"))
+    # every step's features go through the fitted model itself: its score, clamped and rounded, is the forecast
+    own = score(model, f.withColumnsRenamed({f"feature_{c}": c for c in MODEL_FEATURES}))
+    raw = F.greatest(F.lit(0.0), F.bround("prediction", 0)).cast("long")
+    first = {c: F.when(F.col("step") == 1, r6(c)) for c in ("lag_1_qty", "rolling_3m_qty", "seasonal_index", "trend_qty")}
+    return own.select("product_key", "month", "step", F.col("mean_qty_per_product").isNotNull().alias("known"),
+                      (F.col("forecast") >= 0).alias("whole_and_not_negative"),
+                      (F.col("forecast") == raw).alias("equals_transform"),
+                      *[x.alias(f"first_{c}") for c, x in first.items()])
 
 
 @query("forecast_totals")
@@ -596,6 +603,47 @@ def q_forecast_totals(spark, sf):
     return rounded(forecast_totals(_forecast(spark, sf, "core")))
 
 
+# --- regularised boosting -----------------------------------------------------------
+PLANTED_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+@query("boosted_trees")
+def q_boosted_trees(spark, sf):
+    # every node of two trees over the order lines: splits, rows, leaf values
+    lines = _fx(spark, sf).table("lineitem")
+    model = train_boosted(lines, PLANTED_FEATURES, "l_extendedprice", BoostSettings(trees=2, depth=2))
+    nodes = model.node_table(spark)
+    return nodes.select("round", "node", "kind", "feature", "threshold", "n_rows",
+                        (F.round(F.col("value") * 1e3) / 1e3).alias("value"))
+
+
+@query("boosted_metrics")
+def q_boosted_metrics(spark, sf):
+    # regularised trees must beat the product mean on the held-out rows, by both error measures
+    t = train_test_split(_training(spark, sf), ["product_key", "month"])
+    model = train_boosted(t.where("is_train"), settings=BoostSettings(trees=30))
+    test = t.where("NOT is_train")
+    m = regression_metrics(model.transform(test), "total_qty", "prediction").first()
+    base = regression_metrics(test, "total_qty", "mean_qty_per_product").first()
+    return test.agg(F.count(F.lit(1)).alias("test_rows")).select(
+        "test_rows", F.lit(m["valid_samples"]).cast("long").alias("valid_samples"),
+        F.lit(m["rmse"] < base["rmse"]).alias("rmse_below_product_mean"),
+        F.lit(m["mae"] < base["mae"]).alias("mae_below_product_mean"))
+
+
+@query("grid_search")
+def q_grid_search(spark, sf):
+    # a planted target that needs two features at once: depth 2 must win
+    either = (F.col("l_quantity") > 25) != (F.col("l_linenumber") > 3)
+    lines = _fx(spark, sf).table("lineitem").withColumn("y", F.when(either, 100.0).otherwise(F.col("l_discount")))
+    found = boosted_grid(lines, {"depth": [1, 2], "l2": [0.0, 1.5]}, PLANTED_FEATURES, "y", folds=3,
+                         keys=["l_orderkey", "l_linenumber"], base=BoostSettings(trees=4, l1=0.0, rate=0.5), refit=False)
+    point = F.array(*[F.struct(F.lit(p.depth).alias("depth"), F.lit(p.l2).alias("l2"), F.lit(p.depth == found.best.depth).alias("best"))
+                      for p in found.settings])[F.col("setting")]
+    return found.scores.select(point["depth"].alias("depth"), point["l2"].alias("l2"), "fold", "n_train", "n_held_out",
+                               point["best"].alias("best"), (F.col("rmse") < 20.0).alias("fits"))
+
+
 def _compare_sides(spark, sf):
     strict = _monthly(spark, sf).select(month_text(F.col("month")).alias("month_text"), "product_key", "qty",
                                         "net_amount", "sales_amount")

@@ -404,11 +404,14 @@ ORACLE["forecast_recursive_plain"] = forecast_query("plain", _FC_SEL)
 view("fc_state_gaps", "SELECT * REPLACE (CASE WHEN length(product_key) % 2 = 1 THEN mean_growth END AS mean_growth) "
      "FROM fc_state", "fc_state")
 ORACLE["forecast_fallback"] = forecast_query("plain", _FC_SEL, True, "fc_state_gaps")
-ORACLE["forecast_gbt"] = with_views(
-    "SELECT product_key, CAST(last + to_months(CAST(i AS INTEGER)) AS DATE) AS month, CAST(i AS INTEGER) AS step, "
-    "known, CASE WHEN known THEN true END AS whole_and_not_negative FROM ("
-    "SELECT product_key, last, known, unnest(generate_series(1, 6)) AS i "
-    "FROM (SELECT product_key, max(month) AS last, count(total_qty) > 0 AS known FROM fc_hist GROUP BY 1))", "fc_hist")
+# The first step's features do not depend on the model.
+_KNOWN = "CASE WHEN feature_mean_qty_per_product IS NOT NULL THEN true END"
+ORACLE["forecast_gbt"] = forecast_query("core", (
+    "SELECT product_key, month, CAST(step AS INTEGER) AS step, feature_mean_qty_per_product IS NOT NULL AS known, "
+    f"{_KNOWN} AS whole_and_not_negative, {_KNOWN} AS equals_transform, "
+    + ", ".join(f"CASE WHEN step = 1 THEN round(feature_{c}, 6) END AS first_{c}"
+                for c in ("lag_1_qty", "rolling_3m_qty", "seasonal_index", "trend_qty"))
+    + " FROM fc_rec WHERE step >= 1"))
 ORACLE["future_months"] = with_views(
     "SELECT product_key, CAST(last + to_months(CAST(i AS INTEGER)) AS DATE) AS month FROM ("
     "SELECT product_key, last, unnest(generate_series(1, 6)) AS i "
@@ -810,3 +813,50 @@ ORACLE["product_medians"] = with_views(
     "SELECT product, variant, round(median(net_price), 6) AS net_price, round(median(ratio), 6) AS ratio, "
     f"CAST(median(qty) AS DOUBLE) AS qty FROM (SELECT *, {ieee('net_price', 'return_shipping')} AS ratio FROM sales) "
     "GROUP BY 1, 2", "sales")
+
+
+def boosting_sql(table: str, features: list[str], target: str, trees: int, depth: int, l1: float = 0.1, l2: float = 1.5,
+                 rate: float = 0.2) -> str:
+    """Every node of boosted trees, by plain aggregates over the rows: all values of a feature are thresholds."""
+    def score(g, n):
+        return f"(greatest(abs({g}) - {l1}, 0) * greatest(abs({g}) - {l1}, 0) / ({n} + {l2}))"
+
+    xs = ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(features))
+    name = "CASE f " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(features)) + " END"
+    parts = [f"r0 AS (SELECT {xs}, CAST({target} AS DOUBLE) AS y, (SELECT avg({target}) FROM {table}) AS p FROM {table})"]
+    out = []
+    for t in range(trees):
+        parts.append(f"l{t}_0 AS (SELECT *, 0 AS node FROM r{t})")
+        for d in range(depth):
+            a, first = f"l{t}_{d}", (1 << d) - 1
+            each = " UNION ALL ".join(f"SELECT node, {i} AS f, x{i} AS v, p - y AS g FROM {a} WHERE node >= {first}"
+                                      for i in range(len(features)))
+            parts.append(f"h{t}_{d} AS (SELECT node, f, v, sum(g) AS g, count(*) AS n FROM ({each}) GROUP BY ALL)")
+            parts.append(f"c{t}_{d} AS (SELECT node, f, v, sum(g) OVER w AS gl, sum(n) OVER w AS nl, "
+                         f"sum(g) OVER (PARTITION BY node, f) AS gt, sum(n) OVER (PARTITION BY node, f) AS nt "
+                         f"FROM h{t}_{d} WINDOW w AS (PARTITION BY node, f ORDER BY v))")
+            parts.append(f"b{t}_{d} AS (SELECT node, f, v, nt FROM (SELECT *, row_number() OVER (PARTITION BY node "
+                         f"ORDER BY gain DESC, f, v) AS k FROM (SELECT *, {score('gl', 'nl')} + "
+                         f"{score('(gt - gl)', '(nt - nl)')} - {score('gt', 'nt')} AS gain FROM c{t}_{d} WHERE nl < nt) "
+                         f"WHERE gain > 1e-6) WHERE k = 1)")
+            x = "CASE b.f " + " ".join(f"WHEN {i} THEN x{i}" for i in range(len(features))) + " END"
+            parts.append(f"l{t}_{d + 1} AS (SELECT l.* REPLACE (CASE WHEN b.f IS NULL THEN l.node WHEN {x} > b.v "
+                         f"THEN 2 * l.node + 2 ELSE 2 * l.node + 1 END AS node) FROM {a} l LEFT JOIN b{t}_{d} b ON l.node = b.node)")
+            out.append(f"SELECT {t} AS round, node, 'split' AS kind, {name} AS feature, v AS threshold, "
+                       f"CAST(nt AS BIGINT) AS n_rows, CAST(NULL AS DOUBLE) AS value FROM b{t}_{d}")
+        last = f"l{t}_{depth}"
+        parts.append(f"w{t} AS (SELECT node, count(*) AS n, -sign(sum(p - y)) * greatest(abs(sum(p - y)) - {l1}, 0) "
+                     f"/ (count(*) + {l2}) * {rate} AS w FROM {last} GROUP BY node)")
+        parts.append(f"r{t + 1} AS (SELECT l.* EXCLUDE (node) REPLACE (p + w AS p) FROM {last} l JOIN w{t} USING (node))")
+        out.append(f"SELECT {t}, node, 'leaf', NULL, NULL, n, round(w, 3) FROM w{t}")
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(out)
+
+
+ORACLE["boosted_trees"] = boosting_sql("lineitem", ["l_quantity", "l_discount", "l_tax", "l_linenumber"],
+                                       "l_extendedprice", trees=2, depth=2)
+ORACLE["boosted_metrics"] = ORACLE["gbt_metrics"]
+ORACLE["grid_search"] = (
+    "WITH k AS (SELECT ('0x' || substr(md5(l_orderkey || '|' || l_linenumber), 1, 8))::BIGINT % 100 % 3 AS b FROM lineitem), "
+    "n AS (SELECT CAST(b AS INTEGER) AS fold, count(*) AS n_held_out, (SELECT count(*) FROM k) - count(*) AS n_train "
+    "FROM k GROUP BY 1) SELECT depth, l2, fold, n_train, n_held_out, depth = 2 AS best, depth = 2 AS fits FROM n, "
+    "(VALUES (1), (2)) d(depth), (VALUES (0.0::DOUBLE), (1.5::DOUBLE)) l(l2)")

@@ -5,10 +5,11 @@ predicted), the history length, the product's stable statistics and its
 12-month seasonal profile. Each step computes features, scores them, clamps
 the score and shifts the three values; there is no shuffle.
 
-With a ``LinearScorer`` the whole recursion is one expression: an ``aggregate``
-over the steps whose lambda variables carry the state, so nothing is inlined
-and no step needs a job. A fitted MLlib model scores all products in one
-transform per step, and the state is checkpointed between steps.
+With a ``LinearScorer`` or a tree ensemble (``boosting.Ensemble``, to which
+fitted MLlib tree models convert) the whole recursion is one expression: an
+``aggregate`` over the steps whose lambda variables carry the state, so nothing
+is inlined and no step needs a job. Any other MLlib model scores all products
+in one transform per step, and the state is checkpointed between steps.
 
 Two modes, as in the source:
 * ``core``: rolling mean of the last min(3, n) values, growth = mean growth
@@ -36,7 +37,7 @@ from retailcast.session import cut_lineage
 
 # Growth damping of the core mode.
 GROWTH_DAMPING = 0.8
-# For MLlib models: each step's prediction feeds several features of the next;
+# For MLlib models that are not trees: each step's prediction feeds several features of the next;
 # left in one plan, Catalyst would inline it into every use and the expression
 # would grow exponentially with the horizon. The state (one row per product)
 # is checkpointed after every step instead.
@@ -131,7 +132,17 @@ def _entry(step: str, month: str, prediction: str, prefix: str) -> str:
             + ", ".join(f"'feature_{c}', {prefix}{c}" for c in MODEL_FEATURES) + ")")
 
 
-def _linear_steps(n: int, scorer: LinearScorer, mode: str) -> str:
+def as_scorer(model):
+    """Tree models of MLlib as an expression; everything else as it is."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.regression import DecisionTreeRegressionModel, GBTRegressionModel
+
+    from retailcast.plans.boosting import ensemble_of
+    last = model.stages[-1] if isinstance(model, PipelineModel) else model
+    return ensemble_of(model) if isinstance(last, (GBTRegressionModel, DecisionTreeRegressionModel)) else model
+
+
+def _expression_steps(n: int, scorer, mode: str) -> str:
     """All n steps as one array expression over the columns of the state.
 
     ``let`` binds a value to a lambda variable, which is computed once and not inlined.
@@ -156,13 +167,15 @@ def forecast_recursive(history: DataFrame, n: int = 6, *, scorer=DEFAULT_LINEAR,
     forecast (whole, >= 0, NULL without any history value) and the features
     used, ``feature_*`` (M10).
 
-    ``scorer``: a ``LinearScorer``; the ``PipelineModel`` of ``train_gbt``
-    (also after saving and loading), which takes the nine ``MODEL_FEATURES``
-    by name; or a bare MLlib model whose input is their vector (column
-    ``features``) and whose output column is ``prediction``."""
+    ``scorer``: a ``LinearScorer`` or another scorer with a ``sql`` method (an
+    ``Ensemble``); the ``PipelineModel`` of ``train_gbt`` (also after saving
+    and loading), which takes the nine ``MODEL_FEATURES`` by name; or a bare
+    MLlib model whose input is their vector (column ``features``) and whose
+    output column is ``prediction``."""
+    scorer = as_scorer(scorer)
     st = forecast_state(history, key=key, month=month, value=value, growth=growth, orders=orders)
-    if isinstance(scorer, LinearScorer):
-        out = st.select(key, F.expr(_linear_steps(n, scorer, mode)).alias("steps"))
+    if hasattr(scorer, "sql"):
+        out = st.select(key, F.expr(_expression_steps(n, scorer, mode)).alias("steps"))
     else:
         out = _model_steps(st, n, scorer, mode, checkpoint_every).select(key, "steps")
     out = out.select(key, F.explode("steps").alias("o"))
