@@ -49,7 +49,7 @@ from retailcast.llm.token_counts import added_strings, make_splitter
 
 CHUNK_CHARS = 4 << 20    # characters of a chunk, unless one text alone has more
 ENCODE_CHARS = 1 << 18   # characters given to a tokenizer at once
-KNOWN_PIECES = 1 << 19   # pre-tokens remembered in a task; beyond it they are encoded anew
+KNOWN_PIECES = 1 << 18   # pre-tokens remembered in a worker; beyond it they are encoded anew
 LONG_PIECE = 64          # characters of a pre-token that is not remembered
 LARGE_GROUP = 1 << 12    # links of a group that are listed one by one
 
@@ -91,7 +91,10 @@ class ByteLevel:
             self.known.clear()
         known, cut = self.known, [self.cut(" " + t) for t in texts]
         new = list({p for pieces in cut for p in pieces if p not in known})
-        known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            if b"".join(map(self.bytes.__getitem__, e.ids)) != p.encode("utf-8"):
+                raise ValueError("a byte-level vocabulary that does not give back its texts")
+            known[p] = e.ids
         out = [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in cut]
         for p in new:
             if len(p) > LONG_PIECE:
@@ -172,6 +175,7 @@ def digit_table(n: int) -> np.ndarray:
 
 def list_links(a, b, in_a, in_b, doc):
     """Entries (document, A id, B id, links) of all groups; the large ones by their distinct ids.
+    Links are None where each entry is one.
 
     ``in_a`` / ``in_b`` are the ranks of the groups' last tokens, ``doc`` the
     groups' documents.
@@ -183,8 +187,10 @@ def list_links(a, b, in_a, in_b, doc):
     of = of[token]
     times = nb[of]
     start = np.repeat(in_b[of] - times + 1 - (np.cumsum(times) - times), times)
-    docs, left = [np.repeat(doc[of], times)], [np.repeat(a[token], times)]
-    right, links = [b[start + np.arange(len(start))]], [np.ones(len(start), np.int64)]
+    docs, left, right = np.repeat(doc[of], times), np.repeat(a[token], times), b[start + np.arange(len(start))]
+    if small.all():
+        return docs, left, right, None
+    docs, left, right, links = [docs], [left], [right], [np.ones(len(start), np.int64)]
     for g in np.nonzero(~small)[0]:
         x, nx = np.unique(a[in_a[g] - na[g] + 1:in_a[g] + 1], return_counts=True)
         y, ny = np.unique(b[in_b[g] - nb[g] + 1:in_b[g] + 1], return_counts=True)
@@ -195,6 +201,16 @@ def list_links(a, b, in_a, in_b, doc):
     return tuple(np.concatenate(v).astype(np.int64) for v in (docs, left, right, links))
 
 
+def summed(key: np.ndarray, links: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, rising, and their sums of links (None: 1 each)."""
+    if links is None:
+        return np.unique(key, return_counts=True)
+    order = np.argsort(key, kind="stable")
+    key, links = key[order], links[order]
+    start = np.nonzero(np.diff(key, prepend=-1))[0]
+    return key[start], np.add.reduceat(links, start) if len(start) else links
+
+
 def group_digests(a, b, in_a, in_b, doc, n_docs, digits_a, digits_b) -> list[str]:
     """SHA-256 of each document's groups written as ``a1,a2|b1;a3|b2,b3``."""
     na, nb = np.diff(in_a, prepend=-1), np.diff(in_b, prepend=-1)
@@ -243,7 +259,7 @@ class Aligner:
     def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of A and of B; none where either side does not give back a space and the text."""
         out = []
-        at = 0
+        at, pieces = 0, self.sides[1][0].bytes
         while at < len(texts):
             end, chars = at, 0
             while end < len(texts) and (end == at or chars + len(texts[end]) <= ENCODE_CHARS):
@@ -252,8 +268,8 @@ class Aligner:
             part = texts[at:end]
             for text, *ids in zip(part, *(t.encode(part) for t, _, _ in self.sides)):
                 want = b" " + text.encode("utf-8")
-                same = text and all(b"".join(map(t.bytes.__getitem__, x)) == want
-                                    for x, (t, _, _) in zip(ids, self.sides))
+                # A gives back every pre-token, and its pattern leaves out no character
+                same = text and b"".join(map(pieces.__getitem__, ids[1])) == want
                 out.append(tuple(ids) if same else ([], []))
             at = end
         return out
@@ -273,18 +289,25 @@ class Aligner:
 
         of, left, right, links = list_links(a, b, in_a, in_b, doc)
         pairs, inverse = np.unique(left << 32 | right, return_inverse=True)
-        key = of * max(len(pairs), 1) + inverse
-        order = np.argsort(key, kind="stable")
-        key, links = key[order], links[order]
-        start = np.nonzero(np.diff(key, prepend=-1))[0]
-        key = key[start]
-        links = np.add.reduceat(links, start) if len(start) else links
+        key, links = summed(of * max(len(pairs), 1) + inverse, links)
         of, pair = key // max(len(pairs), 1), key % max(len(pairs), 1)
         return {"n_a": sizes[0], "n_b": sizes[1], "n_groups": np.bincount(doc, minlength=n), "n_links": n_links,
                 "groups_sha256": digests, "pairs": pairs, "held": np.bincount(pair, minlength=len(pairs)),
                 "block": pack(of, np.diff(pair, prepend=0), links)}
 
 
+_ALIGNERS: dict[bytes, Aligner] = {}   # of a worker, the last one
+
+
+def aligner(data_a: bytes, data_b: bytes) -> Aligner:
+    """The worker's aligner for two vocabularies; tasks that follow each other share it."""
+    key = hashlib.sha256(data_a).digest() + hashlib.sha256(data_b).digest()
+    if key not in _ALIGNERS:
+        _ALIGNERS.clear()
+        _ALIGNERS[key] = Aligner(ByteLevel(data_a), Pieces(data_b))
+    return _ALIGNERS[key]
+
+
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -306,9 +329,8 @@ def align_chunks(docs: DataFrame, text: str, carry: Sequence[str], data_a: bytes
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 32
-        align = None
         for batch in batches:
-            align = align or Aligner(ByteLevel(shared.value[0]), Pieces(shared.value[1]))
+            align = aligner(*shared.value)
             texts = [t or "" for t in batch.column(0).to_pylist()]
             at = 0
             while at < len(texts):
