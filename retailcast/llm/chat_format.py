@@ -1,8 +1,9 @@
 """Chat formatting: conversations to one marked string each, and back.
 
 Turns of a conversation are collected as structs and sorted, adjacent turns of
-one role are merged into a block, and the blocks are concatenated. Spark
-expressions only.
+one role are merged into a block, and the blocks are concatenated; places of
+the learned texts are running sums by array aggregation. Spark expressions
+only, each in proportion to the turns.
 
 Format of a block: ``[INST]role[/INST]`` then every text of the block, each
 closed by ``</s>``. A control string inside a role or text gets a backslash
@@ -22,12 +23,16 @@ in one row. Conversations are grouped by id; the group is the product itself.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retailcast.llm.common import quoted
 
 OPEN, HEAD_END, CLOSE = "[INST]", "[/INST]", "</s>"
+CHUNK = 128      # numbers that are summed by copying a growing array
+WIDE = "UTF-32"  # four bytes to a code point
 
 #: A control string with any number of escape backslashes after its first character.
 ESCAPE_FROM, ESCAPE_TO = r"([\[<])(\\*)(/?INST\]|/s>)", r"$1\\$2$3"
@@ -54,37 +59,60 @@ def format_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str =
                                   F.coalesce(quoted(role), F.lit("")).alias("role"),
                                   F.coalesce(quoted(text), F.lit("")).alias("text")).alias("t"))
              .groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")))
-    # merge: a turn opens a block unless the turn before it has the same role
-    block = F.struct(F.col("turns")[0]["role"].alias("role"), F.array().cast("array<string>").alias("texts"))
-    empty = F.struct(F.array().cast("array<struct<role:string,texts:array<string>>>").alias("done"),
-                     block.alias("last"))
-
-    def add(state: Column, t: Column) -> Column:
-        same = state["last"]["role"] == t["role"]
-        return F.struct(
-            F.when(same, state["done"]).otherwise(F.concat(state["done"], F.array(state["last"]))).alias("done"),
-            F.struct(t["role"].alias("role"),
-                     F.when(same, F.concat(state["last"]["texts"], F.array(escape(t["text"]))))
-                     .otherwise(F.array(escape(t["text"]))).alias("texts")).alias("last"))
-
-    merged = turns.select("conv_id", F.aggregate(
-        "turns", empty, add, lambda s: F.concat(s["done"], F.array(s["last"]))).alias("blocks"))
-    # pieces: (string, is it learned text); a block is its head, then text and close by turns
-    pieces = merged.select("conv_id", F.flatten(F.transform("blocks", lambda b: F.concat(
-        F.array(F.struct(F.concat(F.lit(OPEN), escape(b["role"]), F.lit(HEAD_END)).alias("s"),
-                         F.lit(False).alias("learn"))),
-        F.flatten(F.transform(b["texts"], lambda x: F.array(
-            F.struct(x.alias("s"), (b["role"] == learn_role).alias("learn")),
-            F.struct(F.lit(CLOSE).alias("s"), F.lit(False).alias("learn")))))))).alias("pieces"))
-    start = F.struct(F.lit(0).cast("long").alias("at"),
-                     F.array().cast("array<struct<begin:bigint,length:bigint>>").alias("spans"))
-    spans = F.aggregate("pieces", start, lambda s, p: F.struct(
-        (s["at"] + F.length(p["s"])).alias("at"),
-        F.when(p["learn"], F.concat(s["spans"], F.array(F.struct(
-            s["at"].alias("begin"), F.length(p["s"]).cast("long").alias("length"))))
-        ).otherwise(s["spans"]).alias("spans")), lambda s: s["spans"])
-    return pieces.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"),
-                         spans.alias("loss_spans"))
+    # merge: a turn opens a block unless the turn before it has the same role; a block is a slice of the turns
+    n = F.size("turns")
+    opens = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (
+        F.get("turns", i - 1)["role"] != F.get("turns", i)["role"]))
+    blocks = let(opens, lambda at: F.transform(at, lambda b, k: F.struct(
+        F.get("turns", b)["role"].alias("role"),
+        F.transform(F.slice("turns", b + 1, F.coalesce(F.get(at, k + 1), n) - b),
+                    lambda t: escape(t["text"])).alias("texts"))))
+    merged = turns.select("conv_id", blocks.alias("blocks"))
+
+    def head(block: Column) -> Column:
+        return F.concat(F.lit(OPEN), escape(block["role"]), F.lit(HEAD_END))
+
+    formatted = F.array_join(F.transform("blocks", lambda b: F.concat(head(b), F.array_join(
+        F.transform(b["texts"], lambda x: F.concat(x, F.lit(CLOSE))), ""))), "")
+    texts = F.flatten(F.transform("blocks", lambda b: F.transform(b["texts"], lambda x, k: F.struct(
+        F.when(k == 0, F.length(head(b))).otherwise(0).cast("long").alias("head"),
+        F.length(x).cast("long").alias("length"), (b["role"] == learn_role).alias("learn")))))
+    spans = let(texts, lambda ts: F.transform(
+        F.filter(F.arrays_zip(ts.alias("t"), running_sums(F.transform(
+            ts, lambda t: t["head"] + t["length"] + len(CLOSE))).alias("at")), lambda x: x["t"]["learn"]),
+        lambda x: F.struct((x["at"] + x["t"]["head"]).alias("begin"), x["t"]["length"].alias("length"))))
+    return merged.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, not wherever it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running_sums(numbers: Column) -> Column:
+    """For each number the sum of those before it.
+
+    An array grows by copying, so sums run inside chunks of ``CHUNK`` numbers
+    and then over the chunks: the cost is in proportion to the numbers.
+    """
+    none = F.array().cast("array<bigint>")
+    zero = F.lit(0).cast("long")
+
+    def chunk(part: Column) -> Column:
+        return F.aggregate(part, F.struct(zero.alias("sum"), none.alias("before")), lambda s, x: F.struct(
+            (s["sum"] + x).alias("sum"), F.concat(s["before"], F.array(s["sum"])).alias("before")))
+
+    def join(state: Column, part: Column) -> Column:
+        shifted = F.transform(part["before"], lambda x: x + state["sum"])
+        return F.struct((state["sum"] + part["sum"]).alias("sum"), F.concat(state["parts"], F.array(shifted)).alias("parts"))
+
+    def of(xs: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int")),
+                            lambda k: chunk(F.slice(xs, k * CHUNK + 1, CHUNK)))
+        start = F.struct(zero.alias("sum"), F.array().cast("array<array<bigint>>").alias("parts"))
+        return F.when(F.size(xs) > 0, F.aggregate(parts, start, join, lambda s: F.flatten(s["parts"]))).otherwise(none)
+
+    return let(numbers, of)
 
 
 def read_turns(formatted: Column) -> Column:
@@ -102,6 +130,14 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss_text(formatted: Column, loss_spans: Column) -> Column:
-    """The texts under the loss mask, unescaped, in order, nothing between them."""
-    return F.array_join(F.transform(loss_spans, lambda s: unescape(F.substring(
-        formatted, (s["begin"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """The texts under the loss mask, unescaped, in order, nothing between them.
+
+    Spans count code points; four bytes each, a span is cut out without
+    walking the string. A leading letter keeps U+FEFF at a span's start from
+    being read as a byte order mark.
+    """
+    def cut(wide: Column, span: Column) -> Column:
+        own = F.substring(wide, (span["begin"] * 4 + 1).cast("int"), (span["length"] * 4).cast("int"))
+        return unescape(F.substring(F.decode(F.concat(F.encode(F.lit("x"), WIDE), own), WIDE), F.lit(2), span["length"].cast("int")))
+
+    return let(F.encode(formatted, WIDE), lambda wide: F.array_join(F.transform(loss_spans, lambda s: cut(wide, s)), ""))

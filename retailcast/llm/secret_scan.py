@@ -5,7 +5,7 @@ keys, long hexadecimal runs). The token-efficiency test adds spans of kind
 ``random``: a run of key characters that a byte-pair vocabulary can only cut
 into very short pieces (few characters per token) is a random string, since
 the vocabulary's merges follow natural text. Known digests (hexadecimal runs
-of a digest's length), UUIDs, plain numbers and identifiers are excluded, and
+of a digest's length, base64 of its length after its name), UUIDs, plain numbers and identifiers are excluded, and
 runs that one base span covers wholly are not repeated. An identifier is made
 of words: letter parts that are themselves cheap in tokens (in lower case, so
 that capitals do not count against a name), or that repeat a few letters.
@@ -17,6 +17,7 @@ rows give equal results; further columns are ignored or carried unchanged.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 
@@ -40,6 +41,9 @@ HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 # Lengths of common hexadecimal digests.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
+# Names of digests and their lengths in base64 without padding.
+BASE64_DIGESTS = {"sha1": 27, "sha224": 38, "sha256": 43, "sha384": 64, "sha512": 86, "md5": 22}
+DIGEST_NAME = re.compile(r"(?<![A-Za-z0-9])(" + "|".join(BASE64_DIGESTS) + r")[-=:/]([A-Za-z0-9+/_-]+={0,2})", re.I)
 UUID = r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
 # A word has this many characters per token or more; a part of at most so many different
 # letters, each so many times on average, is a repetition ("zzzzz", "acgtacgt..."), not a key.
@@ -76,6 +80,23 @@ def known(run: str, tokens: Callable[[str], int]) -> bool:
     return words >= 0.75 * len(run)
 
 
+def named_digest(text: str, begin: int, end: int) -> bool:
+    """Whether a run ends in a base64 digest of the right length after its name (``sha256-...``, ``sha512=...``)."""
+    m = DIGEST_NAME.search(text, max(0, begin - 8), end)
+    return bool(m) and m.end() == end and len(m.group(2).rstrip("=")) == BASE64_DIGESTS[m.group(1).lower()]
+
+
+_SCANNERS: dict[tuple, Callable] = {}   # of a worker: tasks that follow each other share the vocabulary
+
+
+def shared_scanner(rank_data: bytes, max_chars_per_token: float) -> Callable[[str | None], list]:
+    key = (hashlib.sha256(rank_data).digest(), max_chars_per_token)
+    if key not in _SCANNERS:
+        _SCANNERS.clear()
+        _SCANNERS[key] = make_scanner(rank_data, max_chars_per_token)
+    return _SCANNERS[key]
+
+
 def make_scanner(rank_data: bytes, max_chars_per_token: float) -> Callable[[str | None], list]:
     """scan(text) -> spans sorted by (begin, kind)."""
     import tiktoken
@@ -90,12 +111,16 @@ def make_scanner(rank_data: bytes, max_chars_per_token: float) -> Callable[[str
     def scan(text: str | None) -> list[tuple[str, int, int]]:
         text = text or ""
         found = base_spans(text)
-        taken = [(b, e) for b, _, e in found]
+        base = iter(sorted((b, e) for b, _, e in found))
+        ahead, reach = next(base, None), -1   # reach: the furthest end of the base spans that start so far
         for m in candidate.finditer(text):
             b, e, run = m.start(), m.end(), m.group()
-            if any(x <= b and e <= y for x, y in taken):
+            while ahead and ahead[0] <= b:
+                ahead, reach = next(base, None), max(reach, ahead[1])
+            if e <= reach:
                 continue
-            if len(run) < max_chars_per_token * tokens(run) and not known(run, tokens):
+            if (len(run) < max_chars_per_token * tokens(run) and not known(run, tokens)
+                    and not named_digest(text, b, e)):
                 found.append((b, 3, e))
         return [(KINDS[k], b, e) for b, k, e in sorted(found)]
 
@@ -110,7 +135,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", carry: list[str] | None =
         read_bytes(spark, vocabulary or vocabulary_path("byte_bpe_50k.tiktoken")))
 
     def make():
-        scan = make_scanner(ranks.value, max_chars_per_token)
+        scan = shared_scanner(ranks.value, max_chars_per_token)
         return lambda t: (scan(t),)
 
     return map_rows(docs, [text], make, [("spans", SPAN)], docs.columns if carry is None else carry)
@@ -130,7 +155,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", vocabula
         read_bytes(spark, vocabulary or vocabulary_path("byte_bpe_50k.tiktoken")))
 
     def make():
-        scan = make_scanner(ranks.value, max_chars_per_token)
+        scan = shared_scanner(ranks.value, max_chars_per_token)
 
         def clean(t):
             spans = scan(t)

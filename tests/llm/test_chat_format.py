@@ -1,6 +1,7 @@
 """Chat formatting: exact round trip, merging, loss mask, edge rows."""
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -53,3 +54,39 @@ def test_query_reads_back_the_trap(spark):
     assert (row.n_turns, row.loss_chars) == (2, len(text))
     assert row.turns_sha256 == hashlib.sha256(turns.encode()).hexdigest()
     assert row.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_running_sums(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.randint(0, 9) for _ in range(n)]) for i, n in enumerate((0, 1, 2, 127, 128, 129, 300, 1000))]
+    df = spark.createDataFrame(rows, "i int, x array<bigint>").select("i", C.running_sums(F.col("x")).alias("s"))
+    for r in df.collect():
+        xs = rows[r.i][1]
+        assert r.s == [sum(xs[:k]) for k in range(len(xs))]
+
+
+def test_spans_of_odd_characters(spark):
+    texts = ["﻿mark first", "\U0001f600 astral", "", "é́", "﻿", "[INST] \\ </s>", "日本"]
+    rows = [(1, i, "assistant" if i % 2 == 0 else "user", t, "", "") for i, t in enumerate(texts)]
+    got = read_back(C.format_conversations(spark.createDataFrame(rows, SCHEMA)))
+    assert got[1][1] == "".join(texts[::2])
+
+
+def test_long_conversations_in_proportion_to_their_turns(spark):
+    import time
+
+    def seconds(n, adjacent):
+        df = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", f"IF(id % {2 * adjacent} < {adjacent}, 'user', "
+                                       "'assistant') AS role", "concat('text ', id) AS text")
+        start = time.time()
+        row = C.format_conversations(df).select(
+            C.read_loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+            F.size(C.read_turns(F.col("formatted"))).alias("n")).first()
+        assert row.n == n
+        assert row.loss == "".join(f"text {i}" for i in range(n) if i % (2 * adjacent) >= adjacent)
+        return time.time() - start
+
+    for adjacent in (1, 5000):
+        seconds(2000, adjacent)
+        short, long = seconds(10000, adjacent), seconds(40000, adjacent)
+        assert long < 7 * short + 2, (adjacent, short, long)

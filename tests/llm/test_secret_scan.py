@@ -83,3 +83,47 @@ def test_edges_and_redaction(spark):
     rows = {r.doc_id: r for r in S.redact(df).collect()}
     assert rows[1].text == "[SECRET] and [SECRET]!" and rows[1].n_chars == len(rows[1].text)
     assert rows[2].text is None and rows[2].n_chars == 7
+
+
+def scanner():
+    return S.make_scanner(S.read_bytes(None, S.vocabulary_path("byte_bpe_50k.tiktoken")), 2.0)
+
+
+def test_named_base64_digests_are_known():
+    scan = scanner()
+    empty = "47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU="
+    for text in (f'integrity="sha256-{empty}"', f"integrity=sha256-{empty}", f"SHA256:{empty[:-1]}", f"x sha256={empty} y",
+                 "sha512-z4PhNX7vuL3xVChQ1m2AB9Yg5AULVxXcg/SpIdNs6c5H0NE8XYXysP+DGNKHfuwvY7kxvUdBeoGlODJ6+SfaPg=="):
+        assert scan(text) == [], text
+    for text in (f"key {empty}", f"sha384-{empty}", f"sha256-{empty[4:]}", f"mysha256-{empty}"):
+        assert [k for k, _, _ in scan(text)] == ["random"], text
+
+
+def test_a_run_counts_unless_one_base_span_covers_it():
+    """The sweep over base spans against the plain comparison with every span."""
+    scan, rng = scanner(), random.Random(4)
+    alphabet = "abcdefABCDEF0123456789+/=- ."
+    for _ in range(400):
+        text = "".join(rng.choice(["token=", "AKIA", "0123456789abcdef" * 2, " ", "xK9vQ2mZ7pLw4RtY8sBn3", *alphabet])
+                       for _ in range(60))
+        found = scan(text)
+        base = [(b, e) for k, b, e in found if k != "random"]
+        for m in re.finditer(S.CANDIDATE, text):
+            covered = any(x <= m.start() and m.end() <= y for x, y in base)
+            assert not (covered and ("random", m.start(), m.end()) in found)
+
+
+def test_time_grows_with_the_text():
+    import time
+    scan, rng = scanner(), random.Random(5)
+
+    def seconds(n):
+        text = "\n".join(f"{rng.randrange(16 ** 40):040x} token={rng.randrange(10 ** 15)}abcdef xK9vQ2mZ7pLw4RtY8sBn3{i}"
+                         for i in range(n))
+        start = time.process_time()
+        spans = scan(text)
+        return time.process_time() - start, len(text), len(spans)
+
+    seconds(200)
+    (short, _, _), (long, size, found) = seconds(2500), seconds(10000)
+    assert size > 900_000 and found >= 30000 and long < 8 * short
