@@ -101,3 +101,87 @@ def test_frames(spark, tree):
     out = H.extract_text(df, tree=tree).select("row.page_id", "res.text").collect()
     assert sorted((r.page_id, r.text) for r in out) == [(1, ""), (1, ""), (2, "m")]
     assert H.extract_text(df.limit(0), tree=tree).count() == 0
+
+
+def test_side_parts_are_never_main(tree):
+    """No leaf that a block of a side part, or one beside the page's article, can reach says main text."""
+    side, in_main, has_main = (H.FEATURES.index(c) for c in ("side", "in_main", "has_main"))
+
+    def leaves(node, fixed):
+        if isinstance(node, bool):
+            yield node
+            return
+        feature, threshold, left, right = node
+        if feature in fixed:
+            yield from leaves(left if fixed[feature] <= threshold else right, fixed)
+        else:
+            yield from leaves(left, fixed)
+            yield from leaves(right, fixed)
+
+    assert not any(leaves(tree, {side: 1.0}))
+    assert not any(leaves(tree, {in_main: 0.0, has_main: 1.0}))
+    assert all(leaves(tree, {side: 0.0, in_main: 1.0, has_main: 1.0}))   # and the article loses no block
+
+
+LINE = "Read our privacy policy and all other terms here"
+
+
+@pytest.mark.parametrize("part", [
+    "<nav><ul><li><a>Home</a></li><li><a>{}</a></li></ul></nav>", "<footer><p><a>{}</a></p></footer>",
+    "<aside class=related><a>{}</a></aside>", "<div class=comments><p><a>{}</a></p></div>",
+    "<aside><a href='/x'><div><h3>{}</h3><p>{}</p></div></a></aside>", "<ul class='menu'><li><a>{}</a></li></ul>",
+    "<x-comments class='comments'><p>{}</p></x-comments>", "<section id='comments'><h2>Comments</h2><p>{}</p></section>",
+    "<section id='related'><h2>Related</h2><p>{}</p></section>", "<div id='sidebar'><p>{}</p></div>",
+    "<form><p>{}</p></form>", "<div style='display: none'>{}</div>", "<div aria-hidden='true'><p>{}</p></div>"])
+def test_linked_lines_of_side_parts(tree, part):
+    part = part.replace("{}", LINE)
+    body = f"<p>{LONG} one</p><p>{LONG} two</p>"
+    for page in (f"{part}<article>{body}</article>", f"<article>{body}{part}</article>", f"<article>{body}</article>{part}",
+                 f"<main>{part}{body}</main>{part}", f"<body><div>{part}</div><div>{body}</div>{part}</body>"):
+        assert text(tree, page) == f"{LONG} one\n{LONG} two", page
+
+
+@pytest.mark.parametrize("around", [
+    "<form id='aspnetForm'>{}</form>", "<body style='display:none'>{}</body>", "<div aria-hidden='true'><div>{}</div></div>",
+    "<form class='page'><fieldset>{}</fieldset></form>"])
+def test_pages_inside_forms_or_hidden_until_loaded(tree, around):
+    body = f"<p>{LONG} one</p><p>{LONG} two</p>"
+    for inner in (f"<article>{body}</article><form><p>Your name</p></form>", f"<main>{body}</main>", f"<div>{body}</div>"):
+        assert text(tree, around.format(inner)) == f"{LONG} one\n{LONG} two"
+
+
+def test_ids_that_repeat_a_heading_are_anchors(tree):
+    for kind in ("article", "main"):
+        page = (f"<{kind}><h1>Paper</h1><section id='discussion'><h2>Discussion</h2><p>{LONG} one</p></section>"
+                f"<section id='widgets'><div><h3>Widgets</h3></div><p>{LONG} two</p></section><h2 id='related'>Related</h2>"
+                f"<p>{LONG} three</p></{kind}>")
+        assert text(tree, page) == f"Paper\nDiscussion\n{LONG} one\nWidgets\n{LONG} two\nRelated\n{LONG} three"
+    assert text(tree, f"<article><p>{LONG}</p><section id='discussion'><h2>12 replies</h2><p>{LONG}</p></section></article>") == LONG
+
+
+@pytest.mark.parametrize("page, expected", [
+    ("<p>Hello <script>var a = '<p>';</script>brave <svg><text>no</text></svg>new</p>", "Hello brave new"),
+    ("<p>Press <button><b>Share</b></button> now</p>", "Press now"), ("<p>a <iframe src=x>no</iframe>b</p>", "a b"),
+    ("<p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold</p>", "let x=2 hold"),
+    ("<p>my <x-term>own</x-term> element</p>", "my own element"), ("<p>one</p><script>x</script><p>two</p>", "one\ntwo"),
+    ("<p>un<wbr>broken</p><p>pic <img src=x> ture</p>", "unbroken\npic ture"), ("<div>a<hr>b</div>", "a\nb"),
+    ("<p>x <select><option>no</select> y</p>", "x y"), ("<noscript><p>no</p></noscript><p>yes</p>", "yes")])
+def test_what_stands_in_a_line_does_not_cut_it(tree, page, expected):
+    assert text(tree, f"<article>{page}</article>") == expected
+
+
+def test_linked_words_in_pages_without_an_article_element(tree):
+    menu = "<ul>" + "".join(f'<li><a href="/{i}">entry {i}</a></li>' for i in range(8)) + "</ul>"
+    some = " ".join(["some <a href=x>linked words</a> and plain ones"] * 8)
+    plain = re.sub("<[^>]*>", "", some)
+    page = f"<div>{menu}</div><div><p>{LONG}</p><p>{some}</p><p>{LONG}</p></div><div>{menu}</div>"
+    assert text(tree, page) == f"{LONG}\n{plain}\n{LONG}"
+
+
+def test_links_over_blocks():
+    def links(page):
+        return [b["links"] for b in H.text_blocks(page)]
+
+    assert links("<a href=x><div>one two</div><p>three</p></a><p>four</p>") == [1.0, 1.0, 0.0]
+    assert links("<div><a href=x>never closed</div><p>text after it</p>") == [1.0, 0.0]
+    assert links("<p><a>one</a> two</p>") == [0.5]
