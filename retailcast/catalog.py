@@ -500,6 +500,21 @@ for _how in ("left", "right", "outer", "inner"):
     QUERIES[f"safe_join_{_how}"] = _safe(_how)
 
 
+@query("safe_join_hot_keys")
+def q_safe_join_hot_keys(spark, sf):
+    # a third of the orders have no customer, as have some rows of the customer table; one segment's key is hot too
+    fx = _fx(spark, sf)
+    k = F.col("o_orderkey")
+    left = fx.table("orders").select(
+        F.when(k % 3 == 0, None).when(k % 7 == 0, 1).otherwise(F.col("o_custkey")).cast("long").alias("custkey"),
+        k.alias("orderkey"), F.col("o_totalprice").alias("amount"))
+    c = F.col("c_custkey")
+    right = fx.table("customer").select(
+        F.when(c % 400 == 5, None).when(c % 300 == 7, -1).otherwise(c).cast("long").alias("custkey"),
+        F.col("c_name").alias("name"), F.col("c_acctbal").alias("amount"))
+    return safe_join(left, right, ["custkey"], "outer", hot_share=0.05)
+
+
 @query("stock_turnover")
 def q_stock_turnover(spark, sf):
     return _stock_features(spark, sf).select(*_MK, r6("stock_turnover").alias("stock_turnover"))

@@ -1,14 +1,16 @@
-"""Joins. Month-grain tables (one row per calendar month) are broadcast: their
-size is bounded by the calendar span, not by the data. Product-grain and
-(product, month)-grain tables grow with the data, so they carry no hint and
-AQE picks the strategy from runtime sizes."""
+"""Joins. Distinct holiday days and months are broadcast: their number is bounded
+by the calendar span. All other tables carry no hint and AQE picks the strategy
+from runtime sizes; ``safe_join`` can split hot keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailcast.functions.calendar import month_text
+from retailcast.operators.skew import hot_keys, split_join
 
 
 def parse_holiday_dates(holidays: DataFrame, date_col: str = "date_text",
@@ -51,7 +53,7 @@ def holiday_month_flag(df: DataFrame, holidays: DataFrame | None, month_col: str
 def sales_traffic_join(monthly_sales: DataFrame, traffic_monthly: DataFrame,
                        drop_right: tuple[str, ...] = ("total_sales",)) -> DataFrame:
     """Monthly sales LEFT JOIN monthly traffic on month; the right side's copy
-    of the sales total is dropped. One traffic row per month: broadcast."""
+    of the sales total is dropped. One traffic row per month; AQE decides."""
     right = traffic_monthly.drop(*[c for c in drop_right if c in traffic_monthly.columns])
     return monthly_sales.join(right, "month", "left")
 
@@ -70,7 +72,7 @@ def sales_stock_join(monthly: DataFrame, stock: DataFrame, cols: list[str],
 
 
 def safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
-              suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+              suffixes: tuple[str, str] = ("_x", "_y"), hot_share: float | None = None) -> DataFrame:
     """General equi-join with the tolerant rules of the source:
 
     * only key columns present on both sides are used; none -> ``left``;
@@ -80,6 +82,10 @@ def safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left
 
     A cross product is never built: ``how='cross'`` with keys is rejected,
     as the source's merge rejects it.
+
+    With ``hot_share``, keys that hold at least that share of a side's rows
+    (NULL may be one) are found first and joined in pieces (``skew.py``); the
+    rows are the same. ``skew.hot_keys`` tells beforehand how many they make.
     """
     keys = [k for k in on if k in left.columns and k in right.columns]
     if not keys:
@@ -88,27 +94,20 @@ def safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left
         raise ValueError("how='cross' cannot be combined with join keys")
     if how not in ("left", "right", "outer", "inner"):
         how = "left"
-    l, r = left.alias("__l"), right.alias("__r")
-    cond = None
-    for k in keys:
-        c = F.col(f"__l.`{k}`").eqNullSafe(F.col(f"__r.`{k}`"))
-        cond = c if cond is None else cond & c
-    j = l.join(r, cond, "full_outer" if how == "outer" else how)
+    hot = hot_keys(left, right, keys, hot_share) if hot_share is not None else []
+    if hot:
+        j, l, r = split_join(left, right, keys, how, hot), "l", "r"
+    else:
+        l, r = "__l", "__r"
+        cond = reduce(lambda x, y: x & y, [F.col(f"{l}.`{k}`").eqNullSafe(F.col(f"{r}.`{k}`")) for k in keys])
+        j = left.alias(l).join(right.alias(r), cond, "full_outer" if how == "outer" else how)
     clash = (set(left.columns) & set(right.columns)) - set(keys)
     out = []
     for k in keys:
         if how == "outer":
-            out.append(F.coalesce(F.col(f"__l.`{k}`"), F.col(f"__r.`{k}`")).alias(k))
-        elif how == "right":
-            out.append(F.col(f"__r.`{k}`").alias(k))
+            out.append(F.coalesce(F.col(f"{l}.`{k}`"), F.col(f"{r}.`{k}`")).alias(k))
         else:
-            out.append(F.col(f"__l.`{k}`").alias(k))
-    for c in left.columns:
-        if c in keys:
-            continue
-        out.append(F.col(f"__l.`{c}`").alias(c + suffixes[0] if c in clash else c))
-    for c in right.columns:
-        if c in keys:
-            continue
-        out.append(F.col(f"__r.`{c}`").alias(c + suffixes[1] if c in clash else c))
+            out.append(F.col(f"{r if how == 'right' else l}.`{k}`").alias(k))
+    for side, df, suffix in ((l, left, suffixes[0]), (r, right, suffixes[1])):
+        out += [F.col(f"{side}.`{c}`").alias(c + suffix if c in clash else c) for c in df.columns if c not in keys]
     return j.select(*out)

@@ -860,3 +860,11 @@ ORACLE["grid_search"] = (
     "n AS (SELECT CAST(b AS INTEGER) AS fold, count(*) AS n_held_out, (SELECT count(*) FROM k) - count(*) AS n_train "
     "FROM k GROUP BY 1) SELECT depth, l2, fold, n_train, n_held_out, depth = 2 AS best, depth = 2 AS fits FROM n, "
     "(VALUES (1), (2)) d(depth), (VALUES (0.0::DOUBLE), (1.5::DOUBLE)) l(l2)")
+
+ORACLE["safe_join_hot_keys"] = (
+    "WITH l AS (SELECT CAST(CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 1 ELSE o_custkey END AS BIGINT) "
+    "AS custkey, o_orderkey AS orderkey, o_totalprice AS amount_x FROM orders), "
+    "r AS (SELECT CAST(CASE WHEN c_custkey % 400 = 5 THEN NULL WHEN c_custkey % 300 = 7 THEN -1 ELSE c_custkey END AS BIGINT) "
+    "AS custkey, c_name AS name, c_acctbal AS amount_y FROM customer) "
+    "SELECT coalesce(l.custkey, r.custkey) AS custkey, orderkey, amount_x, name, amount_y "
+    "FROM l FULL JOIN r ON l.custkey IS NOT DISTINCT FROM r.custkey")

@@ -26,7 +26,7 @@ EXPECTED = {
     "monthly_medians", "product_medians", "monthly_product_sales", "monthly_rollup", "monthly_row_counts", "monthly_traffic", "order_month",
     "parse_dates", "parse_localized_number", "parse_percent", "parse_weight", "price_level", "product_info_first",
     "product_key", "product_key_lenient", "product_list", "product_mean", "quarter_flags", "regression_metrics",
-    "rolling_3m", "safe_join_inner", "safe_join_left", "safe_join_outer", "safe_join_right",
+    "rolling_3m", "safe_join_hot_keys", "safe_join_inner", "safe_join_left", "safe_join_outer", "safe_join_right",
     "sales_product_info_join", "sales_stock_join", "sales_traffic_join", "scaled_amount", "seasonal_index",
     "seasonal_profile", "stock_coverage", "stock_turnover", "top_products", "traffic_ratios",
     "traffic_ratios_global", "train_gbt", "train_test_split", "training_rows", "trend_ratio", "unit_price",

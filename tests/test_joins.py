@@ -16,3 +16,52 @@ def test_safe_join_rules(spark):
     assert safe_join(left, right, ["nope"], "inner") is left               # no common key -> unchanged
     with pytest.raises(ValueError):
         safe_join(left, right, ["k"], "cross")
+
+
+def sides(spark):
+    left = [(None, "n", i) for i in range(400)] + [(1, "a", i) for i in range(300)] + [(2, None, i) for i in range(200)]
+    left += [(i, "x", i) for i in range(3, 60)]
+    right = [(None, "n", -i) for i in range(30)] + [(1, "a", -i) for i in range(25)] + [(9, "y", -i) for i in range(40)]
+    right += [(i, "x", -i) for i in range(3, 70, 2)] + [(3, "x", -99)]
+    schema = "k long, `g h` string, v long"
+    return spark.createDataFrame(left, schema).repartition(3), spark.createDataFrame(right, schema).repartition(2)
+
+
+@pytest.mark.parametrize("how", ["left", "right", "outer", "inner"])
+def test_hot_keys_give_the_same_rows(spark, how, monkeypatch):
+    from retailcast.operators import joins, skew
+    left, right = sides(spark)
+    monkeypatch.setattr(joins, "split_join", lambda *a: skew.split_join(*a, rows_per_piece=17))
+    plain = safe_join(left, right, ["k", "g h"], how)
+    split = safe_join(left, right, ["k", "g h"], how, hot_share=0.05)
+    assert split.columns == plain.columns
+    assert split.exceptAll(plain).count() == 0 == plain.exceptAll(split).count()
+
+
+def test_hot_keys_are_named_with_their_rows(spark):
+    from retailcast.operators.skew import hot_keys, pieces
+    left, right = sides(spark)
+    hot = hot_keys(left, right, ["k", "g h"], 0.05)
+    assert {x.key: (x.left, x.right) for x in hot} == {
+        (None, "n"): (400, 30), (1, "a"): (300, 25), (2, None): (200, 0), (9, "y"): (0, 40)}
+    assert hot[0].key == (None, "n") and hot[0].pairs == 12000
+    assert pieces(hot[0], 100) == (4, 1) and hot_keys(left.limit(0), right.limit(0), ["k"], 0.05) == []
+    assert hot_keys(left, right.withColumn("k", right.k.cast("int")), ["k"], 0.05) == []
+
+
+def test_no_task_holds_a_hot_key(spark):
+    from pyspark.sql import functions as F
+
+    from retailcast.operators.skew import hot_keys, split_join
+    left = spark.range(30000).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id")).alias("k"), F.col("id").alias("a"))
+    right = spark.range(300).select(F.when(F.col("id") % 100 == 0, None).otherwise(F.col("id")).alias("k"), F.col("id").alias("b"))
+    was = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for c, v in zip(was, ("-1", "false", "32")):
+            spark.conf.set(c, v)
+        out = split_join(left, right, ["k"], "inner", hot_keys(left, right, ["k"], 0.05), rows_per_piece=500)
+        sizes = [r["count"] for r in out.where("l.k IS NULL").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 30000 and max(sizes) < 12000 and len(sizes) > 6
+    finally:
+        for c, v in was.items():
+            spark.conf.set(c, v)
