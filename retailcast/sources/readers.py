@@ -65,7 +65,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", month_col:
     into a DATE column ``month_date``."""
     r = spark.read.format(fmt)
     if fmt == "csv":
-        r = r.option("header", True)
+        r = r.option("header", True).option("escape", '"')
     df = r.load(path)
     if month_col:
         df = df.withColumn("month_date", month_from_text(F.col(month_col)))

@@ -47,3 +47,45 @@ def test_ordered_output(spark, tmp_path):
     files = sorted((tmp_path / "t").glob("part-*.csv"))
     keys = [int(line.split(",")[0]) for f in files for line in f.read_text().splitlines()[1:]]
     assert keys == sorted(keys) and len(keys) == 101
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+    p = str(tmp_path / "t")
+    assert write_table(spark.range(100), p) == 100
+    bad = spark.range(1000).repartition(8).select(
+        F.when(F.col("id") == 777, F.raise_error(F.lit("half way"))).otherwise(F.col("id")).cast("long").alias("id"))
+    for fmt in ("parquet", "csv"):
+        with pytest.raises(Exception, match="half way"):
+            write_table(bad, p, fmt=fmt)
+        assert spark.read.parquet(p).count() == 100
+        assert os.listdir(tmp_path) == ["t"]
+
+
+def test_a_table_replaces_itself(spark, tmp_path):
+    p = str(tmp_path / "t")
+    write_table(spark.range(50), p)
+    again = spark.read.parquet(p)
+    assert write_table(again.unionByName(spark.range(50, 60)), p) == 60   # reads the old one while it writes
+    assert spark.read.parquet(p).count() == 60 and os.listdir(tmp_path) == ["t"]
+
+
+def test_lost_files_are_noticed(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from retailcast.sources import sinks
+    p = str(tmp_path / "t")
+    write_table(spark.range(10), p)
+    monkeypatch.setattr(sinks, "COUNTED", ("parquet",))
+    monkeypatch.setattr(sinks.Observation, "get", property(lambda self: {"rows": 11}))
+    with pytest.raises(OSError, match="10 of 11"):
+        write_table(spark.range(10), p)
+    assert spark.read.parquet(p).count() == 10
+
+
+def test_quotes_and_commas_survive_csv(spark, tmp_path):
+    df = spark.createDataFrame([('a "b", c', 1), ("back\\slash", 2), ("", 3), ("é", 4)], "s string, n long")
+    write_table(df, str(tmp_path / "t"), fmt="csv")
+    got = {int(r.n): r.s for r in read_table(spark, str(tmp_path / "t"), fmt="csv").collect()}
+    assert got[1] == 'a "b", c' and got[2] == "back\\slash" and got[4] == "é"
