@@ -33,6 +33,7 @@ ignored; those named in ``carry`` travel in the struct ``row``.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Sequence
 from itertools import chain
@@ -44,13 +45,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retailcast.llm.common import (cut_lineage, map_in_arrow, quoted, read_bytes, scratch_path,
-                                   ship_code, vocabulary_path)
-from retailcast.llm.token_counts import added_strings, make_splitter
+                                   rank_pattern, ship_code, vocabulary_path)
+from retailcast.llm.token_counts import added_strings
 
 CHUNK_CHARS = 4 << 20    # characters of a chunk, unless one text alone has more
 ENCODE_CHARS = 1 << 18   # characters given to a tokenizer at once
-KNOWN_PIECES = 1 << 18   # pre-tokens remembered in a worker; beyond it they are encoded anew
-LONG_PIECE = 64          # characters of a pre-token that is not remembered
 LARGE_GROUP = 1 << 12    # links of a group that are listed one by one
 
 
@@ -62,44 +61,43 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class ByteLevel:
-    """The byte-level tokenizer: ids of texts, and the bytes of every id.
+    """The byte-level tokenizer of a tokenizers file: ids of texts, and the bytes of every id.
 
-    Its pattern cuts texts into pre-tokens that it encodes each for itself, so
-    each distinct one is encoded once and remembered.
+    Where ids follow the order of merges, as in the usual files, the merges are
+    the ranks of a rank tokenizer, which gives the same ids without further
+    objects per token; else the tokenizers library reads the file.
     """
 
     def __init__(self, data: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(data.decode("utf-8"))
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        spec = json.loads(data)
         added_strings(data)   # no normalizer, the published pattern
-        self.cut = make_splitter([])
-        self.known: dict[str, list[int]] = {}
         byte = byte_alphabet()
-        vocabulary = self.tokenizer.get_vocab()
-        self.bytes = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.bytes[i] = (bytes(byte[c] for c in token) if all(c in byte for c in token)
-                             else token.encode("utf-8"))
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
-        known, cut = self.known, [self.cut(" " + t) for t in texts]
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            if b"".join(map(self.bytes.__getitem__, e.ids)) != p.encode("utf-8"):
-                raise ValueError("a byte-level vocabulary that does not give back its texts")
-            known[p] = e.ids
-        out = [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in cut]
-        for p in new:
-            if len(p) > LONG_PIECE:
-                del known[p]
-        return out
+        vocabulary = spec["model"]["vocab"]
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if all(c in byte for c in token)}
+        added = {t["id"]: t["content"].encode("utf-8") for t in spec["added_tokens"]}
+        for token in added.values():
+            ranks.pop(token, None)
+        self.bytes = [b""] * (1 + max([*vocabulary.values(), *added]))
+        for token, i in [*ranks.items(), *((token, i) for i, token in added.items())]:
+            self.bytes[i] = token
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        ordered = [vocabulary.get(a + b) for a, b in merges]
+        single = sorted(i for token, i in ranks.items() if len(token) == 1)
+        if single == list(range(256)) and ordered == list(range(256, 256 + len(merges))) and len(ranks) == 256 + len(merges):
+            import tiktoken
+
+            own = tiktoken.Encoding("byte_level", pat_str=rank_pattern(), mergeable_ranks=ranks, special_tokens={})
+            self.encode = lambda texts: [own.encode_to_numpy(" " + t, disallowed_special=()) for t in texts]
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            library = Tokenizer.from_str(data.decode("utf-8"))
+            library.encode_special_tokens = True
+            library.no_truncation()
+            library.no_padding()
+            self.encode = lambda texts: [np.array(e.ids, np.int64) for e in library.encode_batch_fast(
+                [" " + t for t in texts], add_special_tokens=False)]
 
 
 class Pieces:
@@ -115,6 +113,7 @@ class Pieces:
                       for i, p in ((i, self.processor.id_to_piece(i)) for i in range(n))]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        """Lists: their bytes are joined once more, to see whether the text comes back."""
         return self.processor.encode(texts, num_threads=1)
 
 
@@ -163,14 +162,17 @@ def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return in_a, in_b
 
 
-def digit_table(n: int) -> np.ndarray:
-    """Ids as right-aligned ASCII digits, zero bytes before them, with a last column for a separator."""
-    width = len(str(max(n - 1, 0)))
-    rest, columns = np.arange(n), []
-    for k in range(width):
-        columns.append(np.where((rest > 0) | (k == 0), rest % 10 + 48, 0).astype(np.uint8))
-        rest = rest // 10
-    return np.stack([*columns[::-1], np.zeros(n, np.uint8)], axis=1)
+def digit_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (below ten million) as ASCII digits in the first seven bytes of a number, and how many digits they have."""
+    if n > 10 ** 7:
+        raise ValueError("ids of more than seven digits")
+    rest, table, digits = np.arange(n, dtype=np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    for k in range(7):   # the last digit first; each further one moves those before it up by a byte
+        more = (rest > 0) | (k == 0)
+        table = np.where(more, table << np.uint64(8) | (rest % np.uint64(10) + np.uint64(48)), table)
+        digits += more
+        rest //= np.uint64(10)
+    return table, digits
 
 
 def list_links(a, b, in_a, in_b, doc):
@@ -214,23 +216,22 @@ def summed(key: np.ndarray, links: np.ndarray | None) -> tuple[np.ndarray, np.nd
 def group_digests(a, b, in_a, in_b, doc, n_docs, digits_a, digits_b) -> list[str]:
     """SHA-256 of each document's groups written as ``a1,a2|b1;a3|b2,b3``."""
     na, nb = np.diff(in_a, prepend=-1), np.diff(in_b, prepend=-1)
-    of_a, of_b = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
-    width = max(digits_a.shape[1], digits_b.shape[1])
-    line = np.zeros((len(a) + len(b), width), np.uint8)
-    before_b = np.cumsum(nb) - nb
-    at_a = np.arange(len(a)) + before_b[of_a]
-    at_b = np.arange(len(b)) + np.cumsum(na)[of_b]
-    for at, ids, digits, last, mark in ((at_a, a, digits_a, in_a, b"|"), (at_b, b, digits_b, in_b, b";")):
-        line[at, width - digits.shape[1]:] = digits[ids]
-        sep = np.full(len(ids), ord(","), np.uint8)
-        sep[last] = ord(mark)
-        line[at, -1] = sep
+    line = np.zeros(len(a) + len(b), "<u8")   # a token's digits and, in the last byte, what follows it
+    size = np.zeros(len(a) + len(b), np.int64)
+    at_a = np.arange(len(a)) + np.repeat(np.cumsum(nb) - nb, na)
+    at_b = np.arange(len(b)) + np.repeat(np.cumsum(na), nb)
+    for at, ids, (digits, count), last, mark in ((at_a, a, digits_a, in_a, "|"), (at_b, b, digits_b, in_b, ";")):
+        own = digits[ids] | np.uint64(ord(",") << 56)
+        own[last] ^= np.uint64((ord(",") ^ ord(mark)) << 56)
+        line[at], size[at] = own, count[ids] + 1
     tokens = np.bincount(doc, na + nb, n_docs).astype(np.int64)   # of each document
     end = np.cumsum(tokens)
-    line[end[tokens > 0] - 1, -1] = 0
-    held = np.count_nonzero(line, axis=1)
-    cut = np.concatenate([[0], np.cumsum(held)])[np.concatenate([[0], end])]
-    flat = line[line != 0].tobytes()
+    final = end[tokens > 0] - 1   # nothing follows a document's last token
+    line[final] &= np.uint64((1 << 56) - 1)
+    size[final] -= 1
+    cut = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], end])]
+    flat = line.view(np.uint8)
+    flat = flat[flat != 0].tobytes()
     return [hashlib.sha256(flat[x:y]).hexdigest() if n else "" for x, y, n in zip(cut, cut[1:], tokens)]
 
 
@@ -256,21 +257,24 @@ class Aligner:
         self.sides = [(t, np.fromiter(map(len, t.bytes), np.int64, len(t.bytes)), digit_table(len(t.bytes)))
                       for t in (a, b)]
 
-    def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of A and of B; none where either side does not give back a space and the text."""
+    def tokens(self, texts: list[str]) -> list[tuple]:
+        """Ids of A and of B; none where a side does not give back a space and the text.
+
+        A is a bijection of bytes, so its sizes tell; B's bytes are compared.
+        """
         out = []
-        at, pieces = 0, self.sides[1][0].bytes
+        (a, size_a, _), (b, _, _) = self.sides
+        at = 0
         while at < len(texts):
             end, chars = at, 0
             while end < len(texts) and (end == at or chars + len(texts[end]) <= ENCODE_CHARS):
                 chars += len(texts[end])
                 end += 1
             part = texts[at:end]
-            for text, *ids in zip(part, *(t.encode(part) for t, _, _ in self.sides)):
+            for text, ids_a, ids_b in zip(part, a.encode(part), b.encode(part)):
                 want = b" " + text.encode("utf-8")
-                # A gives back every pre-token, and its pattern leaves out no character
-                same = text and b"".join(map(pieces.__getitem__, ids[1])) == want
-                out.append(tuple(ids) if same else ([], []))
+                same = text and b"".join(map(b.bytes.__getitem__, ids_b)) == want and size_a[ids_a].sum() == len(want)
+                out.append((ids_a, ids_b) if same else (NO_IDS, NO_IDS))
             at = end
         return out
 
@@ -278,8 +282,9 @@ class Aligner:
         found = self.tokens(texts)
         n = len(texts)
         sizes = [np.fromiter((len(x[k]) for x in found), np.int64, n) for k in (0, 1)]
-        ids = [np.fromiter(chain.from_iterable(x[k] for x in found), np.int64, int(sizes[k].sum())) for k in (0, 1)]
-        a, b = ids
+        a = np.concatenate([x[0] for x in found]).astype(np.int64) if found else np.zeros(0, np.int64)
+        b = np.fromiter(chain.from_iterable(x[1] for x in found), np.int64, int(sizes[1].sum()))
+        ids = [a, b]
         in_a, in_b = common_ends(*(np.cumsum(size[x]) for x, (_, size, _) in zip(ids, self.sides)))
         doc = np.searchsorted(np.cumsum(sizes[0]), in_a, side="right")
         linked = np.diff(in_a, prepend=-1) * np.diff(in_b, prepend=-1)
@@ -308,6 +313,7 @@ def aligner(data_a: bytes, data_b: bytes) -> Aligner:
     return _ALIGNERS[key]
 
 
+NO_IDS = np.zeros(0, np.int64)
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
 
