@@ -8,15 +8,16 @@ share of equal values, an estimate of the Jaccard similarity.
 
 :func:`near_classes` joins signature bands in Spark. Texts that share a band
 are candidates, and every link is verified by the exact Jaccard similarity of
-the shingle sets. Of each band bucket all members are compared with the
-smallest one first. Buckets that this leaves in several classes are then
-compared in full: their members' shingle sets meet in tiles of at most about
+the shingle sets, which are read from the texts once and written to the shared
+folder. Each text is first compared with the smallest one that it shares a
+bucket with. Buckets that this leaves in several classes are then compared in
+full: their members' shingle sets meet in tiles of at most about
 ``TILE`` texts (larger buckets as pairs of tiles), where an inverted index
 counts common shingles; what leaves a tile is a spanning set of links and not
 all pairs. So no candidate is skipped unless it is already connected, and no
 bucket is held in one task. Equal texts are one node throughout. A bitmap of
 fixed size (``2**BITMAP_BITS`` bits) of the candidates goes to the tasks, so
-that only candidates' shingle sets are shuffled.
+that only candidates' shingle sets are written.
 
 :func:`fingerprint_neighbours` compares each document with its edited text and
 with the next document by id. Documents are dealt by ranges of the id, in
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retailcast.llm.common import ascii_lower, cut_lineage, map_in_arrow, map_rows, quoted
+from retailcast.llm.common import ascii_lower, cut_lineage, map_in_arrow, map_rows, quoted, scratch_path
 from retailcast.llm.simhash import components
 
 SHINGLE = 5
@@ -49,6 +50,7 @@ HASHES = 128
 BANDS, ROWS = 21, 6   # a pair of similarity 0.8 shares a band with probability 0.998, one of 0.9 always
 CHUNK = 1024          # shingles hashed at once
 TILE = 256            # texts compared at once
+LOT = 512             # texts that one set is compared with in a row
 TURNS = 3             # parts of the bands, compared one after the other
 WORDS_KEPT = 200_000  # word hashes remembered in a task
 BITMAP_BITS = 23
@@ -113,10 +115,10 @@ def text_key(text: str | None) -> bytes:
 
 # ---- near-duplicate classes ------------------------------------------------------------------------------
 
-def _bitmap(nodes: DataFrame) -> np.ndarray:
-    """A fixed-size bitmap of node keys; other keys may pass it, no key of ``nodes`` fails it."""
-    cell = F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long") % (1 << BITMAP_BITS)
-    rows = (nodes.select(cell.alias("cell"))
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A fixed-size bitmap of text keys (column ``hi``); other keys may pass it, no key of ``keys`` fails it."""
+    cell = F.pmod(F.col("hi"), F.lit(1 << BITMAP_BITS))
+    rows = (keys.select(cell.alias("cell"))
             .groupBy((F.col("cell") / 32768).cast("int").alias("page"))
             .agg(F.bitmap_construct_agg(F.col("cell") % 32768).alias("bits")).collect())
     bits = np.zeros(1 << BITMAP_BITS, bool)   # at most 2**BITMAP_BITS / 32768 rows of 4096 bytes
@@ -126,6 +128,15 @@ def _bitmap(nodes: DataFrame) -> np.ndarray:
     return np.packbits(bits)
 
 
+def key_numbers(key: bytes) -> tuple[int, int]:
+    """A text key as two numbers: Spark's aggregates hash numbers, but sort on bytes."""
+    return int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:], "big", signed=True)
+
+
+def key_bytes(hi: int, lo: int) -> bytes:
+    return hi.to_bytes(8, "big", signed=True) + lo.to_bytes(8, "big", signed=True)
+
+
 def pack_set(shingles: np.ndarray) -> bytes:
     """Sorted distinct 32-bit hashes as compressed steps, byte by byte place."""
     import zstandard
@@ -142,8 +153,9 @@ def unpack_set(packed: bytes) -> np.ndarray:
 
 
 def _shingle_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted nodes; shingles are packed 32-bit hashes."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+    """(node, shingles) of the wanted texts (node, hi, lo), written once; shingles are packed 32-bit hashes."""
+    spark = docs.sparkSession
+    bits = spark.sparkContext.broadcast(_bitmap(wanted))
 
     def run(batches):
         known, page = WordHashes(), bits.value
@@ -151,37 +163,52 @@ def _shingle_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
             keys, sets, seen = [], [], set()
             for t in batch.column(0):
                 t = t.as_py() or ""
-                key = text_key(t)
-                cell = int.from_bytes(key[:4], "big") % (1 << BITMAP_BITS)
+                key = key_numbers(text_key(t))
+                cell = key[0] % (1 << BITMAP_BITS)
                 if page[cell >> 3] >> (7 - (cell & 7)) & 1 and key not in seen:
                     seen.add(key)
                     keys.append(key)
                     sets.append(pack_set(np.unique((shingle_hashes(t, known) >> np.uint64(32)).astype("<u4"))))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())],
-                                             ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()),
+                                              pa.array([k[1] for k in keys], pa.int64()), pa.array(sets, pa.binary())],
+                                             ["hi", "lo", "shingles"])
 
-    return (map_in_arrow(docs.select(quoted(text).alias("text")), run, "node binary, shingles binary")
-            .join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    found = map_in_arrow(docs.select(quoted(text).alias("text")), run, "hi bigint, lo bigint, shingles binary")
+    path = scratch_path(spark, "shingle-sets")
+    found.join(wanted, ["hi", "lo"]).groupBy("node").agg(F.first("shingles").alias("shingles")).write.parquet(path)
+    return spark.read.parquet(path)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text: str, threshold: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have a Jaccard similarity of ``threshold`` or more."""
-    wanted = cut_lineage(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
-    sets = _shingle_sets(docs, text, wanted)
-    both = (pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
-            .join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v"))
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have a Jaccard similarity of ``threshold`` or more.
+
+    The pairs of a ``u`` are dealt in lots of about ``LOT``; its set goes once to
+    each lot, first of the lot's rows, and is compared as they stream by.
+    """
+    lots = cut_lineage(pairs.groupBy("u").agg(F.ceil(F.count("*") / LOT).alias("lots")))
+    heads = lots.join(sets, F.col("u") == F.col("node")).select(
+        "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.lit(None).cast("long").alias("v"),
+        "shingles")
+    rows = pairs.join(lots, "u").select("u", F.pmod(F.xxhash64("v"), F.col("lots")).alias("lot"), "v").join(
+        sets, F.col("v") == F.col("node")).select("u", "lot", "v", "shingles")
+    dealt = heads.unionByName(rows).repartition("u", "lot").sortWithinPartitions("u", "lot", F.col("v").asc_nulls_first())
 
     def run(batches):
+        head = None
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("a"), batch.column("b")):
-                x, y = unpack_set(a.as_py()), unpack_set(b.as_py())
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - same
+            for v, packed in zip(batch.column("v"), batch.column("shingles")):
+                own = unpack_set(packed.as_py())
+                if not v.is_valid:
+                    head = own
+                    keep.append(False)
+                    continue
+                same = len(np.intersect1d(head, own, assume_unique=True))
+                union = len(head) + len(own) - same
                 keep.append(same >= threshold * union if union else True)
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_in_arrow(both.select("u", "v", "a", "b"), run, "u binary, v binary")
+    return map_in_arrow(dealt.select("u", "v", "shingles"), run, "u bigint, v bigint")
 
 
 def tile_links(sets: list[np.ndarray], classes: list, split: int, threshold: float) -> list[tuple[int, int]]:
@@ -213,14 +240,13 @@ def tile_links(sets: list[np.ndarray], classes: list, split: int, threshold: flo
     return out
 
 
-def _open_links(open_rows: DataFrame, docs: DataFrame, text: str, threshold: float) -> DataFrame:
+def _open_links(open_rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links (u, v) inside the buckets (band, node, class) that hold several classes."""
-    wanted = cut_lineage(open_rows.select("node").distinct())
-    rows = open_rows.join(_shingle_sets(docs, text, wanted), "node")
+    rows = open_rows.join(sets, "node")
     large = cut_lineage(open_rows.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > TILE))
     member = F.collect_list(F.struct("node", "class", "shingles"))
     work = (rows.join(large, "band", "left_anti").groupBy("band").agg(member.alias("m"))
-            .select("m", F.lit(None).cast("array<struct<node:binary,class:binary,shingles:binary>>").alias("m2")))
+            .select("m", F.lit(None).cast("array<struct<node:bigint,class:bigint,shingles:binary>>").alias("m2")))
     if not large.isEmpty():   # a large bucket is cut into tiles, which meet in pairs
         part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(TILE)))
         tiles = cut_lineage(rows.join(large, "band").groupBy("band", part.alias("part")).agg(member.alias("m")))
@@ -237,54 +263,59 @@ def _open_links(open_rows: DataFrame, docs: DataFrame, text: str, threshold: flo
                                    [m["class"] for m in members], len(first), threshold)
                 if links:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([members[i]["node"] for i, _ in links], pa.binary()),
-                         pa.array([members[j]["node"] for _, j in links], pa.binary())], ["u", "v"])
+                        [pa.array([members[i]["node"] for i, _ in links], pa.int64()),
+                         pa.array([members[j]["node"] for _, j in links], pa.int64())], ["u", "v"])
 
-    return map_in_arrow(work, run, "u binary, v binary")
+    return map_in_arrow(work, run, "u bigint, v bigint")
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One row per distinct (doc_id, text): doc_id, node (the text's key), class_id.
+    """One row per distinct (doc_id, text): doc_id, hi, lo (the text's key), class_id.
 
     A class holds all texts connected by links of at least ``threshold``;
-    its id is the smallest document id in it.
+    its id is the smallest document id in it. A text is known by the smallest
+    number of its rows, so all joins and aggregates go by one whole number.
     """
     def make():
         known = WordHashes()
 
         def bands(t):
+            from xxhash import xxh64_intdigest
+
             t = t or ""
             sig = signature(shingle_hashes(t, known))
             part = np.ascontiguousarray(sig[:BANDS * ROWS].reshape(BANDS, ROWS))
-            from xxhash import xxh64_intdigest
-            return text_key(t), [xxh64_intdigest(part[i].tobytes(), i) - (1 << 63) for i in range(BANDS)]
+            return (*key_numbers(text_key(t)),
+                    [xxh64_intdigest(part[i].tobytes(), i) - (1 << 63) for i in range(BANDS)])
 
         return bands
 
-    fields = [("node", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))]
+    fields = [("hi", T.LongType()), ("lo", T.LongType()), ("bands", T.ArrayType(T.LongType()))]
     prints = cut_lineage(map_rows(docs, [text], make, fields, [doc_id]).select(
-        F.col("row")[doc_id].alias("doc_id"), "res.node", "res.bands"))
-    nodes = prints.groupBy("node").agg(F.first("bands").alias("bands"))
-    bands = cut_lineage(nodes.select("node", F.posexplode("bands").alias("i", "band")))
+        F.monotonically_increasing_id().alias("rid"), F.col("row")[doc_id].alias("doc_id"), "res.hi", "res.lo", "res.bands"))
+    texts = cut_lineage(prints.groupBy("hi", "lo").agg(F.min("rid").alias("node")))
+    bands = cut_lineage(prints.join(texts.select("node"), F.col("rid") == F.col("node"))
+                        .select("node", F.posexplode("bands").alias("i", "band")))
     low = bands.groupBy("band").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1")
-    member = cut_lineage(bands.join(low, "band").select("i", "band", "u", F.col("node").alias("v")))
-    links = cut_lineage(_verified(member.where("u <> v").select("u", "v").distinct(), docs, text, threshold))
-    found = components(links)
+    member = cut_lineage(bands.join(low, "band").select("i", "band", "u", "node"))
+    sets = _shingle_sets(docs, text, cut_lineage(texts.join(member.select("node").distinct(), "node")))
+    # First each text is compared with one other only, the smallest that it shares a bucket with.
+    pairs = cut_lineage(member.where("u <> node").groupBy(F.col("node").alias("v")).agg(F.min("u").alias("u")))
+    found = components(_verified(pairs, sets, threshold))
     # What is left: buckets whose members are in different classes. They go in turns: what one part of the
     # bands connects need not be compared again in the others.
     for turn in range(TURNS):
-        named = cut_lineage(member.where(F.col("i") % TURNS == turn)
-                            .join(found.withColumnRenamed("node", "v"), "v", "left")
-                            .select("band", F.col("v").alias("node"), F.coalesce("root", "v").alias("class")))
+        named = cut_lineage(member.where(F.col("i") % TURNS == turn).select("band", "node")
+                            .join(found, "node", "left")
+                            .select("band", "node", F.coalesce("root", "node").alias("class")))
         mixed = named.groupBy("band").agg(F.min("class").alias("c"), F.max("class").alias("d")).where("c <> d")
-        more = cut_lineage(_open_links(named.join(mixed.select("band"), "band"), docs, text, threshold))
-        if not more.isEmpty():
-            links = links.union(more)
-            found = components(links)
-    owner = prints.select("doc_id", "node").distinct().join(found, "node", "left").select(
-        "doc_id", "node", F.coalesce("root", "node").alias("root"))
+        more = cut_lineage(_open_links(named.join(mixed.select("band"), "band"), sets, threshold))
+        if not more.isEmpty():   # from the classes so far, each a star, and the new links
+            found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+    roots = cut_lineage(texts.join(found, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root")))
+    owner = prints.select("doc_id", "hi", "lo").distinct().join(roots, ["hi", "lo"])
     first = owner.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return owner.join(first, "root").select("doc_id", "node", "class_id")
+    return owner.join(first, "root").select("doc_id", "hi", "lo", "class_id")
 
 
 # ---- a document, its edited text and the next document ---------------------------------------------------
@@ -317,7 +348,7 @@ def _ranges(docs: DataFrame, doc_id: str, ranges: int) -> tuple[np.ndarray, dict
 def fingerprint_neighbours(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text: str = "text",
                            ranges: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next, class_id (from ``classes``: doc_id, node, class_id).
+    near_edited, near_next, class_id (from ``classes``: doc_id, hi, lo, class_id).
 
     The edited text has its last n_chars // 2 characters replaced by the first
     as many (or all) of the next document's. Each document is dealt once, its
@@ -354,14 +385,14 @@ def fingerprint_neighbours(docs: DataFrame, classes: DataFrame, doc_id: str = "d
 
     def deal_classes(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids, *key = (batch.column(i).to_pylist() for i in range(3))
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([place(i) for i in ids], pa.int32()), pa.array([False] * n), batch.column(0),
-                 batch.column(1), batch.column(2), pa.nulls(n, pa.binary())], names)
+                 pa.array(list(map(key_bytes, *key)), pa.binary()), batch.column(3), pa.nulls(n, pa.binary())], names)
 
     texts = map_in_arrow(docs.select(quoted(doc_id).cast("long"), quoted(text)), deal, schema)
-    known = map_in_arrow(classes.select(F.col("doc_id").cast("long"), "node", F.col("class_id").cast("long")),
+    known = map_in_arrow(classes.select(F.col("doc_id").cast("long"), "hi", "lo", F.col("class_id").cast("long")),
                          deal_classes, schema)
     rows = (texts.unionByName(known).repartition("bucket")
             .sortWithinPartitions("bucket", "closing", "doc_id", "node", F.col("packed").isNotNull()))
