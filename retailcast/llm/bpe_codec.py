@@ -52,7 +52,7 @@ WITH RECURSIVE t(step, g, w, tok) AS (
    best AS (
      SELECT p.w, min(m.merged::BIGINT * 4294967296 + p.g) AS first,
        arg_min(p.next_g, m.merged::BIGINT * 4294967296 + p.g) AS gone
-     FROM pair p JOIN merges m ON m.ab = p.tok::BIGINT * 65536 + p.next_tok
+     FROM pair p JOIN merges m ON m.ab = p.tok::BIGINT * 4294967296 + p.next_tok
      WHERE p.next_w = p.w GROUP BY p.w)
    SELECT t.step + 1, t.g, t.w, CASE WHEN t.g = (b.first & 4294967295) THEN (b.first >> 32)::INT ELSE t.tok END
    FROM t JOIN best b ON b.w = t.w WHERE t.g <> b.gone)
@@ -72,7 +72,7 @@ WITH RECURSIVE t(w, pos, tok) USING KEY (w, pos) AS (
      WINDOW ww AS (PARTITION BY w ORDER BY pos)),
    pair AS (
      SELECT l.w, l.pos, l.next_pos, l.tok = l.next_tok AS same, l.i, m.merged, m.merged AS rank
-     FROM live l JOIN merges m ON m.ab = l.tok::BIGINT * 65536 + l.next_tok),
+     FROM live l JOIN merges m ON m.ab = l.tok::BIGINT * 4294967296 + l.next_tok),
    least AS (SELECT w, min(rank) AS rank FROM pair GROUP BY w),
    pick AS (
      SELECT p.*, p.i - row_number() OVER (PARTITION BY p.w ORDER BY p.i) AS run
@@ -101,7 +101,7 @@ class Codec:
         ranks = parse_ranks(rank_data)
         self.pieces = regex.compile(rank_pattern()).findall
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        merges = [(ranks[t[:i]] * 65536 + ranks[t[i:]], r) for t, r in ranks.items()
+        merges = [((ranks[t[:i]] << 32) + ranks[t[i:]], r) for t, r in ranks.items()
                   for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.db = duckdb.connect(config={"threads": 1, "temp_directory": ""})
         self._table("merges", pa.table({"ab": pa.array([m[0] for m in merges], pa.int64()),

@@ -163,9 +163,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
 
         last = k == blocks - 1
         done = map_rows(current, ["text", "hits", "items"], make, fields, ["row"] if last else ["row", "text"])
-        current = done.select("row.row", "res") if last else done.select(
-            "row.row", "row.text", "res.hits", "res.items")
-    return current
+        if last:
+            return done.select("row.row", "res")
+        # cut after each block, so that a task holds the searchers of one
+        current = cut_lineage(done.select("row.row", "row.text", "res.hits", "res.items"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -82,20 +82,21 @@ def url_list_events(pages: DataFrame) -> DataFrame:
     hosts, their parent domains and some single pages are added, part of them
     removed again, and part of those added a second time.
     """
-    hosts = pages.select(url_filter.host_of(F.col("url")).alias("entry")).where("entry is not null").distinct()
-    parents = (hosts.select(F.regexp_replace("entry", r"^[^.]*\.", "").alias("entry")).distinct()
-               .where(_number(F.col("entry")) % 4 == 1))
-    urls = (pages.select(url_filter.address_of(F.col("url")).alias("entry")).where("entry is not null").distinct()
-            .where(_number(F.col("entry")) % 50 == 0))
-    entries = (hosts.where(_number(F.col("entry")) % 3 == 0).select(F.lit("domain").alias("kind"), "entry")
-               .union(parents.select(F.lit("domain"), "entry")).union(urls.select(F.lit("url"), "entry"))
-               .withColumn("x", _number(F.col("entry")))
-               .withColumn("day", F.date_add(F.lit("2023-01-01").cast("date"), (F.col("x") % 300).cast("int"))))
-    added = entries.select("kind", "entry", F.lit("add").alias("action"), "day")
-    removed = entries.where("x % 2 = 0").select(
-        "kind", "entry", F.lit("remove"), F.date_add("day", (F.col("x") % 97 + 1).cast("int")))
-    again = entries.where("x % 10 = 0").select("kind", "entry", F.lit("add"), F.date_add("day", 200))
-    return added.union(removed).union(again)
+    host = url_filter.host_of(F.col("url"))
+    names = pages.select(F.explode(F.array(
+        F.struct(F.lit("domain").alias("kind"), host.alias("entry"), F.lit("host").alias("part")),
+        F.struct(F.lit("domain").alias("kind"), F.regexp_replace(host, r"^[^.]*\.", "").alias("entry"), F.lit("parent").alias("part")),
+        F.struct(F.lit("url").alias("kind"), url_filter.address_of(F.col("url")).alias("entry"), F.lit("page").alias("part"))
+    )).alias("x")).select("x.*").where("entry IS NOT NULL").distinct()
+    x, day = F.col("x"), F.col("day")
+    entries = (names.withColumn("x", _number(F.col("entry")))
+               .where("part = 'host' AND x % 3 = 0 OR part = 'parent' AND x % 4 = 1 OR part = 'page' AND x % 50 = 0")
+               .withColumn("day", F.date_add(F.lit("2023-01-01").cast("date"), (x % 300).cast("int"))))
+    acts = F.array(F.struct(F.lit("add").alias("action"), day.alias("day")),
+                   F.when(x % 2 == 0, F.struct(F.lit("remove").alias("action"), F.date_add(day, (x % 97 + 1).cast("int")).alias("day"))),
+                   F.when(x % 10 == 0, F.struct(F.lit("add").alias("action"), F.date_add(day, 200).alias("day"))))
+    return entries.select("kind", "entry", F.explode(F.filter(acts, lambda a: a.isNotNull())).alias("a")).select(
+        "kind", "entry", "a.action", "a.day")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,9 @@ not count). An entry is active from the day of an ``add`` up to, but not on,
 the day of the next ``remove``.
 
 How it scales: events of one entry and day are one row, so an entry has at
-most one interval per calendar day. Captures are first reduced to distinct
-(host, day) and (address, day) pairs, each judged once against the intervals;
-the few pairs that are listed are joined back. A pair that holds more than a
+most one interval per calendar day. Captures are first reduced, in one pass, to
+distinct (host, day) and (address, day) pairs, each judged once against the
+intervals; the few pairs that are listed are joined back in a second pass. A pair that holds more than a
 thousandth of all captures (at most a thousand of them, so their list may be
 broadcast) is salted in that join.
 
@@ -28,9 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retailcast.llm.common import quoted
+from retailcast.llm.common import cut_lineage, quoted
 
 SALTS = 32
+BROADCAST_ENTRIES = 100_000   # intervals of a kind, counted; beyond it they are repeated for salted probes
 HOT_SHARE = 1000   # a pair is hot if it holds more than one capture in so many
 
 
@@ -57,9 +58,20 @@ def validity_intervals(events: DataFrame) -> DataFrame:
 
 
 def _active(pairs: DataFrame, intervals: DataFrame, kind: str) -> DataFrame:
-    """(key, day, entries): the entries that are active on a pair's day; ``pairs`` has (key, probe, day)."""
+    """(key, day, entries): the entries that are active on a pair's day; ``pairs`` has (key, probe, day).
+
+    All hosts under ``com`` probe for ``com``: a list of counted size is
+    broadcast, beyond it probes are salted and the list is repeated.
+    """
     listed = intervals.where(F.col("kind") == kind).select("entry", "valid_from", "valid_to")
-    return (pairs.join(listed, F.col("probe") == F.col("entry"))
+    same = F.col("probe") == F.col("entry")
+    if listed.count() <= BROADCAST_ENTRIES:
+        listed = F.broadcast(listed)
+    else:
+        listed = listed.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = pairs.withColumn("mine", F.pmod(F.xxhash64("key", "day"), F.lit(SALTS)).cast("int"))
+        same = same & (F.col("mine") == F.col("lot"))
+    return (pairs.join(listed, same)
             .where((F.col("day") >= F.col("valid_from"))
                    & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to"))))
             .groupBy("key", "day").agg(F.sort_array(F.collect_set(F.concat(F.lit(f"{kind}:"), "entry"))).alias("entries")))
@@ -80,25 +92,24 @@ def _attach(captures: DataFrame, found: DataFrame, key: str, name: str, hot: Dat
 
 def filter_captures(captures: DataFrame, events: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """Columns ``row`` (the capture), blocked, entries (kind:entry of what blocks it, sorted)."""
-    intervals = validity_intervals(events)
+    intervals = cut_lineage(validity_intervals(events))
     judged = captures.select(F.struct(*[quoted(c) for c in captures.columns]).alias("row"),
                              host_of(quoted(url)).alias("host"), address_of(quoted(url)).alias("address"),
                              quoted(fetched).cast("date").alias("day"))
-    hosts = judged.where("host is not null and day is not null").groupBy("host", "day").agg(F.count("*").alias("n"))
-    pages = judged.where("address is not null and day is not null").groupBy("address", "day").agg(
-        F.count("*").alias("n"))
-    least = captures.count() / HOT_SHARE
-    labels = F.split("host", r"\.")
+    # both kinds of pairs from one pass over the captures
+    pairs = cut_lineage(judged.where("host IS NOT NULL AND day IS NOT NULL").select("day", F.explode(F.array(
+        F.struct(F.lit("domain").alias("kind"), F.col("host").alias("key")),
+        F.struct(F.lit("url").alias("kind"), F.col("address").alias("key")))).alias("k"))
+        .where("k.key IS NOT NULL").groupBy("k.kind", "k.key", "day").agg(F.count("*").alias("n")))
+    hosts, pages = (pairs.where(F.col("kind") == kind).drop("kind") for kind in ("domain", "url"))
+    least = (hosts.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE
+    labels = F.split("key", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(
         F.slice(labels, i, F.size(labels)), "."))
-    by_host = _active(hosts.select(F.col("host").alias("key"), F.explode(above).alias("probe"), "day"),
-                      intervals, "domain")
-    by_page = _active(pages.select(F.col("address").alias("key"), F.col("address").alias("probe"), "day"),
-                      intervals, "url")
-    out = _attach(judged, by_host, "host", "host_entries",
-                  hosts.where(F.col("n") > least).select(F.col("host").alias("key"), "day"))
-    out = _attach(out, by_page, "address", "page_entries",
-                  pages.where(F.col("n") > least).select(F.col("address").alias("key"), "day"))
+    by_host = _active(hosts.select("key", F.explode(above).alias("probe"), "day"), intervals, "domain")
+    by_page = _active(pages.select("key", F.col("key").alias("probe"), "day"), intervals, "url")
+    out = _attach(judged, by_host, "host", "host_entries", hosts.where(F.col("n") > least).select("key", "day"))
+    out = _attach(out, by_page, "address", "page_entries", pages.where(F.col("n") > least).select("key", "day"))
     none = F.array().cast("array<string>")
     entries = F.concat(F.coalesce("host_entries", none), F.coalesce("page_entries", none))
     return out.select("row", F.when(F.col("day").isNotNull(), F.size(entries) > 0).alias("blocked"),

@@ -89,3 +89,21 @@ def test_documents(spark, library):
     for r in B.decode_documents(ids).select("row.text", "res.decoded").collect():
         assert bytes(r.decoded) == (r.text or "").encode()
     assert B.encode_documents(empty_documents(spark)).count() == 0
+
+
+def test_ids_above_sixteen_bits(spark):
+    """Pairs of large ids must not share a key: ranks moved up by 100,000 give the same pieces."""
+    import base64
+    import tempfile
+
+    from retailcast.llm import bpe_codec
+    from retailcast.llm.common import vocabulary_path
+    lines = [x.split() for x in open(vocabulary_path("byte_bpe_50k.tiktoken"))]
+    with tempfile.NamedTemporaryFile("w", suffix=".tiktoken") as f:
+        f.writelines(f"{a} {int(b) + 100_000 * (len(base64.b64decode(a)) > 1)}\n" for a, b in lines)
+        f.flush()
+        df = spark.createDataFrame([("some longer words, many of them merged again: " + "supercalifragilistic" * 9,)], "text string")
+        low = bpe_codec.encode_documents(df, carry=["text"], decoded=True).first()["res"]
+        high = bpe_codec.encode_documents(df, carry=["text"], decoded=True, vocabulary=f.name).first()["res"]
+    assert high["decoded"] == low["decoded"]
+    assert [i - 100_000 * (i >= 100_000) for i in high["ids"]] == list(low["ids"])

@@ -76,3 +76,23 @@ def test_empty_sides_and_repeats(spark):
     assert run(spark, same, []) == {1: (False, [])}
     assert run(spark, [], [("domain", "a", "add", DAY)]) == {}
     assert run(spark, same, [("domain", "a", "add", DAY)]) == {1: (True, ["domain:a"])}
+
+
+def test_a_long_list_meets_salted_probes(spark, monkeypatch):
+    monkeypatch.setattr(U, "BROADCAST_ENTRIES", 0)
+    test_against_lookup(spark)
+
+
+def test_captures_are_read_twice(spark, tmp_path):
+    """Once for the pairs, once for the result."""
+    spark.createDataFrame([(i, f"http://h{i % 5}.com/{i}", DAY) for i in range(50)],
+                          "id long, url string, fetched date").write.parquet(str(tmp_path / "c"))
+    events = spark.createDataFrame([("domain", "h1.com", "add", DAY)], "kind string, entry string, action string, day date")
+    seen, cut = [], U.cut_lineage
+    U.cut_lineage = lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df)
+    try:
+        out = U.filter_captures(spark.read.parquet(str(tmp_path / "c")), events)
+    finally:
+        U.cut_lineage = cut
+    plans = [*seen, out._jdf.queryExecution().executedPlan().toString()]
+    assert sum(p.count("FileScan parquet") for p in plans) == 2 and out.where("blocked").count() == 10
