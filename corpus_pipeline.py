@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from retailcast.llm import bpe_codec, decontaminate, language_id, secret_scan, simhash
 from retailcast.llm.common import scratch_path, table
+from retailcast.sources.sinks import remove
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +62,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each but the last is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each but the last is written to the shared folder and read again.
+
+    A stage's folder goes when the next one is written; the result reads the last one.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
