@@ -64,5 +64,5 @@ def test_short_benchmark_items_remove_nothing(spark, tmp_path):
 def test_registered():
     names = set(E.queries())
     assert {"pipeline"} | {n for n in names if n.startswith("op")} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if re.match(r"op\d", n)) == list(range(1, 11))
-    assert {"op2_decontaminate", "op3_url_filter", "op9_chat_format"} <= set(E.oracle_sql())
+    assert sorted(int(n[2:].split("_")[0]) for n in names if re.match(r"op\d", n)) == list(range(1, 14))
+    assert {"op2_decontaminate", "op3_url_filter", "op9_chat_format", "op12_source_mix"} <= set(E.oracle_sql())
