@@ -38,13 +38,14 @@ from retailcast.operators.medians import column_medians_frame, grouped_medians
 from retailcast.operators.rollup import (dataset_summary, forecast_totals, monthly_rollup,
                                          monthly_row_counts, product_info_first, product_list, top_products)
 from retailcast.plans.feature_table import INFO_COLUMNS, SOURCE_ORDER
-from retailcast.plans.boosting import BoostSettings, grid_search as boosted_grid, train_boosted
+from retailcast.plans.boosting import BoostSettings, Ensemble, grid_search as boosted_grid, train_boosted
 from retailcast.plans.train import gbt_metrics, score, train_gbt, train_test_split
 from retailcast.session import scratch_path
 from retailcast.sources.folders import read_role_folder
 from retailcast.sources.readers import read_table
-from retailcast.sources.schema import date_parse_rates, parse_dates, resolve_columns
-from retailcast.sources.sinks import write_table
+from retailcast.sources.schema import (date_parse_rates, drop_if_present, ensure_column, parse_dates, rename_columns,
+                                         resolve_columns)
+from retailcast.sources.sinks import export_forecasts, write_table
 from retailcast.sources.tables import SOURCE_TABLES, read_source_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -613,6 +614,30 @@ def q_forecast_gbt(spark, sf):
                       *[x.alias(f"first_{c}") for c, x in first.items()])
 
 
+@query("saved_model_forecast")
+def q_saved_model_forecast(spark, sf):
+    # a model that was saved and read again forecasts what it forecast before
+    model = train_boosted(_training(spark, sf), settings=BoostSettings(trees=5))
+    path = scratch_path(spark, "model")
+    model.save(spark, path)
+    before, after = (forecast_recursive(_history(spark, sf), FORECAST_HORIZON, scorer=m, mode="core").select(
+        "product_key", "month", "step", F.col("forecast").alias(name))
+        for m, name in ((model, "before"), (Ensemble.load(spark, path), "after")))
+    return before.join(after, ["product_key", "month", "step"], "full_outer").select(
+        "product_key", "month", "step", F.col("before").isNotNull().alias("known"),
+        F.col("before").eqNullSafe(F.col("after")).alias("same"))
+
+
+@query("exported_forecasts")
+def q_exported_forecasts(spark, sf):
+    # the time-stamped export, read again from its files
+    path = export_forecasts(_forecast(spark, sf, "core").select("product_key", "month", "step", "forecast"),
+                            scratch_path(spark, "forecasts"))
+    back = read_table(spark, path, fmt="csv")
+    return back.select("product_key", F.col("month").cast("date").alias("month"), F.col("step").cast("int").alias("step"),
+                       F.col("forecast").cast("bigint").alias("forecast"))
+
+
 @query("forecast_totals")
 def q_forecast_totals(spark, sf):
     return rounded(forecast_totals(_forecast(spark, sf, "core")))
@@ -748,6 +773,25 @@ def q_resolve_columns(spark, sf):
     return out
 
 
+@query("header_defaults")
+def q_header_defaults(spark, sf):
+    # renames and drops of columns that may be absent, defaults and copies for those that are
+    t = rename_columns(_fx(spark, sf).traffic(), {"orders": "total_orders", "not_there": "x"})
+    t = drop_if_present(t, ["sales_text", "not_there", *[c for c in t.columns if c.endswith("_rate_text")]])
+    t = ensure_column(ensure_column(t, "page_views", copy_from="views"), "refunds", default=0.0)
+    t = ensure_column(ensure_column(t, "buyers", default=-1), "remark", default="none", copy_from="not_there")
+    return t.select("date_text", "total_orders", "page_views", "refunds", "buyers", "remark",
+                    F.lit(len(t.columns)).alias("n_columns"))
+
+
+@query("product_rows")
+def q_product_rows(spark, sf):
+    # one product's rows of the monthly table: the one whose key comes first
+    m = _monthly(spark, sf)
+    first = product_list(m).agg(F.min("product_key")).first()[0]
+    return m.where(F.col("product_key") == first).select("month", "product_key", "qty", "net_amount")
+
+
 @query("table_round_trip")
 def q_table_round_trip(spark, sf):
     # the monthly roll-up written in order as CSV, read again with its month parsed back

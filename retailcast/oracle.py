@@ -868,3 +868,15 @@ ORACLE["safe_join_hot_keys"] = (
     "AS custkey, c_name AS name, c_acctbal AS amount_y FROM customer) "
     "SELECT coalesce(l.custkey, r.custkey) AS custkey, orderkey, amount_x, name, amount_y "
     "FROM l FULL JOIN r ON l.custkey IS NOT DISTINCT FROM r.custkey")
+
+ORACLE["saved_model_forecast"] = forecast_query(
+    "core", "SELECT product_key, month, CAST(step AS INTEGER) AS step, feature_mean_qty_per_product IS NOT NULL AS known, "
+    "true AS same FROM fc_rec WHERE step >= 1")
+ORACLE["exported_forecasts"] = forecast_query(
+    "core", "SELECT product_key, month, CAST(step AS INTEGER) AS step, forecast FROM fc_rec WHERE step >= 1")
+ORACLE["header_defaults"] = with_views(
+    "SELECT date_text, orders AS total_orders, views AS page_views, CAST(0 AS DOUBLE) AS refunds, buyers, 'none' AS remark, "
+    "CAST(16 AS INTEGER) AS n_columns FROM traffic_all", "traffic_all")
+ORACLE["product_rows"] = with_views(
+    "SELECT month, product_key, qty, net_amount FROM sales_monthly WHERE product_key = "
+    "(SELECT min(product_key) FROM sales_monthly)", "sales_monthly")

@@ -33,7 +33,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w = w.option("header", True).option("escape", '"')
+        w = (w.option("header", True).option("escape", '"')
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))   # text stays as it is
     spark, place = df.sparkSession, path.rstrip("/")
     staged = f"{place}.staged-{uuid.uuid4().hex}"
     try:

@@ -25,6 +25,7 @@ EXPECTED = {
     "holiday_month_flag", "interaction_features", "lag_features", "linear_trend", "mom_growth", "month_share",
     "monthly_medians", "product_medians", "monthly_product_sales", "monthly_rollup", "monthly_row_counts", "monthly_traffic", "order_month",
     "parse_dates", "parse_localized_number", "parse_percent", "parse_weight", "price_level", "product_info_first",
+    "saved_model_forecast", "exported_forecasts", "header_defaults", "product_rows",
     "product_key", "product_key_lenient", "product_list", "product_mean", "quarter_flags", "regression_metrics",
     "rolling_3m", "safe_join_hot_keys", "safe_join_inner", "safe_join_left", "safe_join_outer", "safe_join_right",
     "sales_product_info_join", "sales_stock_join", "sales_traffic_join", "scaled_amount", "seasonal_index",

@@ -85,7 +85,7 @@ def test_lost_files_are_noticed(spark, tmp_path, monkeypatch):
 
 
 def test_quotes_and_commas_survive_csv(spark, tmp_path):
-    df = spark.createDataFrame([('a "b", c', 1), ("back\\slash", 2), ("", 3), ("é", 4)], "s string, n long")
+    df = spark.createDataFrame([('a "b", c', 1), ("back\\slash", 2), ("", 3), ("é", 4), ("  spaced - ", 5)], "s string, n long")
     write_table(df, str(tmp_path / "t"), fmt="csv")
     got = {int(r.n): r.s for r in read_table(spark, str(tmp_path / "t"), fmt="csv").collect()}
-    assert got[1] == 'a "b", c' and got[2] == "back\\slash" and got[4] == "é"
+    assert got[1] == 'a "b", c' and got[2] == "back\\slash" and got[4] == "é" and got[5] == "  spaced - "
