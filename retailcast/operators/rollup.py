@@ -1,6 +1,7 @@
-"""Grouped roll-ups. All are hash aggregates with a map-side partial step,
-so a hot key costs one partial row per map task, never a whole group in one
-task. Money is summed as DECIMAL: exact, hence independent of partitioning."""
+"""Grouped roll-ups with a map-side partial step, so a hot key costs one partial
+row per map task. They are hash aggregates except minima and maxima of text,
+which sort. Medians are refined in passes (``medians.py``). Money is summed as
+DECIMAL: exact, hence independent of partitioning."""
 
 from __future__ import annotations
 
@@ -67,7 +68,8 @@ def product_info_from_monthly(agg: DataFrame, lines: DataFrame, cols: list[str],
     ``agg`` carries the smallest leading order value of each (month, product);
     only the lines that hold a product's smallest one are fetched, by a join
     on pruned columns, and compared by the whole order. Neither step sorts or
-    gathers the order lines.
+    gathers the order lines. The order columns must tell a product's rows
+    apart: lines that tie in the first two are gathered.
     """
     first = agg.groupBy(F.col(key).alias("__key")).agg(F.min("first_order").alias("__lead"))
     small = first.count() <= BROADCAST_PRODUCTS

@@ -3,9 +3,9 @@ monthly per-product feature table, as one lazy plan (plus the median passes
 of the final fills, which read a checkpoint of the pre-fill table).
 
 Shuffles: sales -> (month, product) partial aggregate; traffic -> month
-aggregate (tiny, broadcast); one month window for the allocation; joins to
-product info and stock at product grain; one product window for all the
-time-series features.
+aggregate (one row per month); one range shuffle for the allocation's ranks;
+joins to product info and stock at product grain; one product window for all
+the time-series features.
 """
 
 from __future__ import annotations
