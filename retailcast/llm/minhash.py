@@ -54,6 +54,7 @@ LOT = 512             # texts that one set is compared with in a row
 TURNS = 3             # parts of the bands, compared one after the other
 WORDS_KEPT = 200_000  # word hashes remembered in a task
 BITMAP_BITS = 23
+ROWS_PER_TASK = 1 << 15   # rows of numbers that a task reads of a checkpointed table
 
 
 @lru_cache(maxsize=1)
@@ -115,6 +116,16 @@ def text_key(text: str | None) -> bytes:
 
 # ---- near-duplicate classes ------------------------------------------------------------------------------
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed, counted and read in tasks of about ``ROWS_PER_TASK`` rows.
+
+    Each task of a shuffle leaves files of its own, so a small table in many
+    partitions costs more disk in file blocks than in rows.
+    """
+    done = cut_lineage(df)
+    return done.coalesce(max(1, -(-done.count() // ROWS_PER_TASK)))
+
+
 def _bitmap(keys: DataFrame) -> np.ndarray:
     """A fixed-size bitmap of text keys (column ``hi``); other keys may pass it, no key of ``keys`` fails it."""
     cell = F.pmod(F.col("hi"), F.lit(1 << BITMAP_BITS))
@@ -291,28 +302,28 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
         return bands
 
     fields = [("hi", T.LongType()), ("lo", T.LongType()), ("bands", T.ArrayType(T.LongType()))]
-    prints = cut_lineage(map_rows(docs, [text], make, fields, [doc_id]).select(
+    prints = settled(map_rows(docs, [text], make, fields, [doc_id]).select(
         F.monotonically_increasing_id().alias("rid"), F.col("row")[doc_id].alias("doc_id"), "res.hi", "res.lo", "res.bands"))
-    texts = cut_lineage(prints.groupBy("hi", "lo").agg(F.min("rid").alias("node")))
-    bands = cut_lineage(prints.join(texts.select("node"), F.col("rid") == F.col("node"))
+    texts = settled(prints.groupBy("hi", "lo").agg(F.min("rid").alias("node")))
+    bands = settled(prints.join(texts.select("node"), F.col("rid") == F.col("node"))
                         .select("node", F.posexplode("bands").alias("i", "band")))
     low = bands.groupBy("band").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1")
-    member = cut_lineage(bands.join(low, "band").select("i", "band", "u", "node"))
+    member = settled(bands.join(low, "band").select("i", "band", "u", "node"))
     sets = _shingle_sets(docs, text, cut_lineage(texts.join(member.select("node").distinct(), "node")))
     # First each text is compared with one other only, the smallest that it shares a bucket with.
-    pairs = cut_lineage(member.where("u <> node").groupBy(F.col("node").alias("v")).agg(F.min("u").alias("u")))
-    found = components(_verified(pairs, sets, threshold))
+    pairs = settled(member.where("u <> node").groupBy(F.col("node").alias("v")).agg(F.min("u").alias("u")))
+    found = components(_verified(pairs, sets, threshold), ROWS_PER_TASK)
     # What is left: buckets whose members are in different classes. They go in turns: what one part of the
     # bands connects need not be compared again in the others.
     for turn in range(TURNS):
-        named = cut_lineage(member.where(F.col("i") % TURNS == turn).select("band", "node")
+        named = settled(member.where(F.col("i") % TURNS == turn).select("band", "node")
                             .join(found, "node", "left")
                             .select("band", "node", F.coalesce("root", "node").alias("class")))
         mixed = named.groupBy("band").agg(F.min("class").alias("c"), F.max("class").alias("d")).where("c <> d")
-        more = cut_lineage(_open_links(named.join(mixed.select("band"), "band"), sets, threshold))
+        more = settled(_open_links(named.join(mixed.select("band"), "band"), sets, threshold))
         if not more.isEmpty():   # from the classes so far, each a star, and the new links
-            found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
-    roots = cut_lineage(texts.join(found, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root")))
+            found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), ROWS_PER_TASK)
+    roots = settled(texts.join(found, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root")))
     owner = prints.select("doc_id", "hi", "lo").distinct().join(roots, ["hi", "lo"])
     first = owner.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return owner.join(first, "root").select("doc_id", "hi", "lo", "class_id")

@@ -159,31 +159,40 @@ def fingerprint_links(prints: DataFrame, radius: int, tile: int = 4096) -> DataF
     return map_in_arrow(work, compare, "u bigint, v bigint").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """(node, root) for every node of the edges (u, v); the root is the component's smallest node.
 
     Alternating large-star and small-star steps: each joins edges with one
     minimum per node, so a node with many neighbours is a partial aggregate
     and a join that can be split, never a group held in one task.
+
+    With ``rows_per_task``, what a step makes of its counted edges stays in
+    tasks of about so many rows, so few edges leave few shuffle files whatever
+    the session's number of partitions.
     """
+    def few(df: DataFrame) -> DataFrame:
+        return df.coalesce(max(1, -(-2 * rows // rows_per_task))) if rows_per_task else df
+
     current, before = cut_lineage(edges.where("u <> v")), None
+    rows = current.count() if rows_per_task else 0
     while True:
+        current = few(current)
         both = current.select("u", "v").union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (both.join(low, "u").where(F.col("v") > F.col("u"))
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        large = few(both.join(low, "u").where(F.col("v") > F.col("u"))
+                    .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
+        down = few(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array(
+        small = few(down.join(least, "u")).select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        current = cut_lineage(small.where("u <> v").select(
-            F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        current = cut_lineage(few(small.where("u <> v").select(
+            F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()))
         state = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = state
+        before, rows = state, state[0]
 
 
 def fingerprints(docs: DataFrame, text: str, shingle: int, carry: list[str]) -> DataFrame:
