@@ -140,3 +140,14 @@ def test_edges(spark):
     assert [r.doc_id for r in kept.collect()].count(5) == 1
     assert S.simhash_components(empty_documents(spark)).count() == 0
     assert S.one_per_component(empty_documents(spark)).count() == 0
+
+
+@pytest.mark.parametrize("rows_per_task", [2, 1000])
+def test_components_in_tasks_of_counted_rows(spark, rows_per_task):
+    """The size of the tasks does not change the components; chains, loops and repeated edges included."""
+    edges = [(i, i + 1) for i in range(10, 17)] + [(5, 5), (30, 20), (30, 20), (40, 20), (41, 40), (7, 99)]
+    df = spark.createDataFrame(edges, "u bigint, v bigint").repartition(3)
+    plain = sorted(map(tuple, S.components(df).collect()))
+    assert plain == [(7, 7), *((i, 10) for i in range(10, 18)), *((i, 20) for i in (20, 30, 40, 41)), (99, 7)]
+    assert sorted(map(tuple, S.components(df, rows_per_task).collect())) == plain
+    assert S.components(df.limit(0), rows_per_task).count() == 0
