@@ -12,11 +12,7 @@ Rules that hold for every operator built on :func:`map_batches`:
 from __future__ import annotations
 
 import base64
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator, Sequence
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from retailcast.session import checkpoint_root, cut_lineage, scratch_path  # noqa: F401 - used by the operators
+from retailcast.session import (checkpoint_root, cut_lineage, map_in_arrow, scratch_path,  # noqa: F401 - used by the
+                                ship_code)                                          # operators
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,32 +88,6 @@ def map_rows(df: DataFrame, inputs: Sequence[str], make: Callable[[], Callable],
     return map_batches(df, inputs, make_batch, fields, carry)
 
 
-_SHIPPED: set[str] = set()   # applications that have this package already
-
-
-def ship_code(spark: SparkSession) -> None:
-    """Give the workers this package, once per application, as ``--py-files`` would.
-
-    Tasks import the operators' modules; a cluster's workers need not have them installed.
-    """
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parent.parent
-    path = os.path.join(tempfile.mkdtemp(prefix="retailcast-code-"), "retailcast_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(path)   # Spark sends the file to the executors itself
-    _SHIPPED.add(sc.applicationId)
-
-
-def map_in_arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` on workers that have this package."""
-    ship_code(df.sparkSession)
-    return df.mapInArrow(run, schema)
-
-
 def read_bytes(spark: SparkSession, path: str) -> bytes:
     """A vocabulary file's bytes, read once by the driver.
 
