@@ -78,7 +78,9 @@ def forecast_state(history: DataFrame, *, key: str = "product_key", month: str =
                    orders: str | None = "total_orders") -> DataFrame:
     """One row per product: last three non-missing values (h1 newest), their
     count, mean value, mean growth, mean orders, last month, seasonal map."""
-    h = history.where(F.col(month).isNotNull())
+    # read by three aggregates: a checkpoint of just these columns keeps the history's plan from being run for each
+    needed = dict.fromkeys(c for c in (key, month, value, growth, orders) if c)
+    h = cut_lineage(history.where(F.col(month).isNotNull()).select(*needed))
     stats = h.groupBy(key).agg(
         F.avg(value).alias("mean_value"),
         (F.avg(growth) if growth else F.lit(0.0)).alias("mean_growth"),
