@@ -44,6 +44,7 @@ from pyspark.sql import types as T
 
 from retailcast.llm.common import ascii_lower, cut_lineage, map_in_arrow, map_rows, quoted, scratch_path
 from retailcast.llm.simhash import components
+from retailcast.sources.sinks import remove
 
 SHINGLE = 5
 HASHES = 128
@@ -54,7 +55,7 @@ LOT = 512             # texts that one set is compared with in a row
 TURNS = 3             # parts of the bands, compared one after the other
 WORDS_KEPT = 200_000  # word hashes remembered in a task
 BITMAP_BITS = 23
-ROWS_PER_TASK = 1 << 15   # rows of numbers that a task reads of a checkpointed table
+ROWS_PER_TASK = 1 << 15   # rows of numbers that a task reads of a table between the steps
 
 
 @lru_cache(maxsize=1)
@@ -116,14 +117,33 @@ def text_key(text: str | None) -> bytes:
 
 # ---- near-duplicate classes ------------------------------------------------------------------------------
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed, counted and read in tasks of about ``ROWS_PER_TASK`` rows.
+class Steps:
+    """Tables between the steps, by name: written once to the shared folder, removed when they have been used.
 
-    Each task of a shuffle leaves files of its own, so a small table in many
-    partitions costs more disk in file blocks than in rows.
+    Columns of numbers are far smaller in Parquet than in a checkpoint, and
+    removal does not wait for the driver to collect garbage.
     """
-    done = cut_lineage(df)
-    return done.coalesce(max(1, -(-done.count() // ROWS_PER_TASK)))
+
+    def __init__(self, spark):
+        self.spark, self.paths = spark, {}
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        self.paths[name] = path = scratch_path(self.spark, f"minhash-{name}")
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def settled(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` written, counted and read in tasks of about ``ROWS_PER_TASK`` rows.
+
+        Each task of a shuffle leaves files of its own, so a small table in many
+        partitions costs more disk in file blocks than in rows.
+        """
+        done = self.write(name, df)
+        return done.coalesce(max(1, -(-done.count() // ROWS_PER_TASK)))
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove(self.spark, self.paths.pop(name))
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -163,7 +183,7 @@ def unpack_set(packed: bytes) -> np.ndarray:
     return np.cumsum(raw.reshape(4, -1).T.copy().view("<u4")[:, 0], dtype=np.uint32)
 
 
-def _shingle_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+def _shingle_sets(docs: DataFrame, text: str, wanted: DataFrame, steps: Steps) -> DataFrame:
     """(node, shingles) of the wanted texts (node, hi, lo), written once; shingles are packed 32-bit hashes."""
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(_bitmap(wanted))
@@ -185,9 +205,7 @@ def _shingle_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                                              ["hi", "lo", "shingles"])
 
     found = map_in_arrow(docs.select(quoted(text).alias("text")), run, "hi bigint, lo bigint, shingles binary")
-    path = scratch_path(spark, "shingle-sets")
-    found.join(wanted, ["hi", "lo"]).groupBy("node").agg(F.first("shingles").alias("shingles")).write.parquet(path)
-    return spark.read.parquet(path)
+    return steps.write("sets", found.join(wanted, ["hi", "lo"]).groupBy("node").agg(F.first("shingles").alias("shingles")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -302,29 +320,34 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
         return bands
 
     fields = [("hi", T.LongType()), ("lo", T.LongType()), ("bands", T.ArrayType(T.LongType()))]
-    prints = settled(map_rows(docs, [text], make, fields, [doc_id]).select(
+    steps = Steps(docs.sparkSession)
+    prints = steps.settled("prints", map_rows(docs, [text], make, fields, [doc_id]).select(
         F.monotonically_increasing_id().alias("rid"), F.col("row")[doc_id].alias("doc_id"), "res.hi", "res.lo", "res.bands"))
-    texts = settled(prints.groupBy("hi", "lo").agg(F.min("rid").alias("node")))
-    bands = settled(prints.join(texts.select("node"), F.col("rid") == F.col("node"))
-                        .select("node", F.posexplode("bands").alias("i", "band")))
+    texts = steps.settled("texts", prints.groupBy("hi", "lo").agg(F.min("rid").alias("node")))
+    bands = steps.settled("bands", prints.join(texts.select("node"), F.col("rid") == F.col("node"))
+                          .select("node", F.posexplode("bands").alias("i", "band")))
     low = bands.groupBy("band").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1")
-    member = settled(bands.join(low, "band").select("i", "band", "u", "node"))
-    sets = _shingle_sets(docs, text, cut_lineage(texts.join(member.select("node").distinct(), "node")))
+    member = steps.settled("member", bands.join(low, "band").select("i", "band", "u", "node"))
+    steps.drop("bands")
+    sets = _shingle_sets(docs, text, cut_lineage(texts.join(member.select("node").distinct(), "node")), steps)
     # First each text is compared with one other only, the smallest that it shares a bucket with.
-    pairs = settled(member.where("u <> node").groupBy(F.col("node").alias("v")).agg(F.min("u").alias("u")))
+    pairs = steps.settled("pairs", member.where("u <> node").groupBy(F.col("node").alias("v")).agg(F.min("u").alias("u")))
     found = components(_verified(pairs, sets, threshold), ROWS_PER_TASK)
+    steps.drop("pairs")
     # What is left: buckets whose members are in different classes. They go in turns: what one part of the
     # bands connects need not be compared again in the others.
     for turn in range(TURNS):
-        named = settled(member.where(F.col("i") % TURNS == turn).select("band", "node")
-                            .join(found, "node", "left")
-                            .select("band", "node", F.coalesce("root", "node").alias("class")))
+        named = steps.settled("named", member.where(F.col("i") % TURNS == turn).select("band", "node")
+                              .join(found, "node", "left")
+                              .select("band", "node", F.coalesce("root", "node").alias("class")))
         mixed = named.groupBy("band").agg(F.min("class").alias("c"), F.max("class").alias("d")).where("c <> d")
-        more = settled(_open_links(named.join(mixed.select("band"), "band"), sets, threshold))
+        more = steps.settled("more", _open_links(named.join(mixed.select("band"), "band"), sets, threshold))
         if not more.isEmpty():   # from the classes so far, each a star, and the new links
             found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), ROWS_PER_TASK)
-    roots = settled(texts.join(found, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root")))
-    owner = prints.select("doc_id", "hi", "lo").distinct().join(roots, ["hi", "lo"])
+        steps.drop("named", "more")
+    roots = steps.settled("roots", texts.join(found, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root")))
+    owner = steps.settled("owner", prints.select("doc_id", "hi", "lo").distinct().join(roots, ["hi", "lo"]))
+    steps.drop("member", "sets", "texts", "prints", "roots")
     first = owner.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return owner.join(first, "root").select("doc_id", "hi", "lo", "class_id")
 

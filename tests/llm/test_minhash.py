@@ -143,3 +143,18 @@ def test_tiles_link_what_is_similar():
 def test_large_buckets_are_cut_into_tiles(spark, monkeypatch):
     monkeypatch.setattr(M, "TILE", 5)
     test_members_apart_from_the_bucket_minimum_are_compared_too(spark, monkeypatch)
+
+
+def test_tables_between_the_steps_are_removed(spark):
+    # uncompressed checkpoints of all bands stayed on the disk while the texts were dealt
+    import glob
+    import os
+
+    from retailcast.session import checkpoint_root
+    df = spark.createDataFrame([(i, f"{'same words go here again and ' * 3}{i % 4}") for i in range(40)], "doc_id long, text string")
+    root = checkpoint_root(spark).removeprefix("file:")
+    before = set(glob.glob(f"{root}/*"))
+    classes = M.near_classes(df)
+    left = [x for x in set(glob.glob(f"{root}/*")) - before if "rdd-" not in x]
+    assert [os.path.basename(x).rsplit("-", 1)[0] for x in left] == ["minhash-owner"]
+    assert classes.count() == 40
