@@ -11,11 +11,11 @@ are candidates, and every link is verified by the exact Jaccard similarity of
 the shingle sets, which are read from the texts once and written to the shared
 folder. Each text is first compared with the smallest one that it shares a
 bucket with. Buckets that this leaves in several classes are then compared in
-full: their members' shingle sets meet in tiles of at most about
-``TILE`` texts (larger buckets as pairs of tiles), where an inverted index
-counts common shingles; what leaves a tile is a spanning set of links and not
-all pairs. So no candidate is skipped unless it is already connected, and no
-bucket is held in one task. Equal texts are one node throughout. A bitmap of
+full, those of the same members once: their members' shingle sets meet in tiles
+of at most about ``TILE`` texts (larger buckets as pairs of tiles), where an
+inverted index counts common shingles; what leaves a tile is a spanning set of
+links and not all pairs. So no candidate is skipped unless it is already
+connected or compared, and no bucket is held in one task. Equal texts are one node throughout. A bitmap of
 fixed size (``2**BITMAP_BITS`` bits) of the candidates goes to the tasks, so
 that only candidates' shingle sets are written.
 
@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,6 @@ CHUNK = 1024          # shingles hashed at once
 TILE = 256            # texts compared at once
 LOT = 512             # texts that one set is compared with in a row
 TURNS = 3             # parts of the bands, compared one after the other
-WORDS_KEPT = 200_000  # word hashes remembered in a task
 BITMAP_BITS = 23
 ROWS_PER_TASK = 1 << 15   # rows of numbers that a task reads of a table between the steps
 
@@ -66,30 +66,36 @@ def parameters() -> tuple[np.ndarray, np.ndarray]:
     return a[:, None], random.integers(0, 1 << 32, HASHES, np.uint32)[:, None]
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
+class WordHashes:
+    """64-bit hashes of words; to remember them takes longer where a task meets many different words."""
 
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        self[word] = h = xxh64_intdigest(word, 7)
-        return h
+    def __init__(self):
+        from xxhash import xxh64_digest
 
+        self.digest = xxh64_digest
 
-def shingle_hashes(text: str, known: WordHashes) -> np.ndarray:
-    """A 64-bit hash of each run of five words; of all words if there are fewer."""
-    words = ascii_lower(text).split()
-    if not words:
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.digest, words, repeat(7))), ">u8").astype(np.uint64)
+
+
+def runs(words: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of five word hashes; of all of them if there are fewer."""
+    if not len(words):
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    k = min(SHINGLE, len(w))
-    h = np.full(len(w) - k + 1, k, np.uint64)
+    k = min(SHINGLE, len(words))
+    h = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):
-        h = (h ^ w[i:len(w) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= words[i:len(words) - k + 1 + i]
+        h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return h
 
 
+def shingle_hashes(text: str, known: WordHashes) -> np.ndarray:
+    """A 64-bit hash of each run of five words; of all words if there are fewer."""
+    return runs(known(ascii_lower(text).split()))
+
+
 def signature(hashes: np.ndarray) -> np.ndarray:
     """The minimum of each hash function over the shingles (32 bits)."""
     a, b = parameters()
@@ -269,19 +275,32 @@ def tile_links(sets: list[np.ndarray], classes: list, split: int, threshold: flo
     return out
 
 
-def _open_links(open_rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links (u, v) inside the buckets (band, node, class) that hold several classes."""
-    rows = open_rows.join(sets, "node")
-    large = cut_lineage(open_rows.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > TILE))
-    member = F.collect_list(F.struct("node", "class", "shingles"))
-    work = (rows.join(large, "band", "left_anti").groupBy("band").agg(member.alias("m"))
-            .select("m", F.lit(None).cast("array<struct<node:bigint,class:bigint,shingles:binary>>").alias("m2")))
-    if not large.isEmpty():   # a large bucket is cut into tiles, which meet in pairs
-        part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(TILE)))
-        tiles = cut_lineage(rows.join(large, "band").groupBy("band", part.alias("part")).agg(member.alias("m")))
-        other = tiles.select("band", F.col("part").alias("part2"), F.col("m").alias("m2"))
-        work = (work.unionByName(tiles.select("m", F.lit(None).cast(tiles.schema["m"].dataType).alias("m2")))
-                .unionByName(tiles.join(other, "band").where("part2 > part").select("m", "m2")))
+def _uncompared(member: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(band, i) of the buckets to compare in full.
+
+    Of buckets with the same members one stands for all, and two texts that
+    have been compared as one of the ``pairs`` (u, v) are not compared again.
+    """
+    buckets = (member.groupBy("band").agg(
+        F.count("*").alias("n"), F.min("i").alias("i"), F.min("node").alias("u"), F.max("node").alias("v"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+        .groupBy("n", "u", "v", "x", "y").agg(F.min("band").alias("band"), F.min("i").alias("i")))
+    return (buckets.join(pairs.withColumn("n", F.lit(2).cast("long")), ["n", "u", "v"], "left_anti").select("band", "i"))
+
+
+def _open_links(open_rows: DataFrame, sets: DataFrame, threshold: float, steps: Steps) -> DataFrame:
+    """Links (u, v) inside the buckets (band, n, node, class) that hold several classes, of ``n`` rows each.
+
+    The sets meet the rows once and are written as tiles; a large bucket's tiles then meet in pairs.
+    """
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(TILE)))
+    tiles = steps.write("tiles", open_rows.join(sets, "node").groupBy("band", "n", part.alias("part")).agg(
+        F.collect_list(F.struct("node", "class", "shingles")).alias("m")))
+    work = tiles.select("m", F.lit(None).cast(tiles.schema["m"].dataType).alias("m2"))
+    large = tiles.where(F.col("n") > TILE).drop("n")
+    if not large.isEmpty():
+        other = large.select("band", F.col("part").alias("part2"), F.col("m").alias("m2"))
+        work = work.unionByName(large.join(other, "band").where("part2 > part").select("m", "m2"))
 
     def run(batches):
         for batch in batches:
@@ -333,21 +352,24 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     # First each text is compared with one other only, the smallest that it shares a bucket with.
     pairs = steps.settled("pairs", member.where("u <> node").groupBy(F.col("node").alias("v")).agg(F.min("u").alias("u")))
     found = components(_verified(pairs, sets, threshold), ROWS_PER_TASK)
-    steps.drop("pairs")
     # What is left: buckets whose members are in different classes. They go in turns: what one part of the
     # bands connects need not be compared again in the others.
+    buckets = steps.settled("buckets", member.drop("i", "u").join(_uncompared(member, pairs), "band"))
+    steps.drop("member", "pairs")
     for turn in range(TURNS):
-        named = steps.settled("named", member.where(F.col("i") % TURNS == turn).select("band", "node")
+        named = steps.settled("named", buckets.where(F.col("i") % TURNS == turn).select("band", "node")
                               .join(found, "node", "left")
                               .select("band", "node", F.coalesce("root", "node").alias("class")))
-        mixed = named.groupBy("band").agg(F.min("class").alias("c"), F.max("class").alias("d")).where("c <> d")
-        more = steps.settled("more", _open_links(named.join(mixed.select("band"), "band"), sets, threshold))
+        mixed = (named.groupBy("band").agg(F.min("class").alias("c"), F.max("class").alias("d"), F.count("*").alias("n"))
+                 .where("c <> d").select("band", "n"))
+        more = steps.settled("more", _open_links(named.join(mixed, "band"), sets, threshold, steps))
+        steps.drop("tiles")
         if not more.isEmpty():   # from the classes so far, each a star, and the new links
             found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), ROWS_PER_TASK)
         steps.drop("named", "more")
     roots = steps.settled("roots", texts.join(found, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root")))
     owner = steps.settled("owner", prints.select("doc_id", "hi", "lo").distinct().join(roots, ["hi", "lo"]))
-    steps.drop("member", "sets", "texts", "prints", "roots")
+    steps.drop("buckets", "sets", "texts", "prints", "roots")
     first = owner.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return owner.join(first, "root").select("doc_id", "hi", "lo", "class_id")
 

@@ -158,3 +158,41 @@ def test_tables_between_the_steps_are_removed(spark):
     left = [x for x in set(glob.glob(f"{root}/*")) - before if "rdd-" not in x]
     assert [os.path.basename(x).rsplit("-", 1)[0] for x in left] == ["minhash-owner"]
     assert classes.count() == 40
+
+
+def test_buckets_are_compared_in_full_once(spark):
+    # the sets of texts that share several bands were dealt once for each band, and again for each pair compared before
+    buckets = {10: (0, [1, 2, 3]), 11: (4, [1, 2, 3]), 12: (2, [1, 2]), 13: (1, [2, 3]), 14: (5, [1, 2, 4]), 15: (6, [2, 3])}
+    member = spark.createDataFrame([(i, band, min(nodes), n) for band, (i, nodes) in buckets.items() for n in nodes],
+                                   "i int, band long, u long, node long")
+    pairs = spark.createDataFrame([(2, 1), (3, 1), (4, 1)], "v long, u long")
+    assert sorted(M._uncompared(member, pairs).collect()) == [(10, 0), (13, 1), (14, 5)]
+
+
+def test_sets_are_dealt_once_a_turn(spark, monkeypatch):
+    # the join of the sets ran twice, for small buckets and for large ones
+    joined, write = [], M.Steps.write
+
+    def spy(self, name, df):
+        joined.append((name, df._jdf.queryExecution().toString().count("/minhash-sets-")))
+        return write(self, name, df)
+
+    monkeypatch.setattr(M.Steps, "write", spy)
+    monkeypatch.setattr(M, "TILE", 5)
+    test_members_apart_from_the_bucket_minimum_are_compared_too(spark, monkeypatch)
+    assert [name for name, reads in joined if reads] == ["tiles"] * M.TURNS
+
+
+def test_word_hashes_are_those_of_xxh64():
+    from xxhash import xxh64_intdigest
+
+    words = ["äÖ".encode(), b"word", b"a", b"word"]
+    known = M.WordHashes()
+    assert known(words).tolist() == [xxh64_intdigest(w, 7) for w in words]
+    assert len(known([])) == 0 and len(M.shingle_hashes(" \n", known)) == 0
+    (h,) = M.shingle_hashes("A\tWord", known).tolist()
+    want = 2
+    for w in (b"a", b"word"):
+        want = (want ^ xxh64_intdigest(w, 7)) * 0x9E3779B97F4A7C15 % 2**64
+        want ^= want >> 29
+    assert h == want
